@@ -40,3 +40,16 @@ for _n in ("flights_by_status", "seat_occupancy", "noshow_rates", "ontime_perfor
     _simple(_n, getattr(R, _n))
 QUERIES["revenue_report"] = lambda spark, d: R.revenue_report(_t(spark, d))
 QUERIES["operational_report"] = lambda spark, d: R.operational_report(_t(spark, d))["summary"]
+
+# --- 2.3 views ---------------------------------------------------------------
+import datetime as _dt  # noqa: E402
+
+from airops.operators import views as V  # noqa: E402
+from airops.oracle_sql import GENERATED_AT, MANIFEST_STATUS  # noqa: E402
+
+for _n in ("boarding_list", "boarding_summary", "flight_manifest", "travel_history",
+           "travel_history_summary", "seat_map", "seat_availability", "flight_details"):
+    _simple(_n, getattr(V, _n))
+_simple("manifest_filtered", V.manifest_filtered, "No_Show")
+_simple("manifest_header", V.manifest_header, _dt.datetime.fromisoformat(GENERATED_AT))
+assert MANIFEST_STATUS == "no_show"
