@@ -53,3 +53,62 @@ for _n in ("boarding_list", "boarding_summary", "flight_manifest", "travel_histo
 _simple("manifest_filtered", V.manifest_filtered, "No_Show")
 _simple("manifest_header", V.manifest_header, _dt.datetime.fromisoformat(GENERATED_AT))
 assert MANIFEST_STATUS == "no_show"
+
+# --- 2.4 listings and lookups ------------------------------------------------------
+from pyspark.sql import functions as _F  # noqa: E402
+
+from airops.operators import listings as L  # noqa: E402
+from airops.oracle_sql import (AIRPORT_COUNTRY, AIRPORT_SEARCH, FLIGHT_DEST,  # noqa: E402
+                               FLIGHT_ORIGIN, PASSENGER_SEARCH)
+
+_simple("list_passengers", L.list_passengers, PASSENGER_SEARCH, skip=50, limit=50)
+_simple("list_passengers_total", L.list_passengers_total, PASSENGER_SEARCH)
+_simple("list_airports", L.list_airports, AIRPORT_SEARCH, AIRPORT_COUNTRY, True, skip=0, limit=10)
+_simple("list_airports_total", L.list_airports_total, AIRPORT_SEARCH, AIRPORT_COUNTRY, True)
+_simple("list_aircraft", L.list_aircraft, "Active", skip=10, limit=20)
+_simple("list_aircraft_total", L.list_aircraft_total, "Active")
+_simple("list_fare_classes", L.list_fare_classes)
+_simple("list_staff", L.list_staff)
+_simple("list_flights", L.list_flights, "Scheduled", FLIGHT_ORIGIN, FLIGHT_DEST, skip=0, limit=50)
+_simple("list_flights_total", L.list_flights_total, "Scheduled", FLIGHT_ORIGIN, FLIGHT_DEST)
+_simple("list_bookings", L.list_bookings, 0, 0, "Cancelled", skip=0, limit=200)
+
+
+def _lookup_keys(t, kind):
+    br = t.extra("booking_requests")
+    f = t["flights"]
+    return {
+        "passenger": lambda: br.select(_F.col("passenger_id").alias("key")),
+        "flight": lambda: br.select(_F.col("flight_id").alias("key")),
+        "schedule": lambda: br.select(_F.col("flight_id").alias("key")),
+        "booking": lambda: br.select(_F.col("request_id").alias("key")),
+        "payment": lambda: br.select(_F.col("request_id").alias("key")),
+        "ticket": lambda: br.select(_F.col("request_id").alias("key")),
+        "airport": lambda: f.select(_F.col("origin_airport_id").alias("key")).unionByName(
+            f.select(_F.col("dest_airport_id").alias("key"))),
+        "aircraft": lambda: f.select(_F.col("aircraft_id").alias("key")),
+        "staff": lambda: t["bookings"].select(_F.col("staff_id").alias("key")),
+        "fare_class": lambda: t["seats"].select(_F.col("fare_class_id").alias("key")),
+    }[kind]()
+
+
+def _reg_lookup(kind):
+    def run(spark, d):
+        t = _t(spark, d)
+        return L.bulk_lookup(t, kind, _lookup_keys(t, kind))
+    QUERIES[f"bulk_lookup_{kind}"] = run
+
+
+for _k in L.LOOKUPS:
+    _reg_lookup(_k)
+
+
+def _code_keys(t, prefix):
+    return t.extra("booking_requests").select(_F.lower(_F.concat(
+        _F.lit(prefix), _F.lpad(_F.col("request_id").cast("string"), 8, "0"))).alias("key"))
+
+
+QUERIES["bulk_lookup_pnr"] = lambda spark, d: L.bulk_lookup_pnr(
+    _t(spark, d), _code_keys(_t(spark, d), "PNR"))
+QUERIES["bulk_lookup_ticket_no"] = lambda spark, d: L.bulk_lookup_ticket_no(
+    _t(spark, d), _code_keys(_t(spark, d), "TKT-"))
