@@ -277,13 +277,17 @@ def tickets(payments_df, bw, flights_df, seats_df, fare_df) -> DataFrame:
         (F.col("b_status") == "Cancelled").alias("is_cancelled"))
 
 
-def derive_tables(raw) -> dict[str, DataFrame]:
-    """All twelve tables plus the wide bookings frame (key ``_bookings_wide``)."""
-    fl, ac, fc = flights(raw), aircraft(raw), fare_classes(raw)
-    bw = bookings_wide(raw, fl, ac)
-    br = boarding_records(bw, fl)
-    st = seats(raw, fl, ac, bw, br)
-    pay = payments(bw)
+def derive_tables(raw, keep=None) -> dict[str, DataFrame]:
+    """All twelve tables plus the wide bookings frame (key ``_bookings_wide``).
+
+    ``keep(name, df) -> df`` is applied to the frames that others are built
+    from (e.g. to write them once and read them back)."""
+    keep = keep or (lambda _name, df: df)
+    fl, ac, fc = keep("flights", flights(raw)), keep("aircraft", aircraft(raw)), fare_classes(raw)
+    bw = keep("_bookings_wide", bookings_wide(raw, fl, ac))
+    br = keep("boarding_records", boarding_records(bw, fl))
+    st = keep("seats", seats(raw, fl, ac, bw, br))
+    pay = keep("payments", payments(bw))
     return {
         "passengers": passengers(raw), "airports": airports(raw), "aircraft": ac,
         "fare_classes": fc, "staff": staff(raw), "flights": fl,
