@@ -112,3 +112,9 @@ QUERIES["bulk_lookup_pnr"] = lambda spark, d: L.bulk_lookup_pnr(
     _t(spark, d), _code_keys(_t(spark, d), "PNR"))
 QUERIES["bulk_lookup_ticket_no"] = lambda spark, d: L.bulk_lookup_ticket_no(
     _t(spark, d), _code_keys(_t(spark, d), "TKT-"))
+
+# --- 2.6 audits ------------------------------------------------------------------
+from airops.operators import audits as A  # noqa: E402
+
+for _n in ("audit_unique", "audit_foreign_keys", "audit_checks", "audit_domain"):
+    _simple(_n, getattr(A, _n))
