@@ -118,3 +118,30 @@ from airops.operators import audits as A  # noqa: E402
 
 for _n in ("audit_unique", "audit_foreign_keys", "audit_checks", "audit_domain"):
     _simple(_n, getattr(A, _n))
+
+# --- 2.5 command batches -----------------------------------------------------------
+from airops.operators.commands import booking_flow as BF  # noqa: E402
+
+
+def _cmd(name, fn, batch, after=None):
+    def run(spark, d):
+        t = _t(spark, d)
+        return fn(t, t.extra(batch))
+    QUERIES[name] = lambda spark, d: run(spark, d)[0]
+    if after:
+        for suffix, (table, proj) in after.items():
+            QUERIES[f"{name}_{suffix}"] = (
+                lambda spark, d, table=table, proj=proj: proj(run(spark, d)[1][table]))
+
+
+_cmd("cancel_bookings", BF.cancel_bookings, "cancel_requests", {
+    "after": ("bookings", lambda df: df.select("booking_id", "status", "cancel_reason",
+                                               "cancelled_at"))})
+_cmd("process_payments", BF.process_payments, "payment_requests", {
+    "tickets": ("tickets", lambda df: df.filter(_F.col("ticket_no").startswith("TKT-R")).select(
+        "booking_id", "fare_class_id", "ticket_no", _F.col("base_fare").cast("double"),
+        _F.col("multiplier_snapshot").cast("double"), _F.col("final_fare").cast("double"),
+        "issue_date", "is_cancelled"))})
+_cmd("record_boarding", BF.record_boarding, "boarding_events", {
+    "after": ("boarding_records", lambda df: df.select("booking_id", "status", "boarded_at",
+                                                       "passenger_id", "flight_id"))})

@@ -160,7 +160,10 @@ def with_prefix(body: str, only: set[str] | None = None) -> str:
     names = [n for n, _ in VIEWS]
     needed = set(names) if only is None else _closure(only)
     ctes = [f"{n} as ({sql.strip()})" for n, sql in VIEWS if n in needed]
-    return "with " + ",\n".join(ctes) + "\n" + body.strip()
+    body = body.strip()
+    if body[:5].lower() == "with ":  # the body's own CTEs follow the views
+        return "with " + ",\n".join(ctes) + ",\n" + body[5:]
+    return "with " + ",\n".join(ctes) + "\n" + body
 
 
 _DEPS = {
