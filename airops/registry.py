@@ -145,3 +145,9 @@ _cmd("process_payments", BF.process_payments, "payment_requests", {
 _cmd("record_boarding", BF.record_boarding, "boarding_events", {
     "after": ("boarding_records", lambda df: df.select("booking_id", "status", "boarded_at",
                                                        "passenger_id", "flight_id"))})
+
+from airops.operators.commands import bookings_admit as BA  # noqa: E402
+
+_cmd("admit_bookings", BA.admit_bookings, "booking_requests", {
+    "new": ("bookings", lambda df: df.filter(_F.col("pnr").startswith("R")).select(
+        "passenger_id", "flight_id", "seat_id", "staff_id", "pnr", "status", "booked_at"))})
