@@ -151,3 +151,9 @@ from airops.operators.commands import bookings_admit as BA  # noqa: E402
 _cmd("admit_bookings", BA.admit_bookings, "booking_requests", {
     "new": ("bookings", lambda df: df.filter(_F.col("pnr").startswith("R")).select(
         "passenger_id", "flight_id", "seat_id", "staff_id", "pnr", "status", "booked_at"))})
+
+from airops.operators.commands import passengers as PC  # noqa: E402
+
+_cmd("register_passengers", PC.register_passengers, "passenger_requests", {
+    "new": ("passengers", lambda df: df.filter(_F.col("passport_no").startswith("N")).select(
+        "full_name", "gender", "passport_no", "email", "created_at"))})

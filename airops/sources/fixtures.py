@@ -337,3 +337,32 @@ def boarding_events(bw: DataFrame) -> DataFrame:
         (k * 2 + 1).alias("event_id"), "booking_id", F.lit("No_Show").alias("status"),
         (F.col("booked_at") + _hours(F.lit(31))).alias("event_ts"))
     return a.unionByName(b)
+
+
+def passenger_requests(raw) -> DataFrame:
+    """Registration requests, one per customer, with planted conflicts (not in
+    FIXTURES.md; the reservation system has no seed data for it): every 13th
+    reuses an existing passport, every 11th the passport of the previous
+    request, every 7th the e-mail of the request two before, every 19th has a
+    malformed e-mail and every 17th an unknown gender."""
+    c, n = raw["customer"], raw["nation"]
+    k = F.col("c_custkey")
+    pp = (F.when(k % 13 == 0, F.concat(F.lit("P"), _pad(k, 8)))
+          .when(k % 11 == 0, F.concat(F.lit("N"), _pad(k - 1, 8)))
+          .otherwise(F.concat(F.lit("N"), _pad(k, 8))))
+    em = (F.when(k % 19 == 0, F.lit("bad-email"))
+          .when(k % 7 == 0, F.concat(F.lit("new."), (k - 2).cast("string"), F.lit("@example.com")))
+          .otherwise(F.concat(F.lit("new."), k.cast("string"), F.lit("@example.com"))))
+    gender = (F.when(k % 17 == 0, "Unknown").when(k % 3 == 0, "Male").when(k % 3 == 1, "Female")
+              .otherwise("Other"))
+    return (c.join(F.broadcast(n.select("n_nationkey", "n_name")), c.c_nationkey == n.n_nationkey)
+            .select((k + 3000000).alias("request_id"),
+                    (F.to_timestamp_ntz(F.lit("2024-02-01 00:00:00"))
+                     + F.make_dt_interval(F.lit(0), F.lit(0), (k % 100000).cast("int")))
+                    .alias("requested_at"),
+                    F.concat(F.lit("New "), F.col("c_name")).alias("full_name"),
+                    F.date_add(F.lit("1960-01-01").cast("date"), (k % 9000).cast("int"))
+                    .alias("date_of_birth"),
+                    gender.alias("gender"), F.col("n_name").alias("nationality"),
+                    pp.alias("passport_no"),
+                    F.concat(F.lit("+2"), _pad(k, 9)).alias("phone"), em.alias("email")))

@@ -118,6 +118,7 @@ def _derived(spark, path, keep=None):
         "cancel_requests": fixtures.cancel_requests(bw),
         "payment_requests": fixtures.payment_requests(bw),
         "boarding_events": fixtures.boarding_events(bw),
+        "passenger_requests": fixtures.passenger_requests(raw),
     }
     return frames, extras
 
@@ -159,7 +160,7 @@ def _materialized(spark, path):
     frames = {t: _conform(spark.read.parquet(f"{run}/{t}"), t) for t in TABLES}
     extras = {n: spark.read.parquet(f"{run}/{'_bookings_wide' if n == 'bookings_wide' else n}")
               for n in ("bookings_wide", "booking_requests", "cancel_requests",
-                        "payment_requests", "boarding_events")}
+                        "payment_requests", "boarding_events", "passenger_requests")}
     return frames, extras
 
 

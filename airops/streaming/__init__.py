@@ -1,0 +1,31 @@
+"""Command batches over a stream of requests.
+
+The command operators are plain DataFrame functions, so a Structured
+Streaming query can apply them per micro-batch with ``foreachBatch``: each
+micro-batch is one batch of requests against the current snapshot, its
+outcomes are appended and the changed tables are written as a new snapshot
+version (the snapshot being read is never overwritten).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+
+from airops.sources.tables import Tables, write_snapshot
+
+
+def command_sink(command: Callable, snapshot: Callable[[], Tables], outcomes_path: str,
+                 snapshot_path: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function applying ``command(tables, batch)``.
+
+    ``snapshot()`` returns the tables to apply the batch to (e.g. the latest
+    written version). Outcomes are appended to ``outcomes_path``; the changed
+    tables go to ``<snapshot_path>/v<epoch>``."""
+    def run(batch: DataFrame, epoch_id: int) -> None:
+        t = snapshot()
+        out, changed = command(t, batch)
+        out.write.mode("append").parquet(outcomes_path)
+        write_snapshot(changed, snapshot_path, epoch_id)
+    return run
