@@ -157,3 +157,26 @@ from airops.operators.commands import passengers as PC  # noqa: E402
 _cmd("register_passengers", PC.register_passengers, "passenger_requests", {
     "new": ("passengers", lambda df: df.filter(_F.col("passport_no").startswith("N")).select(
         "full_name", "gender", "passport_no", "email", "created_at"))})
+
+from airops.operators.commands import reference_data as RD  # noqa: E402
+
+for _op, _batch, _table, _proj in [
+    ("create_airports", "airport_create_requests", "airports",
+     ["airport_name", "iata_code", "terminals", "is_active"]),
+    ("update_airports", "airport_update_requests", "airports",
+     ["airport_id", "airport_name", "city", "country", "terminals", "is_active"]),
+    ("deactivate_airports", "airport_deactivate_requests", "airports", ["airport_id", "is_active"]),
+    ("register_aircraft", "aircraft_create_requests", "aircraft",
+     ["registration_no", "model", "seat_capacity", "status"]),
+    ("update_aircraft", "aircraft_update_requests", "aircraft",
+     ["aircraft_id", "model", "seat_capacity", "status"]),
+    ("create_flights", "flight_create_requests", "flights",
+     ["flight_no", "origin_airport_id", "dest_airport_id", "aircraft_id", "status"]),
+    ("update_flights", "flight_update_requests", "flights",
+     ["flight_id", "aircraft_id", "status"]),
+    ("create_schedules", "schedule_create_requests", "flight_schedules",
+     ["flight_id", "dep_datetime", "arr_datetime", "terminal", "gate"]),
+    ("create_staff", "staff_create_requests", "staff", ["full_name", "email", "role", "is_active"]),
+    ("update_staff", "staff_update_requests", "staff", ["staff_id", "full_name", "role", "is_active"]),
+]:
+    _cmd(_op, getattr(RD, _op), _batch, {"after": (_table, lambda df, c=_proj: df.select(*c))})

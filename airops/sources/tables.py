@@ -18,7 +18,7 @@ from pyspark.errors import AnalysisException
 
 from airops.schema import TABLE_SCHEMAS, TABLES
 from airops.session import scratch_path
-from airops.sources import fixtures
+from airops.sources import fixtures, requests
 
 # Dimensions that may be broadcast, with the row bound that is checked first.
 # airports and fare_classes are small by nature (a few thousand airports, a
@@ -120,6 +120,7 @@ def _derived(spark, path, keep=None):
         "boarding_events": fixtures.boarding_events(bw),
         "passenger_requests": fixtures.passenger_requests(raw),
     }
+    extras.update({n: b(raw) for n, b in requests.BUILDERS.items()})
     return frames, extras
 
 
@@ -160,7 +161,8 @@ def _materialized(spark, path):
     frames = {t: _conform(spark.read.parquet(f"{run}/{t}"), t) for t in TABLES}
     extras = {n: spark.read.parquet(f"{run}/{'_bookings_wide' if n == 'bookings_wide' else n}")
               for n in ("bookings_wide", "booking_requests", "cancel_requests",
-                        "payment_requests", "boarding_events", "passenger_requests")}
+                        "payment_requests", "boarding_events", "passenger_requests",
+                        *requests.BUILDERS)}
     return frames, extras
 
 
