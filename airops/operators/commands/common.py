@@ -38,6 +38,7 @@ def first_per_key(df: DataFrame, keys: list[str], order: str = "_ord",
 def first_failure(checks: list[tuple[int, str, Column]], ok_code: int,
                   ok_reason: str = "ok") -> tuple[Column, Column]:
     """(code, reason) of the first check whose condition holds, else ok."""
+    checks = [(c, r, F.coalesce(cond, F.lit(False))) for c, r, cond in checks]  # NULL: passes
     code = reduce(lambda acc, c: acc.when(c[2], F.lit(c[0])), checks[1:],
                   F.when(checks[0][2], F.lit(checks[0][0])))
     reason = reduce(lambda acc, c: acc.when(c[2], F.lit(c[1])), checks[1:],

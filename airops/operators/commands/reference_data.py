@@ -39,9 +39,9 @@ def _keyed_create(r: DataFrame, key: str, checks: list, dup_at: int, exists: Col
 
     ``checks`` are (code, reason, condition) in order; the uniqueness check is
     inserted at position ``dup_at`` with the static condition ``exists``."""
-    static_fail = exists
+    static_fail = F.coalesce(exists, F.lit(False))
     for _, _, c in checks:
-        static_fail = static_fail | c
+        static_fail = static_fail | F.coalesce(c, F.lit(False))
     first = r.filter(~static_fail).groupBy(key).agg(F.min("_ord").alias("_acc"))
     r = r.join(first, key, "left")
     full = list(checks)
@@ -102,8 +102,8 @@ def create_airports(t, requests: DataFrame):
     r = (requests.withColumn("iata_code", F.upper(F.trim(F.col("iata_code"))))
          .withColumn("terminals", F.coalesce(F.col("terminals"), F.lit(1)))
          .withColumn("_ord", order_key()))
-    shape = (F.col("iata_code").rlike(IATA_PATTERN) & F.col("airport_name").isNotNull()
-             & F.col("city").isNotNull() & F.col("country").isNotNull())
+    shape = F.coalesce(F.col("iata_code").rlike(IATA_PATTERN), F.lit(False)) & (
+        F.col("airport_name").isNotNull() & F.col("city").isNotNull() & F.col("country").isNotNull())
     exists = r.join(t["airports"].select("iata_code", F.lit(True).alias("_ex")).distinct(),
                     "iata_code", "left")
     out = _keyed_create(exists, "iata_code", [(422, R_INVALID, ~shape),
@@ -138,7 +138,8 @@ def register_aircraft(t, requests: DataFrame):
     r = (requests.withColumn("status", F.coalesce(F.col("status"), F.lit("Active")))
          .withColumn("_ord", order_key()))
     shape = (F.col("registration_no").isNotNull() & F.col("model").isNotNull()
-             & F.col("seat_capacity").isNotNull() & F.col("status").isin(*AIRCRAFT_STATUS))
+             & F.col("seat_capacity").isNotNull()
+             & F.coalesce(F.col("status").isin(*AIRCRAFT_STATUS), F.lit(False)))
     r = r.join(t["aircraft"].select("registration_no", F.lit(True).alias("_ex")).distinct(),
                "registration_no", "left")
     out = _keyed_create(r, "registration_no", [(422, R_INVALID, ~shape),
@@ -242,8 +243,9 @@ def create_staff(t, requests: DataFrame):
     columns only: credentials are not data work)."""
     r = (requests.withColumn("_ord", order_key())
          .join(t["staff"].select("email", F.lit(True).alias("_ex")).distinct(), "email", "left"))
-    shape = (F.col("full_name").isNotNull() & F.col("email").rlike(EMAIL_PATTERN)
-             & F.col("role").isin(*STAFF_ROLE))
+    shape = (F.col("full_name").isNotNull()
+             & F.coalesce(F.col("email").rlike(EMAIL_PATTERN), F.lit(False))
+             & F.coalesce(F.col("role").isin(*STAFF_ROLE), F.lit(False)))
     out = _keyed_create(r, "email", [(422, R_INVALID, ~shape)], 1, F.col("_ex").isNotNull())
     acc = out.filter("accepted")
     s = t["staff"]

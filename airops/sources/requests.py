@@ -113,7 +113,7 @@ def schedule_create_requests(raw) -> DataFrame:
     k = F.col("p_partkey")
     dep = F.to_timestamp_ntz(F.lit("2024-05-01 00:00:00")) + F.make_dt_interval(
         F.lit(0), (k % 1000).cast("int"))
-    arr = dep + F.make_dt_interval(F.lit(0), (k % 5 - 1).cast("int"))
+    arr = dep + F.make_dt_interval(F.lit(0), (k % 7 - 1).cast("int"))
     fid = F.when(k % 97 == 0, k + 1000000).otherwise(k % 1500)
     return raw["part"].select(
         (k + 4700000).alias("request_id"), _ts(k).alias("requested_at"),
