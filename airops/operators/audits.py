@@ -103,36 +103,59 @@ def unique_constraints(include_primary_keys: bool = True):
     return out + UNIQUE_CONSTRAINTS
 
 
+def _names(spark, rows: list[tuple], schema: str) -> DataFrame:
+    """The (fixed, small) list of constraints as a DataFrame."""
+    return spark.createDataFrame(rows, schema)
+
+
 def audit_unique(t, include_primary_keys: bool = True) -> DataFrame:
     """Per unique constraint: keys that occur more than once and the excess rows.
 
-    A key with a NULL component never conflicts (SQL semantics)."""
-    frames = []
-    for name, table, cols in unique_constraints(include_primary_keys):
-        df = t[table].select(*cols)
-        df = df.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols]))
-        dup = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-        frames.append(dup.agg(F.count(F.lit(1)).alias("duplicated_keys"),
-                              F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("violations"))
-                      .select(F.lit(name).alias("constraint_name"), F.lit(table).alias("table_name"),
-                              F.col("duplicated_keys").cast("bigint"),
-                              F.col("violations").cast("bigint")))
-    return _union(frames)
+    All constraints share one aggregation: each table contributes
+    ``(constraint id, key as array<string>)`` rows (a key with a NULL
+    component never conflicts, as in SQL), the union is counted per key once
+    (one shuffle, partial aggregation), and duplicated keys are summed per
+    constraint. Constraints without duplicates get a zero row."""
+    cons = unique_constraints(include_primary_keys)
+    parts = []
+    for i, (_, table, cols) in enumerate(cons):
+        df = t[table].filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols]))
+        parts.append(df.select(F.lit(i).alias("cid"),
+                               F.array(*[F.col(c).cast("string") for c in cols]).alias("k")))
+    keys = _union(parts)
+    dup = (keys.groupBy("cid", "k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+           .groupBy("cid").agg(F.count(F.lit(1)).alias("duplicated_keys"),
+                               F.sum(F.col("n") - 1).alias("violations")))
+    names = _names(t.spark, [(i, n, tb) for i, (n, tb, _) in enumerate(cons)],
+                   "cid int, constraint_name string, table_name string")
+    return (names.join(dup, "cid", "left")
+            .select("constraint_name", "table_name",
+                    F.coalesce(F.col("duplicated_keys"), F.lit(0)).cast("bigint").alias("duplicated_keys"),
+                    F.coalesce(F.col("violations"), F.lit(0)).cast("bigint").alias("violations")))
 
 
 def audit_foreign_keys(t) -> DataFrame:
-    """Per foreign key: child rows whose (non-NULL) key has no parent row."""
-    frames = []
-    for table, col, parent, pkey in FOREIGN_KEYS:
-        per_key = (t[table].filter(F.col(col).isNotNull()).groupBy(col)
-                   .agg(F.count(F.lit(1)).alias("n")))
-        parents = t[parent].select(F.col(pkey).alias(col))
-        orphans = per_key.join(parents, col, "left_anti")
-        frames.append(orphans.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint")
-                                  .alias("violations"))
-                      .select(F.lit(f"{table}_{col}_fkey").alias("constraint_name"),
-                              F.lit(table).alias("table_name"), "violations"))
-    return _union(frames)
+    """Per foreign key: child rows whose (non-NULL) key has no parent row.
+
+    One plan for all keys: child keys are counted per (foreign key, parent
+    table, key) -- a hot key becomes one row -- and anti-joined in a single
+    join with the union of the parent tables' keys."""
+    children = _union([
+        t[table].filter(F.col(col).isNotNull())
+        .select(F.lit(i).alias("fid"), F.lit(parent).alias("parent"),
+                F.col(col).cast("bigint").alias("key"))
+        for i, (table, col, parent, _) in enumerate(FOREIGN_KEYS)])
+    per_key = children.groupBy("fid", "parent", "key").agg(F.count(F.lit(1)).alias("n"))
+    parent_tables = sorted({(p, k) for _, _, p, k in FOREIGN_KEYS})
+    parents = _union([t[p].select(F.lit(p).alias("parent"), F.col(k).cast("bigint").alias("key"))
+                      for p, k in parent_tables])
+    orphans = (per_key.join(parents, ["parent", "key"], "left_anti")
+               .groupBy("fid").agg(F.sum("n").alias("violations")))
+    names = _names(t.spark, [(i, f"{tb}_{c}_fkey", tb) for i, (tb, c, _, _) in enumerate(FOREIGN_KEYS)],
+                   "fid int, constraint_name string, table_name string")
+    return (names.join(orphans, "fid", "left")
+            .select("constraint_name", "table_name",
+                    F.coalesce(F.col("violations"), F.lit(0)).cast("bigint").alias("violations")))
 
 
 def audit_checks(t) -> DataFrame:

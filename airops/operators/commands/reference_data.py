@@ -259,3 +259,61 @@ def update_staff(t, requests: DataFrame):
     fields = ("full_name", "role", "is_active")
     bad_role = _given("role") & F.col("role").isNotNull() & ~F.col("role").isin(*STAFF_ROLE)
     return _keyed_update(t, "staff", "staff_id", requests, fields, [], shape_bad=bad_role)
+
+
+# --- schedule updates: a per-schedule fold ------------------------------------------
+
+SCHEDULE_FIELDS = ("dep_datetime", "arr_datetime", "actual_dep", "actual_arr", "terminal", "gate")
+
+
+def _schedule_fold(batches):
+    """Walk requests sorted by (flight_id, order) and keep (dep, arr) per schedule.
+
+    A request is valid iff the row it leaves has arr > dep (NULLs compare as
+    an error: 500). Only valid requests move the state. Runs on sorted
+    partitions, one batch at a time, carrying the state across batches."""
+    import pandas as pd
+
+    cur_flight, dep, arr = None, None, None
+    for pdf in batches:
+        ok, err = [], []
+        for row in pdf.itertuples(index=False):
+            if row.flight_id != cur_flight:
+                cur_flight, dep, arr = row.flight_id, row.dep0, row.arr0
+            new_dep = row.dep_datetime if row.sets_dep else dep
+            new_arr = row.arr_datetime if row.sets_arr else arr
+            if pd.isna(new_dep) or pd.isna(new_arr):
+                ok.append(False); err.append(True)
+            elif new_arr > new_dep:
+                ok.append(True); err.append(False)
+                dep, arr = new_dep, new_arr
+            else:
+                ok.append(False); err.append(False)
+        yield pd.DataFrame({"request_id": pdf["request_id"], "valid": ok, "null_error": err})
+
+
+def update_schedules(t, requests: DataFrame):
+    """404 without a schedule; the merged row must have arr > dep (422,
+    nothing saved); a NULL departure or arrival is the database's 500.
+
+    Each request is checked against the row left by the earlier accepted
+    ones, so this is a fold per schedule: requests are hash-partitioned by
+    flight and sorted by order inside partitions, and a streaming
+    ``mapInPandas`` walks them with O(1) state (no group is materialised)."""
+    s = t["flight_schedules"].select("flight_id", F.col("dep_datetime").alias("dep0"),
+                                     F.col("arr_datetime").alias("arr0"))
+    r = requests.withColumn("_ord", order_key()).join(s, "flight_id", "left")
+    cand = (r.filter(F.col("dep0").isNotNull())
+            .select("request_id", "requested_at", "flight_id", "dep0", "arr0",
+                    "dep_datetime", "arr_datetime",
+                    _given("dep_datetime").alias("sets_dep"), _given("arr_datetime").alias("sets_arr")))
+    folded = (cand.repartition("flight_id")
+              .sortWithinPartitions("flight_id", "requested_at", "request_id")
+              .drop("requested_at")
+              .mapInPandas(_schedule_fold, "request_id long, valid boolean, null_error boolean"))
+    r = r.join(folded, "request_id", "left")
+    out = outcomes(r, [(404, R_404, F.col("dep0").isNull()),
+                       (500, R_DB, F.col("null_error")),
+                       (422, R_ARR_BEFORE_DEP, ~F.col("valid"))], 200)
+    new = _apply_updates(t["flight_schedules"], "flight_id", out.filter("accepted"), SCHEDULE_FIELDS)
+    return out.select("request_id", "accepted", "code", "reason"), {"flight_schedules": new}

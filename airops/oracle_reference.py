@@ -84,6 +84,23 @@ select c_custkey + 4800000 request_id, {_ts('c_custkey')} requested_at, c_name f
  case c_custkey % 6 when 0 then 'Super_Admin' when 1 then 'Operations_Manager' when 2 then 'Reservation_Agent'
       when 3 then 'Ground_Staff' when 4 then 'Finance_Officer' else 'Pilot' end role
 from customer""",
+    "passenger_delete_requests": f"""
+select c_custkey + 5000000 request_id, {_ts('c_custkey')} requested_at,
+ cast(case when c_custkey % 13 = 0 then c_custkey + 1000000 when c_custkey % 7 = 0 then c_custkey - 1
+           else c_custkey end as bigint) passenger_id
+from customer""",
+    "schedule_update_requests": f"""
+select o_orderkey + 6000000 request_id, {_ts('o_orderkey')} requested_at,
+ cast(case when o_orderkey % 11 = 0 then 0 else o_custkey % 40 + 1 end as bigint) flight_id,
+ case when o_orderkey % 23 = 0 then ['arr_datetime'] when o_orderkey % 4 = 0 then ['dep_datetime']
+      when o_orderkey % 4 = 1 then ['arr_datetime'] when o_orderkey % 4 = 2 then ['dep_datetime', 'arr_datetime', 'gate']
+      else ['gate', 'actual_dep'] end set_fields,
+ timestamp '2024-06-01 00:00:00' + interval '1' hour * cast(o_orderkey % 48 as integer) dep_datetime,
+ case when o_orderkey % 23 = 0 then null else
+   timestamp '2024-06-01 00:00:00' + interval '1' hour * cast(o_orderkey % 50 - 2 as integer) end arr_datetime,
+ cast(null as timestamp) actual_dep, cast(null as timestamp) actual_arr, cast(null as varchar) terminal,
+ 'G' || cast(o_orderkey % 9 as varchar) gate
+from orders""",
     "staff_update_requests": f"""
 select c_custkey + 4900000 request_id, {_ts('c_custkey')} requested_at, cast(c_custkey % 110 as bigint) staff_id,
  case when c_custkey % 3 = 0 then ['full_name'] when c_custkey % 3 = 1 then ['role', 'is_active']
@@ -257,4 +274,59 @@ def bodies() -> dict[str, str]:
                   "('Super_Admin', 'Operations_Manager', 'Reservation_Agent', 'Ground_Staff', 'Finance_Officer')")
     reg("update_staff", (o,), applied("staff", "staff_id", acc, ["full_name", "role", "is_active"],
                                       ["staff_id", "full_name", "role", "is_active"]))
+    # schedule updates: a recursive walk per schedule (the serial meaning, literally)
+    sreq = R["schedule_update_requests"]
+    nd = "(case when list_contains(q.set_fields, 'dep_datetime') then q.dep_datetime else w.dep end)"
+    na = "(case when list_contains(q.set_fields, 'arr_datetime') then q.arr_datetime else w.arr end)"
+    ok = f"({nd} is not null and {na} is not null and {na} > {nd})"
+    walk = f"""
+with recursive q as (
+  select r.*, s.dep_datetime dep0, s.arr_datetime arr0,
+   row_number() over (partition by r.flight_id order by r.requested_at, r.request_id) rn
+  from ({sreq}) r join flight_schedules s on s.flight_id = r.flight_id),
+ w(flight_id, rn, dep, arr, request_id, valid, nullerr) as (
+  select distinct flight_id, cast(0 as bigint), dep0, arr0, cast(null as bigint), cast(null as boolean),
+   cast(null as boolean) from q
+  union all
+  select w.flight_id, q.rn, case when {ok} then {nd} else w.dep end,
+   case when {ok} then {na} else w.arr end, q.request_id, {ok}, {nd} is null or {na} is null
+  from w join q on q.flight_id = w.flight_id and q.rn = w.rn + 1
+ )
+select request_id, valid, nullerr from w where rn > 0"""
+    scodes = f"""
+select r.*, case when not exists (select 1 from flight_schedules s where s.flight_id = r.flight_id) then 404
+ when v.nullerr then 500 when not v.valid then 422 else 200 end code
+from ({sreq}) r left join ({walk}) v on v.request_id = r.request_id"""
+    out["update_schedules"] = f"""
+select request_id, code < 300 accepted, cast(code as integer) code,
+ case code when 404 then 'not_found' when 500 then 'constraint_violation'
+      when 422 then 'arrival_not_after_departure' else 'ok' end reason
+from ({scodes}) c"""
+    out["update_schedules_after"] = applied(
+        "flight_schedules", "flight_id", f"select * from ({scodes}) c where code = 200",
+        ["dep_datetime", "arr_datetime", "actual_dep", "actual_arr", "terminal", "gate"],
+        ["flight_id", "dep_datetime", "arr_datetime", "actual_dep", "gate"])
+
+    # passenger deletes
+    dq = f"""
+select d.*, exists (select 1 from passengers p where p.passenger_id = d.passenger_id) found_,
+ exists (select 1 from bookings b where b.passenger_id = d.passenger_id) used_
+from ({R['passenger_delete_requests']}) d"""
+    ranked = f"""
+select z.*, first_value(case when z.found_ and not z.used_ then z.requested_at end) over w acc_ts,
+ first_value(case when z.found_ and not z.used_ then z.request_id end) over w acc_id
+from ({dq}) z
+window w as (partition by z.passenger_id order by case when z.found_ and not z.used_ then 0 else 1 end,
+             z.requested_at, z.request_id rows between unbounded preceding and unbounded following)"""
+    codes = f"""
+select x.*, case when not x.found_ or x.acc_ts < x.requested_at
+      or (x.acc_ts = x.requested_at and x.acc_id < x.request_id) then 404
+ when x.used_ then 409 else 200 end code from ({ranked}) x"""
+    out["delete_passengers"] = f"""
+select request_id, code < 300 accepted, cast(code as integer) code,
+ case code when 404 then 'passenger_not_found' when 409 then 'passenger_has_bookings' else 'ok' end reason
+from ({codes}) c"""
+    out["delete_passengers_after"] = f"""
+select passenger_id, full_name from passengers p
+where not exists (select 1 from ({codes}) c where c.code = 200 and c.passenger_id = p.passenger_id)"""
     return out

@@ -180,3 +180,10 @@ for _op, _batch, _table, _proj in [
     ("update_staff", "staff_update_requests", "staff", ["staff_id", "full_name", "role", "is_active"]),
 ]:
     _cmd(_op, getattr(RD, _op), _batch, {"after": (_table, lambda df, c=_proj: df.select(*c))})
+
+_cmd("delete_passengers", PC.delete_passengers, "passenger_delete_requests", {
+    "after": ("passengers", lambda df: df.select("passenger_id", "full_name"))})
+
+_cmd("update_schedules", RD.update_schedules, "schedule_update_requests", {
+    "after": ("flight_schedules", lambda df: df.select("flight_id", "dep_datetime", "arr_datetime",
+                                                       "actual_dep", "gate"))})

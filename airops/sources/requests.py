@@ -162,3 +162,45 @@ BUILDERS = {
     "staff_create_requests": staff_create_requests,
     "staff_update_requests": staff_update_requests,
 }
+
+
+def passenger_delete_requests(raw) -> DataFrame:
+    """One delete per customer: every 7th targets the previous customer (a
+    second delete of one passenger), every 13th an unknown id; customers
+    with orders hold bookings (409)."""
+    k = F.col("c_custkey")
+    pid = F.when(k % 13 == 0, k + 1000000).when(k % 7 == 0, k - 1).otherwise(k)
+    return raw["customer"].select((k + 5000000).alias("request_id"), _ts(k).alias("requested_at"),
+                                  pid.cast("bigint").alias("passenger_id"))
+
+
+BUILDERS["passenger_delete_requests"] = passenger_delete_requests
+
+
+def schedule_update_requests(raw) -> DataFrame:
+    """Schedule updates, one per order, on 40 flights, so that each is checked
+    against the row left by the earlier ones (a departure moved past the
+    arrival, then fixed); every 11th targets a flight without a schedule,
+    every 23rd sets an explicit NULL arrival."""
+    k = F.col("o_orderkey")
+    base = F.to_timestamp_ntz(F.lit("2024-06-01 00:00:00"))
+    fields = (F.when(k % 23 == 0, F.array(F.lit("arr_datetime")))
+              .when(k % 4 == 0, F.array(F.lit("dep_datetime")))
+              .when(k % 4 == 1, F.array(F.lit("arr_datetime")))
+              .when(k % 4 == 2, F.array(F.lit("dep_datetime"), F.lit("arr_datetime"), F.lit("gate")))
+              .otherwise(F.array(F.lit("gate"), F.lit("actual_dep"))))
+    dep = base + F.make_dt_interval(F.lit(0), (k % 48).cast("int"))
+    arr = F.when(k % 23 == 0, F.lit(None).cast("timestamp_ntz")).otherwise(
+        base + F.make_dt_interval(F.lit(0), (k % 50 - 2).cast("int")))
+    return raw["orders"].select(
+        (k + 6000000).alias("request_id"), _ts(k).alias("requested_at"),
+        F.when(k % 11 == 0, F.lit(0)).otherwise(F.col("o_custkey") % 40 + 1).cast("bigint")
+        .alias("flight_id"),
+        fields.alias("set_fields"), dep.alias("dep_datetime"), arr.alias("arr_datetime"),
+        F.lit(None).cast("timestamp_ntz").alias("actual_dep"),
+        F.lit(None).cast("timestamp_ntz").alias("actual_arr"),
+        F.lit(None).cast("string").alias("terminal"),
+        F.concat(F.lit("G"), (k % 9).cast("string")).alias("gate"))
+
+
+BUILDERS["schedule_update_requests"] = schedule_update_requests

@@ -82,6 +82,8 @@ def _has_airline_tables(path: str) -> bool:
 
 
 _CACHE: dict[tuple[int, str], Tables] = {}
+_EXTRA_NAMES = ("bookings_wide", "booking_requests", "cancel_requests", "payment_requests",
+                "boarding_events", "passenger_requests", *requests.BUILDERS)
 
 
 def airline_tables(spark: SparkSession, path: str, materialize: bool = True) -> Tables:
@@ -126,6 +128,9 @@ def _derived(spark, path, keep=None):
 
 def _fingerprint(path: str) -> str:
     h = hashlib.sha1(os.path.abspath(path).encode())
+    # the set of derived frames is part of the key: a snapshot written by an
+    # older version of the mapping is never read back
+    h.update(",".join(sorted([*TABLES, *_EXTRA_NAMES])).encode())
     for t in fixtures.RAW_TABLES:
         p = os.path.join(path, f"{t}.parquet")
         st = os.stat(p)
@@ -160,9 +165,7 @@ def _materialized(spark, path):
     run = _read_marker(spark, done)
     frames = {t: _conform(spark.read.parquet(f"{run}/{t}"), t) for t in TABLES}
     extras = {n: spark.read.parquet(f"{run}/{'_bookings_wide' if n == 'bookings_wide' else n}")
-              for n in ("bookings_wide", "booking_requests", "cancel_requests",
-                        "payment_requests", "boarding_events", "passenger_requests",
-                        *requests.BUILDERS)}
+              for n in _EXTRA_NAMES}
     return frames, extras
 
 

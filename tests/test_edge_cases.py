@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from helpers import (T0, aircraft, airport, booking, fare_class, flight, make_tables, passenger,
                      payment, seat, staff)
 
@@ -176,3 +178,50 @@ def test_payment_issues_ticket_with_exact_fare(spark):
     tk = ch["tickets"].collect()[0]
     assert str(tk.final_fare) == "150.00"
     assert {r.booking_id: r.status for r in ch["bookings"].collect()} == {1: "Confirmed"}
+
+
+def test_delete_passengers(spark):
+    t = _base(spark, bookings=[booking(1, 1, 1, 1, "Cancelled")])
+    req = spark.createDataFrame([(1, T0, 2), (2, T0 + dt.timedelta(seconds=1), 2), (3, T0, 1), (4, T0, 99)],
+                                "request_id long, requested_at timestamp_ntz, passenger_id long")
+    out, ch = PC.delete_passengers(t, req)
+    assert {r.request_id: r.code for r in out.collect()} == {1: 200, 2: 404, 3: 409, 4: 404}
+    assert sorted(r.passenger_id for r in ch["passengers"].collect()) == [1, 3]
+
+
+def test_update_schedules_checks_merged_row(spark):
+    from airops.operators.commands import reference_data as RD
+    sch = [(1, 1, T0, T0 + dt.timedelta(hours=2), None, None, None, None, T0)]
+    t = _base(spark, flight_schedules=sch)
+    h = lambda n: T0 + dt.timedelta(hours=n)
+    req = spark.createDataFrame([
+        (1, h(0), 1, ["dep_datetime"], h(3), None),     # dep after arr -> 422, nothing saved
+        (2, h(1), 1, ["arr_datetime"], None, h(5)),     # arr 5 > dep 0 -> ok
+        (3, h(2), 1, ["dep_datetime"], h(3), None),     # now dep 3 < arr 5 -> ok
+        (4, h(3), 1, ["arr_datetime"], None, None),     # explicit NULL arrival -> 500
+        (5, h(4), 2, ["gate"], None, None),             # no schedule -> 404
+    ], "request_id long, requested_at timestamp_ntz, flight_id long, set_fields array<string>, "
+       "dep_datetime timestamp_ntz, arr_datetime timestamp_ntz")
+    for c in ("actual_dep", "actual_arr"):
+        req = req.withColumn(c, F.lit(None).cast("timestamp_ntz"))
+    req = req.withColumn("terminal", F.lit(None).cast("string")).withColumn("gate", F.lit("G1"))
+    out, ch = RD.update_schedules(t, req)
+    assert {r.request_id: r.code for r in out.collect()} == {1: 422, 2: 200, 3: 200, 4: 500, 5: 404}
+    row = ch["flight_schedules"].collect()[0]
+    assert (row.dep_datetime, row.arr_datetime) == (h(3), h(5))
+
+
+def test_update_last_writer_wins(spark):
+    from airops.operators.commands import reference_data as RD
+    t = _base(spark, staff=[staff(1)])
+    req = spark.createDataFrame([
+        (1, T0, 1, ["full_name"], "A", "Ground_Staff", True),
+        (2, T0 + dt.timedelta(seconds=2), 1, ["full_name", "role"], "B", "Pilot", True),  # bad role 422
+        (3, T0 + dt.timedelta(seconds=1), 1, ["role"], "C", "Finance_Officer", True),
+        (4, T0, 7, ["full_name"], "D", "Ground_Staff", True),
+    ], "request_id long, requested_at timestamp_ntz, staff_id long, set_fields array<string>, "
+       "full_name string, role string, is_active boolean")
+    out, ch = RD.update_staff(t, req)
+    assert {r.request_id: r.code for r in out.collect()} == {1: 200, 2: 422, 3: 200, 4: 404}
+    row = ch["staff"].collect()[0]
+    assert (row.full_name, row.role, row.is_active) == ("A", "Finance_Officer", True)
