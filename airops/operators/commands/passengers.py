@@ -75,3 +75,135 @@ def delete_passengers(t, requests: DataFrame):
     gone = out.filter("accepted").select("passenger_id")
     return (out.select("request_id", "accepted", "code", "reason"),
             {"passengers": t["passengers"].join(gone, "passenger_id", "left_anti")})
+
+
+UPDATE_FIELDS = ("full_name", "date_of_birth", "gender", "nationality", "phone", "email")
+
+
+def _email_events(accepted: DataFrame, initial: DataFrame) -> DataFrame:
+    """Take / release events of e-mail addresses: (email, at, holder, take).
+
+    ``accepted`` movers carry their previous e-mail (``prev``): a move takes
+    the new address and releases the previous one; the snapshot's e-mails
+    are taken at the beginning of time."""
+    takes = accepted.select(F.col("email"), F.col("_ord").alias("at"),
+                            F.col("passenger_id").alias("holder"), F.lit(True).alias("take"))
+    releases = (accepted.filter(F.col("prev") != F.col("email"))
+                .select(F.col("prev").alias("email"), F.col("_ord").alias("at"),
+                        F.col("passenger_id").alias("holder"), F.lit(False).alias("take")))
+    # the snapshot's holders: before any request (request ids are positive)
+    start = F.struct(F.to_timestamp_ntz(F.lit("0001-01-01 00:00:00")).alias("ts"),
+                     F.lit(-1).cast("bigint").alias("id"))
+    init = initial.select("email", start.alias("at"), F.col("passenger_id").alias("holder"),
+                          F.lit(True).alias("take"))
+    return init.unionByName(takes).unionByName(releases)
+
+
+def _held_by_other(reqs: DataFrame, events: DataFrame) -> DataFrame:
+    """Add ``_taken``: at the request's time, its target e-mail is held by
+    another passenger (the last event on the address before then is a take by
+    someone else)."""
+    e = events.select(F.col("email"), F.col("at"), F.col("holder"), F.col("take"))
+    j = (reqs.select("request_id", "email", "_ord", "passenger_id")
+         .join(e, "email").filter(F.col("at") < F.col("_ord")))
+    last = j.groupBy("request_id").agg(
+        F.max_by(F.struct("take", "holder", "passenger_id"), F.col("at")).alias("_last"))
+    taken = last.select("request_id", (F.col("_last.take")
+                                       & (F.col("_last.holder") != F.col("_last.passenger_id")))
+                        .alias("_taken"))
+    return reqs.join(taken, "request_id", "left").withColumn(
+        "_taken", F.coalesce(F.col("_taken"), F.lit(False)))
+
+
+def update_passengers(t, requests: DataFrame):
+    """Update passengers; only fields in ``set_fields`` change. Checks in order:
+    request shape (e-mail) 422; 404; a new e-mail held by another passenger
+    at that moment 409; gender 422; explicit NULL for a NOT NULL column 500.
+
+    E-mail ownership moves inside a batch (A leaves e1, then B takes e1), so
+    the requests that may move an address ("movers") are decided by a
+    fixpoint. A mover is decidable once it is its passenger's earliest
+    undecided mover and no undecided earlier mover targets its address or
+    belongs to a passenger who could hold that address then (its snapshot
+    owner or an earlier taker); the earliest undecided mover always is.
+    Whether the address is held at that time is read from take/release events
+    of the decided movers. Every round is aggregates and joins; the
+    undecided set is checkpointed."""
+    from airops.operators.commands.reference_data import _apply_updates, _given, _not_null_violation
+
+    p = t["passengers"]
+    r = (requests.withColumn("_ord", order_key())
+         .join(p.select("passenger_id", F.col("email").alias("_email0"),
+                        F.lit(True).alias("_found")), "passenger_id", "left"))
+    sets_email = _given("email") & F.col("email").isNotNull()
+    shape_bad = sets_email & ~F.coalesce(F.col("email").rlike(EMAIL_PATTERN), F.lit(False))
+    gender_bad = (_given("gender") & F.col("gender").isNotNull() & (F.col("gender") != "")
+                  & ~F.col("gender").isin(*GENDERS))
+    db_bad = (_not_null_violation("passengers", UPDATE_FIELDS)
+              | (_given("gender") & (F.col("gender") == "")))
+    r = r.withColumn("_mover", sets_email & ~shape_bad & F.col("_found").isNotNull()
+                     & ~gender_bad & ~db_bad).checkpoint()
+    movers = r.filter("_mover").select("request_id", "passenger_id", "email", "_ord")
+    initial = p.select("passenger_id", "email")
+
+    undecided = movers
+    accepted: DataFrame | None = None   # movers with prev e-mail
+    decided_rows: list[DataFrame] = []
+    while True:
+        undecided = undecided.checkpoint()
+        if undecided.isEmpty():
+            break
+        mu = undecided.groupBy("passenger_id").agg(F.min("_ord").alias("_mu"))
+        # blocking: an undecided earlier mover targeting the address, or a possible
+        # holder of the address with an undecided mover earlier than the request
+        all_movers = movers.join(mu, "passenger_id").select(   # holders with undecided moves
+            "email", F.greatest(F.col("_ord"), F.col("_mu")).alias("_v"))
+        owners = initial.join(mu, "passenger_id").select("email", F.col("_mu").alias("_v"))
+        block = all_movers.unionByName(owners).groupBy("email").agg(F.min("_v").alias("_block"))
+        d = (undecided.join(mu, "passenger_id").filter(F.col("_ord") == F.col("_mu"))
+             .join(block, "email", "left")
+             .filter(F.col("_block").isNull() | ~(F.col("_block") < F.col("_ord")))
+             .select("request_id", "passenger_id", "email", "_ord"))
+        # previous e-mail of the passenger: its last accepted move, else the snapshot
+        if accepted is None:
+            prev = initial.select("passenger_id", F.col("email").alias("prev"))
+            events = _email_events(movers.limit(0).withColumn("prev", F.lit(None).cast("string")),
+                                   initial)
+        else:
+            last = accepted.groupBy("passenger_id").agg(F.max_by("email", "_ord").alias("_last"))
+            prev = (initial.join(last, "passenger_id", "left")
+                    .select("passenger_id", F.coalesce("_last", "email").alias("prev")))
+            events = _email_events(accepted, initial)
+        d = d.join(prev, "passenger_id", "left")
+        d = _held_by_other(d, events)
+        d = d.withColumn("_ok", (F.col("email") == F.col("prev")) | ~F.col("_taken")).checkpoint()
+        decided_rows.append(d.select("request_id", "_ok"))
+        newly = d.filter("_ok").select("request_id", "passenger_id", "email", "_ord", "prev")
+        accepted = newly if accepted is None else accepted.unionByName(newly)
+        accepted = accepted.checkpoint()
+        undecided = undecided.join(d.select("request_id"), "request_id", "left_anti")
+
+    # 409 for every e-mail-setting request, against the final moves
+    if accepted is None:
+        accepted = movers.limit(0).withColumn("prev", F.lit(None).cast("string"))
+    events = _email_events(accepted, initial)
+    setters = r.filter(sets_email).select("request_id", "passenger_id", "email", "_ord")
+    cur = (setters.join(accepted.select("passenger_id", F.col("_ord").alias("_at"),
+                                        F.col("email").alias("_to")), "passenger_id")
+           .filter(F.col("_at") < F.col("_ord")).groupBy("request_id")
+           .agg(F.max_by("_to", "_at").alias("_cur")))
+    setters = (setters.join(cur, "request_id", "left")
+               .join(initial.select("passenger_id", F.col("email").alias("_e0")), "passenger_id", "left")
+               .withColumn("_cur", F.coalesce("_cur", "_e0")))
+    setters = _held_by_other(setters, events).select(
+        "request_id", ((F.col("email") != F.col("_cur")) & F.col("_taken")).alias("_conflict"))
+    r = r.join(setters, "request_id", "left")
+    out = outcomes(r, [
+        (422, R_INVALID, shape_bad),
+        (404, R_404, F.col("_found").isNull()),
+        (409, R_EMAIL, F.col("_conflict")),
+        (422, R_GENDER, gender_bad),
+        (500, "constraint_violation", db_bad),
+    ], 200)
+    new = _apply_updates(p, "passenger_id", out.filter("accepted"), UPDATE_FIELDS)
+    return out.select("request_id", "accepted", "code", "reason"), {"passengers": new}

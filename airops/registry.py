@@ -187,3 +187,7 @@ _cmd("delete_passengers", PC.delete_passengers, "passenger_delete_requests", {
 _cmd("update_schedules", RD.update_schedules, "schedule_update_requests", {
     "after": ("flight_schedules", lambda df: df.select("flight_id", "dep_datetime", "arr_datetime",
                                                        "actual_dep", "gate"))})
+
+_cmd("update_passengers", PC.update_passengers, "passenger_update_requests", {
+    "after": ("passengers", lambda df: df.select("passenger_id", "full_name", "gender",
+                                                 "nationality", "phone", "email"))})

@@ -366,3 +366,35 @@ def passenger_requests(raw) -> DataFrame:
                     gender.alias("gender"), F.col("n_name").alias("nationality"),
                     pp.alias("passport_no"),
                     F.concat(F.lit("+2"), _pad(k, 9)).alias("phone"), em.alias("email")))
+
+
+def passenger_update_requests(raw) -> DataFrame:
+    """Passenger updates, one per customer, with e-mail moves that depend on
+    order: every 5th takes the e-mail of the next customer (free only if that
+    one moved away earlier), every 5th (+1) moves to a fresh address, every
+    7th is for an unknown passenger, every 13th has a malformed e-mail, every
+    17th an unknown gender, every 19th an explicit NULL name."""
+    c = raw["customer"]
+    k = F.col("c_custkey")
+    email_of = lambda n: F.concat(F.lower(F.concat(F.lit("customer."), F.lpad(n.cast("string"), 9, "0"))),
+                                  F.lit("@example.org"))
+    fields = (F.when(k % 19 == 0, F.array(F.lit("full_name")))
+              .when(k % 5 == 0, F.array(F.lit("email"), F.lit("phone")))
+              .when(k % 5 == 1, F.array(F.lit("email")))
+              .when(k % 17 == 0, F.array(F.lit("gender")))
+              .otherwise(F.array(F.lit("nationality"), F.lit("gender"))))
+    email = (F.when(k % 13 == 0, F.lit("broken@"))
+             .when(k % 5 == 0, email_of(k + 1))
+             .otherwise(F.concat(F.lit("moved."), k.cast("string"), F.lit("@example.org"))))
+    gender = F.when(k % 17 == 0, F.lit("Robot")).otherwise(F.lit("Other"))
+    minute = (k * 37) % 1000
+    return c.select(
+        (k + 7000000).alias("request_id"),
+        (F.to_timestamp_ntz(F.lit("2024-04-01 00:00:00"))
+         + F.make_dt_interval(F.lit(0), F.lit(0), minute.cast("int"))).alias("requested_at"),
+        F.when(k % 7 == 0, k + 1000000).otherwise(k).cast("bigint").alias("passenger_id"),
+        fields.alias("set_fields"),
+        F.when(k % 19 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("Upd "), F.col("c_name")))
+        .alias("full_name"),
+        F.lit(None).cast("date").alias("date_of_birth"), gender.alias("gender"),
+        F.lit("Atlantis").alias("nationality"), F.lit("+3000").alias("phone"), email.alias("email"))

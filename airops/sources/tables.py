@@ -83,7 +83,8 @@ def _has_airline_tables(path: str) -> bool:
 
 _CACHE: dict[tuple[int, str], Tables] = {}
 _EXTRA_NAMES = ("bookings_wide", "booking_requests", "cancel_requests", "payment_requests",
-                "boarding_events", "passenger_requests", *requests.BUILDERS)
+                "boarding_events", "passenger_requests", "passenger_update_requests",
+                *requests.BUILDERS)
 
 
 def airline_tables(spark: SparkSession, path: str, materialize: bool = True) -> Tables:
@@ -121,6 +122,7 @@ def _derived(spark, path, keep=None):
         "payment_requests": fixtures.payment_requests(bw),
         "boarding_events": fixtures.boarding_events(bw),
         "passenger_requests": fixtures.passenger_requests(raw),
+        "passenger_update_requests": fixtures.passenger_update_requests(raw),
     }
     extras.update({n: b(raw) for n, b in requests.BUILDERS.items()})
     return frames, extras

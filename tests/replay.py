@@ -64,3 +64,33 @@ def replay_register(existing, requests, genders=("Male", "Female", "Other")):
         else:
             passports.add(pp); emails.add(em); out[rid] = 201
     return out
+
+
+def replay_update_passengers(passengers, requests, email_pattern,
+                             genders=("Male", "Female", "Other"),
+                             fields=("full_name", "date_of_birth", "gender", "nationality", "phone",
+                                     "email")):
+    """passengers: {pid: email}; requests: dicts with request_id, requested_at,
+    passenger_id, set_fields and the field values. Returns {request_id: code}."""
+    import re
+    cur = dict(passengers)
+    out = {}
+    for q in sorted(requests, key=lambda r: (r["requested_at"], r["request_id"])):
+        sf = set(q["set_fields"] or [])
+        pid, x = q["passenger_id"], q["email"]
+        sets_email = "email" in sf and x is not None
+        if sets_email and re.search(email_pattern, x) is None:
+            out[q["request_id"]] = 422; continue
+        if pid not in cur:
+            out[q["request_id"]] = 404; continue
+        if sets_email and x != cur[pid] and any(e == x for p, e in cur.items() if p != pid):
+            out[q["request_id"]] = 409; continue
+        g = q["gender"]
+        if "gender" in sf and g and g not in genders:
+            out[q["request_id"]] = 422; continue
+        if any(f in sf and q[f] is None for f in fields) or ("gender" in sf and g == ""):
+            out[q["request_id"]] = 500; continue
+        if sets_email:
+            cur[pid] = x
+        out[q["request_id"]] = 200
+    return out

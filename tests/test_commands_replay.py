@@ -38,3 +38,20 @@ def test_register_matches_serial_replay(tables):
           re.search(EMAIL_PATTERN, r.email) is not None) for r in rows])
     assert got == exp
     assert {201, 409, 422} <= set(got.values())
+
+
+def test_update_passengers_matches_serial_replay(tables):
+    from replay import replay_update_passengers
+
+    from airops.operators.audits import EMAIL_PATTERN
+    from airops.operators.commands.passengers import update_passengers
+    req = tables.extra("passenger_update_requests")
+    out, ch = update_passengers(tables, req)
+    got = {r.request_id: r.code for r in out.collect()}
+    exp = replay_update_passengers(
+        {r.passenger_id: r.email for r in tables["passengers"].select("passenger_id", "email").collect()},
+        [r.asDict() for r in req.collect()], EMAIL_PATTERN)
+    assert got == exp
+    assert {200, 404, 409, 422, 500} <= set(got.values())
+    emails = [r.email for r in ch["passengers"].collect()]
+    assert len(emails) == len(set(emails))

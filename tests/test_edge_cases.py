@@ -225,3 +225,27 @@ def test_update_last_writer_wins(spark):
     assert {r.request_id: r.code for r in out.collect()} == {1: 200, 2: 422, 3: 200, 4: 404}
     row = ch["staff"].collect()[0]
     assert (row.full_name, row.role, row.is_active) == ("A", "Finance_Officer", True)
+
+
+def test_update_passengers_email_moves(spark):
+    # A leaves e1 at t1, B takes e1 at t2 -> ok; C takes e2 at t0 before D leaves it -> 409;
+    # E re-sets its own e-mail -> ok; F unknown -> 404; G bad gender -> 422 after the e-mail check
+    t = make_tables(spark, passengers=[passenger(1, email="e1@x.org"), passenger(2, email="b@x.org"),
+                                       passenger(3, email="c@x.org"), passenger(4, email="e2@x.org"),
+                                       passenger(5, email="e5@x.org"), passenger(7, email="g@x.org")])
+    s = lambda n: T0 + dt.timedelta(seconds=n)
+    rows = [(1, s(1), 1, ["email"], "a2@x.org", None), (2, s(2), 2, ["email"], "e1@x.org", None),
+            (3, s(0), 3, ["email"], "e2@x.org", None), (4, s(3), 4, ["email"], "d2@x.org", None),
+            (5, s(4), 5, ["email"], "e5@x.org", None), (6, s(5), 99, ["phone"], None, None),
+            (7, s(6), 7, ["email", "gender"], "e1@x.org", "Robot"),
+            (8, s(7), 7, ["gender"], None, "Robot")]
+    req = spark.createDataFrame(rows, "request_id long, requested_at timestamp_ntz, passenger_id long, "
+                                "set_fields array<string>, email string, gender string")
+    for c, typ in (("full_name", "string"), ("date_of_birth", "date"), ("nationality", "string"),
+                   ("phone", "string")):
+        req = req.withColumn(c, F.lit(None).cast(typ))
+    out, ch = PC.update_passengers(t, req)
+    assert {r.request_id: r.code for r in out.collect()} == {
+        1: 200, 2: 200, 3: 409, 4: 200, 5: 200, 6: 404, 7: 409, 8: 422}
+    emails = {r.passenger_id: r.email for r in ch["passengers"].collect()}
+    assert emails[1] == "a2@x.org" and emails[2] == "e1@x.org" and emails[3] == "c@x.org"
