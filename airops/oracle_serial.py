@@ -1,0 +1,190 @@
+"""DuckDB oracles for the command batches whose Spark plans are iterative
+(admission fixpoints): recursive CTEs that step through the requests one at a
+time, carrying the state (taken seats, passengers, e-mails) as lists -- the
+serial meaning, literally, in an independent engine.
+"""
+
+from __future__ import annotations
+
+from airops.operators.audits import EMAIL_PATTERN
+from airops.oracle_reference import applied
+
+CLOSED = "('Departed', 'Arrived', 'Cancelled')"
+B36 = "'0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
+
+
+def _case(rules: list[tuple[str, int, str]], ok: tuple[int, str]) -> tuple[str, str]:
+    code = "case " + " ".join(f"when {c} then {k}" for c, k, _ in rules) + f" else {ok[0]} end"
+    reason = "case " + " ".join(f"when {c} then '{r}'" for c, _, r in rules) + f" else '{ok[1]}' end"
+    return code, reason
+
+
+def _pnr(col: str) -> str:
+    """'R' + request id in base 36, 9 digits (ids below 36^9)."""
+    digits = " || ".join(f"substr({B36}, cast(({col} // {36 ** k}) % 36 as integer) + 1, 1)"
+                         for k in range(8, -1, -1))
+    return f"'R' || {digits}"
+
+
+def _admit() -> dict[str, str]:
+    rules = [
+        ("q.passenger_id is null or q.flight_id is null or q.seat_id is null", 422, "invalid_request"),
+        ("not q.pfound", 404, "passenger_not_found"),
+        ("q.fstatus is null", 404, "flight_not_found"),
+        (f"q.fstatus in {CLOSED}", 422, "flight_closed"),
+        ("q.active0 or list_contains(w.pax, q.passenger_id)", 409, "duplicate_booking"),
+        ("q.sflight is null or q.sflight <> q.flight_id", 404, "seat_not_on_flight"),
+        ("q.sstatus <> 'Available' or list_contains(w.taken, q.seat_id)", 409, "seat_unavailable"),
+        ("q.cap is null", 500, "constraint_violation"),
+        ("q.nlive + w.n >= q.cap", 409, "flight_full"),
+        ("q.any0 or not q.stfound", 500, "constraint_violation"),
+    ]
+    code, reason = _case(rules, (201, "ok"))
+    walk = f"""
+with recursive pre as (
+  select r.*, p.passenger_id is not null pfound, f.status fstatus, a.seat_capacity cap,
+   s.flight_id sflight, s.status sstatus, st.staff_id is not null stfound,
+   exists (select 1 from bookings b where b.flight_id = r.flight_id and b.passenger_id = r.passenger_id
+           and b.status <> 'Cancelled') active0,
+   exists (select 1 from bookings b where b.flight_id = r.flight_id and b.passenger_id = r.passenger_id) any0,
+   (select count(*) from bookings b where b.flight_id = r.flight_id
+      and b.status in ('Pending', 'Confirmed')) nlive,
+   row_number() over (partition by r.flight_id order by r.requested_at, r.request_id) rn
+  from booking_requests r left join passengers p on p.passenger_id = r.passenger_id
+   left join flights f on f.flight_id = r.flight_id left join aircraft a on a.aircraft_id = f.aircraft_id
+   left join seats s on s.seat_id = r.seat_id left join staff st on st.staff_id = r.staff_id),
+ w(flight_id, rn, taken, pax, n, request_id, code, reason) as (
+  select distinct flight_id, cast(0 as bigint), cast([] as bigint[]), cast([] as bigint[]), cast(0 as bigint),
+   cast(null as bigint), cast(null as integer), cast(null as varchar) from pre
+  union all
+  select w.flight_id, q.rn,
+   case when ({code}) = 201 then list_append(w.taken, q.seat_id) else w.taken end,
+   case when ({code}) = 201 then list_append(w.pax, q.passenger_id) else w.pax end,
+   w.n + case when ({code}) = 201 then 1 else 0 end, q.request_id, {code}, {reason}
+  from w join pre q on q.flight_id = w.flight_id and q.rn = w.rn + 1)"""
+    outcomes = walk + """
+select request_id, code < 300 accepted, cast(code as integer) code, reason from w where rn > 0"""
+    new = walk + f"""
+select r.passenger_id, r.flight_id, r.seat_id, r.staff_id, {_pnr('r.request_id')} pnr, 'Pending' status,
+ r.requested_at booked_at
+from w join booking_requests r on r.request_id = w.request_id where w.rn > 0 and w.code = 201"""
+    return {"admit_bookings": outcomes, "admit_bookings_new": new}
+
+
+PASSENGER_REQUESTS = """
+select c_custkey + 3000000 request_id,
+ timestamp '2024-02-01 00:00:00' + interval '1' minute * cast(c_custkey % 100000 as integer) requested_at,
+ 'New ' || c_name full_name, date_add(date '1960-01-01', cast(c_custkey % 9000 as integer)) date_of_birth,
+ case when c_custkey % 17 = 0 then 'Unknown' when c_custkey % 3 = 0 then 'Male'
+      when c_custkey % 3 = 1 then 'Female' else 'Other' end gender,
+ n_name nationality,
+ case when c_custkey % 13 = 0 then 'P' || lpad(cast(c_custkey as varchar), 8, '0')
+      when c_custkey % 11 = 0 then 'N' || lpad(cast(c_custkey - 1 as varchar), 8, '0')
+      else 'N' || lpad(cast(c_custkey as varchar), 8, '0') end passport_no,
+ '+2' || lpad(cast(c_custkey as varchar), 9, '0') phone,
+ case when c_custkey % 19 = 0 then 'bad-email'
+      when c_custkey % 7 = 0 then 'new.' || cast(c_custkey - 2 as varchar) || '@example.com'
+      else 'new.' || cast(c_custkey as varchar) || '@example.com' end email
+from customer join nation on c_nationkey = n_nationkey"""
+
+PASSENGER_UPDATE_REQUESTS = """
+select c_custkey + 7000000 request_id,
+ timestamp '2024-04-01 00:00:00' + interval '1' minute * cast((c_custkey * 37) % 1000 as integer) requested_at,
+ cast(case when c_custkey % 7 = 0 then c_custkey + 1000000 else c_custkey end as bigint) passenger_id,
+ case when c_custkey % 19 = 0 then ['full_name'] when c_custkey % 5 = 0 then ['email', 'phone']
+      when c_custkey % 5 = 1 then ['email'] when c_custkey % 17 = 0 then ['gender']
+      else ['nationality', 'gender'] end set_fields,
+ case when c_custkey % 19 = 0 then null else 'Upd ' || c_name end full_name,
+ cast(null as date) date_of_birth,
+ case when c_custkey % 17 = 0 then 'Robot' else 'Other' end gender,
+ 'Atlantis' nationality, '+3000' phone,
+ case when c_custkey % 13 = 0 then 'broken@'
+      when c_custkey % 5 = 0 then lower('customer.' || lpad(cast(c_custkey + 1 as varchar), 9, '0')) || '@example.org'
+      else 'moved.' || cast(c_custkey as varchar) || '@example.org' end email
+from customer"""
+
+
+def _register() -> dict[str, str]:
+    shape = ("q.full_name is not null and q.date_of_birth is not null and q.gender is not null and "
+             "q.nationality is not null and q.passport_no is not null and q.phone is not null and "
+             f"q.email is not null and coalesce(regexp_matches(q.email, '{EMAIL_PATTERN}'), false)")
+    rules = [
+        (f"not ({shape})", 422, "invalid_request"),
+        ("q.pp0 or list_contains(w.pps, q.passport_no)", 409, "passport_exists"),
+        ("q.em0 or list_contains(w.ems, q.email)", 409, "email_exists"),
+        ("q.gender not in ('Male', 'Female', 'Other')", 422, "invalid_gender"),
+    ]
+    code, reason = _case(rules, (201, "ok"))
+    walk = f"""
+with recursive pre as (
+  select r.*, exists (select 1 from passengers p where p.passport_no = r.passport_no) pp0,
+   exists (select 1 from passengers p where p.email = r.email) em0,
+   row_number() over (order by r.requested_at, r.request_id) rn
+  from ({PASSENGER_REQUESTS}) r),
+ w(rn, pps, ems, request_id, code, reason) as (
+  select cast(0 as bigint), cast([] as varchar[]), cast([] as varchar[]), cast(null as bigint),
+   cast(null as integer), cast(null as varchar)
+  union all
+  select q.rn, case when ({code}) = 201 then list_append(w.pps, q.passport_no) else w.pps end,
+   case when ({code}) = 201 then list_append(w.ems, q.email) else w.ems end, q.request_id, {code}, {reason}
+  from w join pre q on q.rn = w.rn + 1)"""
+    return {
+        "register_passengers": walk + """
+select request_id, code < 300 accepted, cast(code as integer) code, reason from w where rn > 0""",
+        "register_passengers_new": walk + f"""
+select full_name, gender, passport_no, email, created_at from passengers where passport_no like 'N%'
+union all
+select r.full_name, r.gender, r.passport_no, r.email, r.requested_at created_at
+from w join ({PASSENGER_REQUESTS}) r on r.request_id = w.request_id where w.rn > 0 and w.code = 201""",
+    }
+
+
+def _update_passengers() -> dict[str, str]:
+    fields = ["full_name", "date_of_birth", "gender", "nationality", "phone", "email"]
+    sets = "(list_contains(q.set_fields, 'email') and q.email is not null)"
+    nulls = " or ".join(f"(list_contains(q.set_fields, '{f}') and q.{f} is null)" for f in fields)
+    rules = [
+        (f"{sets} and not coalesce(regexp_matches(q.email, '{EMAIL_PATTERN}'), false)", 422,
+         "invalid_request"),
+        ("not q.found", 404, "passenger_not_found"),
+        (f"{sets} and len(list_filter(w.st, lambda s: s.e = q.email and s.p <> q.passenger_id)) > 0 "
+         f"and q.email <> coalesce(list_filter(w.st, lambda s: s.p = q.passenger_id)[1].e, '')", 409, "email_exists"),
+        ("list_contains(q.set_fields, 'gender') and q.gender is not null and q.gender <> '' and "
+         "q.gender not in ('Male', 'Female', 'Other')", 422, "invalid_gender"),
+        (f"{nulls} or (list_contains(q.set_fields, 'gender') and q.gender = '')", 500,
+         "constraint_violation"),
+    ]
+    code, reason = _case(rules, (200, "ok"))
+    walk = f"""
+with recursive pre as (
+  select r.*, exists (select 1 from passengers p where p.passenger_id = r.passenger_id) found,
+   row_number() over (order by r.requested_at, r.request_id) rn
+  from ({PASSENGER_UPDATE_REQUESTS}) r),
+ w(rn, st, request_id, code, reason) as (
+  select cast(0 as bigint), (select list({{'p': passenger_id, 'e': email}}) from passengers),
+   cast(null as bigint), cast(null as integer), cast(null as varchar)
+  union all
+  select q.rn,
+   case when ({code}) = 200 and {sets}
+        then list_transform(w.st, lambda s: case when s.p = q.passenger_id then {{'p': s.p, 'e': q.email}} else s end)
+        else w.st end,
+   q.request_id, {code}, {reason}
+  from w join pre q on q.rn = w.rn + 1)"""
+    acc = f"""
+, acc as (select r.* from w join ({PASSENGER_UPDATE_REQUESTS}) r on r.request_id = w.request_id
+          where w.rn > 0 and w.code = 200)"""
+    return {
+        "update_passengers": walk + """
+select request_id, code < 300 accepted, cast(code as integer) code, reason from w where rn > 0""",
+        "update_passengers_after": walk + acc + "\n" + applied(
+            "passengers", "passenger_id", "select * from acc", fields,
+            ["passenger_id", "full_name", "gender", "nationality", "phone", "email"]),
+    }
+
+
+def bodies() -> dict[str, str]:
+    out = {}
+    out.update(_admit())
+    out.update(_register())
+    out.update(_update_passengers())
+    return out

@@ -161,6 +161,8 @@ def with_prefix(body: str, only: set[str] | None = None) -> str:
     needed = set(names) if only is None else _closure(only)
     ctes = [f"{n} as ({sql.strip()})" for n, sql in VIEWS if n in needed]
     body = body.strip()
+    if body[:15].lower() == "with recursive ":
+        return "with recursive " + ",\n".join(ctes) + ",\n" + body[15:]
     if body[:5].lower() == "with ":  # the body's own CTEs follow the views
         return "with " + ",\n".join(ctes) + ",\n" + body[5:]
     return "with " + ",\n".join(ctes) + "\n" + body
