@@ -138,7 +138,9 @@ def manifest_header(t, generated_at: dt.datetime, status: str | None = None) ->
                     F.col("destination_iata").alias("destination"),
                     F.coalesce(F.col("total_passengers"), F.lit(0)).cast("bigint")
                     .alias("total_passengers"),
-                    F.lit(generated_at).cast("timestamp_ntz").alias("generated_at")))
+                    # a string literal: a datetime literal would pass through the local zone
+                    F.to_timestamp_ntz(F.lit(generated_at.isoformat(sep=" ")))
+                    .alias("generated_at")))
 
 
 def travel_history(t, passenger_id=None) -> DataFrame:

@@ -50,6 +50,15 @@ def _minutes(n: int) -> Column:
     return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(n))
 
 
+def _hour_floor(ts: Column) -> Column:
+    """Truncate a timestamp_ntz to the hour with NTZ arithmetic only
+    (``date_trunc`` returns a zoned timestamp and would pass through the
+    session time zone)."""
+    epoch = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))
+    micros = F.timestamp_diff("MICROSECOND", epoch, ts)
+    return F.timestamp_add("MICROSECOND", micros - F.pmod(micros, F.lit(3_600_000_000)), epoch)
+
+
 def _pad(c: Column, width: int) -> Column:
     return F.lpad(c.cast("string"), width, "0")
 
@@ -147,7 +156,7 @@ def flight_schedules(raw) -> DataFrame:
     # existence check against part: a semi join, part columns are not needed
     e = e.join(raw["part"].select("p_partkey"), e.event_id == F.col("p_partkey"), "left_semi")
     k = F.col("event_id")
-    hour = F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz")
+    hour = _hour_floor(F.col("ts"))
     actual = (F.when(F.col("event_type") == "error", F.lit(None))
               .when(F.col("event_type") == "view", hour)
               .when(F.col("event_type") == "signup", hour - _minutes(5))
