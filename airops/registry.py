@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
+import datetime as _dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as _F
 
+from airops.operators import audits as A
+from airops.operators import listings as L
 from airops.operators import reports as R
-from airops.oracle_sql import DATE_FROM, DATE_TO
+from airops.operators import views as V
+from airops.operators.commands import booking_flow as BF
+from airops.operators.commands import bookings_admit as BA
+from airops.operators.commands import passengers as PC
+from airops.operators.commands import reference_data as RD
+from airops.oracle_sql import (AIRPORT_COUNTRY, AIRPORT_SEARCH, DATE_FROM, DATE_TO, FLIGHT_DEST,
+                               FLIGHT_ORIGIN, GENERATED_AT, MANIFEST_STATUS, PASSENGER_SEARCH)
 from airops.sources.tables import airline_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
-def register(name: str):
-    def deco(fn: Callable) -> Callable:
-        QUERIES[name] = fn
-        return fn
-    return deco
-
-
 def _t(spark, sf_dir):
     return airline_tables(spark, sf_dir)
 
@@ -42,24 +45,17 @@ QUERIES["revenue_report"] = lambda spark, d: R.revenue_report(_t(spark, d))
 QUERIES["operational_report"] = lambda spark, d: R.operational_report(_t(spark, d))["summary"]
 
 # --- 2.3 views ---------------------------------------------------------------
-import datetime as _dt  # noqa: E402
 
-from airops.operators import views as V  # noqa: E402
-from airops.oracle_sql import GENERATED_AT, MANIFEST_STATUS  # noqa: E402
 
 for _n in ("boarding_list", "boarding_summary", "flight_manifest", "travel_history",
            "travel_history_summary", "seat_map", "seat_availability", "flight_details"):
     _simple(_n, getattr(V, _n))
 _simple("manifest_filtered", V.manifest_filtered, "No_Show")
 _simple("manifest_header", V.manifest_header, _dt.datetime.fromisoformat(GENERATED_AT))
-assert MANIFEST_STATUS == "no_show"
+assert MANIFEST_STATUS == "no_show"  # the oracle's lower-cased filter value
 
 # --- 2.4 listings and lookups ------------------------------------------------------
-from pyspark.sql import functions as _F  # noqa: E402
 
-from airops.operators import listings as L  # noqa: E402
-from airops.oracle_sql import (AIRPORT_COUNTRY, AIRPORT_SEARCH, FLIGHT_DEST,  # noqa: E402
-                               FLIGHT_ORIGIN, PASSENGER_SEARCH)
 
 _simple("list_passengers", L.list_passengers, PASSENGER_SEARCH, skip=50, limit=50)
 _simple("list_passengers_total", L.list_passengers_total, PASSENGER_SEARCH)
@@ -114,13 +110,11 @@ QUERIES["bulk_lookup_ticket_no"] = lambda spark, d: L.bulk_lookup_ticket_no(
     _t(spark, d), _code_keys(_t(spark, d), "TKT-"))
 
 # --- 2.6 audits ------------------------------------------------------------------
-from airops.operators import audits as A  # noqa: E402
 
 for _n in ("audit_unique", "audit_foreign_keys", "audit_checks", "audit_domain"):
     _simple(_n, getattr(A, _n))
 
 # --- 2.5 command batches -----------------------------------------------------------
-from airops.operators.commands import booking_flow as BF  # noqa: E402
 
 
 def _cmd(name, fn, batch, after=None):
@@ -146,19 +140,16 @@ _cmd("record_boarding", BF.record_boarding, "boarding_events", {
     "after": ("boarding_records", lambda df: df.select("booking_id", "status", "boarded_at",
                                                        "passenger_id", "flight_id"))})
 
-from airops.operators.commands import bookings_admit as BA  # noqa: E402
 
 _cmd("admit_bookings", BA.admit_bookings, "booking_requests", {
     "new": ("bookings", lambda df: df.filter(_F.col("pnr").startswith("R")).select(
         "passenger_id", "flight_id", "seat_id", "staff_id", "pnr", "status", "booked_at"))})
 
-from airops.operators.commands import passengers as PC  # noqa: E402
 
 _cmd("register_passengers", PC.register_passengers, "passenger_requests", {
     "new": ("passengers", lambda df: df.filter(_F.col("passport_no").startswith("N")).select(
         "full_name", "gender", "passport_no", "email", "created_at"))})
 
-from airops.operators.commands import reference_data as RD  # noqa: E402
 
 for _op, _batch, _table, _proj in [
     ("create_airports", "airport_create_requests", "airports",
