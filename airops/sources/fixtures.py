@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # --- fixed values of the fixture mapping (FIXTURES.md) ----------------------
 EPOCH = "2024-01-01 00:00:00"
@@ -213,6 +214,16 @@ def bookings_wide(raw, flights_df: DataFrame, aircraft_df: DataFrame) -> DataFra
         "booked_at", "amount", "o_orderstatus", "seat_idx")
 
 
+BOOKINGS_WIDE_SCHEMA = T.StructType([
+    T.StructField("booking_id", T.LongType()), T.StructField("passenger_id", T.LongType()),
+    T.StructField("flight_id", T.LongType()), T.StructField("seat_id", T.LongType()),
+    T.StructField("staff_id", T.LongType()), T.StructField("pnr", T.StringType()),
+    T.StructField("status", T.StringType()), T.StructField("cancel_reason", T.StringType()),
+    T.StructField("cancelled_at", T.TimestampNTZType()), T.StructField("booked_at", T.TimestampNTZType()),
+    T.StructField("amount", T.DecimalType(12, 2)), T.StructField("o_orderstatus", T.StringType()),
+    T.StructField("seat_idx", T.LongType()),
+])
+
 BOOKING_COLUMNS = ("booking_id", "passenger_id", "flight_id", "seat_id", "staff_id", "pnr",
                    "status", "cancel_reason", "cancelled_at", "booked_at")
 

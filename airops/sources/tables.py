@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import os
 import uuid
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,10 +30,12 @@ class Tables(Mapping):
     """The airline tables of one snapshot, by name."""
 
     def __init__(self, spark: SparkSession, frames: dict[str, DataFrame],
-                 extras: dict[str, DataFrame] | None = None, source: str | None = None):
+                 extras: dict[str, Callable[[], DataFrame]] | None = None,
+                 source: str | None = None):
         self.spark = spark
         self._frames = dict(frames)
-        self._extras = dict(extras or {})
+        self._extra_builders = dict(extras or {})
+        self._extras: dict[str, DataFrame] = {}
         self.source = source
         self._dim_ok: dict[str, bool] = {}
 
@@ -47,7 +49,10 @@ class Tables(Mapping):
         return len(self._frames)
 
     def extra(self, name: str) -> DataFrame:
-        """Helper frames of the fixture mapping (request batches, wide bookings)."""
+        """Helper frames of the fixture mapping (request batches, wide bookings),
+        built on first use."""
+        if name not in self._extras:
+            self._extras[name] = self._extra_builders[name]()
         return self._extras[name]
 
     def dim(self, name: str) -> DataFrame:
@@ -71,7 +76,8 @@ class Tables(Mapping):
             if k not in frames:
                 raise KeyError(k)
             frames[k] = v
-        t = Tables(self.spark, frames, self._extras, self.source)
+        t = Tables(self.spark, frames, self._extra_builders, self.source)
+        t._extras = dict(self._extras)
         t._dim_ok = {k: v for k, v in self._dim_ok.items() if k not in changed}
         return t
 
@@ -82,9 +88,9 @@ def _has_airline_tables(path: str) -> bool:
 
 
 _CACHE: dict[tuple[int, str], Tables] = {}
-_EXTRA_NAMES = ("bookings_wide", "booking_requests", "cancel_requests", "payment_requests",
-                "boarding_events", "passenger_requests", "passenger_update_requests",
-                *requests.BUILDERS)
+# version of the derived layout: part of the snapshot key, so a snapshot
+# written by an older mapping is never read back
+_LAYOUT = "tables12+bookings_wide/v2"
 
 
 def airline_tables(spark: SparkSession, path: str, materialize: bool = True) -> Tables:
@@ -110,29 +116,35 @@ def airline_tables(spark: SparkSession, path: str, materialize: bool = True) ->
     return tables
 
 
-def _derived(spark, path, keep=None):
-    raw = fixtures.read_raw(spark, path)
+def _derived(spark, path, keep=None, raw=None):
+    raw = raw or fixtures.read_raw(spark, path)
     derived = fixtures.derive_tables(raw, keep)
     bw = derived.pop("_bookings_wide")
     frames = {t: _conform(derived[t], t) for t in TABLES}
-    extras = {
-        "bookings_wide": bw,
-        "booking_requests": fixtures.booking_requests(raw),
-        "cancel_requests": fixtures.cancel_requests(bw),
-        "payment_requests": fixtures.payment_requests(bw),
-        "boarding_events": fixtures.boarding_events(bw),
-        "passenger_requests": fixtures.passenger_requests(raw),
-        "passenger_update_requests": fixtures.passenger_update_requests(raw),
+    return frames, _extra_builders(raw, bw)
+
+
+def _extra_builders(raw, bw) -> dict[str, Callable[[], DataFrame]]:
+    """Request batches: short projections of a raw table or of the wide
+    bookings, so they are built when asked for, not materialised."""
+    out: dict[str, Callable[[], DataFrame]] = {
+        "bookings_wide": lambda: bw,
+        "booking_requests": lambda: fixtures.booking_requests(raw),
+        "cancel_requests": lambda: fixtures.cancel_requests(bw),
+        "payment_requests": lambda: fixtures.payment_requests(bw),
+        "boarding_events": lambda: fixtures.boarding_events(bw),
+        "passenger_requests": lambda: fixtures.passenger_requests(raw),
+        "passenger_update_requests": lambda: fixtures.passenger_update_requests(raw),
     }
-    extras.update({n: b(raw) for n, b in requests.BUILDERS.items()})
-    return frames, extras
+    out.update({n: (lambda b=b: b(raw)) for n, b in requests.BUILDERS.items()})
+    return out
 
 
 def _fingerprint(path: str) -> str:
     h = hashlib.sha1(os.path.abspath(path).encode())
     # the set of derived frames is part of the key: a snapshot written by an
     # older version of the mapping is never read back
-    h.update(",".join(sorted([*TABLES, *_EXTRA_NAMES])).encode())
+    h.update(_LAYOUT.encode())
     for t in fixtures.RAW_TABLES:
         p = os.path.join(path, f"{t}.parquet")
         st = os.stat(p)
@@ -150,25 +162,28 @@ def _materialized(spark, path):
     executor re-reads files instead of recomputing the mapping."""
     base = scratch_path(spark, f"airops-fixture-{_fingerprint(path)}")
     done = f"{base}/_COMPLETE"
+    raw = fixtures.read_raw(spark, path)
     if _read_marker(spark, done) is None:
         run = f"{base}/attempt-{uuid.uuid4().hex[:8]}"
         written: set[str] = set()
 
         def keep(name, df):
+            if name in TABLE_SCHEMAS:  # written in the target layout, read back as is
+                df = _conform(df, name)
             df.write.mode("errorifexists").parquet(f"{run}/{name}")
             written.add(name)
-            return spark.read.parquet(f"{run}/{name}")
+            return spark.read.schema(df.schema).parquet(f"{run}/{name}")
 
-        frames, extras = _derived(spark, path, keep)
-        for n, df in list(frames.items()) + list(extras.items()):
-            if n not in written and not (n == "bookings_wide" and "_bookings_wide" in written):
+        frames, _ = _derived(spark, path, keep, raw)
+        for n, df in frames.items():
+            if n not in written:
                 df.write.mode("errorifexists").parquet(f"{run}/{n}")
         _write_marker(spark, done, run)
     run = _read_marker(spark, done)
-    frames = {t: _conform(spark.read.parquet(f"{run}/{t}"), t) for t in TABLES}
-    extras = {n: spark.read.parquet(f"{run}/{'_bookings_wide' if n == 'bookings_wide' else n}")
-              for n in _EXTRA_NAMES}
-    return frames, extras
+    # fixed schemas: no inference, no re-cast
+    frames = {t: spark.read.schema(TABLE_SCHEMAS[t]).parquet(f"{run}/{t}") for t in TABLES}
+    bw = spark.read.schema(fixtures.BOOKINGS_WIDE_SCHEMA).parquet(f"{run}/_bookings_wide")
+    return frames, _extra_builders(raw, bw)
 
 
 def _read_marker(spark, p: str) -> str | None:
@@ -181,8 +196,7 @@ def _read_marker(spark, p: str) -> str | None:
 
 def _write_marker(spark, p: str, content: str) -> None:
     try:
-        spark.createDataFrame([(content,)], "run string").coalesce(1).write \
-            .mode("errorifexists").text(p)
+        spark.range(1).select(F.lit(content).alias("run")).write.mode("errorifexists").text(p)
     except AnalysisException:  # another job finished first; its run is used
         pass
 
