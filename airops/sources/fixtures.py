@@ -5,7 +5,7 @@ Same rows as the SQL text in ``fixture_sql.py`` (checked in tests), but planned
 for scale:
 
 * nation/region-derived dimensions (airports, fare_classes) have a fixed size
-  (25 and 5 rows) and are broadcast; everything derived from part, supplier,
+  (25 and 5 rows) and are broadcast after a row-count check; everything derived from part, supplier,
   customer, orders or lineitem grows with the data and is left to the planner
   (sort-merge at scale, broadcast by AQE when the runtime size is small).
 * ``seat_idx`` (the order of a booking within its flight) only matters up to
@@ -24,12 +24,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from airops.plans import broadcast_if_bounded
+
 # --- fixed values of the fixture mapping (FIXTURES.md) ----------------------
 EPOCH = "2024-01-01 00:00:00"
 # seat numbers come from part keys below 60, so no flight has more than 60 seats
 MAX_SEATS = 60
 SEAT_KEY_LIMIT = 60
 FARE_CLASS_NAMES = ("Economy", "Economy Plus", "Premium", "Business", "First")
+# row bound checked before broadcasting nation/region-sized dimensions
+DIM_ROWS = 10_000
 # --- end of fixed values -----------------------------------------------------
 
 RAW_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -72,7 +76,7 @@ def _n_suppliers(raw) -> Column:
 def airports(raw) -> DataFrame:
     n, r = raw["nation"], raw["region"]
     k = F.col("n_nationkey")
-    return (n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
+    return (n.join(broadcast_if_bounded(r, DIM_ROWS), n.n_regionkey == r.r_regionkey)
             .select(k.cast("bigint").alias("airport_id"),
                     F.concat(F.lit("Airport "), F.col("n_name")).alias("airport_name"),
                     F.concat(F.lit("AA"), F.char(F.lit(65) + k)).alias("iata_code"),
@@ -111,7 +115,8 @@ def fare_classes(raw) -> DataFrame:
 def passengers(raw) -> DataFrame:
     c, n = raw["customer"], raw["nation"]
     k = F.col("c_custkey")
-    return (c.join(F.broadcast(n.select("n_nationkey", "n_name")), c.c_nationkey == n.n_nationkey)
+    return (c.join(broadcast_if_bounded(n.select("n_nationkey", "n_name"), DIM_ROWS),
+                   c.c_nationkey == n.n_nationkey)
             .select(k.cast("bigint").alias("passenger_id"), F.col("c_name").alias("full_name"),
                     F.date_add(F.lit("1950-01-01").cast("date"), (k % 18000).cast("int"))
                     .alias("date_of_birth"),
@@ -249,7 +254,7 @@ def seats(raw, flights_df, aircraft_df, bw, boarding_df) -> DataFrame:
     gen = fa.select("flight_id", F.explode(
         F.when(cap >= 1, F.sequence(F.lit(1), cap)).otherwise(F.array().cast("array<int>")))
         .alias("n")).withColumn("n", F.col("n").cast("bigint"))
-    gen = gen.join(F.broadcast(numbers), "n", "left_semi")
+    gen = gen.join(broadcast_if_bounded(numbers, SEAT_KEY_LIMIT), "n", "left_semi")
     live = (bw.filter(F.col("status") != "Cancelled")
             .select("flight_id", F.col("seat_idx").alias("n"), "booking_id"))
     br = boarding_df.select("booking_id", F.col("status").alias("br_status"))
@@ -287,7 +292,8 @@ def tickets(payments_df, bw, flights_df, seats_df, fare_df) -> DataFrame:
     t = (p.join(b, "booking_id")
          .join(flights_df.select("flight_id", "base_fare"), "flight_id")
          .join(seats_df.select("seat_id", "fare_class_id"), "seat_id")
-         .join(F.broadcast(fare_df.select("fare_class_id", "multiplier")), "fare_class_id"))
+         .join(broadcast_if_bounded(fare_df.select("fare_class_id", "multiplier"), DIM_ROWS),
+               "fare_class_id"))
     return t.select(
         F.col("booking_id").alias("ticket_id"), "booking_id", "fare_class_id",
         F.concat(F.lit("TKT-"), _pad(F.col("booking_id"), 8)).alias("ticket_no"),
@@ -375,7 +381,8 @@ def passenger_requests(raw) -> DataFrame:
           .otherwise(F.concat(F.lit("new."), k.cast("string"), F.lit("@example.com"))))
     gender = (F.when(k % 17 == 0, "Unknown").when(k % 3 == 0, "Male").when(k % 3 == 1, "Female")
               .otherwise("Other"))
-    return (c.join(F.broadcast(n.select("n_nationkey", "n_name")), c.c_nationkey == n.n_nationkey)
+    return (c.join(broadcast_if_bounded(n.select("n_nationkey", "n_name"), DIM_ROWS),
+                   c.c_nationkey == n.n_nationkey)
             .select((k + 3000000).alias("request_id"),
                     (F.to_timestamp_ntz(F.lit("2024-02-01 00:00:00"))
                      + F.make_dt_interval(F.lit(0), F.lit(0), (k % 100000).cast("int")))

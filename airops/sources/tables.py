@@ -66,7 +66,7 @@ class Tables(Mapping):
         if bound is None:
             return df
         if name not in self._dim_ok:
-            self._dim_ok[name] = df.limit(bound + 1).count() <= bound
+            self._dim_ok[name] = df.limit(bound + 1).count() <= bound  # checked once
         return F.broadcast(df) if self._dim_ok[name] else df
 
     def replace(self, **changed: DataFrame) -> Tables:
