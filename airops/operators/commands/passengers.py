@@ -148,7 +148,6 @@ def update_passengers(t, requests: DataFrame):
 
     undecided = movers
     accepted: DataFrame | None = None   # movers with prev e-mail
-    decided_rows: list[DataFrame] = []
     while True:
         undecided = undecided.checkpoint()
         if undecided.isEmpty():
@@ -177,10 +176,9 @@ def update_passengers(t, requests: DataFrame):
         d = d.join(prev, "passenger_id", "left")
         d = _held_by_other(d, events)
         d = d.withColumn("_ok", (F.col("email") == F.col("prev")) | ~F.col("_taken")).checkpoint()
-        decided_rows.append(d.select("request_id", "_ok"))
         newly = d.filter("_ok").select("request_id", "passenger_id", "email", "_ord", "prev")
         accepted = newly if accepted is None else accepted.unionByName(newly)
-        accepted = accepted.checkpoint()
+        accepted = accepted.checkpoint()  # measured: cheaper than re-reading the pieces
         undecided = undecided.join(d.select("request_id"), "request_id", "left_anti")
 
     # 409 for every e-mail-setting request, against the final moves
