@@ -18,6 +18,7 @@ from airops.operators.commands import passengers as PC
 from airops.operators.commands import reference_data as RD
 from airops.oracle_sql import (AIRPORT_COUNTRY, AIRPORT_SEARCH, DATE_FROM, DATE_TO, FLIGHT_DEST,
                                FLIGHT_ORIGIN, GENERATED_AT, MANIFEST_STATUS, PASSENGER_SEARCH)
+from airops.schema import TABLES
 from airops.sources.tables import airline_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -182,3 +183,12 @@ _cmd("update_schedules", RD.update_schedules, "schedule_update_requests", {
 _cmd("update_passengers", PC.update_passengers, "passenger_update_requests", {
     "after": ("passengers", lambda df: df.select("passenger_id", "full_name", "gender",
                                                  "nationality", "phone", "email"))})
+
+
+# --- 2.1 sources: each bound table, whole ---------------------------------------------
+def _table(name: str) -> Query:
+    return lambda spark, d: _t(spark, d)[name]
+
+
+for _name in TABLES:
+    QUERIES[f"airline_tables_{_name}"] = _table(_name)
