@@ -139,7 +139,8 @@ def record_boarding(t, events: DataFrame):
         (422, R_INVALID, ~shape_ok),
         (404, R_BOOKING_404, F.col("_bfound").isNull()),
         (422, R_NOT_CONFIRMED, F.col("_bstatus") != "Confirmed"),
-        (200, "status_updated", F.col("_rec").isNotNull() | (F.col("_first") < F.col("_ord"))),
+        # the boarding endpoint answers 201 for an update as well; the reason tells them apart
+        (201, "status_updated", F.col("_rec").isNotNull() | (F.col("_first") < F.col("_ord"))),
     ], 201, "boarding_recorded")
     br = t["boarding_records"]
     updated = upsert(br, per.select("booking_id", F.col("_last_status").alias("status")),

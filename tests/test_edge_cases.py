@@ -146,7 +146,8 @@ def test_boarding_noshow_then_boarded(spark):
     ev = spark.createDataFrame([(10, 1, "No_Show", T0), (11, 1, "Boarded", T0 + dt.timedelta(hours=1))],
                                "event_id long, booking_id long, status string, event_ts timestamp_ntz")
     out, ch = BF.record_boarding(t, ev)
-    assert {r.request_id: r.code for r in out.collect()} == {10: 201, 11: 200}
+    assert {r.request_id: (r.code, r.reason) for r in out.collect()} == {
+        10: (201, "boarding_recorded"), 11: (201, "status_updated")}
     rec = ch["boarding_records"].collect()
     assert len(rec) == 1 and rec[0].status == "Boarded" and rec[0].boarded_at == T0
     # the seat stays as it was: the record was created by a No_Show
