@@ -83,9 +83,6 @@ EMAIL_PATTERN = "^[^@ ]+@[^@ ]+[.][^@ ]+$"
 EMAIL_COLUMNS = {"passengers": ("email",), "staff": ("email",)}
 # --- end of fixed values -----------------------------------------------------
 
-_OUT = "constraint_name string, table_name string, violations bigint"
-
-
 def _unpivot(agg: DataFrame, table: str, names: list[str]) -> DataFrame:
     """One-row frame of counts ``c0..cn`` -> rows (constraint_name, table_name, violations)."""
     args = ", ".join(f"'{n}', c{i}" for i, n in enumerate(names))

@@ -28,13 +28,6 @@ def order_key(ts: str = "requested_at", rid: str = "request_id") -> Column:
     return F.struct(F.col(ts).alias("ts"), F.col(rid).alias("id"))
 
 
-def first_per_key(df: DataFrame, keys: list[str], order: str = "_ord",
-                  name: str = "_first_ord") -> DataFrame:
-    """Add ``name``: the smallest ``order`` among rows with the same keys."""
-    m = df.groupBy(*keys).agg(F.min(order).alias(name))
-    return df.join(m, keys, "left")
-
-
 def first_failure(checks: list[tuple[int, str, Column]], ok_code: int,
                   ok_reason: str = "ok") -> tuple[Column, Column]:
     """(code, reason) of the first check whose condition holds, else ok."""
