@@ -63,6 +63,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the checkpoint folder for written intermediate tables."""
-    base = ensure_checkpoint_dir(spark)
+    """A path under the checkpoint folder for written intermediate tables.
+
+    Uses the configured ``spark.checkpoint.dir`` itself (shared by every
+    session of the cluster, so a later job can reuse what an earlier one
+    wrote); without one, the session's own checkpoint folder."""
+    base = (spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+            or spark.conf.get("spark.checkpoint.dir", None)
+            or ensure_checkpoint_dir(spark))
     return os.path.join(base, name) if "://" not in base else f"{base.rstrip('/')}/{name}"

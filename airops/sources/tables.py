@@ -145,6 +145,8 @@ def _fingerprint(path: str) -> str:
     # the set of derived frames is part of the key: a snapshot written by an
     # older version of the mapping is never read back
     h.update(_LAYOUT.encode())
+    with open(fixtures.__file__, "rb") as src:  # the mapping's code is part of the key
+        h.update(src.read())
     for t in fixtures.RAW_TABLES:
         p = os.path.join(path, f"{t}.parquet")
         st = os.stat(p)
