@@ -216,15 +216,32 @@ def revenue_report(t, date_from=None, date_to=None) -> DataFrame:
         _nest(m, "by_method", [-F.col("method_revenue"), F.col("payment_method")], key),
         _nest(tf, "top_flights", [-F.col("flight_revenue"), F.col("flight_no")], key),
     ]
-    out = summary
-    for p in parts:
-        out = out.join(p, "report_type", "left")
-    empty = "array()"
+    out = _assemble(key, [summary] + parts)
     return out.select("report_type", "date_from", "date_to", "summary",
-                      *[F.coalesce(F.col(n), F.expr(empty).cast(out.schema[n].dataType)).alias(n)
+                      *[F.coalesce(F.col(n), F.array().cast(out.schema[n].dataType)).alias(n)
                         for n in ("by_class", "by_route", "by_method", "top_flights")])
 
 
+def _assemble(key: str, sections: list[DataFrame]) -> DataFrame:
+    """One document row from one-row sections, without joining them: the
+    sections are stacked (each row fills its own columns, NULL elsewhere) and
+    folded by a single aggregate over the document key."""
+    fields = {}
+    for sec in sections:
+        for f in sec.schema.fields:
+            if f.name != "report_type":
+                fields[f.name] = f.dataType
+    rows = [sec.select("report_type", *[(F.col(n) if n in sec.columns
+                                         else F.lit(None).cast(dt)).alias(n)
+                                        for n, dt in fields.items()]) for sec in sections]
+    stacked = rows[0]
+    for r in rows[1:]:
+        stacked = stacked.unionByName(r)
+    return (stacked.groupBy("report_type")
+            .agg(*[F.first(n, ignorenulls=True).alias(n) for n in fields])
+            .filter(F.col("report_type") == F.lit(key)))
+
+
 def operational_report(t) -> dict[str, DataFrame]:
     """The operational document.
 
@@ -238,6 +255,6 @@ def operational_report(t) -> dict[str, DataFrame]:
                         .alias("overall_stats"))
     st = _nest(flights_by_status(t), "flights_by_status",
                [-F.col("flight_count"), F.col("status")], key)
-    summary = head.join(st, "report_type", "left")
+    summary = _assemble(key, [head, st])
     return {"summary": summary, "seat_occupancy": seat_occupancy(t),
             "noshow_rates": noshow_rates(t), "ontime_performance": ontime_performance(t)}

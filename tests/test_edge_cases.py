@@ -250,3 +250,19 @@ def test_update_passengers_email_moves(spark):
         1: 200, 2: 200, 3: 409, 4: 200, 5: 200, 6: 404, 7: 409, 8: 422}
     emails = {r.passenger_id: r.email for r in ch["passengers"].collect()}
     assert emails[1] == "a2@x.org" and emails[2] == "e1@x.org" and emails[3] == "c@x.org"
+
+
+def test_revenue_report_document_matches_sections(tables):
+    from airops import plans
+    doc = R.revenue_report(tables).collect()
+    assert len(doc) == 1
+    d = doc[0]
+    assert (d.report_type, d.date_from, d.date_to) == ("Revenue Report", "All time", "All time")
+    assert d.summary.asDict() == R.revenue_summary(tables).collect()[0].asDict()
+    assert [r.asDict() for r in d.by_class] == [r.asDict() for r in R.revenue_by_class(tables).collect()]
+    assert [r.asDict() for r in d.top_flights] == [r.asDict() for r in R.top_flights(tables).collect()]
+    assert [r.payment_method for r in d.by_method] == [
+        r.payment_method for r in R.revenue_by_method(tables).collect()]
+    assert "NestedLoopJoin" not in plans.formatted(R.revenue_report(tables), "simple")
+    op = R.operational_report(tables)["summary"].collect()[0]
+    assert op.overall_stats.asDict() == R.overall_stats(tables).collect()[0].asDict()
