@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from airops.operators.audits import EMAIL_PATTERN
 from airops.operators.commands.admission import greedy_admission
-from airops.operators.commands.common import conform, new_ids, order_key, outcomes
+from airops.operators.commands.common import (batch_is_small, conform, new_ids, order_key,
+                                              outcomes, restrict)
 from airops.schema import GENDERS
 
 # --- fixed values: outcome reasons ----------------------------------------------
@@ -32,8 +33,11 @@ def register_passengers(t, requests: DataFrame):
     block a later request with the same e-mail)."""
     r = requests.select("request_id", "requested_at", *FIELDS).withColumn("_ord", order_key())
     p = t["passengers"]
-    r = (r.join(p.select("passport_no", F.lit(True).alias("_pp0")).distinct(), "passport_no", "left")
-         .join(p.select("email", F.lit(True).alias("_em0")).distinct(), "email", "left"))
+    small = batch_is_small(requests)
+    r = (r.join(restrict(p, r, "passport_no", small).select("passport_no", F.lit(True).alias("_pp0"))
+                .distinct(), "passport_no", "left")
+         .join(restrict(p, r, "email", small).select("email", F.lit(True).alias("_em0")).distinct(),
+               "email", "left"))
     shape_ok = F.lit(True)
     for f in FIELDS:
         shape_ok = shape_ok & F.col(f).isNotNull()
@@ -62,8 +66,11 @@ def delete_passengers(t, requests: DataFrame):
     """Delete passengers without bookings: 404, then 409 if any booking
     references them. A second delete of the same passenger is a 404."""
     r = requests.select("request_id", "requested_at", "passenger_id").withColumn("_ord", order_key())
-    p = t["passengers"].select("passenger_id", F.lit(True).alias("_found"))
-    used = t["bookings"].select("passenger_id").distinct().withColumn("_used", F.lit(True))
+    small = batch_is_small(requests)
+    p = restrict(t["passengers"], r, "passenger_id", small).select(
+        "passenger_id", F.lit(True).alias("_found"))
+    used = (restrict(t["bookings"], r, "passenger_id", small).select("passenger_id").distinct()
+            .withColumn("_used", F.lit(True)))
     r = r.join(p, "passenger_id", "left").join(used, "passenger_id", "left")
     ok = F.col("_found").isNotNull() & F.col("_used").isNull()
     first = r.filter(ok).groupBy("passenger_id").agg(F.min("_ord").alias("_acc"))
@@ -74,7 +81,8 @@ def delete_passengers(t, requests: DataFrame):
     ], 200)
     gone = out.filter("accepted").select("passenger_id")
     return (out.select("request_id", "accepted", "code", "reason"),
-            {"passengers": t["passengers"].join(gone, "passenger_id", "left_anti")})
+            {"passengers": t["passengers"].join(F.broadcast(gone) if small else gone,
+                                                "passenger_id", "left_anti")})
 
 
 UPDATE_FIELDS = ("full_name", "date_of_birth", "gender", "nationality", "phone", "email")
@@ -132,9 +140,16 @@ def update_passengers(t, requests: DataFrame):
     from airops.operators.commands.reference_data import _apply_updates, _given, _not_null_violation
 
     p = t["passengers"]
+    small = batch_is_small(requests)
+    # the passengers the batch can reach: the requesters and the holders of the
+    # addresses it targets (semi joins on the batch's keys)
+    reach = (restrict(p, requests, "passenger_id", small)
+             .unionByName(restrict(p, requests, "email", small))
+             .select("passenger_id", "email").dropDuplicates(["passenger_id"]))
     r = (requests.withColumn("_ord", order_key())
-         .join(p.select("passenger_id", F.col("email").alias("_email0"),
-                        F.lit(True).alias("_found")), "passenger_id", "left"))
+         .join(restrict(p, requests, "passenger_id", small)
+               .select("passenger_id", F.col("email").alias("_email0"), F.lit(True).alias("_found")),
+               "passenger_id", "left"))
     sets_email = _given("email") & F.col("email").isNotNull()
     shape_bad = sets_email & ~F.coalesce(F.col("email").rlike(EMAIL_PATTERN), F.lit(False))
     gender_bad = (_given("gender") & F.col("gender").isNotNull() & (F.col("gender") != "")
@@ -144,7 +159,7 @@ def update_passengers(t, requests: DataFrame):
     r = r.withColumn("_mover", sets_email & ~shape_bad & F.col("_found").isNotNull()
                      & ~gender_bad & ~db_bad).checkpoint()
     movers = r.filter("_mover").select("request_id", "passenger_id", "email", "_ord")
-    initial = p.select("passenger_id", "email")
+    initial = reach.checkpoint()
 
     undecided = movers
     accepted: DataFrame | None = None   # movers with prev e-mail
@@ -203,5 +218,5 @@ def update_passengers(t, requests: DataFrame):
         (422, R_GENDER, gender_bad),
         (500, "constraint_violation", db_bad),
     ], 200)
-    new = _apply_updates(p, "passenger_id", out.filter("accepted"), UPDATE_FIELDS)
+    new = _apply_updates(p, "passenger_id", out.filter("accepted"), UPDATE_FIELDS, small)
     return out.select("request_id", "accepted", "code", "reason"), {"passengers": new}
