@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,3 +63,15 @@ def smallest_hashes(df: DataFrame, n: int, *keys: str) -> DataFrame:
     h = F.xxhash64(*keys)
     return df.where(F.pmod(h, F.lit(1 << 30)) <= int(share * (1 << 30))).orderBy(
         F.pmod(h, F.lit(1 << 30)), *keys).limit(n)
+
+
+def keep_rows(df: DataFrame, text_col: str, keep: Callable[[list], list[bool]]) -> DataFrame:
+    """The rows of ``df`` for whose texts ``keep`` (of a list of texts, null as
+    None) is true; all columns stay as they are."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch.column(at).to_pylist()), type=pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

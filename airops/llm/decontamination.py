@@ -23,7 +23,7 @@ matches; other columns are ignored by ``find_leaks`` and kept by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import combinations
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airops.llm import textops
-from airops.llm.common import bound_batches, read_table, schema
+from airops.llm.common import bound_batches, keep_rows, read_table, schema
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bits that fingerprints of similar windows may differ in, and blocks of the index.
@@ -191,19 +191,17 @@ def _matcher(shared, keys: list[str]):
     return run
 
 
-def _leaks(shared):
-    """Whether a text matches an item of the broadcast index."""
-    @F.pandas_udf("boolean")
-    def leaks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for column in batches:
-            texts, found = _clean(column), []
-            for lo, hi in textops.steps(texts):
-                w = textops.Words(texts[lo:hi])
-                every = textops.windows_hash(w.hash, SHINGLE)
-                found += [bool(text_matches(shared.value, w, i, every)) for i in range(hi - lo)]
-            yield pd.Series(found, dtype=bool)
+def _clear(shared) -> Callable[[list], list[bool]]:
+    """Which texts match no item of the broadcast index."""
+    def clear(column: list) -> list[bool]:
+        texts, found = _clean(column), []
+        for lo, hi in textops.steps(texts):
+            w = textops.Words(texts[lo:hi])
+            every = textops.windows_hash(w.hash, SHINGLE)
+            found += [not text_matches(shared.value, w, i, every) for i in range(hi - lo)]
+        return found
 
-    return leaks
+    return clear
 
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[ItemIndex]:
@@ -239,10 +237,10 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
     pass per block of items over what the earlier blocks kept."""
     spark = docs.sparkSession
     bound_batches(spark)
-    names, left = docs.columns, docs
+    left = docs
     for index in item_blocks(items, item_id_col, item_text_col):
-        left = left.where(~_leaks(spark.sparkContext.broadcast(index))(F.col(text_col)))
-    return left.select(*[F.col(f"`{n}`") for n in names])
+        left = keep_rows(left, text_col, _clear(spark.sparkContext.broadcast(index)))
+    return left
 
 
 def op7_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 #: Characters that one vectorised step handles (a longer text is a step of its own).
-STEP_CHARS = 1 << 18
+STEP_CHARS = 1 << 16
 _MULTIPLIER = np.uint32(0x9E3779B1)
 
 

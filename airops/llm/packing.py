@@ -44,17 +44,22 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@lru_cache(maxsize=4)
-def _encoders(path: str):
-    """(the tokenizer of the file, a faster encoder of the same vocabulary)."""
+@lru_cache(maxsize=2)
+def _tokenizer(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    import tokenizers
+
+    return tokenizers.Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=2)
+def _fast_encoder(path: str):
+    """(a faster encoder of the file's vocabulary, its special tokens)."""
     import json
 
     import tiktoken
-    import tokenizers
     from public_tokenizers import PATTERN
 
-    tok = tokenizers.Tokenizer.from_file(path)
     # the byte-level alphabet: printable bytes stand for themselves, the others
     # for the characters from U+0100 on, in order
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -64,20 +69,19 @@ def _encoders(path: str):
         model = json.load(f)
     special = {t["content"] for t in model.get("added_tokens", [])}
     ranks = {bytes(byte_of[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
-    fast = tiktoken.Encoding("same", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return tok, fast, sorted(special)
+    return tiktoken.Encoding("same", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), sorted(special)
 
 
 def token_ids(texts: list[str], path: str) -> Iterator[np.ndarray]:
     """The ids of each text as ``tokenizers`` gives them. Texts of Latin
     characters without a special token go through a faster encoder that gives
     the same ids; all others through ``tokenizers`` itself."""
-    tok, fast, special = _encoders(path)
+    fast, special = _fast_encoder(path)
     for t in texts:
         if _PLAIN.fullmatch(t) and not any(s in t for s in special):
             yield np.asarray(fast.encode_ordinary(t), dtype="<u4")
         else:
-            yield np.asarray(tok.encode(t, add_special_tokens=False).ids, dtype="<u4")
+            yield np.asarray(_tokenizer(path).encode(t, add_special_tokens=False).ids, dtype="<u4")
 
 
 def cut_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",

@@ -21,8 +21,10 @@ from collections.abc import Iterator
 from math import log2
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from airops.llm.common import bound_batches, read_table, schema, written
 
@@ -193,14 +195,22 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = left.join(hit, left["__text_key"].eqNullSafe(F.col("__key")) & left[id_col].eqNullSafe(F.col("__id")),
                        "left")
 
-    masked = F.pandas_udf(lambda t, s: pd.Series([a if b is None else _masked(a, b) for a, b in zip(t, s)]),
-                          "string")
-    clean = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(masked(F.col(text_col), F.col("__spans")))
-    out = joined.withColumn(text_col, clean)
+    at = names.index(text_col)
+
+    def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = batch.column("__spans").to_pylist()
+            texts = [t if s is None else _masked(t, s) for t, s in zip(batch.column(at).to_pylist(), spans)]
+            columns = batch.columns[:len(names)]
+            columns[at] = pa.array(texts, type=columns[at].type)
+            hit = pa.array([s is not None for s in spans], type=pa.bool_())
+            yield pa.RecordBatch.from_arrays([*columns, hit], names=[*names, "__hit"])
+
+    out = joined.select(*[F.col(f"`{n}`") for n in names], "__spans").mapInArrow(
+        mask, T.StructType([*kinds.fields, T.StructField("__hit", T.BooleanType())]))
     if length_col in names:
-        kind = kinds[length_col].dataType
-        out = out.withColumn(length_col, F.when(F.col("__spans").isNull(), F.col(length_col))
-                             .otherwise(F.length(text_col).cast(kind)))
+        out = out.withColumn(length_col, F.when(F.col("__hit"), F.length(text_col).cast(kinds[length_col].dataType))
+                             .otherwise(F.col(length_col)))
     return out.select(*[F.col(f"`{n}`") for n in names])
 
 

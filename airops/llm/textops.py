@@ -15,7 +15,7 @@ import numpy as np
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text that one vectorised step handles (a longer text is a step of its own).
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1

@@ -17,7 +17,7 @@ of toxic labels; repeated rows are scored alike; an empty table gives no rows;
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,13 +26,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airops.llm import ngrams
-from airops.llm.common import bound_batches, fold_of, read_table, schema, smallest_hashes
+from airops.llm.common import bound_batches, fold_of, keep_rows, read_table, schema, smallest_hashes
 
 SIZES, BITS = (3, 4, 5, 6), 20
 THRESHOLD = 0.7
 #: Bounds of the training sample and of the model.
-TRAIN_TOXIC, TRAIN_OTHER, FEATURES = 6_000, 14_000, 16_384
-SMOOTHING, PENALTY, ROUNDS, TOXIC_WEIGHT = 1.0, 5e-4, 500, 5.0
+TRAIN_TOXIC, TRAIN_OTHER, FEATURES = 4_000, 8_000, 4_096
+SMOOTHING, PENALTY, ROUNDS, TOXIC_WEIGHT = 1.0, 2e-4, 300, 5.0
 
 
 @dataclass
@@ -43,7 +43,7 @@ class ToxicityModel:
     bias: float
 
 
-def _texts(column: pd.Series) -> list[str]:
+def _texts(column: Iterable) -> list[str]:
     return [t.lower() if isinstance(t, str) else "" for t in column]
 
 
@@ -51,16 +51,19 @@ def _distinct(texts: list[str], wanted: np.ndarray | None = None) -> list[np.nda
     """The distinct buckets of each text, of those ``wanted``."""
     out: list[np.ndarray] = []
     for lo, hi, grams in ngrams.buckets(texts, SIZES, BITS):
-        keys = []
+        cuts, hashes = [], []
         for owner, h in grams:
             if wanted is not None:
                 hit = wanted[h]
                 owner, h = owner[hit], h[hit]
-            keys.append(((owner - lo).astype(np.int64) << BITS) | h)
-        each = np.unique(np.concatenate(keys))
-        cut = np.searchsorted(each, np.arange(hi - lo + 1, dtype=np.int64) << BITS)
-        each &= (1 << BITS) - 1
-        out += [each[a:b] for a, b in zip(cut[:-1], cut[1:])]
+            cuts.append(np.searchsorted(owner, np.arange(lo, hi + 1)).tolist())
+            hashes.append(h)
+        for i in range(hi - lo):
+            each = np.concatenate([h[c[i]:c[i + 1]] for c, h in zip(cuts, hashes)])
+            each.sort()
+            first = np.ones(len(each), dtype=bool)
+            first[1:] = each[1:] != each[:-1]
+            out.append(each[first])
     return out
 
 
@@ -69,7 +72,7 @@ def _fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray) -> tuple[np.n
     an L1 penalty: accelerated proximal gradient with restarts. Toxic texts
     weigh up to ``TOXIC_WEIGHT`` times the others, as far as they are rarer."""
     n, d = len(rows), len(ratio)
-    col = np.concatenate(rows) if n else np.zeros(0, dtype=np.int64)
+    col = np.concatenate(rows).astype(np.int64) if n else np.zeros(0, dtype=np.int64)
     row = np.repeat(np.arange(n), [len(r) for r in rows])
     value = ratio[col]
     weight = np.where(y > 0, min(TOXIC_WEIGHT, max(1.0, (n - y.sum()) / y.sum())), 1.0)
@@ -180,14 +183,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text",
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(score_texts(shared.value, _texts(texts)))
-
-    names = docs.columns
-    return docs.withColumn("__score", scored(docs[text_col])).where(F.col("__score") < threshold).select(
-        *[F.col(f"`{n}`") for n in names])
+    return keep_rows(docs, text_col, lambda texts: (score_texts(shared.value, _texts(texts)) < threshold).tolist())
 
 
 def op6_toxicity_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
