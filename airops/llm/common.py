@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from airops.session import scratch_path
 
 #: Bytes of text in one Arrow batch that a Python worker gets, and rows in it.
-BATCH_BYTES, BATCH_ROWS = 16 << 20, 2000
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 500
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -85,9 +85,9 @@ def token_ids(texts: list[str], path: str) -> Iterator[np.ndarray]:
 
 
 def cut_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
-                  window: int = WINDOW, separator: int = SEPARATOR) -> DataFrame:
+                  window: int = WINDOW, separator: int = SEPARATOR, id_bytes: int = 4) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens and the ids as
-    unsigned little-endian 32-bit integers."""
+    unsigned little-endian integers of ``id_bytes`` bytes (2 or 4)."""
     bound_batches(docs.sparkSession)
     picked = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
 
@@ -96,7 +96,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
             rows = []
             texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
             for k, ids in enumerate(token_ids(texts, tokenizer)):
-                ids = np.append(ids, np.uint32(separator)).astype("<u4")
+                ids = np.append(ids, np.uint32(separator)).astype(f"<u{id_bytes}")
                 n = len(ids)
                 rows += [(k, at, min(window, n - at), n, ids[at:at + window].tobytes())
                          for at in range(0, n, window)]
@@ -249,9 +249,11 @@ def pack_pieces(pieces: DataFrame, window: int = WINDOW, keys: tuple[str, ...] =
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW,
                    digest_only: bool = False, **columns: str) -> DataFrame:
-    """The pieces of all documents with their places. ``digest_only`` keeps the
-    crc32 of a piece's ids in place of the ids."""
-    pieces = cut_documents(docs, tokenizer or vocabulary_path("byte_bpe_50k.json"), window=window, **columns)
+    """The pieces of all documents with their places and their ids (16-bit: the
+    vocabulary has fewer). ``digest_only`` keeps the crc32 of a piece's 32-bit
+    ids in place of the ids."""
+    pieces = cut_documents(docs, tokenizer or vocabulary_path("byte_bpe_50k.json"), window=window,
+                           id_bytes=4 if digest_only else 2, **columns)
     if digest_only:
         pieces = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
     return pack_pieces(written(pieces, "pieces"), window, ("doc_id", "start", "doc_tokens"))
