@@ -31,7 +31,7 @@ from airops.llm.common import bound_batches, read_table, schema, written
 WINDOW = 1024
 SEPARATOR = 0
 #: Pieces that one ranking group holds, about.
-RANK_GROUP = 100_000
+RANK_GROUP = 10_000
 #: Weight of the shortest lengths in the least squares: their rest costs little padding.
 SHORT_WEIGHT = 0.05
 SOLVER_ROUNDS = 400

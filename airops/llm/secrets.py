@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from airops.llm.common import bound_batches, read_table, schema, written
+from airops.llm.common import bound_batches, keep_rows, read_table, schema, written
 
 # The patterns of the three base kinds and their least lengths.
 ASSIGN = re.compile(
@@ -189,12 +189,14 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found, spans = scan_secrets(docs, id_col=id_col, text_col=text_col, **columns)
     live = spans.where(F.col("verdict") == "live").groupBy("doc_id", "text_key").agg(
         F.collect_set(F.struct("kind", "start", "end", F.col("value_sha256").alias("sha"))).alias("__spans"))
-    live = written(live.withColumnsRenamed({"doc_id": "__id", "text_key": "__key"}), "secret-spans")
-    hit = live.select("__id", "__key", "__spans")
-    left = docs.withColumn("__text_key", text_key(docs[text_col]))
+    hit = live.withColumnsRenamed({"doc_id": "__id", "text_key": "__key"})
+    # a text without any candidate stays as it is and needs no shuffle
+    has = lambda texts: [bool(candidates(t)) if t else False for t in texts]
+    clean = keep_rows(docs, text_col, lambda texts: [not x for x in has(texts)])
+    some = keep_rows(docs, text_col, has)
+    left = some.withColumn("__text_key", text_key(some[text_col]))
     joined = left.join(hit, left["__text_key"].eqNullSafe(F.col("__key")) & left[id_col].eqNullSafe(F.col("__id")),
                        "left")
-
     at = names.index(text_col)
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +213,7 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if length_col in names:
         out = out.withColumn(length_col, F.when(F.col("__hit"), F.length(text_col).cast(kinds[length_col].dataType))
                              .otherwise(F.col(length_col)))
-    return out.select(*[F.col(f"`{n}`") for n in names])
+    return clean.union(out.select(*[F.col(f"`{n}`") for n in names]))
 
 
 def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
