@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from airops.operators.commands.common import (batch_is_small, conform, new_ids, order_key,
+from airops.operators.commands.common import (conform, new_ids, order_key,
                                               outcomes, restrict, upsert)
 from airops.schema import BOARDING_STATUS, PAYMENT_METHOD
 
@@ -26,19 +27,18 @@ R_NOT_CONFIRMED = "booking_not_confirmed"
 # --- end of fixed values ----------------------------------------------------------
 
 
-def _bookings_state(t, requests: DataFrame, small: bool) -> DataFrame:
+def _bookings_state(t, requests: DataFrame) -> DataFrame:
     """Status of the bookings the batch refers to."""
-    return restrict(t["bookings"], requests, "booking_id", small).select(
+    return restrict(t["bookings"], requests, "booking_id").select(
         "booking_id", F.col("status").alias("_bstatus"), F.lit(True).alias("_bfound"))
 
 
 def cancel_bookings(t, requests: DataFrame):
     """Cancel bookings: seat freed, Completed payment refunded in full, ticket
     cancelled, booking Cancelled with the reason and the request time."""
-    small = batch_is_small(requests)
     r = (requests.select("request_id", "booking_id", "cancel_reason", "requested_at")
          .withColumn("_ord", order_key())
-         .join(_bookings_state(t, requests, small), "booking_id", "left"))
+         .join(_bookings_state(t, requests), "booking_id", "left"))
     shape_ok = F.col("cancel_reason").isNotNull() & F.col("booking_id").isNotNull()
     valid = shape_ok & F.col("_bfound").isNotNull() & (F.col("_bstatus") != "Cancelled")
     first = (r.filter(valid).groupBy("booking_id").agg(F.min("_ord").alias("_acc")))
@@ -52,14 +52,14 @@ def cancel_bookings(t, requests: DataFrame):
     bookings = upsert(t["bookings"], acc.select(
         "booking_id", F.lit("Cancelled").alias("status"), "cancel_reason",
         F.col("requested_at").alias("cancelled_at")), "booking_id",
-        ["status", "cancel_reason", "cancelled_at"], small)
-    freed = (acc.join(restrict(t["bookings"], requests, "booking_id", small)
+        ["status", "cancel_reason", "cancelled_at"])
+    freed = (acc.join(restrict(t["bookings"], requests, "booking_id")
                       .select("booking_id", "seat_id"),
                       "booking_id")
              .select("seat_id").distinct().withColumn("status", F.lit("Available")))
-    seats = upsert(t["seats"], freed, "seat_id", ["status"], small)
+    seats = upsert(t["seats"], freed, "seat_id", ["status"])
     refunds = acc.select("booking_id", F.col("requested_at").alias("_at"), F.lit(True).alias("_c"))
-    p = t["payments"].join(F.broadcast(refunds) if small else refunds, "booking_id", "left")
+    p = t["payments"].join(refunds, "booking_id", "left")
     refund = F.col("_c").isNotNull() & (F.col("status") == "Completed")
     payments = conform(p.withColumn("refund_amount", F.when(refund, F.col("amount"))
                                     .otherwise(F.col("refund_amount")))
@@ -68,7 +68,7 @@ def cancel_bookings(t, requests: DataFrame):
                        .withColumn("status", F.when(refund, F.lit("Refunded"))
                                    .otherwise(F.col("status"))), t["payments"])
     tickets = upsert(t["tickets"], acc.select("booking_id", F.lit(True).alias("is_cancelled")),
-                     "booking_id", ["is_cancelled"], small)
+                     "booking_id", ["is_cancelled"])
     return (out.select("request_id", "accepted", "code", "reason"),
             {"bookings": bookings, "seats": seats, "payments": payments, "tickets": tickets})
 
@@ -77,29 +77,33 @@ def process_payments(t, requests: DataFrame):
     """Record a Completed payment, confirm the booking and issue its ticket
     (final_fare = base_fare x class multiplier, exact, half up). The amount
     is not compared with the fare."""
-    small = batch_is_small(requests)
     r = (requests.select("request_id", "booking_id", "method", "amount", "requested_at")
          .withColumn("_ord", order_key())
-         .join(_bookings_state(t, requests, small), "booking_id", "left"))
-    paid = (restrict(t["payments"], requests, "booking_id", small)
+         .join(_bookings_state(t, requests), "booking_id", "left"))
+    paid = (restrict(t["payments"], requests, "booking_id")
             .select("booking_id", F.lit(True).alias("_paid")).distinct())
-    ticketed = (restrict(t["tickets"], requests, "booking_id", small)
+    ticketed = (restrict(t["tickets"], requests, "booking_id")
                 .select("booking_id", F.lit(True).alias("_ticketed")).distinct())
     # fare of the requested bookings only: seats and flights are restricted first
-    b = restrict(t["bookings"], requests, "booking_id", small).select("booking_id", "flight_id",
+    b = restrict(t["bookings"], requests, "booking_id").select("booking_id", "flight_id",
                                                                       "seat_id")
-    fare = (b.join(restrict(t["seats"], b, "seat_id", small).select("seat_id", "fare_class_id"),
+    fare = (b.join(restrict(t["seats"], b, "seat_id").select("seat_id", "fare_class_id"),
                    "seat_id")
             .join(t.dim("fare_classes").select("fare_class_id", "multiplier"), "fare_class_id")
-            .join(restrict(t["flights"], b, "flight_id", small).select("flight_id", "base_fare"),
+            .join(restrict(t["flights"], b, "flight_id").select("flight_id", "base_fare"),
                   "flight_id")
             .select("booking_id", "fare_class_id", "multiplier", "base_fare"))
     r = (r.join(paid, "booking_id", "left").join(ticketed, "booking_id", "left")
          .join(fare, "booking_id", "left"))
     shape_ok = (F.col("method").isin(*PAYMENT_METHOD) & F.col("amount").isNotNull()
                 & F.col("booking_id").isNotNull())
-    db_fail = ((F.col("amount") <= 0) | F.col("_ticketed").isNotNull()
-               | F.col("base_fare").isNull())
+    # what the columns would hold: a value that does not fit them, or that is
+    # not above zero after rounding, fails this request alone
+    money = T.DecimalType(12, 2)
+    r = (r.withColumn("_amount", F.col("amount").try_cast(money))
+         .withColumn("_fare", (F.col("base_fare") * F.col("multiplier")).try_cast(money)))
+    db_fail = (F.col("_amount").isNull() | (F.col("_amount") <= 0) | F.col("_ticketed").isNotNull()
+               | F.col("_fare").isNull() | (F.col("_fare") <= 0))
     cand = (shape_ok & F.col("_bfound").isNotNull() & (F.col("_bstatus") != "Cancelled")
             & F.col("_paid").isNull() & ~db_fail)
     first = r.filter(cand).groupBy("booking_id").agg(F.min("_ord").alias("_acc"))
@@ -114,19 +118,19 @@ def process_payments(t, requests: DataFrame):
     acc = out.filter("accepted")
     new_pay = acc.select(
         new_ids(t["payments"], "payment_id").alias("payment_id"), "booking_id", "method",
-        "amount", F.lit("Completed").alias("status"),
+        F.col("_amount").alias("amount"), F.lit("Completed").alias("status"),
         F.lit(0).cast("decimal(12,2)").alias("refund_amount"),
         F.col("requested_at").alias("payment_date"), F.col("requested_at").alias("updated_at"))
     new_tk = acc.select(
         new_ids(t["tickets"], "ticket_id").alias("ticket_id"), "booking_id", "fare_class_id",
         F.concat(F.lit("TKT-R"), F.col("request_id").cast("string")).alias("ticket_no"),
         "base_fare", F.col("multiplier").alias("multiplier_snapshot"),
-        (F.col("base_fare") * F.col("multiplier")).cast("decimal(12,2)").alias("final_fare"),
+        F.col("_fare").alias("final_fare"),
         F.col("requested_at").alias("issue_date"), F.lit(False).alias("is_cancelled"))
     payments = t["payments"].unionByName(conform(new_pay, t["payments"]))
     tickets = t["tickets"].unionByName(conform(new_tk, t["tickets"]))
     bookings = upsert(t["bookings"], acc.select("booking_id", F.lit("Confirmed").alias("status")),
-                      "booking_id", ["status"], small)
+                      "booking_id", ["status"])
     return (out.select("request_id", "accepted", "code", "reason"),
             {"payments": payments, "tickets": tickets, "bookings": bookings})
 
@@ -137,11 +141,10 @@ def record_boarding(t, events: DataFrame):
     The first valid event of a booking without a record inserts one
     (boarded_at = event time; seat Occupied if Boarded); every later event only
     sets the status, so the final status is the last event's."""
-    small = batch_is_small(events)
     e = (events.select("event_id", "booking_id", "status", "event_ts")
          .withColumn("_ord", order_key("event_ts", "event_id"))
-         .join(_bookings_state(t, events, small), "booking_id", "left"))
-    has_rec = (restrict(t["boarding_records"], events, "booking_id", small)
+         .join(_bookings_state(t, events), "booking_id", "left"))
+    has_rec = (restrict(t["boarding_records"], events, "booking_id")
                .select("booking_id", F.lit(True).alias("_rec")).distinct())
     e = e.join(has_rec, "booking_id", "left")
     shape_ok = F.col("status").isin(*BOARDING_STATUS) & F.col("booking_id").isNotNull()
@@ -160,9 +163,9 @@ def record_boarding(t, events: DataFrame):
     ], 201, "boarding_recorded")
     br = t["boarding_records"]
     updated = upsert(br, per.select("booking_id", F.col("_last_status").alias("status")),
-                     "booking_id", ["status"], small)
+                     "booking_id", ["status"])
     inserts = (per.join(has_rec, "booking_id", "left_anti")
-               .join(restrict(t["bookings"], events, "booking_id", small)
+               .join(restrict(t["bookings"], events, "booking_id")
                      .select("booking_id", "passenger_id", "flight_id", "seat_id"),
                      "booking_id"))
     new_br = inserts.withColumn("_eid", F.col("_f.event_id")).select(
@@ -172,6 +175,6 @@ def record_boarding(t, events: DataFrame):
     records = updated.unionByName(conform(new_br, br))
     occupied = (inserts.filter(F.col("_f.status") == "Boarded").select("seat_id").distinct()
                 .withColumn("status", F.lit("Occupied")))
-    seats = upsert(t["seats"], occupied, "seat_id", ["status"], small)
+    seats = upsert(t["seats"], occupied, "seat_id", ["status"])
     return (out.select("request_id", "accepted", "code", "reason"),
             {"boarding_records": records, "seats": seats})

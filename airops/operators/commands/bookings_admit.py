@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from airops.operators.commands.admission import greedy_admission
-from airops.operators.commands.common import (batch_is_small, conform, new_ids, order_key,
+from airops.operators.commands.common import (conform, new_ids, order_key,
                                               outcomes, restrict, upsert)
 from airops.schema import CLOSED_FLIGHT_STATUS
 
@@ -57,22 +57,21 @@ def admit_bookings(t, requests: DataFrame):
     # the snapshot as far as the batch can see it: its passengers, flights,
     # seats and staff, and the bookings of its flights (semi joins on the
     # batch's keys, so a batch does not shuffle the whole snapshot)
-    small = batch_is_small(requests)
-    pax = restrict(t["passengers"], r, "passenger_id", small).select(
+    pax = restrict(t["passengers"], r, "passenger_id").select(
         "passenger_id", F.lit(True).alias("_pfound"))
-    fl = restrict(t["flights"], r, "flight_id", small)
+    fl = restrict(t["flights"], r, "flight_id")
     fl = (fl.select("flight_id", F.col("status").alias("_fstatus"), "aircraft_id")
-          .join(restrict(t["aircraft"], fl, "aircraft_id", small)
+          .join(restrict(t["aircraft"], fl, "aircraft_id")
                 .select("aircraft_id", F.col("seat_capacity").alias("_cap")),
                 "aircraft_id", "left").drop("aircraft_id"))
-    b_req = restrict(b, r, "flight_id", small)
+    b_req = restrict(b, r, "flight_id")
     live = (b_req.filter(F.col("status").isin("Pending", "Confirmed")).groupBy("flight_id")
             .agg(F.count(F.lit(1)).alias("_nlive")))
     pairs = (b_req.groupBy("flight_id", "passenger_id")
              .agg(F.max(F.col("status") != "Cancelled").alias("_active")))
-    seat = restrict(t["seats"], r, "seat_id", small).select(
+    seat = restrict(t["seats"], r, "seat_id").select(
         "seat_id", F.col("flight_id").alias("_sflight"), F.col("status").alias("_sstatus"))
-    staff = restrict(t["staff"], r, "staff_id", small).select(
+    staff = restrict(t["staff"], r, "staff_id").select(
         "staff_id", F.lit(True).alias("_stfound"))
     j = (r.join(pax, "passenger_id", "left").join(fl, "flight_id", "left")
          .join(live, "flight_id", "left").join(pairs, ["flight_id", "passenger_id"], "left")
@@ -129,6 +128,6 @@ def admit_bookings(t, requests: DataFrame):
         F.col("requested_at").alias("booked_at"))
     bookings = b.unionByName(conform(new_b, b))
     seats = upsert(t["seats"], acc.select("seat_id", F.lit("Reserved").alias("status")),
-                   "seat_id", ["status"], small)
+                   "seat_id", ["status"])
     return (out.select("request_id", "accepted", "code", "reason"),
             {"bookings": bookings, "seats": seats})

@@ -55,15 +55,11 @@ def new_ids(table: DataFrame, pk: str, rid: str = "request_id") -> Column:
     return (mx + F.col(rid)).cast("bigint")
 
 
-def upsert(base: DataFrame, changes: DataFrame, key: str, cols: list[str],
-           small: bool = False) -> DataFrame:
-    """Replace ``cols`` of the rows of ``base`` found in ``changes`` (one row per key).
-
-    With ``small`` (the batch passed its size check) the changes are broadcast:
-    the snapshot table is scanned and probed, not shuffled."""
+def upsert(base: DataFrame, changes: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """Replace ``cols`` of the rows of ``base`` found in ``changes`` (one row per key)."""
     ch = changes.select(key, *[F.col(c).alias(f"_new_{c}") for c in cols],
                         F.lit(True).alias("_hit"))
-    ch = F.broadcast(ch) if small else ch
+    ch = ch
     j = base.join(ch, key, "left")
     return j.select(*[F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)
                       if c in cols else F.col(c) for c in base.columns])
@@ -74,24 +70,10 @@ def conform(df: DataFrame, like: DataFrame) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in like.schema.fields])
 
 
-# A request batch touches few keys of the snapshot. When the batch has at most
-# this many rows (checked once per batch), every key set derived from it --
-# its booking ids, and the one seat and one flight of each booking -- is within
-# the bound too, and is broadcast so the big tables are scanned and filtered
-# rather than shuffled. Larger batches fall back to the planner's join.
-BATCH_KEYS_BROADCAST_ROWS = 5_000_000
-
-
-def batch_is_small(requests: DataFrame) -> bool:
-    """The once-per-batch size check behind ``restrict``'s broadcast."""
-    return requests.limit(BATCH_KEYS_BROADCAST_ROWS + 1).count() <= BATCH_KEYS_BROADCAST_ROWS
-
-
-def restrict(table: DataFrame, keys: DataFrame, col: str, small: bool,
-             key_col: str | None = None) -> DataFrame:
-    """Rows of ``table`` whose ``col`` occurs among the batch's ``key_col`` values
-    (a semi join; the keys are broadcast when the batch passed the size check).
-    Duplicate keys are harmless in a semi join, so they are not removed: no
-    aggregation (and no shuffle) of the batch is needed."""
+def restrict(table: DataFrame, keys: DataFrame, col: str, key_col: str | None = None) -> DataFrame:
+    """Rows of ``table`` whose ``col`` occurs among the batch's ``key_col`` values:
+    a semi join, which the planner broadcasts or shuffles by the bytes of the
+    keys. Duplicate keys are harmless in a semi join, so they are not removed:
+    no aggregation (and no shuffle) of the batch is needed."""
     k = keys.select(F.col(key_col or col).alias(col)).filter(F.col(col).isNotNull())
-    return table.join(F.broadcast(k) if small else k, col, "left_semi")
+    return table.join(k, col, "left_semi")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from airops.operators.audits import EMAIL_PATTERN
 from airops.operators.commands.admission import greedy_admission
-from airops.operators.commands.common import (batch_is_small, conform, new_ids, order_key,
+from airops.operators.commands.common import (conform, new_ids, order_key,
                                               outcomes, restrict)
 from airops.schema import GENDERS
 
@@ -33,10 +33,9 @@ def register_passengers(t, requests: DataFrame):
     block a later request with the same e-mail)."""
     r = requests.select("request_id", "requested_at", *FIELDS).withColumn("_ord", order_key())
     p = t["passengers"]
-    small = batch_is_small(requests)
-    r = (r.join(restrict(p, r, "passport_no", small).select("passport_no", F.lit(True).alias("_pp0"))
+    r = (r.join(restrict(p, r, "passport_no").select("passport_no", F.lit(True).alias("_pp0"))
                 .distinct(), "passport_no", "left")
-         .join(restrict(p, r, "email", small).select("email", F.lit(True).alias("_em0")).distinct(),
+         .join(restrict(p, r, "email").select("email", F.lit(True).alias("_em0")).distinct(),
                "email", "left"))
     shape_ok = F.lit(True)
     for f in FIELDS:
@@ -66,10 +65,9 @@ def delete_passengers(t, requests: DataFrame):
     """Delete passengers without bookings: 404, then 409 if any booking
     references them. A second delete of the same passenger is a 404."""
     r = requests.select("request_id", "requested_at", "passenger_id").withColumn("_ord", order_key())
-    small = batch_is_small(requests)
-    p = restrict(t["passengers"], r, "passenger_id", small).select(
+    p = restrict(t["passengers"], r, "passenger_id").select(
         "passenger_id", F.lit(True).alias("_found"))
-    used = (restrict(t["bookings"], r, "passenger_id", small).select("passenger_id").distinct()
+    used = (restrict(t["bookings"], r, "passenger_id").select("passenger_id").distinct()
             .withColumn("_used", F.lit(True)))
     r = r.join(p, "passenger_id", "left").join(used, "passenger_id", "left")
     ok = F.col("_found").isNotNull() & F.col("_used").isNull()
@@ -81,7 +79,7 @@ def delete_passengers(t, requests: DataFrame):
     ], 200)
     gone = out.filter("accepted").select("passenger_id")
     return (out.select("request_id", "accepted", "code", "reason"),
-            {"passengers": t["passengers"].join(F.broadcast(gone) if small else gone,
+            {"passengers": t["passengers"].join(gone,
                                                 "passenger_id", "left_anti")})
 
 
@@ -140,14 +138,13 @@ def update_passengers(t, requests: DataFrame):
     from airops.operators.commands.reference_data import _apply_updates, _given, _not_null_violation
 
     p = t["passengers"]
-    small = batch_is_small(requests)
     # the passengers the batch can reach: the requesters and the holders of the
     # addresses it targets (semi joins on the batch's keys)
-    reach = (restrict(p, requests, "passenger_id", small)
-             .unionByName(restrict(p, requests, "email", small))
+    reach = (restrict(p, requests, "passenger_id")
+             .unionByName(restrict(p, requests, "email"))
              .select("passenger_id", "email").dropDuplicates(["passenger_id"]))
     r = (requests.withColumn("_ord", order_key())
-         .join(restrict(p, requests, "passenger_id", small)
+         .join(restrict(p, requests, "passenger_id")
                .select("passenger_id", F.col("email").alias("_email0"), F.lit(True).alias("_found")),
                "passenger_id", "left"))
     sets_email = _given("email") & F.col("email").isNotNull()
@@ -218,5 +215,5 @@ def update_passengers(t, requests: DataFrame):
         (422, R_GENDER, gender_bad),
         (500, "constraint_violation", db_bad),
     ], 200)
-    new = _apply_updates(p, "passenger_id", out.filter("accepted"), UPDATE_FIELDS, small)
+    new = _apply_updates(p, "passenger_id", out.filter("accepted"), UPDATE_FIELDS)
     return out.select("request_id", "accepted", "code", "reason"), {"passengers": new}

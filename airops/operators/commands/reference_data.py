@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airops.operators.audits import EMAIL_PATTERN
-from airops.operators.commands.common import (batch_is_small, conform, new_ids, order_key,
+from airops.operators.commands.common import (conform, new_ids, order_key,
                                               outcomes, restrict)
 from airops.schema import AIRCRAFT_STATUS, FLIGHT_STATUS, STAFF_ROLE, TABLE_SCHEMAS
 
@@ -31,7 +31,7 @@ R_SAME = "same_airports"
 R_AIRCRAFT_404 = "aircraft_not_found"
 R_AIRCRAFT_INACTIVE = "aircraft_not_active"
 R_ARR_BEFORE_DEP = "arrival_not_after_departure"
-IATA_PATTERN = "^[A-Z]{3}$"
+IATA_PATTERN = r"^\p{L}{3}$"
 # --- end of fixed values ----------------------------------------------------------
 
 
@@ -65,16 +65,15 @@ def _given(field: str) -> Column:
 
 
 def _apply_updates(base: DataFrame, pk: str, accepted: DataFrame,
-                   fields: tuple[str, ...], small: bool = False) -> DataFrame:
-    """Per row and field, the value of the last accepted request that set it
-    (broadcast into the table rewrite when the batch passed its size check)."""
+                   fields: tuple[str, ...]) -> DataFrame:
+    """Per row and field, the value of the last accepted request that set it."""
     aggs = []
     for f in fields:
         ordv = F.when(_given(f), F.col("_ord"))
         aggs.append(F.max_by(F.struct(F.col(f).alias("v")), ordv).alias(f"_v_{f}"))
         aggs.append(F.max(F.when(_given(f), F.lit(True))).alias(f"_s_{f}"))
     per_row = accepted.groupBy(F.col(pk)).agg(*aggs)
-    j = base.join(F.broadcast(per_row) if small else per_row, pk, "left")
+    j = base.join(per_row, pk, "left")
     return j.select(*[F.when(F.col(f"_s_{c}"), F.col(f"_v_{c}.v")).otherwise(F.col(c))
                       .cast(base.schema[c].dataType).alias(c)
                       if c in fields else F.col(c) for c in base.columns])
@@ -85,8 +84,7 @@ def _keyed_update(t, table: str, pk: str, r: DataFrame, fields: tuple[str, ...],
                   shape_bad: Column | None = None):
     """Outcomes and new table of an update batch: request shape 422, then 404
     if the row is missing, then ``checks_after_404``, then the database's 500."""
-    small = batch_is_small(r)
-    found = restrict(t[table], r, pk, small).select(pk, F.lit(True).alias("_found"))
+    found = restrict(t[table], r, pk).select(pk, F.lit(True).alias("_found"))
     r = r.withColumn("_ord", order_key()).join(found, pk, "left")
     db = _not_null_violation(table, fields)
     if extra_fail is not None:
@@ -94,7 +92,7 @@ def _keyed_update(t, table: str, pk: str, r: DataFrame, fields: tuple[str, ...],
     shape = [(422, R_INVALID, shape_bad)] if shape_bad is not None else []
     out = outcomes(r, shape + [(404, R_404, F.col("_found").isNull())] + checks_after_404
                    + [(500, R_DB, db)], ok_code)
-    new = _apply_updates(t[table], pk, out.filter("accepted"), fields, small)
+    new = _apply_updates(t[table], pk, out.filter("accepted"), fields)
     return out.select("request_id", "accepted", "code", "reason"), {table: new}
 
 
@@ -102,7 +100,8 @@ def _keyed_update(t, table: str, pk: str, r: DataFrame, fields: tuple[str, ...],
 
 def create_airports(t, requests: DataFrame):
     """IATA code upper-cased and stripped, 3 letters (else 422); 409 if taken."""
-    r = (requests.withColumn("iata_code", F.upper(F.trim(F.col("iata_code"))))
+    r = (requests.withColumn("iata_code", F.upper(F.regexp_replace(
+        "iata_code", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")))
          .withColumn("terminals", F.coalesce(F.col("terminals"), F.lit(1)))
          .withColumn("_ord", order_key()))
     shape = F.coalesce(F.col("iata_code").rlike(IATA_PATTERN), F.lit(False)) & (
@@ -177,7 +176,7 @@ def create_flights(t, requests: DataFrame):
                          F.lit(True).alias("_d")), "dest_airport_id", "left")
          .join(t["aircraft"].select("aircraft_id", F.col("status").alias("_ast")),
                "aircraft_id", "left")
-         .join(restrict(t["flights"], requests, "flight_no", batch_is_small(requests))
+         .join(restrict(t["flights"], requests, "flight_no")
                .select("flight_no", F.lit(True).alias("_ex")).distinct(), "flight_no", "left"))
     shape = (F.col("flight_no").isNotNull() & F.col("origin_airport_id").isNotNull()
              & F.col("dest_airport_id").isNotNull() & F.col("aircraft_id").isNotNull()
@@ -221,11 +220,10 @@ def update_flights(t, requests: DataFrame):
 def create_schedules(t, requests: DataFrame):
     """arr <= dep 422 (request validation, first); flight 404; the flight
     already has a schedule 409."""
-    small = batch_is_small(requests)
     r = (requests.withColumn("_ord", order_key())
-         .join(restrict(t["flights"], requests, "flight_id", small)
+         .join(restrict(t["flights"], requests, "flight_id")
                .select("flight_id", F.lit(True).alias("_f")), "flight_id", "left")
-         .join(restrict(t["flight_schedules"], requests, "flight_id", small)
+         .join(restrict(t["flight_schedules"], requests, "flight_id")
                .select("flight_id", F.lit(True).alias("_ex")).distinct(), "flight_id", "left"))
     shape = (F.col("dep_datetime").isNotNull() & F.col("arr_datetime").isNotNull()
              & (F.col("arr_datetime") > F.col("dep_datetime")))
@@ -305,8 +303,7 @@ def update_schedules(t, requests: DataFrame):
     ones, so this is a fold per schedule: requests are hash-partitioned by
     flight and sorted by order inside partitions, and a streaming
     ``mapInPandas`` walks them with O(1) state (no group is materialised)."""
-    small = batch_is_small(requests)
-    s = restrict(t["flight_schedules"], requests, "flight_id", small).select(
+    s = restrict(t["flight_schedules"], requests, "flight_id").select(
         "flight_id", F.col("dep_datetime").alias("dep0"), F.col("arr_datetime").alias("arr0"))
     r = requests.withColumn("_ord", order_key()).join(s, "flight_id", "left")
     cand = (r.filter(F.col("dep0").isNotNull())
@@ -323,6 +320,5 @@ def update_schedules(t, requests: DataFrame):
     out = outcomes(r, [(404, R_404, F.col("dep0").isNull()),
                        (500, R_DB, F.col("null_error")),
                        (422, R_ARR_BEFORE_DEP, ~F.col("valid"))], 200)
-    new = _apply_updates(t["flight_schedules"], "flight_id", out.filter("accepted"), SCHEDULE_FIELDS,
-                         small)
+    new = _apply_updates(t["flight_schedules"], "flight_id", out.filter("accepted"), SCHEDULE_FIELDS)
     return out.select("request_id", "accepted", "code", "reason"), {"flight_schedules": new}

@@ -40,8 +40,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint directory of the session.
 
     On a cluster ``spark.checkpoint.dir`` must name a shared folder; it is
-    used as is. Only a local-mode session without one gets a fresh folder
-    under the system temp dir (as in tests)."""
+    used as is; where it is unset, the warehouse holds the folder. Only a
+    local-mode session without one gets a fresh folder under the system temp
+    dir (as in tests)."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -55,10 +56,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
-    if not sc.master.startswith("local"):
-        raise RuntimeError(
-            "spark.checkpoint.dir is not set: iterative command batches need a "
-            "shared checkpoint folder on a cluster")
+    if not sc.master.startswith("local"):  # a cluster: the warehouse is shared as well
+        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/airops-checkpoints"
+        sc.setCheckpointDir(path)
+        return sc.getCheckpointDir() or path
     path = tempfile.mkdtemp(prefix="airops-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path

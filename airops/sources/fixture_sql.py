@@ -69,7 +69,7 @@ select cast(event_id as bigint) schedule_id, cast(event_id as bigint) flight_id,
  'T' || cast(1 + event_id % 4 as varchar) terminal,
  case when event_id % 6 <> 0 then 'G' || cast(event_id % 30 as varchar) end gate,
  {EPOCH} created_at
-from events join part on event_id = p_partkey where event_id % 20 <> 0"""),
+from events join part on event_id = p_partkey where event_type <> 'click'"""),
     ("charges", """
 select l_orderkey, min(l_partkey) flight_id,
  cast(sum(cast(l_extendedprice as decimal(12,2))) as decimal(12,2)) amount
@@ -82,23 +82,27 @@ select o_orderkey booking_id, o_custkey passenger_id, flight_id,
  o_orderdate + interval '1' hour * cast(o_orderkey % 24 as integer) booked_at, amount, o_orderstatus,
  cast(row_number() over (partition by flight_id order by o_orderkey) as bigint) seat_idx
 from orders join charges on l_orderkey = o_orderkey"""),
+    ("bookings_y", """
+select b.* exclude (status, seat_idx),
+ case when b.seat_idx <= a.seat_capacity then b.status else 'Cancelled' end status,
+ case when b.seat_idx <= a.seat_capacity then b.seat_idx else 1 + b.booking_id % a.seat_capacity end seat_idx
+from bookings0 b join flights f on b.flight_id = f.flight_id
+ join aircraft a on f.aircraft_id = a.aircraft_id"""),
     ("bookings_x", """
 select cast(b.booking_id as bigint) booking_id, cast(b.passenger_id as bigint) passenger_id,
  cast(b.flight_id as bigint) flight_id, cast(b.flight_id * 100 + b.seat_idx as bigint) seat_id,
  cast(b.staff_id as bigint) staff_id, 'PNR' || lpad(cast(b.booking_id as varchar), 8, '0') pnr, b.status,
  case when b.status = 'Cancelled' then 'changed plans' end cancel_reason,
  case when b.status = 'Cancelled' then b.booked_at + interval '12' hour end cancelled_at,
- b.booked_at, b.amount, b.o_orderstatus, b.seat_idx
-from bookings0 b join flights f on b.flight_id = f.flight_id
- join aircraft a on f.aircraft_id = a.aircraft_id
-where b.seat_idx <= a.seat_capacity"""),
+ b.booked_at, b.amount, b.o_orderstatus, cast(b.seat_idx as bigint) seat_idx
+from bookings_y b"""),
     ("boarding_records", """
 select b.booking_id boarding_id, b.booking_id, b.passenger_id, b.flight_id,
  case when b.booking_id % 8 = 0 then 'No_Show' else 'Boarded' end status,
  b.booked_at + interval '24' hour boarded_at
 from bookings_x b join flights f on b.flight_id = f.flight_id
 where b.status = 'Confirmed' and f.status in ('Boarding', 'Departed', 'Arrived')
- and b.booking_id % 10 <> 9"""),
+ and b.o_orderstatus <> 'O'"""),
     ("seats", f"""
 select f.flight_id * 100 + n.n seat_id, f.flight_id,
  cast(case when n.n <= 2 then 4 when n.n <= 4 then 3 when n.n <= 8 then 2 when n.n <= 12 then 1
@@ -107,7 +111,7 @@ select f.flight_id * 100 + n.n seat_id, f.flight_id,
  case when br.status = 'Boarded' then 'Occupied' when b.booking_id is not null then 'Reserved'
       else 'Available' end status, {EPOCH} created_at
 from flights f join aircraft a on f.aircraft_id = a.aircraft_id
- join (select p_partkey + 1 n from part where p_partkey < 60) n on n.n <= a.seat_capacity
+ join (select unnest(generate_series(1, 60)) n) n on n.n <= a.seat_capacity
  left join bookings_x b on b.flight_id = f.flight_id and b.seat_idx = n.n and b.status <> 'Cancelled'
  left join boarding_records br on br.booking_id = b.booking_id"""),
     ("payments", """
@@ -132,26 +136,27 @@ select booking_id, passenger_id, flight_id, seat_id, staff_id, pnr, status, canc
  cancelled_at, booked_at from bookings_x"""),
     ("booking_requests", """
 select o_orderkey request_id, case when o_orderkey % 40 = 0 then -1 else o_custkey end passenger_id,
- case when o_orderkey % 45 = 0 then -1 else o_orderkey % 50 end flight_id,
- (o_orderkey % 50) * 100 + 1 + o_custkey % 60 seat_id,
+ case when o_orderkey % 45 = 0 then -1 else cast(floor(o_custkey / 6) as bigint) % (select count(*) from part) end flight_id,
+ (cast(floor(o_custkey / 6) as bigint) % (select count(*) from part)) * 100 + 1
+  + cast(floor(o_custkey / 2) as bigint) % 20 seat_id,
  o_custkey % (select count(*) from supplier) staff_id, o_orderdate requested_at
 from orders where o_orderkey % 7 = 0"""),
     ("cancel_requests", """
 select booking_id + 1000000 request_id, booking_id,
  case when booking_id % 22 = 0 then null else 'schedule change' end cancel_reason,
  booked_at + interval '48' hour requested_at
-from bookings_x where booking_id % 11 = 0"""),
+from bookings_x"""),
     ("payment_requests", """
 select booking_id + 2000000 request_id, booking_id, 'Card' method,
  case when booking_id % 35 = 0 then cast(0 as decimal(12,2)) else amount end amount,
  booked_at + interval '1' hour requested_at
-from bookings_x where booking_id % 5 = 0"""),
+from bookings_x"""),
     ("boarding_events", """
 select booking_id * 2 event_id, booking_id, 'Boarded' status, booked_at + interval '30' hour event_ts
-from bookings_x where booking_id % 3 = 0
+from bookings_x
 union all
 select booking_id * 2 + 1 event_id, booking_id, 'No_Show' status, booked_at + interval '31' hour event_ts
-from bookings_x where booking_id % 9 = 0"""),
+from bookings_x where o_orderstatus = 'F'"""),
 ]
 
 
@@ -171,7 +176,7 @@ def with_prefix(body: str, only: set[str] | None = None) -> str:
 _DEPS = {
     "airports": set(), "aircraft": set(), "fare_classes": set(), "passengers": set(),
     "staff": set(), "flights": set(), "flight_schedules": set(), "charges": set(),
-    "bookings0": {"charges"}, "bookings_x": {"bookings0", "flights", "aircraft"},
+    "bookings0": {"charges"}, "bookings_y": {"bookings0", "flights", "aircraft"}, "bookings_x": {"bookings_y"},
     "boarding_records": {"bookings_x", "flights"},
     "seats": {"flights", "aircraft", "bookings_x", "boarding_records"},
     "payments": {"bookings_x"},

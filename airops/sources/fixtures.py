@@ -14,8 +14,7 @@ for scale:
   before the shuffle, and a hot flight ships at most MAX_SEATS rows per map
   partition instead of all of its orders.
 * the seat rows of a flight are generated with ``explode(sequence(1, capacity))``
-  and checked against the seat-number table with a broadcast semi join (no
-  theta join).
+  (no theta join).
 """
 
 from __future__ import annotations
@@ -28,9 +27,8 @@ from airops.plans import broadcast_if_bounded
 
 # --- fixed values of the fixture mapping (FIXTURES.md) ----------------------
 EPOCH = "2024-01-01 00:00:00"
-# seat numbers come from part keys below 60, so no flight has more than 60 seats
+# the largest seat_capacity of aircraft() below
 MAX_SEATS = 60
-SEAT_KEY_LIMIT = 60
 FARE_CLASS_NAMES = ("Economy", "Economy Plus", "Premium", "Business", "First")
 # row bound checked before broadcasting nation/region-sized dimensions
 DIM_ROWS = 10_000
@@ -68,6 +66,10 @@ def _pad(c: Column, width: int) -> Column:
     return F.lpad(c.cast("string"), width, "0")
 
 
+def _n_parts(raw) -> Column:
+    return raw["part"].select(F.count(F.lit(1))).scalar()
+
+
 def _n_suppliers(raw) -> Column:
     # scalar subquery: stays inside the plan, no driver round trip
     return raw["supplier"].select(F.count(F.lit(1))).scalar()
@@ -158,7 +160,7 @@ def flights(raw) -> DataFrame:
 
 
 def flight_schedules(raw) -> DataFrame:
-    e = raw["events"].filter(F.col("event_id") % 20 != 0)
+    e = raw["events"].filter(F.col("event_type") != "click")  # flights without a schedule
     # existence check against part: a semi join, part columns are not needed
     e = e.join(raw["part"].select("p_partkey"), e.event_id == F.col("p_partkey"), "left_semi")
     k = F.col("event_id")
@@ -199,12 +201,19 @@ def bookings_wide(raw, flights_df: DataFrame, aircraft_df: DataFrame) -> DataFra
                    (F.col("o_orderdate") + _hours(k % 24)).alias("booked_at"),
                    "amount", "o_orderstatus")
     w = Window.partitionBy("flight_id").orderBy("booking_id")
-    b0 = (b0.withColumn("seat_idx", F.row_number().over(w).cast("bigint"))
-          .filter(F.col("seat_idx") <= MAX_SEATS))
+    first = (b0.select("booking_id", "flight_id").withColumn("seat_idx", F.row_number().over(w).cast("bigint"))
+             .filter(F.col("seat_idx") <= MAX_SEATS))
     cap = (flights_df.select("flight_id", "aircraft_id")
            .join(aircraft_df.select("aircraft_id", "seat_capacity"), "aircraft_id")
            .select("flight_id", "seat_capacity"))
-    b = b0.join(cap, "flight_id").filter(F.col("seat_idx") <= F.col("seat_capacity"))
+    seated = (first.join(cap, "flight_id").filter(F.col("seat_idx") <= F.col("seat_capacity"))
+              .select("booking_id", "seat_idx"))
+    # orders beyond the capacity are cancelled bookings of a seat that another holds
+    b = b0.join(cap, "flight_id").join(seated, "booking_id", "left")
+    over = F.col("seat_idx").isNull()
+    b = b.withColumn("status", F.when(over, "Cancelled").otherwise(F.col("status"))).withColumn(
+        "seat_idx", F.when(over, F.lit(1) + F.col("booking_id") % F.col("seat_capacity"))
+        .otherwise(F.col("seat_idx")))
     cancelled = F.col("status") == "Cancelled"
     return b.select(
         F.col("booking_id").cast("bigint").alias("booking_id"),
@@ -236,7 +245,8 @@ BOOKING_COLUMNS = ("booking_id", "passenger_id", "flight_id", "seat_id", "staff_
 def boarding_records(bw: DataFrame, flights_df: DataFrame) -> DataFrame:
     open_flights = (flights_df.filter(F.col("status").isin("Boarding", "Departed", "Arrived"))
                     .select("flight_id"))
-    b = (bw.filter((F.col("status") == "Confirmed") & (F.col("booking_id") % 10 != 9))
+    # orders still open are not boarded yet
+    b = (bw.filter((F.col("status") == "Confirmed") & (F.col("o_orderstatus") != "O"))
          .join(open_flights, "flight_id", "left_semi"))
     return b.select(
         F.col("booking_id").alias("boarding_id"), "booking_id", "passenger_id", "flight_id",
@@ -245,16 +255,12 @@ def boarding_records(bw: DataFrame, flights_df: DataFrame) -> DataFrame:
 
 
 def seats(raw, flights_df, aircraft_df, bw, boarding_df) -> DataFrame:
-    # seat numbers: part keys below SEAT_KEY_LIMIT, plus one (a bounded table)
-    numbers = (raw["part"].filter(F.col("p_partkey") < SEAT_KEY_LIMIT)
-               .select((F.col("p_partkey") + 1).alias("n")))
     cap = F.col("seat_capacity")
     fa = (flights_df.select("flight_id", "aircraft_id")
           .join(aircraft_df.select("aircraft_id", "seat_capacity"), "aircraft_id"))
     gen = fa.select("flight_id", F.explode(
         F.when(cap >= 1, F.sequence(F.lit(1), cap)).otherwise(F.array().cast("array<int>")))
         .alias("n")).withColumn("n", F.col("n").cast("bigint"))
-    gen = gen.join(broadcast_if_bounded(numbers, SEAT_KEY_LIMIT), "n", "left_semi")
     live = (bw.filter(F.col("status") != "Cancelled")
             .select("flight_id", F.col("seat_idx").alias("n"), "booking_id"))
     br = boarding_df.select("booking_id", F.col("status").alias("br_status"))
@@ -327,18 +333,19 @@ def derive_tables(raw, keep=None) -> dict[str, DataFrame]:
 
 def booking_requests(raw) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("o_custkey")
+    flight = F.floor(c / 6) % _n_parts(raw)  # a few customers ask for the same flight and seats
     return raw["orders"].filter(k % 7 == 0).select(
         k.alias("request_id"),
         F.when(k % 40 == 0, F.lit(-1).cast("bigint")).otherwise(c).alias("passenger_id"),
-        F.when(k % 45 == 0, F.lit(-1).cast("bigint")).otherwise(k % 50).alias("flight_id"),
-        ((k % 50) * 100 + 1 + c % 60).alias("seat_id"),
+        F.when(k % 45 == 0, F.lit(-1).cast("bigint")).otherwise(flight).alias("flight_id"),
+        (flight * 100 + 1 + F.floor(c / 2) % 20).cast("bigint").alias("seat_id"),
         (c % _n_suppliers(raw)).alias("staff_id"),
         F.col("o_orderdate").alias("requested_at"))
 
 
 def cancel_requests(bw: DataFrame) -> DataFrame:
     k = F.col("booking_id")
-    return bw.filter(k % 11 == 0).select(
+    return bw.select(
         (k + 1000000).alias("request_id"), "booking_id",
         F.when(k % 22 == 0, F.lit(None).cast("string")).otherwise(F.lit("schedule change"))
         .alias("cancel_reason"),
@@ -347,7 +354,7 @@ def cancel_requests(bw: DataFrame) -> DataFrame:
 
 def payment_requests(bw: DataFrame) -> DataFrame:
     k = F.col("booking_id")
-    return bw.filter(k % 5 == 0).select(
+    return bw.select(
         (k + 2000000).alias("request_id"), "booking_id", F.lit("Card").alias("method"),
         F.when(k % 35 == 0, F.lit(0).cast("decimal(12,2)")).otherwise(F.col("amount"))
         .alias("amount"),
@@ -356,10 +363,10 @@ def payment_requests(bw: DataFrame) -> DataFrame:
 
 def boarding_events(bw: DataFrame) -> DataFrame:
     k = F.col("booking_id")
-    a = bw.filter(k % 3 == 0).select(
+    a = bw.select(
         (k * 2).alias("event_id"), "booking_id", F.lit("Boarded").alias("status"),
         (F.col("booked_at") + _hours(F.lit(30))).alias("event_ts"))
-    b = bw.filter(k % 9 == 0).select(
+    b = bw.filter(F.col("o_orderstatus") == "F").select(
         (k * 2 + 1).alias("event_id"), "booking_id", F.lit("No_Show").alias("status"),
         (F.col("booked_at") + _hours(F.lit(31))).alias("event_ts"))
     return a.unionByName(b)

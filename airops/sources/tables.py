@@ -8,7 +8,7 @@ TPC-H-like test tables, from which they are derived (``fixtures.py``).
 from __future__ import annotations
 
 import hashlib
-import os
+import inspect
 import uuid
 from collections.abc import Callable, Iterator, Mapping
 
@@ -82,37 +82,50 @@ class Tables(Mapping):
         return t
 
 
-def _has_airline_tables(path: str) -> bool:
-    return all(os.path.exists(os.path.join(path, f"{t}.parquet"))
-               or os.path.isdir(os.path.join(path, t)) for t in TABLES)
+def _opened(spark: SparkSession, path: str, table: str) -> DataFrame | None:
+    """The stored table (a file or folder, on any file system Spark reads), or None."""
+    for name in (f"{table}.parquet", table):
+        try:
+            return spark.read.schema(TABLE_SCHEMAS[table]).parquet(f"{path.rstrip('/')}/{name}")
+        except AnalysisException:  # no such path
+            continue
+    return None
 
 
-_CACHE: dict[tuple[int, str], Tables] = {}
+def _bound(spark: SparkSession, path: str) -> dict[str, DataFrame] | None:
+    frames = {}
+    for t in TABLES:
+        df = _opened(spark, path, t)
+        if df is None:
+            return None
+        frames[t] = df
+    return frames
+
+
+# derived tables by session, path and the state of the raw files: changed files are seen
+_CACHE: dict[tuple[int, str, str, bool], Tables] = {}
 # version of the derived layout: part of the snapshot key, so a snapshot
 # written by an older mapping is never read back
-_LAYOUT = "tables12+bookings_wide/v2"
+_LAYOUT = "tables12+bookings_wide/v3"
 
 
 def airline_tables(spark: SparkSession, path: str, materialize: bool = True) -> Tables:
-    """Bind the 12 tables found at (or derived from) ``path``."""
-    key = (id(spark), (os.path.abspath(path) if "://" not in path else path), materialize)
+    """Bind the 12 tables found at (or derived from) ``path``, any URI that Spark reads."""
+    try:
+        key = (id(spark), path, _fingerprint(spark, path), materialize)
+    except AnalysisException:  # not the raw tables: the 12 tables themselves
+        frames = _bound(spark, path)
+        if frames is None:
+            raise
+        return Tables(spark, frames, source=path)
     hit = _CACHE.get(key)
     if hit is not None and hit.spark is spark:
         return hit
-    if "://" not in path and _has_airline_tables(path):
-        frames = {}
-        for t in TABLES:
-            p = os.path.join(path, f"{t}.parquet")
-            p = p if os.path.exists(p) else os.path.join(path, t)
-            frames[t] = spark.read.schema(TABLE_SCHEMAS[t]).parquet(p)
-        tables = Tables(spark, frames, source=path)
-    elif materialize:
-        frames, extras = _materialized(spark, path)
-        tables = Tables(spark, frames, extras, source=path)
-    else:
-        frames, extras = _derived(spark, path)
-        tables = Tables(spark, frames, extras, source=path)
-    _CACHE[key] = tables
+    frames = _bound(spark, path)
+    if frames is not None:
+        return Tables(spark, frames, source=path)
+    frames, extras = (_materialized if materialize else _derived)(spark, path)
+    tables = _CACHE[key] = Tables(spark, frames, extras, source=path)
     return tables
 
 
@@ -140,17 +153,18 @@ def _extra_builders(raw, bw) -> dict[str, Callable[[], DataFrame]]:
     return out
 
 
-def _fingerprint(path: str) -> str:
-    h = hashlib.sha1(os.path.abspath(path).encode())
-    # the set of derived frames is part of the key: a snapshot written by an
-    # older version of the mapping is never read back
-    h.update(_LAYOUT.encode())
-    with open(fixtures.__file__, "rb") as src:  # the mapping's code is part of the key
-        h.update(src.read())
+def _fingerprint(spark: SparkSession, path: str) -> str:
+    """The mapping's code and the names, sizes and times of the raw files, as
+    the file system of ``path`` tells them (metadata only)."""
+    h = hashlib.sha1(f"{path}\n{_LAYOUT}\n{inspect.getsource(fixtures)}".encode())
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
     for t in fixtures.RAW_TABLES:
-        p = os.path.join(path, f"{t}.parquet")
-        st = os.stat(p)
-        h.update(f"{t}:{st.st_size}:{st.st_mtime_ns}".encode())
+        at = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{t}.parquet")
+        fs = at.getFileSystem(conf)
+        if not fs.exists(at):
+            raise AnalysisException(f"no raw table {t} in {path}")
+        for f in sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at)):
+            h.update(f"{t}:{f}".encode())
     return h.hexdigest()[:16]
 
 
@@ -162,10 +176,10 @@ def _materialized(spark, path):
     and the rest is derived from the written copies; afterwards each query
     plans against parquet tables as it would in production, and a lost
     executor re-reads files instead of recomputing the mapping."""
-    base = scratch_path(spark, f"airops-fixture-{_fingerprint(path)}")
+    base = scratch_path(spark, f"airops-fixture-{_fingerprint(spark, path)}")
     done = f"{base}/_COMPLETE"
     raw = fixtures.read_raw(spark, path)
-    if _read_marker(spark, done) is None:
+    if read_marker(spark, done) is None:
         run = f"{base}/attempt-{uuid.uuid4().hex[:8]}"
         written: set[str] = set()
 
@@ -180,15 +194,15 @@ def _materialized(spark, path):
         for n, df in frames.items():
             if n not in written:
                 df.write.mode("errorifexists").parquet(f"{run}/{n}")
-        _write_marker(spark, done, run)
-    run = _read_marker(spark, done)
+        write_marker(spark, done, run)
+    run = read_marker(spark, done)
     # fixed schemas: no inference, no re-cast
     frames = {t: spark.read.schema(TABLE_SCHEMAS[t]).parquet(f"{run}/{t}") for t in TABLES}
     bw = spark.read.schema(fixtures.BOOKINGS_WIDE_SCHEMA).parquet(f"{run}/_bookings_wide")
     return frames, _extra_builders(raw, bw)
 
 
-def _read_marker(spark, p: str) -> str | None:
+def read_marker(spark, p: str) -> str | None:
     try:
         row = spark.read.text(p).first()
     except AnalysisException:  # not written yet
@@ -196,7 +210,7 @@ def _read_marker(spark, p: str) -> str | None:
     return row[0] if row else None
 
 
-def _write_marker(spark, p: str, content: str) -> None:
+def write_marker(spark, p: str, content: str) -> None:
     try:
         spark.range(1).select(F.lit(content).alias("run")).write.mode("errorifexists").text(p)
     except AnalysisException:  # another job finished first; its run is used
@@ -210,12 +224,12 @@ def _conform(df: DataFrame, table: str) -> DataFrame:
 
 
 def write_snapshot(tables: Mapping[str, DataFrame], path: str, version: int | str,
-                   only: list[str] | None = None) -> str:
+                   only: list[str] | None = None, mode: str = "errorifexists") -> str:
     """Persist tables after a command batch to ``<path>/v<version>/<table>``.
 
     A new version directory each time: the snapshot being read is never
-    overwritten (``errorifexists``)."""
+    overwritten."""
     out = f"{path.rstrip('/')}/v{version}"
     for name in (only or list(tables)):
-        tables[name].write.mode("errorifexists").parquet(f"{out}/{name}")
+        tables[name].write.mode(mode).parquet(f"{out}/{name}")
     return out
