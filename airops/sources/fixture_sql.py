@@ -140,7 +140,7 @@ select o_orderkey request_id, case when o_orderkey % 40 = 0 then -1 else o_custk
  (cast(floor(o_custkey / 6) as bigint) % (select count(*) from part)) * 100 + 1
   + cast(floor(o_custkey / 2) as bigint) % 20 seat_id,
  o_custkey % (select count(*) from supplier) staff_id, o_orderdate requested_at
-from orders where o_orderkey % 7 = 0"""),
+from orders"""),
     ("cancel_requests", """
 select booking_id + 1000000 request_id, booking_id,
  case when booking_id % 22 = 0 then null else 'schedule change' end cancel_reason,
