@@ -15,7 +15,9 @@ Scale notes (checked with ``explain``):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from airops.functions.numeric import (avg_money, minutes_between, money, pct_half_up)
@@ -162,25 +164,21 @@ def overall_stats(t) -> DataFrame:
 
     Same as flights LEFT JOIN bookings LEFT JOIN passengers with four count
     distincts, without the joins' fan-out: bookings are semi-joined to
-    flights, passengers are tested by a semi join, and flights and bookings
-    meet in one union feeding a single aggregate."""
+    flights, their distinct passengers to passengers, and all meet in one union
+    that is counted by one aggregate."""
     fl = t["flights"].select("flight_id")
     b = t["bookings"].select("booking_id", "passenger_id", "flight_id", "status")
     b = b.join(fl, "flight_id", "left_semi")
-    known = b.select("passenger_id").join(t["passengers"].select("passenger_id"),
-                                          "passenger_id", "left_semi")
-    null = F.lit(None).cast("bigint")
-    rows = (fl.select("flight_id", null.alias("booking_id"), null.alias("passenger_id"),
-                      null.alias("cancelled_id"))
-            .unionByName(b.select(null.alias("flight_id"), "booking_id", null.alias("passenger_id"),
-                                  F.when(F.col("status") == "Cancelled", F.col("booking_id"))
-                                  .alias("cancelled_id")))
-            .unionByName(known.select(null.alias("flight_id"), null.alias("booking_id"),
-                                      "passenger_id", null.alias("cancelled_id"))))
-    return rows.agg(F.count_distinct("flight_id").alias("total_flights"),
-                    F.count_distinct("booking_id").alias("total_bookings"),
-                    F.count_distinct("passenger_id").alias("total_passengers"),
-                    F.count_distinct("cancelled_id").alias("cancelled_bookings"))
+    # ids are primary keys: only passengers repeat among bookings
+    known = b.select("passenger_id").distinct().join(t["passengers"].select("passenger_id"),
+                                                     "passenger_id", "left_semi")
+    rows = (fl.select(F.lit("f").alias("kind"), F.lit(False).alias("gone"))
+            .unionByName(b.select(F.lit("b").alias("kind"),
+                                  F.coalesce(F.col("status") == "Cancelled", F.lit(False)).alias("gone")))
+            .unionByName(known.select(F.lit("p").alias("kind"), F.lit(False).alias("gone"))))
+    count = lambda k: F.count_if(F.col("kind") == k)
+    return rows.agg(count("f").alias("total_flights"), count("b").alias("total_bookings"),
+                    count("p").alias("total_passengers"), F.count_if("gone").alias("cancelled_bookings"))
 
 
 # --- the two documents ------------------------------------------------------
@@ -188,7 +186,8 @@ def overall_stats(t) -> DataFrame:
 def _nest(df: DataFrame, name: str, order: list, key: str) -> DataFrame:
     """One row ``(key, name: array<struct>)`` ordered by ``order`` (bounded sections only)."""
     fields = [c for c in df.columns]
-    sort_struct = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)],
+    # a section's amounts fall with nulls last, as in the section itself
+    sort_struct = F.struct(*[F.struct(o.isNull(), o).alias(f"_o{i}") for i, o in enumerate(order)],
                            F.struct(*fields).alias("v"))
     arr = F.sort_array(F.collect_list(sort_struct))
     return (df.groupBy(F.lit(key).alias("report_type"))
@@ -242,6 +241,51 @@ def _assemble(key: str, sections: list[DataFrame]) -> DataFrame:
             .filter(F.col("report_type") == F.lit(key)))
 
 
+def _rows(df: DataFrame, section: str, label: str, n: str, amount, average) -> DataFrame:
+    """A section's entries in their order, in the columns that all sections share."""
+    order = Window.partitionBy("section").orderBy(F.desc_nulls_last("amount"), "entry")
+    return df.select(F.lit(section).alias("section"), F.col(label).alias("entry"),
+                     F.col(n).cast("bigint").alias("entries"), amount.cast("double").alias("amount"),
+                     average.cast("double").alias("average")).withColumn(
+        "position", F.row_number().over(order).cast("bigint")).select(
+        "section", "position", "entry", "entries", "amount", "average")
+
+
+def revenue_report_rows(t, date_from=None, date_to=None) -> DataFrame:
+    """The revenue document as rows (section, position, entry, entries, amount,
+    average); sections are bounded by the dimensions."""
+    none, c = F.lit(None), F.col
+    summary = revenue_summary(t, date_from, date_to).withColumn("window", F.lit(
+        "All time" if not (date_from or date_to) else f"{date_from or ''}..{date_to or ''}"))
+    parts = [
+        _rows(revenue_by_class(t, date_from, date_to), "by_class", "class_name", "tickets_sold",
+              c("class_revenue"), c("avg_fare")),
+        _rows(revenue_by_route(t, date_from, date_to), "by_route", "route", "bookings", c("route_revenue"),
+              c("avg_fare")),
+        _rows(revenue_by_method(t, date_from, date_to), "by_method", "payment_method", "transaction_count",
+              c("method_revenue"), none),
+        _rows(top_flights(t, date_from, date_to), "top_flights", "flight_no", "passengers",
+              c("flight_revenue"), none),
+        _rows(summary, "summary", "window", "total_transactions", c("net_revenue"), c("average_fare")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def operational_report_rows(t) -> DataFrame:
+    """The bounded sections of the operational document as rows; the per-flight
+    sections are the queries ``seat_occupancy``, ``noshow_rates`` and
+    ``ontime_performance``."""
+    c = F.col
+    stats = overall_stats(t)
+    line = F.explode(F.array(*[F.struct(F.lit(k).cast("bigint").alias("position"), F.lit(n).alias("entry"),
+                                        c(n).alias("entries")) for k, n in enumerate(stats.columns, start=1)]))
+    flat = stats.select(line.alias("x")).select(
+        F.lit("overall_stats").alias("section"), "x.position", "x.entry", "x.entries",
+        c("x.entries").cast("double").alias("amount"), F.lit(None).cast("double").alias("average"))
+    return flat.unionByName(_rows(flights_by_status(t), "flights_by_status", "status", "flight_count",
+                                  c("flight_count"), F.lit(None)))
+
+
 def operational_report(t) -> dict[str, DataFrame]:
     """The operational document.
 

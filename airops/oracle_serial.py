@@ -68,7 +68,11 @@ select request_id, code < 300 accepted, cast(code as integer) code, reason from
 select r.passenger_id, r.flight_id, r.seat_id, r.staff_id, {_pnr('r.request_id')} pnr, 'Pending' status,
  r.requested_at booked_at
 from w join booking_requests r on r.request_id = w.request_id where w.rn > 0 and w.code = 201"""
-    return {"admit_bookings": outcomes, "admit_bookings_new": new}
+    seats = walk + """
+select s.seat_id, case when exists (select 1 from w join booking_requests r on r.request_id = w.request_id
+   where w.rn > 0 and w.code = 201 and r.seat_id = s.seat_id) then 'Reserved' else s.status end status
+from seats s"""
+    return {"admit_bookings": outcomes, "admit_bookings_new": new, "admit_bookings_seats": seats}
 
 
 PASSENGER_REQUESTS = """

@@ -43,6 +43,8 @@ for _n in ("flights_by_status", "seat_occupancy", "noshow_rates", "ontime_perfor
            "overall_stats"):
     _simple(_n, getattr(R, _n))
 QUERIES["revenue_report"] = lambda spark, d: R.revenue_report(_t(spark, d))
+_simple("revenue_report_rows", R.revenue_report_rows)
+_simple("operational_report_rows", R.operational_report_rows)
 QUERIES["operational_report"] = lambda spark, d: R.operational_report(_t(spark, d))["summary"]
 
 # --- 2.3 views ---------------------------------------------------------------
@@ -131,20 +133,30 @@ def _cmd(name, fn, batch, after=None):
 
 _cmd("cancel_bookings", BF.cancel_bookings, "cancel_requests", {
     "after": ("bookings", lambda df: df.select("booking_id", "status", "cancel_reason",
-                                               "cancelled_at"))})
+                                               "cancelled_at")),
+    "seats": ("seats", lambda df: df.select("seat_id", "status")),
+    "payments": ("payments", lambda df: df.select(
+        "booking_id", "status", _F.col("refund_amount").cast("double"), "updated_at")),
+    "tickets": ("tickets", lambda df: df.select("ticket_id", "is_cancelled"))})
 _cmd("process_payments", BF.process_payments, "payment_requests", {
     "tickets": ("tickets", lambda df: df.filter(_F.col("ticket_no").startswith("TKT-R")).select(
         "booking_id", "fare_class_id", "ticket_no", _F.col("base_fare").cast("double"),
         _F.col("multiplier_snapshot").cast("double"), _F.col("final_fare").cast("double"),
-        "issue_date", "is_cancelled"))})
+        "issue_date", "is_cancelled")),
+    "payments": ("payments", lambda df: df.select(
+        "booking_id", "method", _F.col("amount").cast("double"), "status",
+        _F.col("refund_amount").cast("double"), "payment_date", "updated_at")),
+    "bookings": ("bookings", lambda df: df.select("booking_id", "status"))})
 _cmd("record_boarding", BF.record_boarding, "boarding_events", {
     "after": ("boarding_records", lambda df: df.select("booking_id", "status", "boarded_at",
-                                                       "passenger_id", "flight_id"))})
+                                                       "passenger_id", "flight_id")),
+    "seats": ("seats", lambda df: df.select("seat_id", "status"))})
 
 
 _cmd("admit_bookings", BA.admit_bookings, "booking_requests", {
     "new": ("bookings", lambda df: df.filter(_F.col("pnr").startswith("R")).select(
-        "passenger_id", "flight_id", "seat_id", "staff_id", "pnr", "status", "booked_at"))})
+        "passenger_id", "flight_id", "seat_id", "staff_id", "pnr", "status", "booked_at")),
+    "seats": ("seats", lambda df: df.select("seat_id", "status"))})
 
 
 _cmd("register_passengers", PC.register_passengers, "passenger_requests", {
