@@ -47,12 +47,12 @@ def outcomes(df: DataFrame, checks: list[tuple[int, str, Column]], ok_code: int,
 
 
 def new_ids(table: DataFrame, pk: str, rid: str = "request_id") -> Column:
-    """A new key per request: (max existing key) + request_id.
+    """A new key per request: (max existing key) + request_id + 1.
 
-    Unique without a global ranking (request ids are unique and positive);
+    Unique without a global ranking (request ids are unique and not negative);
     the max is a scalar subquery."""
     mx = table.agg(F.coalesce(F.max(pk), F.lit(0)).cast("bigint")).scalar()
-    return (mx + F.col(rid)).cast("bigint")
+    return (mx + F.col(rid) + 1).cast("bigint")
 
 
 def upsert(base: DataFrame, changes: DataFrame, key: str, cols: list[str]) -> DataFrame:
