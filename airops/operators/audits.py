@@ -109,18 +109,22 @@ def audit_unique(t, include_primary_keys: bool = True) -> DataFrame:
     """Per unique constraint: keys that occur more than once and the excess rows.
 
     All constraints share one aggregation: each table contributes
-    ``(constraint id, key as array<string>)`` rows (a key with a NULL
-    component never conflicts, as in SQL), the union is counted per key once
-    (one shuffle, partial aggregation), and duplicated keys are summed per
-    constraint. Constraints without duplicates get a zero row."""
+    ``(constraint id, 64-bit hash of the key)`` rows (a key with a NULL
+    component never conflicts, as in SQL), so unique keys cross the shuffle as
+    a few bytes. Only rows whose hash repeats are then counted by the whole
+    key, which makes the result exact. Constraints without duplicates get a
+    zero row."""
     cons = unique_constraints(include_primary_keys)
     parts = []
     for i, (_, table, cols) in enumerate(cons):
         df = t[table].filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols]))
-        parts.append(df.select(F.lit(i).alias("cid"),
+        parts.append(df.select(F.lit(i).alias("cid"), F.xxhash64(*cols).alias("h"),
                                F.array(*[F.col(c).cast("string") for c in cols]).alias("k")))
     keys = _union(parts)
-    dup = (keys.groupBy("cid", "k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    repeated = (keys.groupBy("cid", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+                .select("cid", "h"))
+    dup = (keys.join(repeated, ["cid", "h"], "left_semi")
+           .groupBy("cid", "h", "k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
            .groupBy("cid").agg(F.count(F.lit(1)).alias("duplicated_keys"),
                                F.sum(F.col("n") - 1).alias("violations")))
     names = _names(t.spark, [(i, n, tb) for i, (n, tb, _) in enumerate(cons)],
@@ -134,20 +138,29 @@ def audit_unique(t, include_primary_keys: bool = True) -> DataFrame:
 def audit_foreign_keys(t) -> DataFrame:
     """Per foreign key: child rows whose (non-NULL) key has no parent row.
 
-    One plan for all keys: child keys are counted per (foreign key, parent
-    table, key) -- a hot key becomes one row -- and anti-joined in a single
-    join with the union of the parent tables' keys."""
+    One plan for all keys: child keys are counted per (parent table, key),
+    with one counter for each of the parent's foreign keys -- a hot key becomes
+    one row per map task -- and anti-joined with the union of the parent
+    tables' keys on the same two columns, so both need one shuffle only."""
+    slots: list[tuple[str, int]] = []  # of each foreign key: its parent and its place among the parent's
+    for _, _, parent, _ in FOREIGN_KEYS:
+        slots.append((parent, sum(1 for p, _ in slots if p == parent)))
+    width = 1 + max(slot for _, slot in slots)
     children = _union([
         t[table].filter(F.col(col).isNotNull())
-        .select(F.lit(i).alias("fid"), F.lit(parent).alias("parent"),
-                F.col(col).cast("bigint").alias("key"))
-        for i, (table, col, parent, _) in enumerate(FOREIGN_KEYS)])
-    per_key = children.groupBy("fid", "parent", "key").agg(F.count(F.lit(1)).alias("n"))
+        .select(F.lit(parent).alias("parent"), F.col(col).cast("bigint").alias("key"), F.lit(slot).alias("slot"))
+        for (table, col, _, _), (parent, slot) in zip(FOREIGN_KEYS, slots)])
+    per_key = children.groupBy("parent", "key").agg(
+        *[F.count_if(F.col("slot") == s).alias(f"n{s}") for s in range(width)])
     parent_tables = sorted({(p, k) for _, _, p, k in FOREIGN_KEYS})
     parents = _union([t[p].select(F.lit(p).alias("parent"), F.col(k).cast("bigint").alias("key"))
                       for p, k in parent_tables])
-    orphans = (per_key.join(parents, ["parent", "key"], "left_anti")
-               .groupBy("fid").agg(F.sum("n").alias("violations")))
+    lost = (per_key.join(parents, ["parent", "key"], "left_anti")
+            .groupBy("parent").agg(*[F.sum(f"n{s}").alias(f"n{s}") for s in range(width)]))
+    orphans = lost.select("parent", F.posexplode(F.array(*[f"n{s}" for s in range(width)]))
+                          .alias("slot", "violations"))
+    of_slot = _names(t.spark, [(i, p, s) for i, (p, s) in enumerate(slots)], "fid int, parent string, slot int")
+    orphans = orphans.join(of_slot, ["parent", "slot"]).select("fid", "violations")
     names = _names(t.spark, [(i, f"{tb}_{c}_fkey", tb) for i, (tb, c, _, _) in enumerate(FOREIGN_KEYS)],
                    "fid int, constraint_name string, table_name string")
     return (names.join(orphans, "fid", "left")

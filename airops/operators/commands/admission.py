@@ -17,14 +17,17 @@ rows, no group collected into one task):
 4. repeat until nothing is undecided. The earliest undecided request always
    qualifies in step 2, so each round admits at least one request.
 
-The number of rounds is the length of the longest chain of requests that
-alternate between the two keys; each round's undecided set is checkpointed
-(to ``spark.checkpoint.dir``) so lineage stays short and a lost executor
-re-reads the last round instead of recomputing all of them.
+The number of rounds is at most one more than the length of the longest chain
+of requests that alternate between the two keys; a round marks its undecided
+requests in one frame, checkpointed (to ``spark.checkpoint.dir``) so that
+lineage stays short and a lost executor re-reads the last round instead of
+recomputing all of them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,33 +37,25 @@ def _key(cols: list[str]):
 
 
 def greedy_admission(cands: DataFrame, key1: list[str], key2: list[str],
-                     order: str = "_ord", rid: str = "request_id",
-                     checkpoint_every: int = 1) -> DataFrame:
+                     order: str = "_ord", rid: str = "request_id") -> DataFrame:
     """Return ``(rid,)`` of the admitted candidates.
 
     ``cands`` has one row per request with ``rid``, ``order`` (comparable,
     unique) and the key columns; requests failing static checks must already
     be removed."""
-    u = cands.select(rid, order, _key(key1).alias("_k1"), _key(key2).alias("_k2"))
+    open_ = cands.select(rid, order, _key(key1).alias("_k1"), _key(key2).alias("_k2"))
     admitted: list[DataFrame] = []
-    rounds = 0
     while True:
-        u = u.checkpoint() if rounds % checkpoint_every == 0 else u
-        if u.isEmpty():
-            break
-        rounds += 1
-        m1 = u.groupBy("_k1").agg(F.min(order).alias("_m1"))
-        m2 = u.groupBy("_k2").agg(F.min(order).alias("_m2"))
-        j = u.join(m1, "_k1").join(m2, "_k2")
-        new = j.filter((F.col(order) == F.col("_m1")) & (F.col(order) == F.col("_m2"))) \
-            .select(rid, order, "_k1", "_k2").checkpoint()
+        m1 = open_.groupBy("_k1").agg(F.min(order).alias("_m1"))
+        m2 = open_.groupBy("_k2").agg(F.min(order).alias("_m2"))
+        first = (F.col(order) == F.col("_m1")) & (F.col(order) == F.col("_m2"))
+        marked = (open_.join(m1, "_k1").join(m2, "_k2")
+                  .select(rid, order, "_k1", "_k2", first.alias("_in")).checkpoint())
+        new = marked.filter("_in")
         admitted.append(new.select(rid))
-        rest = u.join(new.select(rid), rid, "left_anti")
-        rest = rest.join(new.select("_k1"), "_k1", "left_anti")
-        u = rest.join(new.select("_k2"), "_k2", "left_anti")
-    if not admitted:
-        return cands.select(rid).limit(0)
-    out = admitted[0]
-    for a in admitted[1:]:
-        out = out.unionByName(a)
-    return out.checkpoint()
+        left = marked.filter("NOT _in").drop("_in")
+        if left.isEmpty():
+            break
+        open_ = (left.join(new.select("_k1"), "_k1", "left_anti")
+                 .join(new.select("_k2"), "_k2", "left_anti"))
+    return reduce(DataFrame.unionByName, admitted).checkpoint()

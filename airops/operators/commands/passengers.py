@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from airops.operators.audits import EMAIL_PATTERN
@@ -105,20 +105,31 @@ def _email_events(accepted: DataFrame, initial: DataFrame) -> DataFrame:
     return init.unionByName(takes).unionByName(releases)
 
 
+def _last_before(reqs: DataFrame, events: DataFrame, key: str, value: str) -> DataFrame:
+    """Add the ``value`` of the last of ``events`` (key, at, value) before each
+    request on the same key, or NULL: requests and events are stacked and read
+    once in order, so a hot key costs its rows and not their pairs."""
+    vtype = events.schema[value].dataType
+    both = (reqs.select(key, F.col("_ord").alias("_at"), F.lit(0).alias("_kind"),
+                        F.lit(None).cast(vtype).alias(value), "request_id")
+            .unionByName(events.filter(F.col(key).isNotNull()).select(
+                key, F.col("at").alias("_at"), F.lit(1).alias("_kind"), value,
+                F.lit(None).cast("bigint").alias("request_id"))))
+    # at the same moment the request comes first: it does not see its own event
+    w = (Window.partitionBy(key).orderBy("_at", "_kind", value)
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    seen = both.select("request_id", F.last(value, ignorenulls=True).over(w).alias(value))
+    return reqs.join(seen.filter(F.col("request_id").isNotNull()), "request_id", "left")
+
+
 def _held_by_other(reqs: DataFrame, events: DataFrame) -> DataFrame:
     """Add ``_taken``: at the request's time, its target e-mail is held by
     another passenger (the last event on the address before then is a take by
     someone else)."""
-    e = events.select(F.col("email"), F.col("at"), F.col("holder"), F.col("take"))
-    j = (reqs.select("request_id", "email", "_ord", "passenger_id")
-         .join(e, "email").filter(F.col("at") < F.col("_ord")))
-    last = j.groupBy("request_id").agg(
-        F.max_by(F.struct("take", "holder", "passenger_id"), F.col("at")).alias("_last"))
-    taken = last.select("request_id", (F.col("_last.take")
-                                       & (F.col("_last.holder") != F.col("_last.passenger_id")))
-                        .alias("_taken"))
-    return reqs.join(taken, "request_id", "left").withColumn(
-        "_taken", F.coalesce(F.col("_taken"), F.lit(False)))
+    r = _last_before(reqs, events.select("email", "at", F.struct("holder", "take").alias("_last")),
+                     "email", "_last")
+    taken = F.col("_last.take") & (F.col("_last.holder") != F.col("passenger_id"))
+    return r.withColumn("_taken", F.coalesce(taken, F.lit(False))).drop("_last")
 
 
 def update_passengers(t, requests: DataFrame):
@@ -198,11 +209,8 @@ def update_passengers(t, requests: DataFrame):
         accepted = movers.limit(0).withColumn("prev", F.lit(None).cast("string"))
     events = _email_events(accepted, initial)
     setters = r.filter(sets_email).select("request_id", "passenger_id", "email", "_ord")
-    cur = (setters.join(accepted.select("passenger_id", F.col("_ord").alias("_at"),
-                                        F.col("email").alias("_to")), "passenger_id")
-           .filter(F.col("_at") < F.col("_ord")).groupBy("request_id")
-           .agg(F.max_by("_to", "_at").alias("_cur")))
-    setters = (setters.join(cur, "request_id", "left")
+    moves = accepted.select("passenger_id", F.col("_ord").alias("at"), F.col("email").alias("_cur"))
+    setters = (_last_before(setters, moves, "passenger_id", "_cur")
                .join(initial.select("passenger_id", F.col("email").alias("_e0")), "passenger_id", "left")
                .withColumn("_cur", F.coalesce("_cur", "_e0")))
     setters = _held_by_other(setters, events).select(

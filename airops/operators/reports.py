@@ -8,9 +8,8 @@ Scale notes (checked with ``explain``):
   to one partial-aggregate row per map task before any flight-keyed shuffle.
 * Joins on a primary or unique key of the other side that only test
   existence are semi joins (no fan-out, no payload columns).
-* airports and fare_classes go through ``Tables.dim`` (broadcast behind a
-  row-count bound); flights and aircraft grow with the data and are joined
-  by the planner's choice.
+* every join is the planner's choice: airports and fare_classes are small
+  enough to be broadcast by their bytes, flights and aircraft grow.
 """
 
 from __future__ import annotations

@@ -149,8 +149,9 @@ def manifest_header(t, generated_at: dt.datetime, status: str | None = None) ->
 
 
 def travel_history(t, passenger_id=None) -> DataFrame:
-    """Every booking of each passenger, newest first, with flight, schedule,
-    seat, class, ticket and payment (the last three optional)."""
+    """Every booking of each passenger, a passenger's rows together and newest
+    first, with flight, schedule, seat, class, ticket and payment (the last
+    three optional)."""
     b = t["bookings"]
     if passenger_id is not None:
         b = b.filter(F.col("passenger_id") == F.lit(passenger_id))
@@ -172,7 +173,8 @@ def travel_history(t, passenger_id=None) -> DataFrame:
                      "scheduled_arrival", "flight_status", "seat_number", "travel_class",
                      "ticket_no", F.col("final_fare").cast("double").alias("final_fare"),
                      "payment_status", "payment_method")
-            .orderBy("passenger_id", F.desc("booked_at"), "booking_id"))
+            .repartition("passenger_id")
+            .sortWithinPartitions("passenger_id", F.desc("booked_at"), "booking_id"))
 
 
 def travel_history_summary(t) -> DataFrame:

@@ -30,13 +30,3 @@ def operators(df: DataFrame) -> Counter:
 
 def pushed_filters(df: DataFrame) -> list[str]:
     return re.findall(r"PushedFilters: \[([^\]]*)\]", formatted(df))
-
-
-def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only after checking it has at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows. Beyond the bound the frame
-    is returned unhinted, and the planner (or AQE, from runtime sizes)
-    chooses the join."""
-    from pyspark.sql import functions as F
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

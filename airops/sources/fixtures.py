@@ -5,9 +5,9 @@ Same rows as the SQL text in ``fixture_sql.py`` (checked in tests), but planned
 for scale:
 
 * nation/region-derived dimensions (airports, fare_classes) have a fixed size
-  (25 and 5 rows) and are broadcast after a row-count check; everything derived from part, supplier,
-  customer, orders or lineitem grows with the data and is left to the planner
-  (sort-merge at scale, broadcast by AQE when the runtime size is small).
+  (25 and 5 rows); everything derived from part, supplier, customer, orders or
+  lineitem grows with the data. All joins are left to the planner (broadcast
+  below its byte threshold or by AQE from runtime sizes, sort-merge at scale).
 * ``seat_idx`` (the order of a booking within its flight) only matters up to
   the largest aircraft (``MAX_SEATS``): the window is filtered with
   ``row_number() <= MAX_SEATS`` so Spark inserts a partial WindowGroupLimit
@@ -23,15 +23,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from airops.plans import broadcast_if_bounded
 
 # --- fixed values of the fixture mapping (FIXTURES.md) ----------------------
 EPOCH = "2024-01-01 00:00:00"
 # the largest seat_capacity of aircraft() below
 MAX_SEATS = 60
 FARE_CLASS_NAMES = ("Economy", "Economy Plus", "Premium", "Business", "First")
-# row bound checked before broadcasting nation/region-sized dimensions
-DIM_ROWS = 10_000
 # --- end of fixed values -----------------------------------------------------
 
 RAW_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -78,7 +75,7 @@ def _n_suppliers(raw) -> Column:
 def airports(raw) -> DataFrame:
     n, r = raw["nation"], raw["region"]
     k = F.col("n_nationkey")
-    return (n.join(broadcast_if_bounded(r, DIM_ROWS), n.n_regionkey == r.r_regionkey)
+    return (n.join(r, n.n_regionkey == r.r_regionkey)
             .select(k.cast("bigint").alias("airport_id"),
                     F.concat(F.lit("Airport "), F.col("n_name")).alias("airport_name"),
                     F.concat(F.lit("AA"), F.char(F.lit(65) + k)).alias("iata_code"),
@@ -117,7 +114,7 @@ def fare_classes(raw) -> DataFrame:
 def passengers(raw) -> DataFrame:
     c, n = raw["customer"], raw["nation"]
     k = F.col("c_custkey")
-    return (c.join(broadcast_if_bounded(n.select("n_nationkey", "n_name"), DIM_ROWS),
+    return (c.join(n.select("n_nationkey", "n_name"),
                    c.c_nationkey == n.n_nationkey)
             .select(k.cast("bigint").alias("passenger_id"), F.col("c_name").alias("full_name"),
                     F.date_add(F.lit("1950-01-01").cast("date"), (k % 18000).cast("int"))
@@ -298,7 +295,7 @@ def tickets(payments_df, bw, flights_df, seats_df, fare_df) -> DataFrame:
     t = (p.join(b, "booking_id")
          .join(flights_df.select("flight_id", "base_fare"), "flight_id")
          .join(seats_df.select("seat_id", "fare_class_id"), "seat_id")
-         .join(broadcast_if_bounded(fare_df.select("fare_class_id", "multiplier"), DIM_ROWS),
+         .join(fare_df.select("fare_class_id", "multiplier"),
                "fare_class_id"))
     return t.select(
         F.col("booking_id").alias("ticket_id"), "booking_id", "fare_class_id",
@@ -388,7 +385,7 @@ def passenger_requests(raw) -> DataFrame:
           .otherwise(F.concat(F.lit("new."), k.cast("string"), F.lit("@example.com"))))
     gender = (F.when(k % 17 == 0, "Unknown").when(k % 3 == 0, "Male").when(k % 3 == 1, "Female")
               .otherwise("Other"))
-    return (c.join(broadcast_if_bounded(n.select("n_nationkey", "n_name"), DIM_ROWS),
+    return (c.join(n.select("n_nationkey", "n_name"),
                    c.c_nationkey == n.n_nationkey)
             .select((k + 3000000).alias("request_id"),
                     (F.to_timestamp_ntz(F.lit("2024-02-01 00:00:00"))

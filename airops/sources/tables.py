@@ -20,11 +20,6 @@ from airops.schema import TABLE_SCHEMAS, TABLES
 from airops.session import scratch_path
 from airops.sources import fixtures, requests
 
-# Dimensions that may be broadcast, with the row bound that is checked first.
-# airports and fare_classes are small by nature (a few thousand airports, a
-# handful of classes); every other table grows with the business.
-BROADCAST_ROW_BOUNDS = {"airports": 100_000, "fare_classes": 10_000}
-
 
 class Tables(Mapping):
     """The airline tables of one snapshot, by name."""
@@ -37,7 +32,6 @@ class Tables(Mapping):
         self._extra_builders = dict(extras or {})
         self._extras: dict[str, DataFrame] = {}
         self.source = source
-        self._dim_ok: dict[str, bool] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         return self._frames[name]
@@ -56,18 +50,9 @@ class Tables(Mapping):
         return self._extras[name]
 
     def dim(self, name: str) -> DataFrame:
-        """A dimension for joining: broadcast when its size is within the checked bound.
-
-        The bound check is a row count, done once per snapshot (metadata only
-        for parquet). Beyond the bound the frame is returned unhinted and the
-        planner picks a shuffle join (or AQE a broadcast from runtime sizes)."""
-        df = self._frames[name]
-        bound = BROADCAST_ROW_BOUNDS.get(name)
-        if bound is None:
-            return df
-        if name not in self._dim_ok:
-            self._dim_ok[name] = df.limit(bound + 1).count() <= bound  # checked once
-        return F.broadcast(df) if self._dim_ok[name] else df
+        """A dimension for joining. No hint: the planner broadcasts it when its
+        bytes are below ``spark.sql.autoBroadcastJoinThreshold``."""
+        return self._frames[name]
 
     def replace(self, **changed: DataFrame) -> Tables:
         """A new bundle with some tables replaced (the result of a command batch)."""
@@ -78,7 +63,6 @@ class Tables(Mapping):
             frames[k] = v
         t = Tables(self.spark, frames, self._extra_builders, self.source)
         t._extras = dict(self._extras)
-        t._dim_ok = {k: v for k, v in self._dim_ok.items() if k not in changed}
         return t
 
 
