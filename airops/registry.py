@@ -16,14 +16,20 @@ from airops.operators.commands import booking_flow as BF
 from airops.operators.commands import bookings_admit as BA
 from airops.operators.commands import passengers as PC
 from airops.operators.commands import reference_data as RD
-from airops.oracle_sql import (AIRPORT_COUNTRY, AIRPORT_SEARCH, DATE_FROM, DATE_TO, FLIGHT_DEST,
-                               FLIGHT_ORIGIN, GENERATED_AT, MANIFEST_STATUS, PASSENGER_SEARCH)
 from airops.schema import TABLES
 from airops.sources.tables import airline_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+# parameters of the registered queries
+DATE_FROM, DATE_TO = "1994-01-01", "1996-06-30"
+GENERATED_AT = "2024-06-01 00:00:00"
+MANIFEST_STATUS = "No_Show"
+PASSENGER_SEARCH = "customer#0000001"
+AIRPORT_SEARCH, AIRPORT_COUNTRY = "a", "A"
+FLIGHT_ORIGIN, FLIGHT_DEST = "aab", "zzz"
+
 
 def _t(spark, sf_dir):
     return airline_tables(spark, sf_dir)
@@ -53,9 +59,8 @@ QUERIES["operational_report"] = lambda spark, d: R.operational_report(_t(spark,
 for _n in ("boarding_list", "boarding_summary", "flight_manifest", "travel_history",
            "travel_history_summary", "seat_map", "seat_availability", "flight_details"):
     _simple(_n, getattr(V, _n))
-_simple("manifest_filtered", V.manifest_filtered, "No_Show")
+_simple("manifest_filtered", V.manifest_filtered, MANIFEST_STATUS)
 _simple("manifest_header", V.manifest_header, _dt.datetime.fromisoformat(GENERATED_AT))
-assert MANIFEST_STATUS == "no_show"  # the oracle's lower-cased filter value
 
 # --- 2.4 listings and lookups ------------------------------------------------------
 

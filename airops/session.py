@@ -6,8 +6,11 @@ takes DataFrames. ``local_session`` is for tests, the bench and notebooks.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -75,3 +78,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             or spark.conf.get("spark.checkpoint.dir", None)
             or ensure_checkpoint_dir(spark))
     return os.path.join(base, name) if "://" not in base else f"{base.rstrip('/')}/{name}"
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Let the Python workers import this package: a zip of it is added to the
+    session's Python files once. Workers that have it on their path lose nothing."""
+    sc = spark.sparkContext
+    if any(f.startswith("airops-code-") for f in sc._python_includes):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    top = os.path.dirname(here)
+    # the driver serves the file to the executors as long as it runs
+    folder = tempfile.mkdtemp(prefix="airops-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, f"{os.path.basename(folder)}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for where, _, names in os.walk(here):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                out.write(os.path.join(where, name), os.path.relpath(os.path.join(where, name), top))
+    sc.addPyFile(path)

@@ -1,7 +1,7 @@
 """Derive the twelve airline tables (and request batches) from the TPC-H-like
 test tables, with the DataFrame API.
 
-Same rows as the SQL text in ``fixture_sql.py`` (checked in tests), but planned
+Same rows as the SQL text in ``oracles/fixture_sql.py`` (checked in tests), but planned
 for scale:
 
 * nation/region-derived dimensions (airports, fare_classes) have a fixed size

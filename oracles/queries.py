@@ -7,11 +7,13 @@ the Spark side; percentages use integer arithmetic.
 
 from __future__ import annotations
 
-from airops import oracle_reference as _ref
-from airops import oracle_serial as _serial
 from airops.operators import audits as _A
+from airops.registry import (AIRPORT_COUNTRY, AIRPORT_SEARCH, DATE_FROM, DATE_TO, FLIGHT_DEST, FLIGHT_ORIGIN,
+                             GENERATED_AT, MANIFEST_STATUS, PASSENGER_SEARCH)
 from airops.schema import TABLE_SCHEMAS
-from airops.sources.fixture_sql import with_prefix
+from oracles import reference as _ref
+from oracles import serial as _serial
+from oracles.fixture_sql import with_prefix
 
 
 def avg2(total: str, count: str) -> str:
@@ -40,60 +42,72 @@ def dated(date_from: str | None, date_to: str | None, col: str = "p.payment_date
     return s
 
 
+def _paid(df=None, dt=None, statuses: str = "'Completed'") -> str:
+    """A CTE ``paid``: the payments of a report's window, one row each."""
+    return (f"paid as (select * from payments p where p.status in ({statuses}){dated(df, dt)})")
+
+
+#: Airport pairs of the flights, labelled.
+_LEGS = """legs as (
+ select flight_id, flight_no, aircraft_id,
+  (select iata_code from airports where airport_id = origin_airport_id)
+  || ' → ' || (select iata_code from airports where airport_id = dest_airport_id) route
+ from flights)"""
+
+
+def _takings(df=None, dt=None) -> str:
+    """CTEs ``legs`` and ``takings``: number and sum of the payments of each flight that has any."""
+    return f"""{_LEGS}, {_paid(df, dt)}, takings as (
+ select flight_id, count(*) n, sum(amount) total
+ from (select booking_id, flight_id from bookings) natural join (select booking_id, amount from paid)
+ group by flight_id)"""
+
+
 def _summary(df=None, dt=None) -> str:
+    both = "'Completed', 'Refunded'"
     return f"""
-select count(p.payment_id) total_transactions, cast(sum(p.amount) as double) total_revenue,
- {avg2('sum(p.amount)', 'count(p.amount)')} average_fare,
- cast(sum(p.refund_amount) as double) total_refunds,
- cast(sum(p.amount) - sum(p.refund_amount) as double) net_revenue
-from payments p where p.status in ('Completed', 'Refunded'){dated(df, dt)}"""
+select n total_transactions, cast(gross as double) total_revenue, {avg2('gross', 'n')} average_fare,
+ cast(back as double) total_refunds, cast(gross - back as double) net_revenue
+from (with {_paid(df, dt, both)} select count(*) n, sum(amount) gross, sum(refund_amount) back from paid)"""
 
 
 def _by_class(df=None, dt=None) -> str:
     return f"""
-select fc.class_name, count(t.ticket_id) tickets_sold, cast(sum(t.final_fare) as double) class_revenue,
- {avg2('sum(t.final_fare)', 'count(t.final_fare)')} avg_fare, cast(fc.multiplier as double) multiplier
-from tickets t join fare_classes fc on t.fare_class_id = fc.fare_class_id
- join bookings b on t.booking_id = b.booking_id join payments p on b.booking_id = p.booking_id
-where t.is_cancelled = false and p.status = 'Completed'{dated(df, dt)}
-group by fc.class_name, fc.multiplier"""
+select class_name, n tickets_sold, cast(total as double) class_revenue, {avg2('total', 'n')} avg_fare,
+ cast(multiplier as double) multiplier
+from (with {_paid(df, dt)}, sold as (
+  select fare_class_id, final_fare from tickets
+  where not is_cancelled and booking_id in (select booking_id from paid)
+   and booking_id in (select booking_id from bookings))
+ select class_name, multiplier, count(*) n, sum(final_fare) total
+ from sold natural join (select fare_class_id, class_name, multiplier from fare_classes)
+ group by all)"""
 
 
 def _by_route(df=None, dt=None) -> str:
     return f"""
-select oa.iata_code || ' → ' || da.iata_code route, count(b.booking_id) bookings,
- cast(sum(p.amount) as double) route_revenue, {avg2('sum(p.amount)', 'count(p.amount)')} avg_fare
-from bookings b join flights f on b.flight_id = f.flight_id
- join airports oa on f.origin_airport_id = oa.airport_id
- join airports da on f.dest_airport_id = da.airport_id
- join payments p on b.booking_id = p.booking_id
-where p.status = 'Completed'{dated(df, dt)}
-group by oa.iata_code, da.iata_code"""
+select route, n bookings, cast(total as double) route_revenue, {avg2('total', 'n')} avg_fare
+from (with {_takings(df, dt)}
+ select route, cast(sum(n) as bigint) n, sum(total) total from takings natural join legs group by route)"""
 
 
 def _by_method(df=None, dt=None) -> str:
     return f"""
-select p.method payment_method, count(p.payment_id) transaction_count,
- cast(sum(p.amount) as double) method_revenue
-from payments p where p.status = 'Completed'{dated(df, dt)} group by p.method"""
+select payment_method, n transaction_count, cast(total as double) method_revenue
+from (with {_paid(df, dt)}
+ select distinct method payment_method, count(*) over same n, sum(amount) over same total
+ from paid window same as (partition by method))"""
 
 
 def _top(df=None, dt=None) -> str:
     return f"""
-select f.flight_no, oa.iata_code || ' → ' || da.iata_code route, count(b.booking_id) passengers,
- cast(sum(p.amount) as double) flight_revenue
-from flights f join bookings b on f.flight_id = b.flight_id
- join airports oa on f.origin_airport_id = oa.airport_id
- join airports da on f.dest_airport_id = da.airport_id
- join payments p on b.booking_id = p.booking_id
-where p.status = 'Completed'{dated(df, dt)}
-group by f.flight_no, oa.iata_code, da.iata_code
-order by sum(p.amount) desc, f.flight_no limit 10"""
+select flight_no, route, n passengers, cast(total as double) flight_revenue
+from (with {_takings(df, dt)}
+ select flight_no, route, n, total, row_number() over (order by total desc, flight_no) place
+ from takings natural join legs)
+where place <= 10"""
 
 
-# date window used by the *_dated keys
-DATE_FROM, DATE_TO = "1994-01-01", "1996-06-30"
-
 REPORTS: dict[str, str] = {
     "revenue_summary": _summary(),
     "revenue_summary_dated": f"""
@@ -108,32 +122,30 @@ select '{DATE_FROM}' date_from, '{DATE_TO}' date_to, s.* from ({_summary(DATE_FR
     "top_flights_dated": _top(DATE_FROM, DATE_TO),
     "flights_by_status": "select status, count(*) flight_count from flights group by status",
     "seat_occupancy": f"""
-select f.flight_no, oa.iata_code || ' → ' || da.iata_code route, ac.seat_capacity,
- count(b.booking_id) confirmed_bookings, {pct_up('count(b.booking_id)', 'ac.seat_capacity')} occupancy_percent
-from flights f join aircraft ac on f.aircraft_id = ac.aircraft_id
- join airports oa on f.origin_airport_id = oa.airport_id
- join airports da on f.dest_airport_id = da.airport_id
- left join bookings b on f.flight_id = b.flight_id and b.status = 'Confirmed'
-group by f.flight_no, oa.iata_code, da.iata_code, ac.seat_capacity""",
+select flight_no, route, seat_capacity, n confirmed_bookings, {pct_up('n', 'seat_capacity')} occupancy_percent
+from (with {_LEGS}
+ select flight_no, route, seat_capacity,
+  (select count(*) from bookings b where b.flight_id = legs.flight_id and b.status = 'Confirmed') n
+ from legs natural join (select aircraft_id, seat_capacity from aircraft))""",
     "noshow_rates": f"""
-select f.flight_no, count(br.boarding_id) total_boarded,
- count(case when br.status = 'No_Show' then 1 end) no_shows,
- count(case when br.status = 'Boarded' then 1 end) boarded,
- {pct_up("count(case when br.status = 'No_Show' then 1 end)", 'count(br.boarding_id)')} noshow_percent
-from flights f join boarding_records br on f.flight_id = br.flight_id group by f.flight_no""",
+select flight_no, n total_boarded, missing no_shows, there boarded, {pct_up('missing', 'n')} noshow_percent
+from (select flight_id, count(*) n, count(*) filter (status = 'No_Show') missing,
+       count(*) filter (status = 'Boarded') there
+      from boarding_records group by flight_id)
+ natural join (select flight_id, flight_no from flights)""",
     "ontime_performance": """
-select f.flight_no, fs.dep_datetime scheduled_dep, fs.actual_dep actual_dep,
- case when fs.actual_dep is null then 'Not Departed' when fs.actual_dep <= fs.dep_datetime then 'On Time'
-      else 'Delayed' end departure_status,
- case when fs.actual_dep is not null and fs.actual_dep > fs.dep_datetime
-      then (epoch_us(fs.actual_dep) - epoch_us(fs.dep_datetime)) / 60000000.0 else 0.0 end delay_minutes
-from flights f join flight_schedules fs on f.flight_id = fs.flight_id""",
+select flight_no, dep_datetime scheduled_dep, actual_dep,
+ if(us is null, 'Not Departed', if(us > 0, 'Delayed', 'On Time')) departure_status,
+ greatest(coalesce(us, 0), 0) / 60000000.0 delay_minutes
+from (select flight_id, dep_datetime, actual_dep, epoch_us(actual_dep) - epoch_us(dep_datetime) us
+      from flight_schedules)
+ natural join (select flight_id, flight_no from flights)""",
     "overall_stats": """
-select count(distinct f.flight_id) total_flights, count(distinct b.booking_id) total_bookings,
- count(distinct p.passenger_id) total_passengers,
- count(distinct case when b.status = 'Cancelled' then b.booking_id end) cancelled_bookings
-from flights f left join bookings b on f.flight_id = b.flight_id
- left join passengers p on b.passenger_id = p.passenger_id""",
+select * from (
+ with known as (select * from bookings where flight_id in (select flight_id from flights))
+ select (select count(*) from flights) total_flights, (select count(*) from known) total_bookings,
+  (select count(*) from passengers where passenger_id in (select passenger_id from known)) total_passengers,
+  (select count(*) from known where status = 'Cancelled') cancelled_bookings)""",
 }
 
 BODIES: dict[str, str] = {}
@@ -141,9 +153,6 @@ BODIES.update(REPORTS)
 
 
 # --- 2.3 views -----------------------------------------------------------------
-GENERATED_AT = "2024-06-01 00:00:00"
-MANIFEST_STATUS = "no_show"
-
 _MANIFEST = """
 select f.flight_no, f.flight_id, fs.dep_datetime scheduled_departure, fs.arr_datetime scheduled_arrival,
  oa.iata_code origin_iata, da.iata_code destination_iata, p.passenger_id, p.full_name passenger_name,
@@ -178,7 +187,7 @@ from flights f left join bookings b on b.flight_id = f.flight_id and b.status =
  left join boarding_records br on br.booking_id = b.booking_id
 group by f.flight_id, f.flight_no, f.status""",
     "flight_manifest": _MANIFEST,
-    "manifest_filtered": f"select * from ({_MANIFEST}) m where lower(boarding_status) = '{MANIFEST_STATUS}'",
+    "manifest_filtered": f"select * from ({_MANIFEST}) m where lower(boarding_status) = lower('{MANIFEST_STATUS}')",
     "manifest_header": f"""
 select f.flight_id, f.flight_no, oa.iata_code origin, da.iata_code destination,
  (select count(*) from ({_MANIFEST}) m where m.flight_id = f.flight_id) total_passengers,
@@ -224,11 +233,6 @@ BODIES.update(VIEWS_SQL)
 
 # --- 2.4 listings and lookups ------------------------------------------------------
 
-PASSENGER_SEARCH = "customer#0000001"
-AIRPORT_SEARCH, AIRPORT_COUNTRY = "a", "A"
-FLIGHT_ORIGIN, FLIGHT_DEST = "aab", "zzz"
-
-
 def _flight_page(where: str, skip: int, limit: int) -> str:
     return f"""
 select f.*, oa.iata_code origin_iata, da.iata_code dest_iata, ac.model aircraft_model

@@ -7,7 +7,7 @@ serial meaning, literally, in an independent engine.
 from __future__ import annotations
 
 from airops.operators.audits import EMAIL_PATTERN
-from airops.oracle_reference import applied
+from oracles.reference import applied
 
 CLOSED = "('Departed', 'Arrived', 'Cancelled')"
 B36 = "'0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ'"

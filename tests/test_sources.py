@@ -2,7 +2,7 @@
 
 import pytest
 
-from airops.sources.fixture_sql import with_prefix
+from oracles.fixture_sql import with_prefix
 
 NAMES = ["passengers", "airports", "aircraft", "fare_classes", "staff", "flights",
          "flight_schedules", "seats", "bookings", "tickets", "payments", "boarding_records",

@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 
-from airops.sources.fixture_sql import with_prefix
+from oracles.fixture_sql import with_prefix
 
 SF = "/root/testdata/sf0.001"
 
