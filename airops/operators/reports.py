@@ -69,7 +69,7 @@ def revenue_summary_dated(t, date_from, date_to) -> DataFrame:
                     F.lit(str(date_to) if date_to else "All time").alias("date_to"), "*")
 
 
-def revenue_by_class(t, date_from=None, date_to=None) -> DataFrame:
+def _by_class(t, date_from=None, date_to=None) -> DataFrame:
     tk = t["tickets"].filter(~F.col("is_cancelled")).select("booking_id", "fare_class_id",
                                                             "ticket_id", "final_fare")
     tk = (tk.join(t["bookings"].select("booking_id"), "booking_id", "left_semi")
@@ -82,27 +82,36 @@ def revenue_by_class(t, date_from=None, date_to=None) -> DataFrame:
                  F.sum("final_fare").alias("_rev"), F.count("final_fare").alias("_n"))
             .select("class_name", F.col("tickets_sold"), money(F.col("_rev")).alias("class_revenue"),
                     avg_money(F.col("_rev"), F.col("_n")).alias("avg_fare"),
-                    F.col("multiplier").cast("double").alias("multiplier"))
-            .orderBy(F.desc_nulls_last("class_revenue"), "class_name"))
+                    F.col("multiplier").cast("double").alias("multiplier")))
 
 
-def revenue_by_route(t, date_from=None, date_to=None) -> DataFrame:
+def revenue_by_class(t, date_from=None, date_to=None) -> DataFrame:
+    return _by_class(t, date_from, date_to).orderBy(F.desc_nulls_last("class_revenue"), "class_name")
+
+
+def _by_route(t, date_from=None, date_to=None) -> DataFrame:
     pf = _per_flight(t, date_from, date_to)
     f = t["flights"].select("flight_id", "origin_airport_id", "dest_airport_id")
     r = _route(t, pf.join(f, "flight_id"))
     return (r.groupBy("origin_iata", "dest_iata", "route")
             .agg(F.sum("n").alias("bookings"), F.sum("revenue").alias("_rev"))
             .select("route", "bookings", money(F.col("_rev")).alias("route_revenue"),
-                    avg_money(F.col("_rev"), F.col("bookings")).alias("avg_fare"))
-            .orderBy(F.desc_nulls_last("route_revenue"), "route"))
+                    avg_money(F.col("_rev"), F.col("bookings")).alias("avg_fare")))
 
 
-def revenue_by_method(t, date_from=None, date_to=None) -> DataFrame:
+def revenue_by_route(t, date_from=None, date_to=None) -> DataFrame:
+    return _by_route(t, date_from, date_to).orderBy(F.desc_nulls_last("route_revenue"), "route")
+
+
+def _by_method(t, date_from=None, date_to=None) -> DataFrame:
     p = t["payments"].filter((F.col("status") == "Completed") & payment_window(date_from, date_to))
     return (p.groupBy(F.col("method").alias("payment_method"))
             .agg(F.count("payment_id").alias("transaction_count"),
-                 money(F.sum("amount")).alias("method_revenue"))
-            .orderBy(F.desc_nulls_last("method_revenue"), "payment_method"))
+                 money(F.sum("amount")).alias("method_revenue")))
+
+
+def revenue_by_method(t, date_from=None, date_to=None) -> DataFrame:
+    return _by_method(t, date_from, date_to).orderBy(F.desc_nulls_last("method_revenue"), "payment_method")
 
 
 def top_flights(t, date_from=None, date_to=None, n: int = 10) -> DataFrame:
@@ -204,9 +213,10 @@ def revenue_report(t, date_from=None, date_to=None) -> DataFrame:
                           F.lit(str(date_from) if date_from else "All time").alias("date_from"),
                           F.lit(str(date_to) if date_to else "All time").alias("date_to"),
                           F.struct(*summ.columns).alias("summary"))
-    c = revenue_by_class(t, date_from, date_to)
-    r = revenue_by_route(t, date_from, date_to)
-    m = revenue_by_method(t, date_from, date_to)
+    # unsorted: each section is ordered once, where it is nested
+    c = _by_class(t, date_from, date_to)
+    r = _by_route(t, date_from, date_to)
+    m = _by_method(t, date_from, date_to)
     tf = top_flights(t, date_from, date_to)
     parts = [
         _nest(c, "by_class", [-F.col("class_revenue"), F.col("class_name")], key),
@@ -257,11 +267,11 @@ def revenue_report_rows(t, date_from=None, date_to=None) -> DataFrame:
     summary = revenue_summary(t, date_from, date_to).withColumn("window", F.lit(
         "All time" if not (date_from or date_to) else f"{date_from or ''}..{date_to or ''}"))
     parts = [
-        _rows(revenue_by_class(t, date_from, date_to), "by_class", "class_name", "tickets_sold",
+        _rows(_by_class(t, date_from, date_to), "by_class", "class_name", "tickets_sold",
               c("class_revenue"), c("avg_fare")),
-        _rows(revenue_by_route(t, date_from, date_to), "by_route", "route", "bookings", c("route_revenue"),
+        _rows(_by_route(t, date_from, date_to), "by_route", "route", "bookings", c("route_revenue"),
               c("avg_fare")),
-        _rows(revenue_by_method(t, date_from, date_to), "by_method", "payment_method", "transaction_count",
+        _rows(_by_method(t, date_from, date_to), "by_method", "payment_method", "transaction_count",
               c("method_revenue"), none),
         _rows(top_flights(t, date_from, date_to), "top_flights", "flight_no", "passengers",
               c("flight_revenue"), none),
