@@ -14,8 +14,9 @@ labeller does not depend on one site's markup. It then labels by itself.
 
 Defined cases: a null or empty html has no block and gives an empty text;
 unclosed or stray tags are repaired as browsers do (a block tag ends a
-paragraph, an end tag ends what stands inside it); repeated rows give repeated
-rows; an empty table gives no rows; other columns are ignored.
+paragraph, an end tag ends what stands inside it, text or an element that
+cannot stand in the head ends an open head); repeated rows give repeated rows;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,8 +45,9 @@ DIM = PATH_DIM + WORD_DIM + FIGURES
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s "
              "samp small span strike strong sub sup time tt u var wbr img br input".split())
-NOT_SHOWN = set("script style noscript template textarea title iframe object svg math canvas audio video "
+NOT_SHOWN = set("script style noscript noframes template textarea title iframe object svg math canvas audio video "
                 "select datalist".split())
+IN_HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
 CLOSED_BY_SIBLING = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr"},
                      "th": {"tr"}, "option": {"select"}}
 
@@ -86,6 +88,7 @@ def blocks(html: str) -> list[Block]:
     stack: list[tuple[str, str]] = []  # (tag, its path entry); inline tags have an empty entry
     text: list[str] = []
     linked = links = at = 0
+    in_body = False
 
     def close() -> None:
         nonlocal linked
@@ -100,11 +103,22 @@ def blocks(html: str) -> list[Block]:
         links -= sum(t == "a" for t, _ in stack[k:])
         del stack[k:]
 
+    def begin_body() -> None:
+        nonlocal in_body
+        in_body = True
+        for k in range(len(stack)):
+            if stack[k][0] == "head":
+                close()
+                pop_to(k)
+                break
+
     n = len(html)
     while at < n:
         m = _TAG.search(html, at)
         piece = html[at:m.start() if m else n]
         if piece:
+            if not in_body and piece.strip(" \t\n\f\r"):
+                begin_body()
             text.append(piece)
             if links > 0:
                 linked += len(piece)
@@ -115,6 +129,10 @@ def blocks(html: str) -> list[Block]:
         if not tag:
             continue
         ends, attributes = m[1] or m[4], m[3] or m[6] or ""
+        if not in_body and (tag in ("body", "html", "br") if ends else tag not in IN_HEAD | {"html", "head"}):
+            begin_body()
+        if tag == "head" and not ends and (in_body or any(t == "head" for t, _ in stack)):
+            continue
         if tag in NOT_SHOWN and not ends:
             if not attributes.endswith("/"):
                 end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)

@@ -358,6 +358,14 @@ def test_blocks_of_a_page():
     assert [b.text for b in html.blocks("x <!-- a <p> b --> y < z </div> w")] == ["x y < z", "w"]
 
 
+@pytest.mark.parametrize("begin", ["<body class=x>", "<div>", "<a href=u>", "", "</body>"])
+def test_a_head_without_its_end_tag_ends_where_the_body_begins(begin):
+    page = f"<html><head><meta charset=utf-8><title>T</title><style>x</style>\n{begin}first<p>one<p>two</p><head><p>three"
+    found = html.blocks(page)
+    assert [b.text for b in found] == ["first", "one", "two", "three"]
+    assert not any(e.split()[0] == "head" for b in found for e in b.path)
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(1)
     net = {k: v.astype(np.float64) for k, v in html.new_network().items()}
