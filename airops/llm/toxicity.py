@@ -31,8 +31,10 @@ from airops.llm.common import bound_batches, fold_of, keep_rows, read_table, sch
 SIZES, BITS = (3, 4, 5, 6), 20
 THRESHOLD = 0.7
 #: Bounds of the training sample and of the model.
-TRAIN_TOXIC, TRAIN_OTHER, FEATURES = 4_000, 8_000, 4_096
-SMOOTHING, PENALTY, ROUNDS, TOXIC_WEIGHT = 1.0, 2e-4, 300, 5.0
+TRAIN_TOXIC, TRAIN_OTHER, FEATURES = 6_000, 14_000, 16_384
+SMOOTHING, PENALTY, ROUNDS, TOXIC_WEIGHT = 1.0, 2e-4, 500, 5.0
+#: Known n-grams that one step of the fit holds at their full width.
+STEP = 1 << 18
 
 
 @dataclass
@@ -67,26 +69,40 @@ def _distinct(texts: list[str], wanted: np.ndarray | None = None) -> list[np.nda
     return out
 
 
-def _fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
+def _fit(col: np.ndarray, size: np.ndarray, y: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
     """Logistic regression on indicator features scaled by ``ratio``, sparse by
     an L1 penalty: accelerated proximal gradient with restarts. Toxic texts
-    weigh up to ``TOXIC_WEIGHT`` times the others, as far as they are rarer."""
-    n, d = len(rows), len(ratio)
-    col = np.concatenate(rows).astype(np.int64) if n else np.zeros(0, dtype=np.int64)
-    row = np.repeat(np.arange(n), [len(r) for r in rows])
-    value = ratio[col]
+    weigh up to ``TOXIC_WEIGHT`` times the others, as far as they are rarer.
+    ``col``: the features of all texts, ``size[i]`` of text ``i``; they stay
+    16-bit indices but for one step of texts at a time."""
+    n, d = len(size), len(ratio)
+    at = np.concatenate([[0], np.cumsum(size)])
+    steps, lo = [], 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + STEP, "right")) - 1)
+        steps.append((lo, hi, lo + np.flatnonzero(size[lo:hi])))
+        lo = hi
     weight = np.where(y > 0, min(TOXIC_WEIGHT, max(1.0, (n - y.sum()) / y.sum())), 1.0)
     weight /= weight.sum()
+    norms = sum(float((ratio[col[at[lo]:at[hi]]] ** 2).sum()) for lo, hi, _ in steps)
     # by the mean squared norm of a row; the restart checks a step that is too long
-    step = 4.0 / (1e-9 + (value ** 2).sum() / max(n, 1))
+    step = 4.0 / (1e-9 + norms / max(n, 1))
     w, b = np.zeros(d), 0.0
     vw, vb, pw, pb, t = w, b, w, b, 1.0
+    z = np.zeros(n)
     for _ in range(ROUNDS):
-        z = np.bincount(row, weights=value * vw[col], minlength=n) + vb
-        g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * weight
-        w = vw - step * np.bincount(col, weights=value * g[row], minlength=d)
+        scaled, slope, total = ratio * vw, np.zeros(d), 0.0
+        for lo, hi, known in steps:
+            part = col[at[lo]:at[hi]].astype(np.intp)
+            z[lo:hi] = vb
+            if len(known):
+                z[known] += np.add.reduceat(scaled[part], at[known] - at[lo])
+            g = (1 / (1 + np.exp(-np.clip(z[lo:hi], -40, 40))) - y[lo:hi]) * weight[lo:hi]
+            slope += np.bincount(part, weights=np.repeat(g, size[lo:hi]), minlength=d)
+            total += g.sum()
+        w = vw - step * ratio * slope
         w = np.sign(w) * np.maximum(np.abs(w) - step * PENALTY, 0)
-        b = vb - step * g.sum()
+        b = vb - step * total
         if ((vw - w) * (w - pw)).sum() + (vb - b) * (b - pb) > 0:
             t = 1.0
         s = (1 + (1 + 4 * t * t) ** 0.5) / 2
@@ -150,8 +166,10 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column | None = None, id_col
     # one row per sampled id, even where a document is repeated
     sampled = rows.mapInPandas(project, schema(("l_id", rows.schema["l_id"].dataType), ("y", "int"), ("f", "binary")))
     got = sampled.groupBy("l_id").agg(F.max("y").alias("y"), F.max("f").alias("f")).toPandas().sort_values("l_id")
-    features = [np.frombuffer(f, dtype="<i2").astype(np.int64) for f in got["f"]]
-    w, b = _fit(features, got["y"].to_numpy(dtype=float), ratio)
+    y, size = got["y"].to_numpy(dtype=float), got["f"].map(len).to_numpy(dtype=np.int64) // 2
+    col = np.frombuffer(b"".join(got["f"]), dtype="<i2")
+    del got
+    w, b = _fit(col, size, y, ratio)
     weights = np.zeros(1 << BITS, dtype=np.float32)
     weights[buckets] = w * ratio
     return ToxicityModel(weights, float(b))

@@ -217,6 +217,23 @@ def test_toxicity_is_learned(spark, docs):
     assert toxicity.score_toxicity(empty(docs), model).count() == 0
 
 
+def test_toxic_words_rarer_than_thousands_of_others_are_learned(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("bcfgjklmpqsuvwxyz") for _ in range(10)) for _ in range(200)]
+    common, rare = words, ["".join(rng.choice("бвгджзклмнпрстфхцчшщ") for _ in range(10)) for _ in range(60)]
+    bad = [f"{a} {b} {c}" for k in range(6) for a, b, c in zip(common[k:] + common[:k], common[50:] + common[:50],
+                                                               common[120:] + common[:120])] + rare * 3
+    texts = [f"{prose(k, 8)} {t} {prose(k + 5000, 8)}" for k, t in enumerate(bad)] + [
+        prose(k, 20) for k in range(10_000, 10_000 + len(bad))]
+    df = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], DOCS)
+    lab = spark.createDataFrame([(k, 1, int(k < len(bad))) for k in range(len(texts))],
+                                "doc_id bigint, quality int, toxic int")
+    model = toxicity.train(df, lab)
+    score = toxicity.score_texts(model, [f"{prose(k + 90_000, 8)} {t} {prose(k + 95_000, 8)}" for k, t in enumerate(rare)])
+    assert (score >= 0.7).mean() > 0.9
+    assert (toxicity.score_texts(model, [prose(k + 70_000, 20) for k in range(60)]) < 0.7).mean() > 0.9
+
+
 # --- 5 -------------------------------------------------------------------
 
 def brute_components(texts, percent=85):
