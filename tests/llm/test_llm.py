@@ -356,6 +356,43 @@ def test_licenses_are_found_once_each(spark, docs):
     assert licenses.scan_licenses(docs).count() == 0 and licenses.scan_licenses(empty(docs)).count() == 0
 
 
+def labels(*texts):
+    rows = licenses.scan_texts(licenses.TemplateIndex(), licenses.normalised(texts))
+    return [sorted({r[1] for r in rows if r[0] == k}) for k in range(len(texts))]
+
+
+def test_variants_of_a_license_are_told_apart():
+    full = [t for t in licenses.TEMPLATES if t[1].startswith("Redistribution and use")][-1][1]
+    at = full.index("THIS SOFTWARE IS")
+    third = "3. Neither the name of the holder nor the names of its contributors may be used to endorse or promote " \
+            "products derived from this software without specific prior written permission. "
+    notice = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}" \
+             "General Public License as published by the Free Software Foundation, {}"
+    later = "either version {} of the License, or (at your option) any later version."
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is " \
+          "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    assert labels(full, full[:at] + third + full[at:], full[:130], f"{full} {prose(3, 300)} {full[:at]}{third}{full[at:]}",
+                  notice.format("", later.format(2)), notice.format("", later.format(3)), notice.format("", ""),
+                  notice.format("Lesser ", later.format("2.1")), notice.format("Affero ", later.format(3)),
+                  notice.format("", "version 2 of the License."), isc, isc[:114], "Licensed under the MIT License",
+                  "// SPDX-License-Identifier: LGPL-3.0-only") == [
+        ["BSD-2-Clause"], ["BSD-3-Clause"], ["LicenseRef-BSD"], ["BSD-2-Clause", "BSD-3-Clause"], ["GPL-2.0-or-later"],
+        ["GPL-3.0-or-later"], ["LicenseRef-GPL"], ["LGPL-2.1-or-later"], ["AGPL-3.0-or-later"], ["GPL-2.0-only"],
+        ["ISC"], ["0BSD"], ["MIT"], ["LGPL-3.0-only"]]
+
+
+def test_cut_and_stretched_licenses_are_found():
+    apache = licenses.TEMPLATES[1][1]
+    words = apache.split()
+    more = " ".join([*words[:11], "see", *words[11:]])
+    bodies = [t for t in licenses.TEMPLATES if len(t[1].split()) > 150]
+    assert len(bodies) >= 10
+    assert labels(" ".join(words[:-1]), " ".join(words[1:]), more) == [["Apache-2.0"]] * 3
+    assert labels(*(t for _, t in bodies)) == [[n] for n, _ in bodies]
+    assert labels(*(f"{prose(5)} {' '.join(t.split()[12:-12])}" for _, t in bodies if len(t.split()) > 160)) == [
+        [n] for n, t in bodies if len(t.split()) > 160]
+
+
 # --- 9 -------------------------------------------------------------------
 
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li>
