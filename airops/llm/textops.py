@@ -7,6 +7,7 @@ never cut.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -63,6 +64,31 @@ class ByteHash:
         return mix(h + (end - start).astype(np.uint64) * _U(0x2545F4914F6CDD1D))
 
 
+#: Bytes beyond which a word is hashed by blake2b instead of eight bytes at a time.
+LONG_WORD = 256
+_LANE_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each byte range: each eight bytes are scrambled into it in turn, so
+    that no pattern inside a word makes two words agree (words of up to eight bytes
+    and one length never do)."""
+    lanes = np.ndarray((len(buf) + 1,), dtype="<u8", buffer=np.concatenate([buf, np.zeros(8, dtype=np.uint8)]),
+                       strides=(1,))
+    size = end - start
+    out = mix(size.astype(np.uint64) * _U(0x2545F4914F6CDD1D))
+    who = np.flatnonzero(size <= LONG_WORD)
+    at, left = start[who], size[who]
+    while len(who):
+        out[who] = mix(out[who] ^ (lanes[at] & _LANE_MASK[np.minimum(left, 8)]))
+        more = left > 8
+        who, at, left = who[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG_WORD):
+        digest = hashlib.blake2b(buf[start[i]:end[i]].tobytes(), digest_size=8).digest()
+        out[i] = np.frombuffer(digest, dtype=np.uint64)[0]
+    return out
+
+
 def steps(texts: Sequence[bytes], limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` of at most ``limit`` bytes each, or one text."""
     lo = size = 0
@@ -88,7 +114,7 @@ class Words:
         edge = np.flatnonzero(np.diff(np.concatenate([[True], space]).view(np.int8)))
         self.start, self.end = edge[0::2], edge[1::2]
         self.first = np.searchsorted(self.start, self.at)
-        self.hash = ByteHash(self.buf).of(self.start, self.end)
+        self.hash = word_hashes(self.buf, self.start, self.end)
 
 
 def windows_hash(h: np.ndarray, width: int) -> np.ndarray:
