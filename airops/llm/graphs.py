@@ -55,7 +55,8 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if larger:
         both = both.union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    # written first: then the planner can split the rows of a node with many neighbours
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
     joined = both.join(least, "u")
     if larger:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
