@@ -75,7 +75,7 @@ def components(edges: DataFrame) -> DataFrame:
     def stamp(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
 
-    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
+    now = written(edges.mapInPandas(_contracted, _EDGES), "edges")
     was, is_ = None, stamp(now)
     while is_ != was:
         now = written(_star(_star(now, True), False).mapInPandas(_contracted, _EDGES), "edges")
