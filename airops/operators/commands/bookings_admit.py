@@ -1,48 +1,18 @@
 """``admit_bookings``: new bookings under the seat, one-per-passenger and
 capacity rules, with the meaning "one request at a time, in order".
 
-Checks, in the reservation system's order: passenger 404; flight 404; flight
-Departed/Arrived/Cancelled 422; passenger already holds a live booking on the
-flight 409; seat not on the flight 404; seat not Available 409; flight at
-capacity (Pending + Confirmed >= seat_capacity) 409; then the database's own
-unique key on (flight, passenger) (a Cancelled booking still holds it) and
-foreign keys give 500.
-
-Plan (no grouped map, so a hot flight is never pulled into one task):
-
-1. static checks are joins against the snapshot (per-flight counts are
-   aggregated before they are joined);
-2. the seat / passenger interplay is the two-key greedy admission of
-   ``admission.py`` (keys (flight, passenger) and seat);
-3. capacity only cuts that admitted sequence: before a flight fills up the
-   process is identical, after it nothing is admitted, so the admitted set is
-   its first (capacity - live bookings) requests per flight. That ranking is a
-   window over admitted requests only, at most one per seat of the flight;
-4. every request's code is its first failing check against the final
-   admitted set and its order.
+The decisions are those of ``seating.py`` for a log of booking requests alone: a
+fold per flight in blocks, so that neither a hot flight nor a long chain of
+requests that compete for seats in turn costs a round each.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airops.operators.commands.admission import greedy_admission
-from airops.operators.commands.common import (conform, new_ids, order_key,
-                                              outcomes, restrict, upsert)
-from airops.schema import CLOSED_FLIGHT_STATUS
-
-# --- fixed values: outcome reasons ----------------------------------------------
-R_INVALID = "invalid_request"
-R_PAX_404 = "passenger_not_found"
-R_FLIGHT_404 = "flight_not_found"
-R_FLIGHT_CLOSED = "flight_closed"
-R_DUPLICATE = "duplicate_booking"
-R_SEAT_404 = "seat_not_on_flight"
-R_SEAT_TAKEN = "seat_unavailable"
-R_FULL = "flight_full"
-R_DB = "constraint_violation"
-# --- end of fixed values ----------------------------------------------------------
+from airops.operators.commands.common import conform, new_ids, order_key, upsert
+from airops.operators.commands.seating import decide_bookings
 
 
 def pnr_for(request_id) -> F.Column:
@@ -51,83 +21,17 @@ def pnr_for(request_id) -> F.Column:
 
 
 def admit_bookings(t, requests: DataFrame):
-    r = (requests.select("request_id", "passenger_id", "flight_id", "seat_id", "staff_id",
-                         "requested_at").withColumn("_ord", order_key()))
+    r = requests.select("request_id", "passenger_id", "flight_id", "seat_id", "staff_id", "requested_at").withColumn(
+        "_ord", order_key())
+    decided = decide_bookings(t, r)
     b = t["bookings"]
-    # the snapshot as far as the batch can see it: its passengers, flights,
-    # seats and staff, and the bookings of its flights (semi joins on the
-    # batch's keys, so a batch does not shuffle the whole snapshot)
-    pax = restrict(t["passengers"], r, "passenger_id").select(
-        "passenger_id", F.lit(True).alias("_pfound"))
-    fl = restrict(t["flights"], r, "flight_id")
-    fl = (fl.select("flight_id", F.col("status").alias("_fstatus"), "aircraft_id")
-          .join(restrict(t["aircraft"], fl, "aircraft_id")
-                .select("aircraft_id", F.col("seat_capacity").alias("_cap")),
-                "aircraft_id", "left").drop("aircraft_id"))
-    b_req = restrict(b, r, "flight_id")
-    live = (b_req.filter(F.col("status").isin("Pending", "Confirmed")).groupBy("flight_id")
-            .agg(F.count(F.lit(1)).alias("_nlive")))
-    pairs = (b_req.groupBy("flight_id", "passenger_id")
-             .agg(F.max(F.col("status") != "Cancelled").alias("_active")))
-    seat = restrict(t["seats"], r, "seat_id").select(
-        "seat_id", F.col("flight_id").alias("_sflight"), F.col("status").alias("_sstatus"))
-    staff = restrict(t["staff"], r, "staff_id").select(
-        "staff_id", F.lit(True).alias("_stfound"))
-    j = (r.join(pax, "passenger_id", "left").join(fl, "flight_id", "left")
-         .join(live, "flight_id", "left").join(pairs, ["flight_id", "passenger_id"], "left")
-         .join(seat, "seat_id", "left").join(staff, "staff_id", "left"))
-
-    shape_ok = (F.col("passenger_id").isNotNull() & F.col("flight_id").isNotNull()
-                & F.col("seat_id").isNotNull())
-    p404 = F.col("_pfound").isNull()
-    f404 = F.col("_fstatus").isNull()
-    closed = F.col("_fstatus").isin(*CLOSED_FLIGHT_STATUS)
-    dup0 = F.col("_active").eqNullSafe(True)
-    s404 = F.col("_sflight").isNull() | (F.col("_sflight") != F.col("flight_id"))
-    taken0 = F.col("_sstatus") != "Available"
-    no_cap = F.col("_cap").isNull()
-    db500 = F.col("_active").isNotNull() | F.col("_stfound").isNull()
-    cand = (shape_ok & ~p404 & ~f404 & ~closed & ~dup0 & ~s404 & ~taken0 & ~no_cap & ~db500)
-    j = j.checkpoint()
-
-    # 2. seat / passenger interplay without capacity
-    seq = greedy_admission(j.filter(cand), ["flight_id", "passenger_id"], ["seat_id"])
-    # 3. capacity cuts each flight's admitted sequence (<= one row per seat)
-    a = j.join(seq, "request_id", "left_semi").select(
-        "request_id", "flight_id", "passenger_id", "seat_id", "_ord",
-        (F.col("_cap") - F.coalesce(F.col("_nlive"), F.lit(0))).alias("_left"))
-    a = a.withColumn("_rank", F.row_number().over(Window.partitionBy("flight_id").orderBy("_ord")))
-    admitted = a.filter(F.col("_rank") <= F.col("_left")).checkpoint()
-    full_at = (a.filter(F.col("_rank") == F.col("_left"))
-               .select("flight_id", F.col("_ord").alias("_full_at")))
-    # 4. codes against the final admitted set
-    by_pax = admitted.select("flight_id", "passenger_id", F.col("_ord").alias("_pax_at"))
-    by_seat = admitted.select("seat_id", F.col("_ord").alias("_seat_at"))
-    j = (j.join(by_pax, ["flight_id", "passenger_id"], "left").join(by_seat, "seat_id", "left")
-         .join(full_at, "flight_id", "left"))
-    live_n = F.coalesce(F.col("_nlive"), F.lit(0))
-    full = (live_n >= F.col("_cap")) | (F.col("_full_at") < F.col("_ord"))
-    out = outcomes(j, [
-        (422, R_INVALID, ~shape_ok),
-        (404, R_PAX_404, p404),
-        (404, R_FLIGHT_404, f404),
-        (422, R_FLIGHT_CLOSED, closed),
-        (409, R_DUPLICATE, dup0 | (F.col("_pax_at") < F.col("_ord"))),
-        (404, R_SEAT_404, s404),
-        (409, R_SEAT_TAKEN, taken0 | (F.col("_seat_at") < F.col("_ord"))),
-        (500, R_DB, no_cap),
-        (409, R_FULL, full),
-        (500, R_DB, db500),
-    ], 201)
-    acc = out.filter("accepted")
+    acc = r.join(decided.where("code = 201"), "request_id", "left_semi")
     new_b = acc.select(
         new_ids(b, "booking_id").alias("booking_id"), "passenger_id", "flight_id", "seat_id",
         "staff_id", pnr_for(F.col("request_id")).alias("pnr"), F.lit("Pending").alias("status"),
         F.lit(None).cast("string").alias("cancel_reason"),
         F.lit(None).cast("timestamp_ntz").alias("cancelled_at"),
         F.col("requested_at").alias("booked_at"))
-    bookings = b.unionByName(conform(new_b, b))
-    seats = upsert(t["seats"], acc.select("seat_id", F.lit("Reserved").alias("status")),
-                   "seat_id", ["status"])
-    return (out.select("request_id", "accepted", "code", "reason"),
-            {"bookings": bookings, "seats": seats})
+    seats = upsert(t["seats"], acc.select("seat_id", F.lit("Reserved").alias("status")), "seat_id", ["status"])
+    return (decided.select("request_id", (F.col("code") < 300).alias("accepted"), "code", "reason"),
+            {"bookings": b.unionByName(conform(new_b, b)), "seats": seats})

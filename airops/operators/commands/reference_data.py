@@ -12,12 +12,16 @@ request is rejected.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from airops.operators.audits import EMAIL_PATTERN
 from airops.operators.commands.common import (conform, new_ids, order_key,
                                               outcomes, restrict)
+from airops.operators.commands.fold import fold_in_blocks
 from airops.schema import AIRCRAFT_STATUS, FLIGHT_STATUS, STAFF_ROLE, TABLE_SCHEMAS
 
 # --- fixed values: outcome reasons ----------------------------------------------
@@ -269,53 +273,63 @@ def update_staff(t, requests: DataFrame):
 SCHEDULE_FIELDS = ("dep_datetime", "arr_datetime", "actual_dep", "actual_arr", "terminal", "gate")
 
 
-def _schedule_fold(batches):
-    """Walk requests sorted by (flight_id, order) and keep (dep, arr) per schedule.
-
-    A request is valid iff the row it leaves has arr > dep (NULLs compare as
-    an error: 500). Only valid requests move the state. Runs on sorted
-    partitions, one batch at a time, carrying the state across batches."""
-    import pandas as pd
-
-    cur_flight, dep, arr = None, None, None
-    for pdf in batches:
-        ok, err = [], []
-        for row in pdf.itertuples(index=False):
-            if row.flight_id != cur_flight:
-                cur_flight, dep, arr = row.flight_id, row.dep0, row.arr0
-            new_dep = row.dep_datetime if row.sets_dep else dep
-            new_arr = row.arr_datetime if row.sets_arr else arr
-            if pd.isna(new_dep) or pd.isna(new_arr):
-                ok.append(False); err.append(True)
-            elif new_arr > new_dep:
-                ok.append(True); err.append(False)
-                dep, arr = new_dep, new_arr
-            else:
-                ok.append(False); err.append(False)
-        yield pd.DataFrame({"request_id": pdf["request_id"], "valid": ok, "null_error": err})
+_UNSET = -(1 << 63)  # a time that is not set, or null
+
+
+def _schedule_walk(state, g: pd.DataFrame):
+    """Validity of a block of one schedule's requests, in order.
+
+    A request is valid iff the row that it leaves has arr > dep (a null time is an
+    error: 500); only valid requests move the state. A request that sets both times
+    to a valid pair leaves that pair whatever the state is, so the block is cut
+    after such requests, and the segments are walked in step: the k-th requests of
+    all of them at once."""
+    state = state or [int(g["dep0"].iat[0]), int(g["arr0"].iat[0])]
+    sets_dep, sets_arr = g["sets_dep"].to_numpy(bool), g["sets_arr"].to_numpy(bool)
+    dep, arr = g["dep"].fillna(_UNSET).to_numpy(np.int64), g["arr"].fillna(_UNSET).to_numpy(np.int64)
+    error = (sets_dep & (dep == _UNSET)) | (sets_arr & (arr == _UNSET))
+    resets = sets_dep & sets_arr & ~error & (arr > dep)
+    first = np.flatnonzero(np.concatenate([[True], resets[:-1]]))
+    size = np.diff(np.append(first, len(g)))
+    # the state at the start of each segment
+    now_dep = np.concatenate([[state[0]], dep[first[1:] - 1]]).astype(np.int64)
+    now_arr = np.concatenate([[state[1]], arr[first[1:] - 1]]).astype(np.int64)
+    valid = np.zeros(len(g), dtype=bool)
+    open_ = np.arange(len(first))
+    for k in range(int(size.max(initial=0))):
+        open_ = open_[size[open_] > k]
+        at = first[open_] + k
+        new_dep, new_arr = np.where(sets_dep[at], dep[at], now_dep[open_]), np.where(sets_arr[at], arr[at], now_arr[open_])
+        ok = ~error[at] & (new_arr > new_dep)
+        valid[at] = ok
+        now_dep[open_], now_arr[open_] = np.where(ok, new_dep, now_dep[open_]), np.where(ok, new_arr, now_arr[open_])
+    out = pd.DataFrame({"request_id": g["request_id"], "valid": valid, "null_error": error})
+    return out, [int(now_dep[-1]), int(now_arr[-1])]
+
+
+_WALKED = T.StructType([T.StructField("request_id", T.LongType()), T.StructField("valid", T.BooleanType()),
+                        T.StructField("null_error", T.BooleanType())])
 
 
 def update_schedules(t, requests: DataFrame):
     """404 without a schedule; the merged row must have arr > dep (422,
     nothing saved); a NULL departure or arrival is the database's 500.
 
-    Each request is checked against the row left by the earlier accepted
-    ones, so this is a fold per schedule: requests are hash-partitioned by
-    flight and sorted by order inside partitions, and a streaming
-    ``mapInPandas`` walks them with O(1) state (no group is materialised)."""
+    Each request is checked against the row left by the earlier accepted ones: a
+    fold per schedule, which ``fold_in_blocks`` deals to many tasks. A block that
+    holds a request with both times valid leaves the same state whatever it was
+    given, so its successors are right after the second round."""
     s = restrict(t["flight_schedules"], requests, "flight_id").select(
         "flight_id", F.col("dep_datetime").alias("dep0"), F.col("arr_datetime").alias("arr0"))
     r = requests.withColumn("_ord", order_key()).join(s, "flight_id", "left")
-    cand = (r.filter(F.col("dep0").isNotNull())
-            .select("request_id", "requested_at", "flight_id", "dep0", "arr0",
-                    "dep_datetime", "arr_datetime",
-                    _given("dep_datetime").alias("sets_dep"), _given("arr_datetime").alias("sets_arr")))
-    # repartition (not rebalance): AQE never splits a key across tasks here,
-    # which the fold needs
-    folded = (cand.repartition("flight_id")
-              .sortWithinPartitions("flight_id", "requested_at", "request_id")
-              .drop("requested_at")
-              .mapInPandas(_schedule_fold, "request_id long, valid boolean, null_error boolean"))
+
+    def micros(c: str) -> Column:
+        return F.unix_micros(F.col(c).cast("timestamp")).alias(c.split("_")[0])
+
+    cand = r.filter(F.col("dep0").isNotNull()).select(
+        "flight_id", "requested_at", "request_id", micros("dep0"), micros("arr0"), micros("dep_datetime"),
+        micros("arr_datetime"), _given("dep_datetime").alias("sets_dep"), _given("arr_datetime").alias("sets_arr"))
+    folded = fold_in_blocks(cand, "flight_id", ["requested_at", "request_id"], _schedule_walk, _WALKED)
     r = r.join(folded, "request_id", "left")
     out = outcomes(r, [(404, R_404, F.col("dep0").isNull()),
                        (500, R_DB, F.col("null_error")),

@@ -14,6 +14,7 @@ from airops.operators import reports as R
 from airops.operators import views as V
 from airops.operators.commands import booking_flow as BF
 from airops.operators.commands import bookings_admit as BA
+from airops.operators.commands import log as CL
 from airops.operators.commands import passengers as PC
 from airops.operators.commands import reference_data as RD
 from airops.schema import TABLES
@@ -164,6 +165,12 @@ _cmd("admit_bookings", BA.admit_bookings, "booking_requests", {
     "seats": ("seats", lambda df: df.select("seat_id", "status"))})
 
 
+_cmd("apply_commands", CL.apply_commands, "command_log", {
+    "bookings": ("bookings", lambda df: df.select(
+        "passenger_id", "flight_id", "seat_id", "pnr", "status", "cancel_reason", "cancelled_at")),
+    "seats": ("seats", lambda df: df.select("seat_id", "status"))})
+
+
 _cmd("register_passengers", PC.register_passengers, "passenger_requests", {
     "new": ("passengers", lambda df: df.filter(_F.col("passport_no").startswith("N")).select(
         "full_name", "gender", "passport_no", "email", "created_at"))})

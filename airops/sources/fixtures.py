@@ -429,3 +429,42 @@ def passenger_update_requests(raw) -> DataFrame:
         .alias("full_name"),
         F.lit(None).cast("date").alias("date_of_birth"), gender.alias("gender"),
         F.lit("Atlantis").alias("nationality"), F.lit("+3000").alias("phone"), email.alias("email"))
+
+
+def command_log(raw, bw: DataFrame) -> DataFrame:
+    """A mixed log: every order asks for a booking, and every booking is paid,
+    boarded and cancelled at some time; bookings that the log itself makes are
+    paid (two of three), boarded (half) and cancelled (a third) as well, some
+    before they are made."""
+    wanted = booking_requests(raw)
+    k = F.col("request_id")
+    no = {"booking_id": "bigint", "booking_request_id": "bigint", "passenger_id": "bigint", "flight_id": "bigint",
+          "seat_id": "bigint", "staff_id": "bigint", "method": "string", "amount": "decimal(12,2)",
+          "cancel_reason": "string", "boarding_status": "string"}
+
+    def rows(df: DataFrame, tag: int, command: str, at, **given) -> DataFrame:
+        cols = [F.lit(given[c]).alias(c) if isinstance(given.get(c), str) else
+                given[c].alias(c) if c in given else F.lit(None).cast(no[c]).alias(c) for c in no]
+        return df.select((F.col("_k") * 16 + tag).alias("request_id"), at.alias("requested_at"), F.lit(command).alias("command"), *cols)
+
+    new = wanted.withColumn("_k", k)
+    made = {"booking_request_id": k * 16}
+    old = bw.withColumn("_k", F.col("booking_id"))
+    own = {"booking_id": F.col("booking_id")}
+    at, booked = F.col("requested_at"), F.col("booked_at")
+    price = F.when(k % 35 == 0, F.lit(0)).otherwise(F.lit(250)).cast("decimal(12,2)")
+    parts = [
+        rows(new, 0, "book", at, **{c: F.col(c) for c in ("passenger_id", "flight_id", "seat_id", "staff_id")}),
+        rows(new.where(k % 3 != 0), 1, "pay", at + _hours(F.when(k % 10 == 1, -1).otherwise(1)), method="Card", amount=price, **made),
+        rows(new.where(k % 2 == 0), 2, "board", at + _hours(F.lit(30)), boarding_status="Boarded", **made),
+        rows(new.where(k % 3 == 1), 3, "cancel", at + _hours(F.when(k % 4 == 0, 20).otherwise(72)), cancel_reason="ill", **made),
+        rows(old, 4, "pay", booked + _hours(F.lit(1)), method="Cash", amount=F.col("amount"), **own),
+        rows(old, 5, "board", booked + _hours(F.lit(30)), boarding_status="Boarded", **own),
+        rows(old.where(F.col("o_orderstatus") == "F"), 6, "board", booked + _hours(F.lit(31)), boarding_status="No_Show", **own),
+        rows(old, 7, "cancel", booked + _hours(F.lit(48)),
+             cancel_reason=F.when(F.col("_k") % 22 != 0, F.lit("schedule change")), **own),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

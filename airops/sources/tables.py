@@ -130,6 +130,7 @@ def _extra_builders(raw, bw) -> dict[str, Callable[[], DataFrame]]:
         "cancel_requests": lambda: fixtures.cancel_requests(bw),
         "payment_requests": lambda: fixtures.payment_requests(bw),
         "boarding_events": lambda: fixtures.boarding_events(bw),
+        "command_log": lambda: fixtures.command_log(raw, bw),
         "passenger_requests": lambda: fixtures.passenger_requests(raw),
         "passenger_update_requests": lambda: fixtures.passenger_update_requests(raw),
     }

@@ -186,8 +186,129 @@ select request_id, code < 300 accepted, cast(code as integer) code, reason from
     }
 
 
+def _log_rows() -> str:
+    """The mixed command log: (request id * 16 + tag, time, command, and its fields)."""
+    blank = {"booking_id": "bigint", "ref": "bigint", "passenger_id": "bigint", "flight_id": "bigint", "seat_id": "bigint",
+             "staff_id": "bigint", "method": "varchar", "amount": "decimal(12,2)", "cancel_reason": "varchar",
+             "boarding_status": "varchar"}
+
+    def part(source: str, key: str, tag: int, command: str, at: str, where: str = "true", **given: str) -> str:
+        fields = ", ".join(f"cast({given.get(c, 'null')} as {kind}) {c}" for c, kind in blank.items())
+        return (f"select {key} * 16 + {tag} rid, {at} moment, '{command}' command, {fields} from {source} where {where}")
+
+    new, ref = ("booking_requests", "request_id"), {"ref": "request_id * 16"}
+    old, own = ("bookings_x", "booking_id"), {"booking_id": "booking_id"}
+
+    def later(of: str, hours: str) -> str:
+        return f"{of} + interval '1' hour * ({hours})"
+
+    return " union all ".join([
+        part(*new, 0, "book", "requested_at", **{c: c for c in ("passenger_id", "flight_id", "seat_id", "staff_id")}),
+        part(*new, 1, "pay", later("requested_at", "if(request_id % 10 = 1, -1, 1)"), "request_id % 3 <> 0", method="'Card'",
+             amount="if(request_id % 35 = 0, 0, 250)", **ref),
+        part(*new, 2, "board", later("requested_at", "30"), "request_id % 2 = 0", boarding_status="'Boarded'", **ref),
+        part(*new, 3, "cancel", later("requested_at", "if(request_id % 4 = 0, 20, 72)"), "request_id % 3 = 1",
+             cancel_reason="'ill'", **ref),
+        part(*old, 4, "pay", later("booked_at", "1"), method="'Cash'", amount="amount", **own),
+        part(*old, 5, "board", later("booked_at", "30"), boarding_status="'Boarded'", **own),
+        part(*old, 6, "board", later("booked_at", "31"), "o_orderstatus = 'F'", boarding_status="'No_Show'", **own),
+        part(*old, 7, "cancel", later("booked_at", "48"), cancel_reason="if(booking_id % 22 = 0, null, 'schedule change')",
+             **own)])
+
+
+def _apply_commands() -> dict[str, str]:
+    """Each flight's commands stepped through in order; the state is lists of what
+    changed: seats (s, st), bookings (b, st, paid, rec), passengers of new bookings."""
+    gone = "list_filter(bs, lambda y: y.b = x.b)[-1].st"
+    verdict = f"""case
+ when command = 'book' then case
+  when passenger_id is null or flight_id is null or seat_id is null then '422 invalid_request'
+  when not pfound then '404 passenger_not_found' when fstatus is null then '404 flight_not_found'
+  when fstatus in {CLOSED} then '422 flight_closed'
+  when len(list_filter(pairs, lambda x: coalesce({gone}, x.st) <> 'Cancelled')) > 0
+   or len(list_filter(list_filter(np, lambda x: x.p = passenger_id), lambda x: {gone} <> 'Cancelled')) > 0
+   then '409 duplicate_booking'
+  when sflight is null or sflight <> flight_id then '404 seat_not_on_flight'
+  when coalesce(list_filter(ss, lambda x: x.s = seat_id)[-1].st, sstatus) <> 'Available' then '409 seat_unavailable'
+  when cap is null then '500 constraint_violation'
+  when nlive + live >= cap then '409 flight_full'
+  when len(pairs) > 0 or len(list_filter(np, lambda x: x.p = passenger_id)) > 0 or not stfound
+   then '500 constraint_violation'
+  else '201 ok' end
+ when (command = 'pay' and (method is null or amount is null)) or (command = 'cancel' and cancel_reason is null)
+  then '422 invalid_request'
+ when st is null then '404 booking_not_found'
+ when command = 'cancel' then if(st = 'Cancelled', '409 already_cancelled', '200 ok')
+ when command = 'pay' then case when st = 'Cancelled' then '409 booking_cancelled' when paid then '409 payment_exists'
+  when amount <= 0 or ticketed or fare is null or fare <= 0 then '500 constraint_violation' else '201 ok' end
+ when st <> 'Confirmed' then '422 booking_not_confirmed' when rec then '201 status_updated'
+ else '201 boarding_recorded' end"""
+    walk = f"""
+with recursive log as ({_log_rows()}),
+ owned as (
+  select l.*, coalesce(l.booking_id, -l.ref - 1) target, coalesce(b.flight_id, r.flight_id, l.flight_id, -2) g,
+   coalesce(b.seat_id, r.seat_id) tseat, b.status status0
+  from log l left join bookings b on b.booking_id = l.booking_id left join booking_requests r on r.request_id * 16 = l.ref),
+ pair as (select flight_id, passenger_id, list({{'b': booking_id, 'st': status}}) pairs from bookings group by all),
+ taken as (select flight_id, count(*) n from bookings where status in ('Pending', 'Confirmed') group by all),
+ pre as (
+  select o.*, p.passenger_id is not null pfound, f.status fstatus, a.seat_capacity cap, coalesce(k.n, 0) nlive,
+   coalesce(c.pairs, []) pairs, s.flight_id sflight, s.status sstatus, h.staff_id is not null stfound,
+   o.booking_id in (select booking_id from payments) paid0, o.booking_id in (select booking_id from tickets) ticketed,
+   o.booking_id in (select booking_id from boarding_records) rec0, cast(tf.base_fare * fc.multiplier as decimal(12,2)) fare,
+   row_number() over (partition by o.g order by o.moment, o.rid) rn
+  from owned o left join passengers p on p.passenger_id = o.passenger_id left join flights f on f.flight_id = o.flight_id
+   left join aircraft a on a.aircraft_id = f.aircraft_id left join taken k on k.flight_id = o.flight_id
+   left join pair c on c.flight_id = o.flight_id and c.passenger_id = o.passenger_id
+   left join seats s on s.seat_id = o.seat_id left join staff h on h.staff_id = o.staff_id
+   left join flights tf on tf.flight_id = o.g left join seats ts on ts.seat_id = o.tseat
+   left join fare_classes fc on fc.fare_class_id = ts.fare_class_id),
+ w(g, rn, ss, bs, np, live, rid, verdict, seat_after) as (
+  select distinct g, cast(0 as bigint), cast([] as struct(s bigint, st varchar)[]),
+   cast([] as struct(b bigint, st varchar, paid boolean, rec boolean)[]), cast([] as struct(p bigint, b bigint)[]),
+   cast(0 as bigint), cast(null as bigint), cast(null as varchar), cast(null as struct(s bigint, st varchar)) from pre
+  union all
+  select g, rn, if(seat_after is null, ss, list_append(ss, seat_after)),
+   case when verdict not like '20%' or verdict like '%updated' then bs
+    when command = 'book' then list_append(bs, {{'b': -rid - 1, 'st': 'Pending', 'paid': false, 'rec': false}})
+    when command = 'pay' then list_append(bs, {{'b': target, 'st': 'Confirmed', 'paid': true, 'rec': rec}})
+    when command = 'cancel' then list_append(bs, {{'b': target, 'st': 'Cancelled', 'paid': paid, 'rec': rec}})
+    else list_append(bs, {{'b': target, 'st': st, 'paid': paid, 'rec': true}}) end,
+   if(verdict = '201 ok' and command = 'book', list_append(np, {{'p': passenger_id, 'b': -rid - 1}}), np),
+   live + case when verdict = '201 ok' and command = 'book' then 1 when verdict = '200 ok' then -1 else 0 end,
+   rid, verdict, seat_after
+  from (select *, case when verdict = '201 ok' and command = 'book' then {{'s': seat_id, 'st': 'Reserved'}}
+     when verdict = '200 ok' then {{'s': tseat, 'st': 'Available'}}
+     when verdict = '201 boarding_recorded' and boarding_status = 'Boarded' then {{'s': tseat, 'st': 'Occupied'}} end seat_after
+   from (select *, {verdict} verdict
+    from (select q.*, w.ss, w.bs, w.np, w.live, coalesce(c.st, q.status0) st, coalesce(c.paid, q.paid0, false) paid,
+      coalesce(c.rec, q.rec0, false) rec
+     from w join pre q on q.g = w.g and q.rn = w.rn + 1,
+      lateral (select list_filter(w.bs, lambda x: x.b = q.target)[-1] c) as last(c)))))
+, done as (select w.rid, w.verdict, w.seat_after, l.* exclude (rid) from w join owned l on l.rid = w.rid where w.rn > 0)"""
+    made = "select * from done where command = 'book' and verdict = '201 ok'"
+    return {
+        "apply_commands": walk + """
+select rid request_id, verdict < '3' accepted, cast(substr(verdict, 1, 3) as integer) code, substr(verdict, 5) reason from done""",
+        "apply_commands_bookings": walk + f"""
+, every as (
+  select booking_id target, passenger_id, flight_id, seat_id, pnr, status, cancel_reason, cancelled_at from bookings
+  union all select -rid - 1, passenger_id, flight_id, seat_id, {_pnr('rid')}, 'Pending', null, null from ({made}))
+select e.passenger_id, e.flight_id, e.seat_id, e.pnr,
+ case when c.rid is not null then 'Cancelled' when p.rid is not null then 'Confirmed' else e.status end status,
+ coalesce(c.cancel_reason, e.cancel_reason) cancel_reason, coalesce(c.moment, e.cancelled_at) cancelled_at
+from every e left join (select * from done where command = 'cancel' and verdict = '200 ok') c on c.target = e.target
+ left join (select * from done where command = 'pay' and verdict = '201 ok') p on p.target = e.target""",
+        "apply_commands_seats": walk + """
+select s.seat_id, coalesce(x.st, s.status) status
+from seats s left join (select seat_after.s seat_id, arg_max(seat_after.st, (moment, rid)) st from done
+ where seat_after is not null group by all) x on x.seat_id = s.seat_id""",
+    }
+
+
 def bodies() -> dict[str, str]:
     out = {}
+    out.update(_apply_commands())
     out.update(_admit())
     out.update(_register())
     out.update(_update_passengers())
