@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from airops.operators.audits import EMAIL_PATTERN
-from airops.operators.commands.admission import greedy_admission
+from airops.operators.commands.admission import greedy_admission, key_components
 from airops.operators.commands.common import (conform, new_ids, order_key,
                                               outcomes, restrict)
+from airops.operators.commands.fold import _kept, fold_in_blocks
 from airops.schema import GENDERS
 
 # --- fixed values: outcome reasons ----------------------------------------------
@@ -86,50 +89,52 @@ def delete_passengers(t, requests: DataFrame):
 UPDATE_FIELDS = ("full_name", "date_of_birth", "gender", "nationality", "phone", "email")
 
 
-def _email_events(accepted: DataFrame, initial: DataFrame) -> DataFrame:
-    """Take / release events of e-mail addresses: (email, at, holder, take).
-
-    ``accepted`` movers carry their previous e-mail (``prev``): a move takes
-    the new address and releases the previous one; the snapshot's e-mails
-    are taken at the beginning of time."""
-    takes = accepted.select(F.col("email"), F.col("_ord").alias("at"),
-                            F.col("passenger_id").alias("holder"), F.lit(True).alias("take"))
-    releases = (accepted.filter(F.col("prev") != F.col("email"))
-                .select(F.col("prev").alias("email"), F.col("_ord").alias("at"),
-                        F.col("passenger_id").alias("holder"), F.lit(False).alias("take")))
-    # the snapshot's holders: before any request (request ids are positive)
-    start = F.struct(F.to_timestamp_ntz(F.lit("0001-01-01 00:00:00")).alias("ts"),
-                     F.lit(-1).cast("bigint").alias("id"))
-    init = initial.select("email", start.alias("at"), F.col("passenger_id").alias("holder"),
-                          F.lit(True).alias("take"))
-    return init.unionByName(takes).unionByName(releases)
-
-
-def _last_before(reqs: DataFrame, events: DataFrame, key: str, value: str) -> DataFrame:
-    """Add the ``value`` of the last of ``events`` (key, at, value) before each
-    request on the same key, or NULL: requests and events are stacked and read
-    once in order, so a hot key costs its rows and not their pairs."""
-    vtype = events.schema[value].dataType
-    both = (reqs.select(key, F.col("_ord").alias("_at"), F.lit(0).alias("_kind"),
-                        F.lit(None).cast(vtype).alias(value), "request_id")
-            .unionByName(events.filter(F.col(key).isNotNull()).select(
-                key, F.col("at").alias("_at"), F.lit(1).alias("_kind"), value,
-                F.lit(None).cast("bigint").alias("request_id"))))
-    # at the same moment the request comes first: it does not see its own event
-    w = (Window.partitionBy(key).orderBy("_at", "_kind", value)
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    seen = both.select("request_id", F.last(value, ignorenulls=True).over(w).alias(value))
-    return reqs.join(seen.filter(F.col("request_id").isNotNull()), "request_id", "left")
-
-
-def _held_by_other(reqs: DataFrame, events: DataFrame) -> DataFrame:
-    """Add ``_taken``: at the request's time, its target e-mail is held by
-    another passenger (the last event on the address before then is a take by
-    someone else)."""
-    r = _last_before(reqs, events.select("email", "at", F.struct("holder", "take").alias("_last")),
-                     "email", "_last")
-    taken = F.col("_last.take") & (F.col("_last.holder") != F.col("passenger_id"))
-    return r.withColumn("_taken", F.coalesce(taken, F.lit(False))).drop("_last")
+def _walk_moves(state: list | None, g: pd.DataFrame):
+    """E-mail moves in order. The state holds the passengers that moved and their
+    addresses; all others hold what the snapshot says, which the rows carry."""
+    moved = {pid: email for pid, email in state or []}
+    at: dict[str, set] = {}
+    for pid, email in moved.items():
+        at.setdefault(email, set()).add(pid)
+    conflicts = []
+    for pid, email, first, owner, mover in zip(g["passenger_id"].tolist(), g["email"].tolist(), g["_email0"].tolist(),
+                                               g["_owner"].tolist(), g["_mover"].tolist()):
+        now = moved.get(pid, first)
+        # -1: nobody held the address before the batch
+        kept = owner not in (-1, pid) and owner not in moved
+        conflict = email != now and (kept or bool(at.get(email, set()) - {pid}))
+        conflicts.append(conflict)
+        if mover and not conflict and email != now:
+            at.get(now, set()).discard(pid)
+            moved[pid] = email
+            at.setdefault(email, set()).add(pid)
+    return pd.DataFrame({"request_id": g["request_id"], "_conflict": conflicts}), sorted(moved.items())
+
+
+def _email_conflicts(setters: DataFrame) -> DataFrame:
+    """(request_id, _conflict): the address is held by another passenger then.
+
+    Requests that share a passenger or an address (the target or the address that
+    the passenger had before the batch), directly or through others, form a
+    component, which is walked in order by a fold in blocks. A request that shares
+    nothing is decided by the snapshot alone."""
+    rows = _kept(setters.withColumn("_ts", F.col("_ord.ts")).drop("_ord").withColumns({
+        "_p": F.xxhash64(F.lit("passenger"), "passenger_id"), "_to": F.xxhash64(F.lit("address"), "email"),
+        "_from": F.xxhash64(F.lit("address"), "_email0")}), "setters")
+    keys = rows.select("request_id", F.explode(F.array_distinct(F.array("_p", "_to", "_from"))).alias("k"))
+    shared = _kept(keys.groupBy("k").count().where("count > 1").select("k"), "shared-keys")
+    tied = _kept(keys.join(shared, "k", "left_semi").select("request_id").distinct(), "tied")
+    alone = rows.join(tied, "request_id", "left_anti").select("request_id", (
+        ~F.col("email").eqNullSafe(F.col("_email0")) & (F.col("_owner") != -1) & (F.col("_owner") != F.col("passenger_id"))
+    ).alias("_conflict"))
+    open_ = rows.join(tied, "request_id", "left_semi")
+    edges = open_.select(F.col("_p").alias("a"), F.explode(F.array("_to", "_from")).alias("b"))
+    root = key_components(edges)
+    placed = open_.join(root.withColumnRenamed("node", "_p"), "_p", "left").select(
+        "request_id", "_ts", "passenger_id", "email", "_email0", "_owner", "_mover",
+        F.coalesce("root", "_p").alias("_component"))
+    out = T.StructType([rows.schema["request_id"], T.StructField("_conflict", T.BooleanType())])
+    return alone.union(fold_in_blocks(placed, "_component", ["_ts", "request_id"], _walk_moves, out))
 
 
 def update_passengers(t, requests: DataFrame):
@@ -137,23 +142,14 @@ def update_passengers(t, requests: DataFrame):
     request shape (e-mail) 422; 404; a new e-mail held by another passenger
     at that moment 409; gender 422; explicit NULL for a NOT NULL column 500.
 
-    E-mail ownership moves inside a batch (A leaves e1, then B takes e1), so
-    the requests that may move an address ("movers") are decided by a
-    fixpoint. A mover is decidable once it is its passenger's earliest
-    undecided mover and no undecided earlier mover targets its address or
-    belongs to a passenger who could hold that address then (its snapshot
-    owner or an earlier taker); the earliest undecided mover always is.
-    Whether the address is held at that time is read from take/release events
-    of the decided movers. Every round is aggregates and joins; the
-    undecided set is checkpointed."""
+    E-mail ownership moves inside a batch (A leaves e1, then B takes e1): the
+    requests that set an address are walked in order, each component of
+    requests that touch the same passengers or addresses by itself, so that a
+    chain of moves of any length takes the rounds of its blocks and not of its
+    links. Addresses are taken to be unique in the snapshot (``audit_unique``)."""
     from airops.operators.commands.reference_data import _apply_updates, _given, _not_null_violation
 
     p = t["passengers"]
-    # the passengers the batch can reach: the requesters and the holders of the
-    # addresses it targets (semi joins on the batch's keys)
-    reach = (restrict(p, requests, "passenger_id")
-             .unionByName(restrict(p, requests, "email"))
-             .select("passenger_id", "email").dropDuplicates(["passenger_id"]))
     r = (requests.withColumn("_ord", order_key())
          .join(restrict(p, requests, "passenger_id")
                .select("passenger_id", F.col("email").alias("_email0"), F.lit(True).alias("_found")),
@@ -166,55 +162,10 @@ def update_passengers(t, requests: DataFrame):
               | (_given("gender") & (F.col("gender") == "")))
     r = r.withColumn("_mover", sets_email & ~shape_bad & F.col("_found").isNotNull()
                      & ~gender_bad & ~db_bad).checkpoint()
-    movers = r.filter("_mover").select("request_id", "passenger_id", "email", "_ord")
-    initial = reach.checkpoint()
-
-    undecided = movers
-    accepted: DataFrame | None = None   # movers with prev e-mail
-    while True:
-        undecided = undecided.checkpoint()
-        if undecided.isEmpty():
-            break
-        mu = undecided.groupBy("passenger_id").agg(F.min("_ord").alias("_mu"))
-        # blocking: an undecided earlier mover targeting the address, or a possible
-        # holder of the address with an undecided mover earlier than the request
-        all_movers = movers.join(mu, "passenger_id").select(   # holders with undecided moves
-            "email", F.greatest(F.col("_ord"), F.col("_mu")).alias("_v"))
-        owners = initial.join(mu, "passenger_id").select("email", F.col("_mu").alias("_v"))
-        block = all_movers.unionByName(owners).groupBy("email").agg(F.min("_v").alias("_block"))
-        d = (undecided.join(mu, "passenger_id").filter(F.col("_ord") == F.col("_mu"))
-             .join(block, "email", "left")
-             .filter(F.col("_block").isNull() | ~(F.col("_block") < F.col("_ord")))
-             .select("request_id", "passenger_id", "email", "_ord"))
-        # previous e-mail of the passenger: its last accepted move, else the snapshot
-        if accepted is None:
-            prev = initial.select("passenger_id", F.col("email").alias("prev"))
-            events = _email_events(movers.limit(0).withColumn("prev", F.lit(None).cast("string")),
-                                   initial)
-        else:
-            last = accepted.groupBy("passenger_id").agg(F.max_by("email", "_ord").alias("_last"))
-            prev = (initial.join(last, "passenger_id", "left")
-                    .select("passenger_id", F.coalesce("_last", "email").alias("prev")))
-            events = _email_events(accepted, initial)
-        d = d.join(prev, "passenger_id", "left")
-        d = _held_by_other(d, events)
-        d = d.withColumn("_ok", (F.col("email") == F.col("prev")) | ~F.col("_taken")).checkpoint()
-        newly = d.filter("_ok").select("request_id", "passenger_id", "email", "_ord", "prev")
-        accepted = newly if accepted is None else accepted.unionByName(newly)
-        accepted = accepted.checkpoint()  # measured: cheaper than re-reading the pieces
-        undecided = undecided.join(d.select("request_id"), "request_id", "left_anti")
-
-    # 409 for every e-mail-setting request, against the final moves
-    if accepted is None:
-        accepted = movers.limit(0).withColumn("prev", F.lit(None).cast("string"))
-    events = _email_events(accepted, initial)
-    setters = r.filter(sets_email).select("request_id", "passenger_id", "email", "_ord")
-    moves = accepted.select("passenger_id", F.col("_ord").alias("at"), F.col("email").alias("_cur"))
-    setters = (_last_before(setters, moves, "passenger_id", "_cur")
-               .join(initial.select("passenger_id", F.col("email").alias("_e0")), "passenger_id", "left")
-               .withColumn("_cur", F.coalesce("_cur", "_e0")))
-    setters = _held_by_other(setters, events).select(
-        "request_id", ((F.col("email") != F.col("_cur")) & F.col("_taken")).alias("_conflict"))
+    setters = r.filter(sets_email & ~shape_bad & F.col("_found").isNotNull()).select(
+        "request_id", "passenger_id", "email", "_email0", "_mover", "_ord")
+    owners = restrict(p, setters, "email").groupBy("email").agg(F.min("passenger_id").alias("_owner"))
+    setters = _email_conflicts(setters.join(owners, "email", "left").fillna(-1, ["_owner"]))
     r = r.join(setters, "request_id", "left")
     out = outcomes(r, [
         (422, R_INVALID, shape_bad),
