@@ -9,8 +9,12 @@ main text; blocks of 0.5 or more are joined in page order.
 The pages carry no labels. The labeller is trained on at most ``TRAIN_PAGES``
 pages (those with the smallest hashes), where a block's label comes from its
 path (``path_label``), and on rearranged copies of them, in which the same text
-stands under other containers and between other page furniture, so that the
-labeller does not depend on one site's markup. It then labels by itself.
+stands under other containers and between other page furniture, in lists, tables,
+sub-headings and captions as well as paragraphs, so that the labeller does not
+depend on one site's markup. It then labels by itself. Of a training sequence of
+more than ``TRAIN_BLOCKS`` blocks the fit sees the first and last ones; every
+page is labelled over all its blocks. Reading a page takes time linear in it: a
+path is a chain of open elements, each with the sums of those above it.
 
 Defined cases: a null or empty html has no block and gives an empty text;
 unclosed or stray tags are repaired as browsers do (a block tag ends a
@@ -24,6 +28,7 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from html import unescape
@@ -47,6 +52,7 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
              "samp small span strike strong sub sup time tt u var wbr img br input".split())
 NOT_SHOWN = set("script style noscript noframes template textarea title iframe object svg math canvas audio video "
                 "select datalist".split())
+FOREIGN = {"svg", "math"}  # only these can close themselves
 IN_HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
 CLOSED_BY_SIBLING = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr"},
                      "th": {"tr"}, "option": {"select"}}
@@ -67,12 +73,45 @@ FURNITURE = set("nav menu header footer aside sidebar side form button search lo
 MAIN = set("article main content post entry story body text articlebody maincontent page".split())
 
 
+class Element:
+    """An open element: its entry ("tag name name"), what it stands in, and what
+    the chain up to it says (so that deep pages need no walk along it)."""
+
+    __slots__ = ("up", "entry", "depth", "head", "furniture", "main", "vector")
+
+    def __init__(self, up: Element | None, entry: str) -> None:
+        tag, *names = entry.split()
+        words = {tag, *names}
+        self.up, self.entry = up, entry
+        self.depth = up.depth + 1 if up else 1
+        self.head = tag == "head" or bool(up and up.head)
+        self.furniture = not FURNITURE.isdisjoint(words) or bool(up and up.furniture)
+        self.main = not (MAIN - {"body"}).isdisjoint(words) or "body" in names or bool(up and up.main)
+        self.vector: np.ndarray | None = None
+
+
+def chain(entries: Sequence[str]) -> Element | None:
+    at = None
+    for entry in entries:
+        at = Element(at, entry)
+    return at
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]  # "tag name name" of each open element
+    at: Element | None  # the innermost element that the text stands in
     linked: int  # characters of the text inside links
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        """The entries of the open elements, from the outermost."""
+        out, e = [], self.at
+        while e:
+            out.append(e.entry)
+            e = e.up
+        return tuple(reversed(out))
+
 
 def _names(tag: str, attributes: str) -> str:
     if not attributes or "=" not in attributes:
@@ -85,22 +124,29 @@ def _names(tag: str, attributes: str) -> str:
 def blocks(html: str) -> list[Block]:
     """The leaf blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []  # (tag, its path entry); inline tags have an empty entry
+    stack: list[tuple[str, Element | None]] = []  # inline tags have no element
+    opened: Counter[str] = Counter()  # tags on the stack
+    unended: set[str] = set()  # tags that no end tag follows any more
     text: list[str] = []
     linked = links = at = 0
     in_body = False
 
+    def inside() -> Element | None:
+        return next((e for _, e in reversed(stack) if e), None)
+
     def close() -> None:
         nonlocal linked
         joined = _SPACE.sub(" ", unescape("".join(text))).strip()
         if joined:
-            out.append(Block(joined, tuple(e for _, e in stack if e), min(linked, len(joined))))
+            out.append(Block(joined, inside(), min(linked, len(joined))))
         text.clear()
         linked = 0
 
     def pop_to(k: int) -> None:
         nonlocal links
-        links -= sum(t == "a" for t, _ in stack[k:])
+        for t, _ in stack[k:]:
+            links -= t == "a"
+            opened[t] -= 1
         del stack[k:]
 
     def begin_body() -> None:
@@ -131,11 +177,13 @@ def blocks(html: str) -> list[Block]:
         ends, attributes = m[1] or m[4], m[3] or m[6] or ""
         if not in_body and (tag in ("body", "html", "br") if ends else tag not in IN_HEAD | {"html", "head"}):
             begin_body()
-        if tag == "head" and not ends and (in_body or any(t == "head" for t, _ in stack)):
+        if tag == "head" and not ends and (in_body or opened["head"]):
             continue
         if tag in NOT_SHOWN and not ends:
-            if not attributes.endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+            if tag not in FOREIGN or not attributes.endswith("/"):
+                end = None if tag in unended else re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+                if not end:
+                    unended.add(tag)
                 at = end.end() if end else (n if tag in ("script", "style", "title", "textarea") else at)
             text.append(" ")
             continue
@@ -145,12 +193,14 @@ def blocks(html: str) -> list[Block]:
             elif tag in VOID:
                 pass
             elif not ends:
-                stack.append((tag, ""))
+                stack.append((tag, None))
+                opened[tag] += 1
                 links += tag == "a"
-            else:
+            elif opened[tag]:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == tag:
                         links -= tag == "a"
+                        opened[tag] -= 1
                         del stack[k]
                         break
                     if stack[k][1]:
@@ -158,7 +208,7 @@ def blocks(html: str) -> list[Block]:
             continue
         close()
         if ends:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[k][0] == tag:
                     pop_to(k)
                     break
@@ -179,17 +229,17 @@ def blocks(html: str) -> list[Block]:
                 if stack[k][0] in CLOSED_BY_SIBLING[tag]:
                     break
         if not attributes.endswith("/") or tag not in VOID:
-            stack.append((tag, _names(tag, attributes)))
+            stack.append((tag, Element(inside(), _names(tag, attributes))))
+            opened[tag] += 1
     close()
-    return [b for b in out if not b.path or not any(e.split(" ", 1)[0] == "head" for e in b.path)]
+    return [b for b in out if not b.at or not b.at.head]
 
 
 def path_label(block: Block) -> int:
     """1 for main text, as far as the path (or, without hints, the text) tells."""
-    names = [w for e in block.path for w in e.split()]
-    if any(w in FURNITURE for w in names):
+    if block.at and block.at.furniture:
         return 0
-    if any(w in MAIN - {"body"} for w in names) or any("body" in e.split()[1:] for e in block.path):
+    if block.at and block.at.main:
         return 1
     return int(block.linked < 0.3 * len(block.text) and len(block.text.split()) >= 8)
 
@@ -200,21 +250,31 @@ def _bucket(word: str, dim: int) -> tuple[int, float]:
 
 
 class Vectors:
-    """Block vectors; the vector of a path is worked out once."""
+    """Block vectors; the vector of an entry is worked out once, that of a path
+    from the one above it."""
 
     def __init__(self) -> None:
-        self.paths: dict[tuple[str, ...], np.ndarray] = {}
+        self.entries: dict[str, np.ndarray] = {}
 
-    def path(self, path: tuple[str, ...]) -> np.ndarray:
-        v = self.paths.get(path)
+    def entry(self, entry: str) -> np.ndarray:
+        v = self.entries.get(entry)
         if v is None:
             v = np.zeros(PATH_DIM, dtype=np.float32)
-            for entry in path:
-                for word in entry.split():
-                    at, sign = _bucket(word, PATH_DIM)
-                    v[at] += sign
-            if len(self.paths) < 50_000:
-                self.paths[path] = v
+            for word in entry.split():
+                at, sign = _bucket(word, PATH_DIM)
+                v[at] += sign
+            if len(self.entries) < 50_000:
+                self.entries[entry] = v
+        return v
+
+    def path(self, at: Element | None) -> np.ndarray:
+        todo = []
+        while at and at.vector is None:
+            todo.append(at)
+            at = at.up
+        v = at.vector if at else np.zeros(PATH_DIM, dtype=np.float32)
+        for e in reversed(todo):
+            v = e.vector = v + self.entry(e.entry)
         return v
 
     def of(self, found: Sequence[Block]) -> np.ndarray:
@@ -231,10 +291,10 @@ class Vectors:
             x[lo:hi, -1] = np.log1p(count) / 4
         n = max(1, len(found))
         for i, b in enumerate(found):
-            x[i, :PATH_DIM] = self.path(b.path)
+            x[i, :PATH_DIM] = self.path(b.at)
             size = len(b.text)
             x[i, -FIGURES:-1] = (b.linked / size, np.log1p(size) / 6, b.text[-1] in ".!?…\"”»", i / n,
-                                 min(b.text.count(",") / 10, 1), len(b.path) / 10, b.text[:1].isupper())
+                                 min(b.text.count(",") / 10, 1), (b.at.depth if b.at else 0) / 10, b.text[:1].isupper())
         return np.clip(x, -4, 4)
 
 
@@ -364,6 +424,10 @@ _FURNITURE_PATHS = (
     ("section comments", "div comment", "p"), ("div comments", "ol", "li comment", "p"), ("div comment", "p"),
     ("ul comments", "li"), ("div related", "ul", "li"), ("div share",), ("div social", "ul", "li"),
     ("div breadcrumbs",), ("div pagination",), ("div widget", "p"), ("div popup", "p"), ("button",))
+_LEAVES = (("p",), ("div",), ("div", "p"), ("section", "p"), ("ul", "li"), ("ol", "li"), ("ul", "li", "p"),
+           ("table", "tr", "td"), ("table", "tbody", "tr", "td"), ("table", "thead", "tr", "th"), ("dl", "dt"),
+           ("dl", "dd"), ("pre",), ("blockquote",), ("blockquote", "p"), ("h2",), ("h3",), ("h4",),
+           ("figure", "figcaption"), ("details", "summary"), ("table", "caption"))
 
 
 def rearranged(found: list[Block], seed: int) -> list[tuple[Block, int]]:
@@ -374,27 +438,39 @@ def rearranged(found: list[Block], seed: int) -> list[tuple[Block, int]]:
     words = " ".join(b.text for b in found).split() or ["a"]
     base = rng.choice(_MAIN_PATHS)
 
+    main_words = " ".join(b.text for b in main).split() or words
+
     def leaf(b: Block) -> str:
-        tag = b.path[-1].split()[0] if b.path else "p"
+        tag = b.path[-1].split()[0] if b.at else "p"
         return tag if tag in ("p", "h1", "h2", "h3", "li", "blockquote", "pre", "td") else "p"
 
+    def passage(source: list[str], sizes: tuple[int, ...]) -> str:
+        n, k = rng.choice(sizes), rng.randrange(len(source))
+        return " ".join(source[k:k + n])
+
     def furniture(inside: bool) -> list[tuple[Block, int]]:
         path = rng.choice(_FURNITURE_PATHS)
-        at = base if inside else base[:1]
+        if rng.random() < 0.4:  # any element can stand in furniture
+            path = (path[0], *rng.choice(_LEAVES))
+        at = chain(("html", *(base if inside else base[:1]), *path))
         out = []
         for _ in range(rng.randint(1, 6)):
-            n = rng.choice((1, 1, 2, 3, 5, 8, 15, 40))
-            k = rng.randrange(len(words))
-            text = " ".join(words[k:k + n])
-            out.append((Block(text, ("html", *at, *path), len(text) if path[-1].startswith("li") and
-                              rng.random() < 0.7 else 0), 0))
+            text = passage(words, (1, 1, 2, 3, 5, 8, 15, 40))
+            out.append((Block(text, at, len(text) if path[-1].startswith("li") and rng.random() < 0.7 else 0), 0))
         return out
 
+    def content() -> list[tuple[Block, int]]:
+        """A list, table, heading, caption and the like of the article."""
+        at = chain(("html", *base, *rng.choice(_LEAVES)))
+        return [(Block(passage(main_words, (1, 2, 3, 5, 8, 15, 30)), at, 0), 1) for _ in range(rng.randint(1, 4))]
+
     out = []
     for _ in range(rng.randint(1, 4)):
         out += furniture(False)
     for b in main:
-        out.append((Block(b.text, ("html", *base, leaf(b)), b.linked), 1))
+        out.append((Block(b.text, chain(("html", *base, leaf(b))), b.linked), 1))
+        if rng.random() < 0.25:
+            out += content()
         if rng.random() < 0.08:
             out += furniture(True)
     for _ in range(rng.randint(1, 4)):
