@@ -65,6 +65,17 @@ def smallest_hashes(df: DataFrame, n: int, *keys: str) -> DataFrame:
         F.pmod(h, F.lit(1 << 30)), *keys).limit(n)
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until the table has no such column in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def keep_rows(df: DataFrame, text_col: str, keep: Callable[[list], list[bool]]) -> DataFrame:
     """The rows of ``df`` for whose texts ``keep`` (of a list of texts, null as
     None) is true; all columns stay as they are."""

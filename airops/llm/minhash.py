@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from airops.llm import textops
-from airops.llm.common import bound_batches, read_table, schema, written
+from airops.llm.common import bound_batches, fresh_names, read_table, schema, written
 from airops.llm.graphs import components, runs
 
 SHINGLE, SKETCH, LEAST = 5, 32, 18
@@ -257,11 +257,12 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_
                          text_col: str = "text") -> DataFrame:
     """One document of each group (the one with the least id), with all its columns."""
     names = docs.columns
+    key, gone_id, gone_key = fresh_names(docs, "text_key", "gone_id", "gone_key")
     found = near_duplicates(docs, percent, id_col, text_col)
     gone = written(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "duplicates")
-    keyed = docs.withColumn("__text_key", F.xxhash64(F.coalesce(docs[text_col], F.lit(""))))
-    left = keyed.join(gone, (keyed["__text_key"] == gone["__key"]) & keyed[id_col].eqNullSafe(gone["__id"]),
+        F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key)).distinct(), "duplicates")
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce(docs[text_col], F.lit(""))))
+    left = keyed.join(gone, (F.col(key) == F.col(gone_key)) & F.col(f"`{id_col}`").eqNullSafe(F.col(gone_id)),
                       "left_anti")
     return left.select(*[F.col(f"`{n}`") for n in names])
 

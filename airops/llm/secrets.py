@@ -3,10 +3,13 @@
 Every text gives candidates: matches of three fixed patterns and, besides
 these, bare tokens that look random. A candidate's value is hashed, and the
 hash is counted over the whole corpus by distinct repositories and distinct
-owners. A value that many owners hold is a published example; one that few
-owners hold and that looks random is a live credential. Pattern matches are
-always reported; a bare token is reported (kind ``owned``) only where its value
-is live, or is the value of a pattern match elsewhere.
+owners (by default ``source``; a document is a repository). A value that many
+owners hold, or some owners in many repositories, is a published example; one
+that few owners hold and that looks random is a live credential, in however many
+repositories of one owner it stands. Pattern matches are always reported; a bare
+token that looks random is reported (kind ``owned``) only where its value is
+live, or is the value of a pattern match elsewhere. A live value is masked
+without the key word before it.
 
 Defined cases: a null text is empty and has no candidate; a null owner or
 repository counts as one unknown owner or repository; repeated rows are
@@ -26,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from airops.llm.common import bound_batches, keep_rows, read_table, schema, written
+from airops.llm.common import bound_batches, fresh_names, keep_rows, read_table, schema, written
 
 # The patterns of the three base kinds and their least lengths.
 ASSIGN = re.compile(
@@ -45,6 +48,8 @@ TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=-]{20,}")
 TOKEN_DIGITS = 3
 #: Values that at least this many owners hold are published examples.
 EXAMPLE_OWNERS = 4
+#: So are values of fewer owners, but more than one, in at least this many repositories.
+EXAMPLE_REPOS = 50
 #: Bits a character that a random-looking value has at least.
 LIVE_BITS = 2.5
 
@@ -112,7 +117,8 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def ownership(found: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def ownership(found: DataFrame, example_owners: int = EXAMPLE_OWNERS,
+              example_repos: int = EXAMPLE_REPOS) -> DataFrame:
     """Per value hash: in how many repositories and with how many owners it
     occurs, whether a pattern matched it anywhere, and its verdict."""
     each = found.select("owner", "repo", F.explode("spans").alias("s")).select(
@@ -127,14 +133,16 @@ def ownership(found: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFra
     return by_owner.groupBy("value_sha256").agg(
         F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"), F.max("based").alias("based"),
         F.max("live").alias("live")).withColumn(
-        "verdict", F.when(F.col("n_owners") >= example_owners, "example")
+        "verdict", F.when((F.col("n_owners") >= example_owners) | (
+            (F.col("n_owners") > 1) & (F.col("n_repos") >= example_repos)), "example")
         .when(F.col("live"), "live").otherwise("weak"))
 
 
 def findings(found: DataFrame, owned: DataFrame) -> DataFrame:
     """One row per reported span: key, kind, start, end, value hash, ownership and verdict."""
     each = found.select("doc_id", "text_key", F.explode("spans").alias("s")).select(
-        "doc_id", "text_key", "s.kind", "s.start", "s.end", F.sha2(F.col("s.value"), 256).alias("value_sha256"))
+        "doc_id", "text_key", "s.kind", "s.start", "s.end", F.length("s.value").alias("size"),
+        F.sha2(F.col("s.value"), 256).alias("value_sha256"))
     judged = each.join(owned, "value_sha256")
     return judged.where((F.col("kind") < 3) | (F.col("verdict") == "live") | F.col("based"))
 
@@ -186,33 +194,35 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hash; published examples stay. All rows and columns stay; where the table
     has ``length_col``, it follows the text."""
     names, kinds = docs.columns, docs.schema
+    key, hit_id, hit_key, masks, masked = fresh_names(docs, "text_key", "hit_id", "hit_key", "masks", "masked")
     found, spans = scan_secrets(docs, id_col=id_col, text_col=text_col, **columns)
-    live = spans.where(F.col("verdict") == "live").groupBy("doc_id", "text_key").agg(
-        F.collect_set(F.struct("kind", "start", "end", F.col("value_sha256").alias("sha"))).alias("__spans"))
-    hit = live.withColumnsRenamed({"doc_id": "__id", "text_key": "__key"})
+    # the value only: the key word before it stays
+    live = spans.where(F.col("verdict") == "live").groupBy(
+        F.col("doc_id").alias(hit_id), F.col("text_key").alias(hit_key)).agg(F.collect_set(F.struct(
+            "kind", (F.col("end") - F.col("size")).alias("start"), "end", F.col("value_sha256").alias("sha"))).alias(masks))
     # a text without any candidate stays as it is and needs no shuffle
     has = lambda texts: [bool(candidates(t)) if t else False for t in texts]
     clean = keep_rows(docs, text_col, lambda texts: [not x for x in has(texts)])
     some = keep_rows(docs, text_col, has)
-    left = some.withColumn("__text_key", text_key(some[text_col]))
-    joined = left.join(hit, left["__text_key"].eqNullSafe(F.col("__key")) & left[id_col].eqNullSafe(F.col("__id")),
+    left = some.withColumn(key, text_key(some[text_col]))
+    joined = left.join(live, F.col(key).eqNullSafe(F.col(hit_key)) & F.col(f"`{id_col}`").eqNullSafe(F.col(hit_id)),
                        "left")
     at = names.index(text_col)
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.column("__spans").to_pylist()
+            spans = batch.column(len(names)).to_pylist()
             texts = [t if s is None else _masked(t, s) for t, s in zip(batch.column(at).to_pylist(), spans)]
             columns = batch.columns[:len(names)]
             columns[at] = pa.array(texts, type=columns[at].type)
             hit = pa.array([s is not None for s in spans], type=pa.bool_())
-            yield pa.RecordBatch.from_arrays([*columns, hit], names=[*names, "__hit"])
+            yield pa.RecordBatch.from_arrays([*columns, hit], names=[*names, masked])
 
-    out = joined.select(*[F.col(f"`{n}`") for n in names], "__spans").mapInArrow(
-        mask, T.StructType([*kinds.fields, T.StructField("__hit", T.BooleanType())]))
+    out = joined.select(*[F.col(f"`{n}`") for n in names], masks).mapInArrow(
+        mask, T.StructType([*kinds.fields, T.StructField(masked, T.BooleanType())]))
     if length_col in names:
-        out = out.withColumn(length_col, F.when(F.col("__hit"), F.length(text_col).cast(kinds[length_col].dataType))
-                             .otherwise(F.col(length_col)))
+        out = out.withColumn(length_col, F.when(F.col(masked), F.length(F.col(f"`{text_col}`")).cast(
+            kinds[length_col].dataType)).otherwise(F.col(length_col)))
     return clean.union(out.select(*[F.col(f"`{n}`") for n in names]))
 
 
