@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from airops.sources.store import commit_batch, open_store
 from airops.sources.tables import Tables, read_marker, write_marker, write_snapshot
 
 
@@ -35,3 +36,18 @@ def command_sink(command: Callable, snapshot: Callable[[], Tables], outcomes_pat
         write_snapshot(t.replace(**changed), snapshot_path, epoch_id, mode="overwrite")
         write_marker(batch.sparkSession, done, str(epoch_id))
     return run
+
+
+def store_sink(command: Callable, store_path: str, outcomes_path: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function applying ``command(tables, batch)`` to the newest
+    version of a store (``sources.store``) and publishing only the buckets that
+    the batch changed. The version carries the epoch, so that an epoch that was
+    published is not applied again; outcomes are overwritten when one is retried."""
+    def run(batch: DataFrame, epoch_id: int) -> None:
+        base = open_store(batch.sparkSession, store_path)
+        if base.tag is not None and int(base.tag) >= epoch_id:
+            return
+        out, changed = command(base.tables, batch)
+        out.write.mode("overwrite").parquet(f"{outcomes_path.rstrip('/')}/epoch={epoch_id}")
+        commit_batch(base, changed, str(epoch_id))
+    return run
