@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as _dt
+import uuid as _uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,8 @@ from airops.operators.commands import log as CL
 from airops.operators.commands import passengers as PC
 from airops.operators.commands import reference_data as RD
 from airops.schema import TABLES
+from airops.session import scratch_path
+from airops.sources import store
 from airops.sources.tables import airline_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +30,7 @@ QUERIES: dict[str, Query] = {}
 DATE_FROM, DATE_TO = "1994-01-01", "1996-06-30"
 GENERATED_AT = "2024-06-01 00:00:00"
 MANIFEST_STATUS = "No_Show"
+STORE_BUCKETS = 16
 PASSENGER_SEARCH = "customer#0000001"
 AIRPORT_SEARCH, AIRPORT_COUNTRY = "a", "A"
 FLIGHT_ORIGIN, FLIGHT_DEST = "aab", "zzz"
@@ -144,6 +148,26 @@ _cmd("cancel_bookings", BF.cancel_bookings, "cancel_requests", {
     "payments": ("payments", lambda df: df.select(
         "booking_id", "status", _F.col("refund_amount").cast("double"), "updated_at")),
     "tickets": ("tickets", lambda df: df.select("ticket_id", "is_cancelled"))})
+
+
+def _write_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """Bookings and seats read back from a bucketed store, before (version 0) and
+    after (version 1) the batch of cancellations was published to it."""
+    t = _t(spark, d)
+    path = scratch_path(spark, f"airops-store-{_uuid.uuid4().hex}")
+    base = store.create_store(t, path, STORE_BUCKETS)
+    _, changed = BF.cancel_bookings(base.tables, t.extra("cancel_requests"))
+    after = store.commit_batch(base, changed)
+    out = None
+    for s in (base, after):
+        for table, key in (("bookings", "booking_id"), ("seats", "seat_id")):
+            part = s.tables[table].select(_F.lit(s.version).alias("version"), _F.lit(table).alias("table_name"),
+                                          _F.col(key).alias("id"), "status")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+QUERIES["write_snapshot"] = _write_snapshot
 _cmd("process_payments", BF.process_payments, "payment_requests", {
     "tickets": ("tickets", lambda df: df.filter(_F.col("ticket_no").startswith("TKT-R")).select(
         "booking_id", "fare_class_id", "ticket_no", _F.col("base_fare").cast("double"),

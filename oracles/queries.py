@@ -462,6 +462,11 @@ with c as (select distinct b.seat_id from ({_CANCEL_OUT}) o join bookings b on b
            where o.code = 200)
 select s.seat_id, case when c.seat_id is not null then 'Available' else s.status end status
 from seats s left join c on c.seat_id = s.seat_id"""
+COMMANDS_SQL["write_snapshot"] = f"""
+select 0 as version, 'bookings' as table_name, booking_id as id, status from bookings
+union all select 0, 'seats', seat_id, status from seats
+union all select 1, 'bookings', booking_id, status from ({COMMANDS_SQL["cancel_bookings_after"]}) b
+union all select 1, 'seats', seat_id, status from ({COMMANDS_SQL["cancel_bookings_seats"]}) s"""
 COMMANDS_SQL["cancel_bookings_payments"] = f"""
 with c as (select booking_id, requested_at from ({_CANCEL_OUT}) o where code = 200)
 select p.booking_id, case when hit then 'Refunded' else p.status end status,
