@@ -2,7 +2,9 @@
 
 A page is ``filter -> orderBy(sort key, primary key) -> offset -> limit``;
 Spark plans it as a TakeOrderedAndProject (a top-(skip+limit) per partition,
-then a merge), so a page never sorts the whole table. The sort key of each
+then a merge), so a page never sorts the whole table; a deep page is first
+located by counts of ranges of the order, and only its range is sorted, so that
+no task holds ``skip`` rows. The sort key of each
 listing is not unique; the primary key is added as a tie-break so that pages
 are stable. Totals are a separate one-row count over the same filter.
 
@@ -12,13 +14,15 @@ of keys is left-joined to the table and each key gets ``found``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from airops.functions.predicates import all_of, ilike_any
 
 DEFAULT_LIMIT, MAX_LIMIT = 50, 200  # fixed values: page size default and cap
+#: Rows that one task may hold for a page, and bounds of a round that locates a deeper one.
+DEEP_ROWS, BOUNDS = 10_000, 31
 
 
 def _check_page(skip: int, limit: int) -> None:
@@ -26,9 +30,61 @@ def _check_page(skip: int, limit: int) -> None:
         raise ValueError(f"skip must be >= 0 and limit in 1..{MAX_LIMIT}")
 
 
-def page(df: DataFrame, order: list, skip: int = 0, limit: int = DEFAULT_LIMIT) -> DataFrame:
+def _order(key: str, pk: str, desc: bool) -> list[Column]:
+    return [F.desc(key) if desc else F.asc(key), F.asc(pk)]
+
+
+def _precedes(df: DataFrame, key: str, pk: str, desc: bool, bound: Row) -> Column:
+    """The row comes before ``bound`` (nulls first when rising, last when falling)."""
+    k = F.col(key)
+    if bound[0] is None:
+        less, same = k.isNotNull() if desc else F.lit(False), k.isNull()
+    else:  # as text and cast back: exact for every type of key
+        at = F.lit(bound[0]).cast(df.schema[key].dataType)
+        less, same = (k > at) if desc else k.isNull() | (k < at), k == at
+    return F.coalesce(less | (same & (F.col(pk) < F.lit(bound[1]))), F.lit(False))
+
+
+def _near(df: DataFrame, key: str, bound: Row, upper: bool) -> Column:
+    """What the key alone tells of a row beyond a bound, for the scan to prune by."""
+    if bound[0] is None:
+        return F.lit(True)
+    k, at = F.col(key), F.lit(bound[0]).cast(df.schema[key].dataType)
+    return ((k >= at) if upper else (k <= at)) | k.isNull()
+
+
+def _located(df: DataFrame, key: str, pk: str, desc: bool, skip: int, limit: int) -> tuple[DataFrame, int]:
+    """(the rows of a range of the order that holds the page, how many of them to skip).
+
+    Each round counts, in one aggregate, the rows before each of ``BOUNDS`` rows of
+    least key hash, and goes on with the rows between the two around the page, until
+    they are few. Rows are read, never sorted or shuffled; the driver sees bounds."""
+    part, left, rows = df, skip, None
+    while rows is None or rows > DEEP_ROWS:
+        sample = part.select(key, pk).orderBy(F.xxhash64(pk), pk).limit(BOUNDS).orderBy(*_order(key, pk, desc))
+        bounds = sample.select(F.col(key).cast("string"), pk).collect()
+        counts = part.agg(F.count(F.lit(1)), *[F.count_if(_precedes(df, key, pk, desc, b)) for b in bounds]).first()
+        every, before = counts[0], list(counts[1:])
+        low = max((i for i, n in enumerate(before) if n <= left), default=None)
+        high = min((i for i, n in enumerate(before) if n >= left + limit), default=None)
+        first, last = before[low] if low is not None else 0, before[high] if high is not None else every
+        if last - first == every:  # the bounds cut nothing off
+            break
+        if low is not None:
+            part = part.where(~_precedes(df, key, pk, desc, bounds[low]) & _near(df, key, bounds[low], not desc))
+        if high is not None:
+            part = part.where(_precedes(df, key, pk, desc, bounds[high]) & _near(df, key, bounds[high], desc))
+        left, rows = left - first, last - first
+    return part, left
+
+
+def page(df: DataFrame, key: str, pk: str, desc: bool = False, skip: int = 0, limit: int = DEFAULT_LIMIT) -> DataFrame:
+    """Rows ``skip`` to ``skip + limit`` by ``key``, then the unique ``pk``. A page
+    that ends beyond ``DEEP_ROWS`` is located by counts first (jobs that run here)."""
     _check_page(skip, limit)
-    ordered = df.orderBy(*order)
+    if skip + limit > DEEP_ROWS:
+        df, skip = _located(df, key, pk, desc, skip, limit)
+    ordered = df.orderBy(*_order(key, pk, desc))
     return (ordered.offset(skip) if skip else ordered).limit(limit)
 
 
@@ -88,7 +144,7 @@ def _with_flight_names(t, f: DataFrame) -> DataFrame:
 # --- listings -------------------------------------------------------------------
 
 def list_passengers(t, search=None, skip=0, limit=DEFAULT_LIMIT) -> DataFrame:
-    return page(passengers_matching(t, search), [F.desc("created_at"), "passenger_id"], skip, limit)
+    return page(passengers_matching(t, search), "created_at", "passenger_id", True, skip, limit)
 
 
 def list_passengers_total(t, search=None) -> DataFrame:
@@ -97,7 +153,7 @@ def list_passengers_total(t, search=None) -> DataFrame:
 
 def list_airports(t, search=None, country=None, is_active=None, skip=0,
                   limit=DEFAULT_LIMIT) -> DataFrame:
-    return page(airports_matching(t, search, country, is_active), ["iata_code", "airport_id"],
+    return page(airports_matching(t, search, country, is_active), "iata_code", "airport_id", False,
                 skip, limit)
 
 
@@ -106,7 +162,7 @@ def list_airports_total(t, search=None, country=None, is_active=None) -> DataFra
 
 
 def list_aircraft(t, status=None, skip=0, limit=DEFAULT_LIMIT) -> DataFrame:
-    return page(aircraft_matching(t, status), ["registration_no", "aircraft_id"], skip, limit)
+    return page(aircraft_matching(t, status), "registration_no", "aircraft_id", False, skip, limit)
 
 
 def list_aircraft_total(t, status=None) -> DataFrame:
@@ -129,7 +185,7 @@ def list_flights(t, status=None, origin=None, destination=None, skip=0,
                  limit=DEFAULT_LIMIT) -> DataFrame:
     f = flights_matching(t, status, origin, destination)
     # page first (top-k on the flights table), then decorate only the page
-    p = page(f, [F.desc("created_at"), "flight_id"], skip, limit)
+    p = page(f, "created_at", "flight_id", True, skip, limit)
     return _with_flight_names(t, p)
 
 
@@ -147,7 +203,7 @@ def list_bookings(t, flight_id=None, passenger_id=None, status=None, skip=0,
         b = b.filter(F.col("passenger_id") == F.lit(passenger_id))
     if status:
         b = b.filter(F.col("status") == status)
-    return page(b, [F.desc("booked_at"), "booking_id"], skip, limit)
+    return page(b, "booked_at", "booking_id", True, skip, limit)
 
 
 # --- bulk lookups ---------------------------------------------------------------
