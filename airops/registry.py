@@ -81,6 +81,7 @@ _simple("list_staff", L.list_staff)
 _simple("list_flights", L.list_flights, "Scheduled", FLIGHT_ORIGIN, FLIGHT_DEST, skip=0, limit=50)
 _simple("list_flights_total", L.list_flights_total, "Scheduled", FLIGHT_ORIGIN, FLIGHT_DEST)
 _simple("list_bookings", L.list_bookings, 0, 0, "Cancelled", skip=0, limit=200)
+_simple("list_bookings_deep", L.list_bookings, skip=12_000, limit=200)
 
 
 def _lookup_keys(t, kind):

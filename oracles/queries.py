@@ -267,6 +267,7 @@ LISTINGS_SQL: dict[str, str] = {
     "list_flights": _flight_page(_FLIGHT_WHERE, 0, 50),
     "list_flights_total": f"select count(*) total from flights {_FLIGHT_WHERE}",
     "list_bookings": "select * from bookings where status = 'Cancelled' order by booked_at desc, booking_id limit 200 offset 0",
+    "list_bookings_deep": "select * from bookings order by booked_at desc, booking_id limit 200 offset 12000",
 }
 
 # bulk lookups: kind -> (table, key column, SQL of the key set)
