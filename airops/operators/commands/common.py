@@ -19,6 +19,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from airops.schema import STRING_LENGTHS, TABLE_SCHEMAS
 
 OUTCOME_COLUMNS = ("request_id", "accepted", "code", "reason")
 
@@ -65,6 +68,39 @@ def upsert(base: DataFrame, changes: DataFrame, key: str, cols: list[str]) -> Da
                       if c in cols else F.col(c) for c in base.columns])
 
 
+def exceeds_type(table: str, fields: tuple[str, ...], updates: bool = False) -> Column:
+    """A value that the declared type of its column cannot hold: a text longer than
+    its column (in characters), a number outside the integer or decimal range.
+
+    The database refuses such a row, after every check of the request. ``updates``:
+    only the fields named in ``set_fields`` are written. Nulls never exceed a type."""
+    types = {f.name: f.dataType for f in TABLE_SCHEMAS[table].fields}
+    cond = F.lit(False)
+    for f in fields:
+        length = STRING_LENGTHS.get(table, {}).get(f)
+        if length is not None:
+            bad = F.length(f) > length
+        elif isinstance(types[f], (T.IntegerType, T.DecimalType)):
+            bad = F.col(f).isNotNull() & F.col(f).try_cast(types[f]).isNull()
+        else:
+            continue
+        cond = cond | F.coalesce(F.array_contains("set_fields", f) & bad if updates else bad, F.lit(False))
+    return cond
+
+
+def stored(table: str, field: str) -> Column:
+    """The value as its column holds it (decimals rounded), null beyond its range:
+    what the CHECK constraints are applied to."""
+    return F.col(field).try_cast(TABLE_SCHEMAS[table][field].dataType)
+
+
+def normal_email(c: str = "email") -> Column:
+    """The address with its domain in lower case (the local part stays as given):
+    the form that is stored and compared."""
+    return F.when(F.instr(F.col(c), "@") > 0, F.concat(
+        F.regexp_extract(c, "(?s)^(.*@)", 1), F.lower(F.regexp_extract(c, "([^@]*)$", 1)))).otherwise(F.col(c))
+
+
 def conform(df: DataFrame, like: DataFrame) -> DataFrame:
     """Columns of ``like``, in its order and types."""
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in like.schema.fields])

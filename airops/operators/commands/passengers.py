@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from airops.operators.audits import EMAIL_PATTERN
 from airops.operators.commands.admission import greedy_admission, key_components
-from airops.operators.commands.common import (conform, new_ids, order_key,
+from airops.operators.commands.common import (conform, exceeds_type, new_ids, normal_email, order_key,
                                               outcomes, restrict)
 from airops.operators.commands.fold import _kept, fold_in_blocks
 from airops.schema import GENDERS
@@ -21,6 +21,7 @@ R_EMAIL = "email_exists"
 R_GENDER = "invalid_gender"
 R_404 = "passenger_not_found"
 R_HAS_BOOKINGS = "passenger_has_bookings"
+R_DB = "constraint_violation"
 # --- end of fixed values ----------------------------------------------------------
 
 FIELDS = ("full_name", "date_of_birth", "gender", "nationality", "passport_no", "phone", "email")
@@ -28,13 +29,15 @@ FIELDS = ("full_name", "date_of_birth", "gender", "nationality", "passport_no",
 
 def register_passengers(t, requests: DataFrame):
     """Insert passengers. Checks in order: request shape (all fields, e-mail
-    shape) 422; passport taken 409; e-mail taken 409; gender 422.
+    shape) 422; passport taken 409; e-mail taken 409; gender 422; a text longer than
+    its column 500. E-mails are stored and compared with their domain in lower case.
 
     "Taken" means present in the snapshot or registered by an earlier request
     of the batch; passport and e-mail are both unique, so the admitted set is
     the two-key greedy admission (a request rejected on its passport does not
     block a later request with the same e-mail)."""
-    r = requests.select("request_id", "requested_at", *FIELDS).withColumn("_ord", order_key())
+    r = (requests.select("request_id", "requested_at", *FIELDS).withColumn("email", normal_email())
+         .withColumn("_ord", order_key()))
     p = t["passengers"]
     r = (r.join(restrict(p, r, "passport_no").select("passport_no", F.lit(True).alias("_pp0"))
                 .distinct(), "passport_no", "left")
@@ -45,7 +48,8 @@ def register_passengers(t, requests: DataFrame):
         shape_ok = shape_ok & F.col(f).isNotNull()
     shape_ok = shape_ok & F.col("email").rlike(EMAIL_PATTERN)
     gender_ok = F.col("gender").isin(*GENDERS)
-    cand = shape_ok & F.col("_pp0").isNull() & F.col("_em0").isNull() & gender_ok
+    too_long = exceeds_type("passengers", FIELDS)
+    cand = shape_ok & F.col("_pp0").isNull() & F.col("_em0").isNull() & gender_ok & ~too_long
     r = r.checkpoint()
     adm = greedy_admission(r.filter(cand), ["passport_no"], ["email"])
     a = r.join(adm, "request_id", "left_semi")
@@ -56,6 +60,7 @@ def register_passengers(t, requests: DataFrame):
         (409, R_PASSPORT, F.col("_pp0").isNotNull() | (F.col("_pp_at") < F.col("_ord"))),
         (409, R_EMAIL, F.col("_em0").isNotNull() | (F.col("_em_at") < F.col("_ord"))),
         (422, R_GENDER, ~gender_ok),
+        (500, R_DB, too_long),
     ], 201)
     acc = out.filter("accepted")
     new = acc.select(new_ids(p, "passenger_id").alias("passenger_id"), *FIELDS,
@@ -140,7 +145,8 @@ def _email_conflicts(setters: DataFrame) -> DataFrame:
 def update_passengers(t, requests: DataFrame):
     """Update passengers; only fields in ``set_fields`` change. Checks in order:
     request shape (e-mail) 422; 404; a new e-mail held by another passenger
-    at that moment 409; gender 422; explicit NULL for a NOT NULL column 500.
+    at that moment 409; gender 422; explicit NULL for a NOT NULL column, or a text
+    longer than its column, 500. E-mails as in ``register_passengers``.
 
     E-mail ownership moves inside a batch (A leaves e1, then B takes e1): the
     requests that set an address are walked in order, each component of
@@ -150,7 +156,7 @@ def update_passengers(t, requests: DataFrame):
     from airops.operators.commands.reference_data import _apply_updates, _given, _not_null_violation
 
     p = t["passengers"]
-    r = (requests.withColumn("_ord", order_key())
+    r = (requests.withColumn("email", normal_email()).withColumn("_ord", order_key())
          .join(restrict(p, requests, "passenger_id")
                .select("passenger_id", F.col("email").alias("_email0"), F.lit(True).alias("_found")),
                "passenger_id", "left"))
@@ -159,7 +165,8 @@ def update_passengers(t, requests: DataFrame):
     gender_bad = (_given("gender") & F.col("gender").isNotNull() & (F.col("gender") != "")
                   & ~F.col("gender").isin(*GENDERS))
     db_bad = (_not_null_violation("passengers", UPDATE_FIELDS)
-              | (_given("gender") & (F.col("gender") == "")))
+              | (_given("gender") & (F.col("gender") == ""))
+              | exceeds_type("passengers", UPDATE_FIELDS, updates=True))
     r = r.withColumn("_mover", sets_email & ~shape_bad & F.col("_found").isNotNull()
                      & ~gender_bad & ~db_bad).checkpoint()
     setters = r.filter(sets_email & ~shape_bad & F.col("_found").isNotNull()).select(
@@ -172,7 +179,7 @@ def update_passengers(t, requests: DataFrame):
         (404, R_404, F.col("_found").isNull()),
         (409, R_EMAIL, F.col("_conflict")),
         (422, R_GENDER, gender_bad),
-        (500, "constraint_violation", db_bad),
+        (500, R_DB, db_bad),
     ], 200)
     new = _apply_updates(p, "passenger_id", out.filter("accepted"), UPDATE_FIELDS)
     return out.select("request_id", "accepted", "code", "reason"), {"passengers": new}

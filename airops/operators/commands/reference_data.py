@@ -5,9 +5,10 @@ other check is inserted; a later one with the same key is a 409 (a rejected
 request holds nothing). Updates carry ``set_fields array<string>`` (a field
 not listed is left alone, which differs from an explicit NULL); all accepted
 updates of one row are applied in order, so per field the last one wins
-(``max_by`` over the request order). An explicit NULL for a NOT NULL column,
-or a value breaking a CHECK constraint, is the database's 500 and the whole
-request is rejected.
+(``max_by`` over the request order). An explicit NULL for a NOT NULL column, a
+value breaking a CHECK constraint, or one that its column's type cannot hold (a
+text too long, a number out of range) is the database's 500: that request is
+rejected whole, holds no key, and the others of the batch go on.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from airops.operators.audits import EMAIL_PATTERN
-from airops.operators.commands.common import (conform, new_ids, order_key,
-                                              outcomes, restrict)
+from airops.operators.commands.common import (conform, exceeds_type, new_ids, normal_email, order_key,
+                                              outcomes, restrict, stored)
 from airops.operators.commands.fold import fold_in_blocks
 from airops.schema import AIRCRAFT_STATUS, FLIGHT_STATUS, STAFF_ROLE, TABLE_SCHEMAS
 
@@ -90,7 +91,7 @@ def _keyed_update(t, table: str, pk: str, r: DataFrame, fields: tuple[str, ...],
     if the row is missing, then ``checks_after_404``, then the database's 500."""
     found = restrict(t[table], r, pk).select(pk, F.lit(True).alias("_found"))
     r = r.withColumn("_ord", order_key()).join(found, pk, "left")
-    db = _not_null_violation(table, fields)
+    db = _not_null_violation(table, fields) | exceeds_type(table, fields, updates=True)
     if extra_fail is not None:
         db = db | extra_fail
     shape = [(422, R_INVALID, shape_bad)] if shape_bad is not None else []
@@ -110,10 +111,11 @@ def create_airports(t, requests: DataFrame):
          .withColumn("_ord", order_key()))
     shape = F.coalesce(F.col("iata_code").rlike(IATA_PATTERN), F.lit(False)) & (
         F.col("airport_name").isNotNull() & F.col("city").isNotNull() & F.col("country").isNotNull())
-    exists = r.join(t["airports"].select("iata_code", F.lit(True).alias("_ex")).distinct(),
+    exists = r.join(restrict(t["airports"], r, "iata_code").select("iata_code", F.lit(True).alias("_ex")),
                     "iata_code", "left")
     out = _keyed_create(exists, "iata_code", [(422, R_INVALID, ~shape),
-                                              (500, R_DB, F.col("terminals") < 1)],
+                                              (500, R_DB, (stored("airports", "terminals") < 1) | exceeds_type(
+                                                  "airports", ("airport_name", "city", "country", "terminals")))],
                         1, F.col("_ex").isNotNull())
     acc = out.filter("accepted")
     a = t["airports"]
@@ -127,7 +129,7 @@ def create_airports(t, requests: DataFrame):
 def update_airports(t, requests: DataFrame):
     fields = ("airport_name", "city", "country", "terminals", "is_active")
     return _keyed_update(t, "airports", "airport_id", requests, fields, [],
-                         _given("terminals") & (F.col("terminals") < 1))
+                         _given("terminals") & (stored("airports", "terminals") < 1))
 
 
 def deactivate_airports(t, requests: DataFrame):
@@ -146,10 +148,11 @@ def register_aircraft(t, requests: DataFrame):
     shape = (F.col("registration_no").isNotNull() & F.col("model").isNotNull()
              & F.col("seat_capacity").isNotNull()
              & F.coalesce(F.col("status").isin(*AIRCRAFT_STATUS), F.lit(False)))
-    r = r.join(t["aircraft"].select("registration_no", F.lit(True).alias("_ex")).distinct(),
+    r = r.join(restrict(t["aircraft"], r, "registration_no").select("registration_no", F.lit(True).alias("_ex")),
                "registration_no", "left")
     out = _keyed_create(r, "registration_no", [(422, R_INVALID, ~shape),
-                                               (500, R_DB, F.col("seat_capacity") <= 0)],
+                                               (500, R_DB, (stored("aircraft", "seat_capacity") <= 0) | exceeds_type(
+                                                   "aircraft", ("registration_no", "model", "seat_capacity")))],
                         1, F.col("_ex").isNotNull())
     acc = out.filter("accepted")
     a = t["aircraft"]
@@ -163,7 +166,7 @@ def update_aircraft(t, requests: DataFrame):
     fields = ("model", "seat_capacity", "status")
     bad_status = _given("status") & F.col("status").isNotNull() & ~F.col("status").isin(*AIRCRAFT_STATUS)
     return _keyed_update(t, "aircraft", "aircraft_id", requests, fields, [],
-                         _given("seat_capacity") & (F.col("seat_capacity") <= 0),
+                         _given("seat_capacity") & (stored("aircraft", "seat_capacity") <= 0),
                          shape_bad=bad_status)
 
 
@@ -171,14 +174,14 @@ def update_aircraft(t, requests: DataFrame):
 
 def create_flights(t, requests: DataFrame):
     """Checks in order: flight_no taken 409; origin 404; destination 404; same
-    airport 422; aircraft 404; aircraft not Active 422; base_fare <= 0 500."""
-    ap = t["airports"].select("airport_id")
+    airport 422; aircraft 404; aircraft not Active 422; base_fare <= 0, or a value
+    that its column cannot hold, 500."""
     r = (requests.withColumn("_ord", order_key())
-         .join(ap.select(F.col("airport_id").alias("origin_airport_id"),
-                         F.lit(True).alias("_o")), "origin_airport_id", "left")
-         .join(ap.select(F.col("airport_id").alias("dest_airport_id"),
-                         F.lit(True).alias("_d")), "dest_airport_id", "left")
-         .join(t["aircraft"].select("aircraft_id", F.col("status").alias("_ast")),
+         .join(restrict(t["airports"], requests, "airport_id", "origin_airport_id").select(
+             F.col("airport_id").alias("origin_airport_id"), F.lit(True).alias("_o")), "origin_airport_id", "left")
+         .join(restrict(t["airports"], requests, "airport_id", "dest_airport_id").select(
+             F.col("airport_id").alias("dest_airport_id"), F.lit(True).alias("_d")), "dest_airport_id", "left")
+         .join(restrict(t["aircraft"], requests, "aircraft_id").select("aircraft_id", F.col("status").alias("_ast")),
                "aircraft_id", "left")
          .join(restrict(t["flights"], requests, "flight_no")
                .select("flight_no", F.lit(True).alias("_ex")).distinct(), "flight_no", "left"))
@@ -192,7 +195,7 @@ def create_flights(t, requests: DataFrame):
         (422, R_SAME, F.col("origin_airport_id") == F.col("dest_airport_id")),
         (404, R_AIRCRAFT_404, F.col("_ast").isNull()),
         (422, R_AIRCRAFT_INACTIVE, F.col("_ast") != "Active"),
-        (500, R_DB, F.col("base_fare") <= 0),
+        (500, R_DB, (stored("flights", "base_fare") <= 0) | exceeds_type("flights", ("flight_no", "base_fare"))),
     ], 1, F.col("_ex").isNotNull())
     acc = out.filter("accepted")
     f = t["flights"]
@@ -208,13 +211,13 @@ def update_flights(t, requests: DataFrame):
     Issued tickets keep their fare snapshot."""
     fields = ("aircraft_id", "base_fare", "status")
     given_ac = _given("aircraft_id") & F.col("aircraft_id").isNotNull() & (F.col("aircraft_id") != 0)
-    r = requests.join(t["aircraft"].select("aircraft_id", F.col("status").alias("_ast")),
-                      "aircraft_id", "left")
+    r = requests.join(restrict(t["aircraft"], requests, "aircraft_id").select(
+        "aircraft_id", F.col("status").alias("_ast")), "aircraft_id", "left")
     bad_status = _given("status") & F.col("status").isNotNull() & ~F.col("status").isin(*FLIGHT_STATUS)
     return _keyed_update(t, "flights", "flight_id", r, fields, [
         (404, R_AIRCRAFT_404, given_ac & F.col("_ast").isNull()),
         (422, R_AIRCRAFT_INACTIVE, given_ac & (F.col("_ast") != "Active")),
-    ], (_given("base_fare") & (F.col("base_fare") <= 0))
+    ], (_given("base_fare") & (stored("flights", "base_fare") <= 0))
         | (_given("aircraft_id") & ~given_ac & F.col("aircraft_id").isNotNull()),
         shape_bad=bad_status)
 
@@ -232,7 +235,8 @@ def create_schedules(t, requests: DataFrame):
     shape = (F.col("dep_datetime").isNotNull() & F.col("arr_datetime").isNotNull()
              & (F.col("arr_datetime") > F.col("dep_datetime")))
     out = _keyed_create(r, "flight_id", [(422, R_ARR_BEFORE_DEP, ~shape),
-                                         (404, R_404, F.col("_f").isNull())],
+                                         (404, R_404, F.col("_f").isNull()),
+                                         (500, R_DB, exceeds_type("flight_schedules", ("terminal", "gate")))],
                         2, F.col("_ex").isNotNull())
     acc = out.filter("accepted")
     s = t["flight_schedules"]
@@ -246,14 +250,16 @@ def create_schedules(t, requests: DataFrame):
 # --- staff ---------------------------------------------------------------------------
 
 def create_staff(t, requests: DataFrame):
-    """E-mail shape / role 422; e-mail taken 409; inserted active (directory
-    columns only: credentials are not data work)."""
-    r = (requests.withColumn("_ord", order_key())
-         .join(t["staff"].select("email", F.lit(True).alias("_ex")).distinct(), "email", "left"))
+    """E-mail shape / role 422; e-mail taken 409 (its domain compared in lower case,
+    as stored); a name or address too long 500; inserted active (directory columns
+    only: credentials are not data work)."""
+    r = requests.withColumn("email", normal_email()).withColumn("_ord", order_key())
+    r = r.join(restrict(t["staff"], r, "email").select("email", F.lit(True).alias("_ex")), "email", "left")
     shape = (F.col("full_name").isNotNull()
              & F.coalesce(F.col("email").rlike(EMAIL_PATTERN), F.lit(False))
              & F.coalesce(F.col("role").isin(*STAFF_ROLE), F.lit(False)))
-    out = _keyed_create(r, "email", [(422, R_INVALID, ~shape)], 1, F.col("_ex").isNotNull())
+    out = _keyed_create(r, "email", [(422, R_INVALID, ~shape),
+                                     (500, R_DB, exceeds_type("staff", ("full_name", "email")))], 1, F.col("_ex").isNotNull())
     acc = out.filter("accepted")
     s = t["staff"]
     new = acc.select(new_ids(s, "staff_id").alias("staff_id"), "full_name", "email", "role",
@@ -280,7 +286,7 @@ def _schedule_walk(state, g: pd.DataFrame):
     """Validity of a block of one schedule's requests, in order.
 
     A request is valid iff the row that it leaves has arr > dep (a null time is an
-    error: 500); only valid requests move the state. A request that sets both times
+    error: 500); only valid requests whose texts fit their columns move the state. A request that sets both times
     to a valid pair leaves that pair whatever the state is, so the block is cut
     after such requests, and the segments are walked in step: the k-th requests of
     all of them at once."""
@@ -288,7 +294,8 @@ def _schedule_walk(state, g: pd.DataFrame):
     sets_dep, sets_arr = g["sets_dep"].to_numpy(bool), g["sets_arr"].to_numpy(bool)
     dep, arr = g["dep"].fillna(_UNSET).to_numpy(np.int64), g["arr"].fillna(_UNSET).to_numpy(np.int64)
     error = (sets_dep & (dep == _UNSET)) | (sets_arr & (arr == _UNSET))
-    resets = sets_dep & sets_arr & ~error & (arr > dep)
+    fits = ~g["too_long"].to_numpy(bool)
+    resets = sets_dep & sets_arr & ~error & (arr > dep) & fits
     first = np.flatnonzero(np.concatenate([[True], resets[:-1]]))
     size = np.diff(np.append(first, len(g)))
     # the state at the start of each segment
@@ -302,6 +309,7 @@ def _schedule_walk(state, g: pd.DataFrame):
         new_dep, new_arr = np.where(sets_dep[at], dep[at], now_dep[open_]), np.where(sets_arr[at], arr[at], now_arr[open_])
         ok = ~error[at] & (new_arr > new_dep)
         valid[at] = ok
+        ok &= fits[at]
         now_dep[open_], now_arr[open_] = np.where(ok, new_dep, now_dep[open_]), np.where(ok, new_arr, now_arr[open_])
     out = pd.DataFrame({"request_id": g["request_id"], "valid": valid, "null_error": error})
     return out, [int(now_dep[-1]), int(now_arr[-1])]
@@ -313,7 +321,8 @@ _WALKED = T.StructType([T.StructField("request_id", T.LongType()), T.StructField
 
 def update_schedules(t, requests: DataFrame):
     """404 without a schedule; the merged row must have arr > dep (422,
-    nothing saved); a NULL departure or arrival is the database's 500.
+    nothing saved); a NULL departure or arrival, or a terminal or gate too long, is
+    the database's 500.
 
     Each request is checked against the row left by the earlier accepted ones: a
     fold per schedule, which ``fold_in_blocks`` deals to many tasks. A block that
@@ -326,13 +335,16 @@ def update_schedules(t, requests: DataFrame):
     def micros(c: str) -> Column:
         return F.unix_micros(F.col(c).cast("timestamp")).alias(c.split("_")[0])
 
+    too_long = exceeds_type("flight_schedules", ("terminal", "gate"), updates=True)
     cand = r.filter(F.col("dep0").isNotNull()).select(
         "flight_id", "requested_at", "request_id", micros("dep0"), micros("arr0"), micros("dep_datetime"),
-        micros("arr_datetime"), _given("dep_datetime").alias("sets_dep"), _given("arr_datetime").alias("sets_arr"))
+        micros("arr_datetime"), _given("dep_datetime").alias("sets_dep"), _given("arr_datetime").alias("sets_arr"),
+        too_long.alias("too_long"))
     folded = fold_in_blocks(cand, "flight_id", ["requested_at", "request_id"], _schedule_walk, _WALKED)
     r = r.join(folded, "request_id", "left")
     out = outcomes(r, [(404, R_404, F.col("dep0").isNull()),
                        (500, R_DB, F.col("null_error")),
-                       (422, R_ARR_BEFORE_DEP, ~F.col("valid"))], 200)
+                       (422, R_ARR_BEFORE_DEP, ~F.col("valid")),
+                       (500, R_DB, too_long)], 200)
     new = _apply_updates(t["flight_schedules"], "flight_id", out.filter("accepted"), SCHEDULE_FIELDS)
     return out.select("request_id", "accepted", "code", "reason"), {"flight_schedules": new}

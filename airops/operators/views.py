@@ -117,7 +117,9 @@ def flight_manifest(t, flight_id=None) -> DataFrame:
                      F.coalesce(F.col("br_status"), F.lit(NOT_BOARDED)).alias("boarding_status"),
                      F.col("final_fare").cast("double").alias("final_fare"))
             .select(*MANIFEST_COLUMNS)
-            .repartition("flight_id").sortWithinPartitions("flight_id", "seat_number", "booking_id"))
+            # by range of the whole order: a flight with many bookings is several tasks
+            .repartitionByRange("flight_id", "seat_number", "booking_id")
+            .sortWithinPartitions("flight_id", "seat_number", "booking_id"))
 
 
 def manifest_filtered(t, status: str, flight_id=None) -> DataFrame:
@@ -173,7 +175,7 @@ def travel_history(t, passenger_id=None) -> DataFrame:
                      "scheduled_arrival", "flight_status", "seat_number", "travel_class",
                      "ticket_no", F.col("final_fare").cast("double").alias("final_fare"),
                      "payment_status", "payment_method")
-            .repartition("passenger_id")
+            .repartitionByRange("passenger_id", F.desc("booked_at"), "booking_id")
             .sortWithinPartitions("passenger_id", F.desc("booked_at"), "booking_id"))
 
 

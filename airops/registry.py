@@ -201,26 +201,28 @@ _cmd("register_passengers", PC.register_passengers, "passenger_requests", {
         "full_name", "gender", "passport_no", "email", "created_at"))})
 
 
+_FARE = "cast(base_fare as double) as base_fare"
+
 for _op, _batch, _table, _proj in [
     ("create_airports", "airport_create_requests", "airports",
-     ["airport_name", "iata_code", "terminals", "is_active"]),
+     ["airport_name", "iata_code", "city", "country", "terminals", "is_active", "created_at"]),
     ("update_airports", "airport_update_requests", "airports",
      ["airport_id", "airport_name", "city", "country", "terminals", "is_active"]),
     ("deactivate_airports", "airport_deactivate_requests", "airports", ["airport_id", "is_active"]),
     ("register_aircraft", "aircraft_create_requests", "aircraft",
-     ["registration_no", "model", "seat_capacity", "status"]),
+     ["registration_no", "model", "seat_capacity", "status", "created_at"]),
     ("update_aircraft", "aircraft_update_requests", "aircraft",
      ["aircraft_id", "model", "seat_capacity", "status"]),
     ("create_flights", "flight_create_requests", "flights",
-     ["flight_no", "origin_airport_id", "dest_airport_id", "aircraft_id", "status"]),
+     ["flight_no", "origin_airport_id", "dest_airport_id", "aircraft_id", _FARE, "status", "created_at"]),
     ("update_flights", "flight_update_requests", "flights",
-     ["flight_id", "aircraft_id", "status"]),
+     ["flight_id", "aircraft_id", _FARE, "status"]),
     ("create_schedules", "schedule_create_requests", "flight_schedules",
-     ["flight_id", "dep_datetime", "arr_datetime", "terminal", "gate"]),
-    ("create_staff", "staff_create_requests", "staff", ["full_name", "email", "role", "is_active"]),
+     ["flight_id", "dep_datetime", "arr_datetime", "terminal", "gate", "created_at"]),
+    ("create_staff", "staff_create_requests", "staff", ["full_name", "email", "role", "is_active", "created_at"]),
     ("update_staff", "staff_update_requests", "staff", ["staff_id", "full_name", "role", "is_active"]),
 ]:
-    _cmd(_op, getattr(RD, _op), _batch, {"after": (_table, lambda df, c=_proj: df.select(*c))})
+    _cmd(_op, getattr(RD, _op), _batch, {"after": (_table, lambda df, c=_proj: df.selectExpr(*c))})
 
 _cmd("delete_passengers", PC.delete_passengers, "passenger_delete_requests", {
     "after": ("passengers", lambda df: df.select("passenger_id", "full_name"))})

@@ -1,7 +1,8 @@
 """Request batches for the reference-data commands, derived from the test
 tables (the reservation system ships no seed data). One request per row of
 the source table, with planted conflicts: duplicate keys inside the batch,
-keys that already exist, unknown references and constraint breaks.
+keys that already exist, unknown references, constraint breaks, texts longer
+than their columns, fares out of range and e-mail domains in upper case.
 """
 
 from __future__ import annotations
@@ -21,6 +22,17 @@ def _letter(n: Column) -> Column:
     return F.char(F.lit(65) + n % 26)
 
 
+def _padding(cond: Column, n: int) -> Column:
+    """A planted text that is too long: ``n`` further characters."""
+    return F.when(cond, F.lit("x" * n)).otherwise(F.lit(""))
+
+
+def _fare(cond: Column) -> Column:
+    """The customer's balance as a fare, or a planted one beyond the column's range."""
+    return F.when(cond, F.lit("99999999999.99").cast("decimal(13,2)")).otherwise(
+        F.col("c_acctbal").cast("decimal(12,2)"))
+
+
 def airport_create_requests(raw) -> DataFrame:
     s = raw["supplier"]
     k = F.col("s_suppkey")
@@ -29,7 +41,7 @@ def airport_create_requests(raw) -> DataFrame:
             .when(k % 9 == 0, F.concat(_letter(k - 1), _letter(F.floor((k - 1) / 26)), F.lit("Z")))
             .otherwise(F.concat(F.lit(" "), _letter(k), _letter(F.floor(k / 26)), F.lit("Z "))))
     return s.select((k + 4000000).alias("request_id"), _ts(k).alias("requested_at"),
-                    F.concat(F.lit("Airport of "), F.col("s_name")).alias("airport_name"),
+                    F.concat(F.lit("Airport of "), F.col("s_name"), _padding(k % 18 == 7, 200)).alias("airport_name"),
                     code.alias("iata_code"), F.lit("City").alias("city"),
                     F.lit("Country").alias("country"),
                     F.when(k % 12 == 5, F.lit(0)).otherwise((k % 3 + 1).cast("int"))
@@ -45,7 +57,7 @@ def airport_update_requests(raw) -> DataFrame:
         (k + 4100000).alias("request_id"), _ts(k).alias("requested_at"),
         (k % 30).cast("bigint").alias("airport_id"), fields.alias("set_fields"),
         F.concat(F.lit("Renamed "), F.col("s_name")).alias("airport_name"),
-        F.concat(F.lit("City "), (k % 7).cast("string")).alias("city"),
+        F.concat(F.lit("City "), (k % 7).cast("string"), _padding(k % 21 == 3, 100)).alias("city"),
         F.lit("Country X").alias("country"),
         F.when(k % 20 == 1, F.lit(0)).otherwise((k % 4 + 1).cast("int")).alias("terminals"),
         (k % 2 == 0).alias("is_active"))
@@ -62,7 +74,7 @@ def aircraft_create_requests(raw) -> DataFrame:
     return raw["part"].select(
         (k + 4300000).alias("request_id"), _ts(k).alias("requested_at"),
         F.concat(F.lit("REG-"), F.lpad((k % 150).cast("string"), 6, "0")).alias("registration_no"),
-        F.col("p_brand").alias("model"),
+        F.concat(F.col("p_brand"), _padding(k % 13 == 5, 100)).alias("model"),
         F.when(k % 17 == 3, F.lit(0)).otherwise((20 + k % 50).cast("int")).alias("seat_capacity"),
         F.when(k % 23 == 0, F.lit("Grounded")).when(k % 4 == 0, F.lit("Maintenance"))
         .otherwise(F.lit(None)).alias("status"))
@@ -76,7 +88,7 @@ def aircraft_update_requests(raw) -> DataFrame:
     return raw["part"].select(
         (k + 4400000).alias("request_id"), _ts(k).alias("requested_at"),
         (k % 120).cast("bigint").alias("aircraft_id"), fields.alias("set_fields"),
-        F.col("p_brand").alias("model"),
+        F.concat(F.col("p_brand"), _padding(k % 21 == 0, 100)).alias("model"),
         F.when(k % 19 == 1, F.lit(0)).otherwise((30 + k % 40).cast("int")).alias("seat_capacity"),
         F.when(k % 29 == 2, F.lit("Flying")).when(k % 2 == 0, F.lit("Active"))
         .otherwise(F.lit("Maintenance")).alias("status"))
@@ -85,13 +97,13 @@ def aircraft_update_requests(raw) -> DataFrame:
 def flight_create_requests(raw) -> DataFrame:
     k = F.col("c_custkey")
     fno = (F.when(k % 50 == 0, F.concat(F.lit("FL"), F.lpad(k.cast("string"), 6, "0")))
-           .otherwise(F.concat(F.lit("FN"), F.lpad((k % 1000).cast("string"), 6, "0"))))
+           .otherwise(F.concat(F.lit("FN"), F.lpad((k % 1000).cast("string"), 6, "0"),
+                                _padding(k % 41 == 7, 20))))
     return raw["customer"].select(
         (k + 4500000).alias("request_id"), _ts(k).alias("requested_at"), fno.alias("flight_no"),
         (k % 27).cast("bigint").alias("origin_airport_id"),
         ((k * 7) % 26).cast("bigint").alias("dest_airport_id"),
-        (k % 105).cast("bigint").alias("aircraft_id"),
-        F.col("c_acctbal").cast("decimal(12,2)").alias("base_fare"))
+        (k % 105).cast("bigint").alias("aircraft_id"), _fare(k % 43 == 8).alias("base_fare"))
 
 
 def flight_update_requests(raw) -> DataFrame:
@@ -103,8 +115,7 @@ def flight_update_requests(raw) -> DataFrame:
     return raw["customer"].select(
         (k + 4600000).alias("request_id"), _ts(k).alias("requested_at"),
         (k % 2100).cast("bigint").alias("flight_id"), fields.alias("set_fields"),
-        (k % 110).cast("bigint").alias("aircraft_id"),
-        F.col("c_acctbal").cast("decimal(12,2)").alias("base_fare"),
+        (k % 110).cast("bigint").alias("aircraft_id"), _fare(k % 44 == 1).alias("base_fare"),
         F.when(k % 37 == 2, F.lit("Delayed")).when(k % 2 == 0, F.lit("Boarding"))
         .otherwise(F.lit("Departed")).alias("status"))
 
@@ -119,7 +130,7 @@ def schedule_create_requests(raw) -> DataFrame:
         (k + 4700000).alias("request_id"), _ts(k).alias("requested_at"),
         fid.cast("bigint").alias("flight_id"), dep.alias("dep_datetime"), arr.alias("arr_datetime"),
         F.concat(F.lit("T"), (k % 3 + 1).cast("string")).alias("terminal"),
-        F.concat(F.lit("G"), (k % 40).cast("string")).alias("gate"))
+        F.concat(F.lit("G"), (k % 40).cast("string"), _padding(k % 53 == 2, 20)).alias("gate"))
 
 
 def staff_create_requests(raw) -> DataFrame:
@@ -127,13 +138,13 @@ def staff_create_requests(raw) -> DataFrame:
     email = (F.when(k % 31 == 0, F.lit("not an email"))
              .when(k % 25 == 0, F.concat(F.lit("supplier."), F.lpad((k % 100).cast("string"), 9, "0"),
                                          F.lit("@example.org")))
-             .when(k % 10 == 0, F.concat(F.lit("agent"), (k - 1).cast("string"), F.lit("@example.com")))
+             .when(k % 10 == 0, F.concat(F.lit("agent"), (k - 1).cast("string"), F.lit("@Example.COM")))
              .otherwise(F.concat(F.lit("agent"), k.cast("string"), F.lit("@example.com"))))
     role = (F.when(k % 6 == 0, "Super_Admin").when(k % 6 == 1, "Operations_Manager")
             .when(k % 6 == 2, "Reservation_Agent").when(k % 6 == 3, "Ground_Staff")
             .when(k % 6 == 4, "Finance_Officer").otherwise("Pilot"))
     return raw["customer"].select((k + 4800000).alias("request_id"), _ts(k).alias("requested_at"),
-                                  F.col("c_name").alias("full_name"), email.alias("email"),
+                                  F.concat(F.col("c_name"), _padding(k % 47 == 3, 150)).alias("full_name"), email.alias("email"),
                                   role.alias("role"))
 
 
@@ -146,7 +157,7 @@ def staff_update_requests(raw) -> DataFrame:
     return raw["customer"].select(
         (k + 4900000).alias("request_id"), _ts(k).alias("requested_at"),
         (k % 110).cast("bigint").alias("staff_id"), fields.alias("set_fields"),
-        F.concat(F.lit("Staff "), F.col("c_name")).alias("full_name"), role.alias("role"),
+        F.concat(F.lit("Staff "), F.col("c_name"), _padding(k % 51 == 0, 150)).alias("full_name"), role.alias("role"),
         (k % 2 == 0).alias("is_active"))
 
 
@@ -200,7 +211,7 @@ def schedule_update_requests(raw) -> DataFrame:
         F.lit(None).cast("timestamp_ntz").alias("actual_dep"),
         F.lit(None).cast("timestamp_ntz").alias("actual_arr"),
         F.lit(None).cast("string").alias("terminal"),
-        F.concat(F.lit("G"), (k % 9).cast("string")).alias("gate"))
+        F.concat(F.lit("G"), (k % 9).cast("string"), _padding(k % 58 == 6, 20)).alias("gate"))
 
 
 BUILDERS["schedule_update_requests"] = schedule_update_requests

@@ -19,9 +19,24 @@ def _letter(n: str) -> str:
     return f"chr(cast(65 + ({n}) % 26 as integer))"
 
 
+def _padding(cond: str, n: int) -> str:
+    return f"case when {cond} then repeat('x', {n}) else '' end"
+
+
+def _fare(cond: str) -> str:
+    return f"case when {cond} then cast(99999999999.99 as decimal(13,2)) else cast(c_acctbal as decimal(12,2)) end base_fare"
+
+
+def _too_long(limits: dict[str, int], row: str = "r", updates: bool = True) -> str:
+    """A text longer than its column, of the written fields."""
+    return "(" + " or ".join(
+        (f"list_contains({row}.set_fields, '{f}') and " if updates else "") + f"coalesce(length({row}.{f}) > {n}, false)"
+        for f, n in limits.items()) + ")"
+
+
 REQUESTS = {
     "airport_create_requests": f"""
-select s_suppkey + 4000000 request_id, {_ts('s_suppkey')} requested_at, 'Airport of ' || s_name airport_name,
+select s_suppkey + 4000000 request_id, {_ts('s_suppkey')} requested_at, 'Airport of ' || s_name || {_padding('s_suppkey % 18 = 7', 200)} airport_name,
  case when s_suppkey % 10 = 0 then lower('aa' || {_letter('s_suppkey % 25')})
       when s_suppkey % 15 = 1 then 'A1B'
       when s_suppkey % 9 = 0 then {_letter('s_suppkey - 1')} || {_letter('cast(floor((s_suppkey - 1) / 26) as bigint)')} || 'Z'
@@ -33,7 +48,7 @@ from supplier""",
 select s_suppkey + 4100000 request_id, {_ts('s_suppkey')} requested_at, cast(s_suppkey % 30 as bigint) airport_id,
  case when s_suppkey % 3 = 0 then ['city'] when s_suppkey % 3 = 1 then ['terminals', 'is_active']
       else ['airport_name', 'country'] end set_fields,
- 'Renamed ' || s_name airport_name, 'City ' || cast(s_suppkey % 7 as varchar) city, 'Country X' country,
+ 'Renamed ' || s_name airport_name, 'City ' || cast(s_suppkey % 7 as varchar) || {_padding('s_suppkey % 21 = 3', 100)} city, 'Country X' country,
  case when s_suppkey % 20 = 1 then 0 else cast(s_suppkey % 4 + 1 as integer) end terminals,
  s_suppkey % 2 = 0 is_active
 from supplier""",
@@ -42,29 +57,29 @@ select s_suppkey + 4200000 request_id, {_ts('s_suppkey')} requested_at, cast(s_s
 from supplier""",
     "aircraft_create_requests": f"""
 select p_partkey + 4300000 request_id, {_ts('p_partkey')} requested_at,
- 'REG-' || lpad(cast(p_partkey % 150 as varchar), 6, '0') registration_no, p_brand model,
+ 'REG-' || lpad(cast(p_partkey % 150 as varchar), 6, '0') registration_no, p_brand || {_padding('p_partkey % 13 = 5', 100)} model,
  case when p_partkey % 17 = 3 then 0 else cast(20 + p_partkey % 50 as integer) end seat_capacity,
  case when p_partkey % 23 = 0 then 'Grounded' when p_partkey % 4 = 0 then 'Maintenance' end status
 from part""",
     "aircraft_update_requests": f"""
 select p_partkey + 4400000 request_id, {_ts('p_partkey')} requested_at, cast(p_partkey % 120 as bigint) aircraft_id,
  case when p_partkey % 3 = 0 then ['model'] when p_partkey % 3 = 1 then ['seat_capacity', 'status']
-      else ['status'] end set_fields, p_brand model,
+      else ['status'] end set_fields, p_brand || {_padding('p_partkey % 21 = 0', 100)} model,
  case when p_partkey % 19 = 1 then 0 else cast(30 + p_partkey % 40 as integer) end seat_capacity,
  case when p_partkey % 29 = 2 then 'Flying' when p_partkey % 2 = 0 then 'Active' else 'Maintenance' end status
 from part""",
     "flight_create_requests": f"""
 select c_custkey + 4500000 request_id, {_ts('c_custkey')} requested_at,
  case when c_custkey % 50 = 0 then 'FL' || lpad(cast(c_custkey as varchar), 6, '0')
-      else 'FN' || lpad(cast(c_custkey % 1000 as varchar), 6, '0') end flight_no,
+      else 'FN' || lpad(cast(c_custkey % 1000 as varchar), 6, '0') || {_padding('c_custkey % 41 = 7', 20)} end flight_no,
  cast(c_custkey % 27 as bigint) origin_airport_id, cast((c_custkey * 7) % 26 as bigint) dest_airport_id,
- cast(c_custkey % 105 as bigint) aircraft_id, cast(c_acctbal as decimal(12,2)) base_fare
+ cast(c_custkey % 105 as bigint) aircraft_id, {_fare('c_custkey % 43 = 8')}
 from customer""",
     "flight_update_requests": f"""
 select c_custkey + 4600000 request_id, {_ts('c_custkey')} requested_at, cast(c_custkey % 2100 as bigint) flight_id,
  case when c_custkey % 4 = 0 then ['aircraft_id'] when c_custkey % 4 = 1 then ['base_fare']
       when c_custkey % 4 = 2 then ['status', 'base_fare'] else ['status'] end set_fields,
- cast(c_custkey % 110 as bigint) aircraft_id, cast(c_acctbal as decimal(12,2)) base_fare,
+ cast(c_custkey % 110 as bigint) aircraft_id, {_fare('c_custkey % 44 = 1')},
  case when c_custkey % 37 = 2 then 'Delayed' when c_custkey % 2 = 0 then 'Boarding' else 'Departed' end status
 from customer""",
     "schedule_create_requests": f"""
@@ -73,13 +88,13 @@ select p_partkey + 4700000 request_id, {_ts('p_partkey')} requested_at,
  timestamp '2024-05-01 00:00:00' + interval '1' hour * cast(p_partkey % 1000 as integer) dep_datetime,
  timestamp '2024-05-01 00:00:00' + interval '1' hour * cast(p_partkey % 1000 as integer)
    + interval '1' hour * cast(p_partkey % 7 - 1 as integer) arr_datetime,
- 'T' || cast(p_partkey % 3 + 1 as varchar) terminal, 'G' || cast(p_partkey % 40 as varchar) gate
+ 'T' || cast(p_partkey % 3 + 1 as varchar) terminal, 'G' || cast(p_partkey % 40 as varchar) || {_padding('p_partkey % 53 = 2', 20)} gate
 from part""",
     "staff_create_requests": f"""
-select c_custkey + 4800000 request_id, {_ts('c_custkey')} requested_at, c_name full_name,
+select c_custkey + 4800000 request_id, {_ts('c_custkey')} requested_at, c_name || {_padding('c_custkey % 47 = 3', 150)} full_name,
  case when c_custkey % 31 = 0 then 'not an email'
       when c_custkey % 25 = 0 then 'supplier.' || lpad(cast(c_custkey % 100 as varchar), 9, '0') || '@example.org'
-      when c_custkey % 10 = 0 then 'agent' || cast(c_custkey - 1 as varchar) || '@example.com'
+      when c_custkey % 10 = 0 then 'agent' || cast(c_custkey - 1 as varchar) || '@Example.COM'
       else 'agent' || cast(c_custkey as varchar) || '@example.com' end email,
  case c_custkey % 6 when 0 then 'Super_Admin' when 1 then 'Operations_Manager' when 2 then 'Reservation_Agent'
       when 3 then 'Ground_Staff' when 4 then 'Finance_Officer' else 'Pilot' end role
@@ -99,13 +114,13 @@ select o_orderkey + 6000000 request_id, {_ts('o_orderkey')} requested_at,
  case when o_orderkey % 23 = 0 then null else
    timestamp '2024-06-01 00:00:00' + interval '1' hour * cast(o_orderkey % 50 - 2 as integer) end arr_datetime,
  cast(null as timestamp) actual_dep, cast(null as timestamp) actual_arr, cast(null as varchar) terminal,
- 'G' || cast(o_orderkey % 9 as varchar) gate
+ 'G' || cast(o_orderkey % 9 as varchar) || {_padding('o_orderkey % 58 = 6', 20)} gate
 from orders""",
     "staff_update_requests": f"""
 select c_custkey + 4900000 request_id, {_ts('c_custkey')} requested_at, cast(c_custkey % 110 as bigint) staff_id,
  case when c_custkey % 3 = 0 then ['full_name'] when c_custkey % 3 = 1 then ['role', 'is_active']
       else ['is_active'] end set_fields,
- 'Staff ' || c_name full_name, case when c_custkey % 11 = 1 then 'Pilot' else 'Ground_Staff' end role,
+ 'Staff ' || c_name || {_padding('c_custkey % 51 = 0', 150)} full_name, case when c_custkey % 11 = 1 then 'Pilot' else 'Ground_Staff' end role,
  c_custkey % 2 = 0 is_active
 from customer""",
 }
@@ -189,14 +204,15 @@ def bodies() -> dict[str, str]:
         R["airport_create_requests"], "", "iata_code",
         [(422, "invalid_request", "not (coalesce(regexp_matches(q.iata_code, '^[A-Z]{3}$'), false) and "
           "q.airport_name is not null and q.city is not null and q.country is not null)"),
-         (500, "constraint_violation", "q.terminals < 1")], 1,
+         (500, "constraint_violation", f"q.terminals < 1 or {_too_long({'airport_name': 200, 'city': 100, 'country': 100}, 'q', False)}")], 1,
         "exists (select 1 from airports a where a.iata_code = q.iata_code)",
         prep="r.request_id, r.requested_at, r.airport_name, upper(trim(r.iata_code)) iata_code, r.city, "
              "r.country, coalesce(r.terminals, 1) terminals")
-    reg("create_airports", (o,), f"""select airport_name, iata_code, terminals, is_active from airports
- union all select airport_name, iata_code, terminals, true from ({acc}) n""")
+    reg("create_airports", (o,), f"""select airport_name, iata_code, city, country, terminals, is_active, created_at from airports
+ union all select airport_name, iata_code, city, country, terminals, true, requested_at from ({acc}) n""")
     o, acc = update_outcomes(R["airport_update_requests"], "airports", "airport_id", [],
-                             "(list_contains(r.set_fields, 'terminals') and r.terminals < 1)")
+                             "(list_contains(r.set_fields, 'terminals') and r.terminals < 1) or "
+                             + _too_long({"airport_name": 200, "city": 100, "country": 100}))
     reg("update_airports", (o,), applied("airports", "airport_id", acc,
         ["airport_name", "city", "country", "terminals", "is_active"],
         ["airport_id", "airport_name", "city", "country", "terminals", "is_active"]))
@@ -210,15 +226,15 @@ def bodies() -> dict[str, str]:
         R["aircraft_create_requests"], "", "registration_no",
         [(422, "invalid_request", "not (q.registration_no is not null and q.model is not null and "
           "q.seat_capacity is not null and coalesce(q.status in ('Active', 'Maintenance', 'Retired'), false))"),
-         (500, "constraint_violation", "q.seat_capacity <= 0")], 1,
+         (500, "constraint_violation", f"q.seat_capacity <= 0 or {_too_long({'registration_no': 20, 'model': 100}, 'q', False)}")], 1,
         "exists (select 1 from aircraft a where a.registration_no = q.registration_no)",
         prep="r.request_id, r.requested_at, r.registration_no, r.model, r.seat_capacity, "
              "coalesce(r.status, 'Active') status")
-    reg("register_aircraft", (o,), f"""select registration_no, model, seat_capacity, status from aircraft
- union all select registration_no, model, seat_capacity, status from ({acc}) n""")
+    reg("register_aircraft", (o,), f"""select registration_no, model, seat_capacity, status, created_at from aircraft
+ union all select registration_no, model, seat_capacity, status, requested_at from ({acc}) n""")
     o, acc = update_outcomes(
         R["aircraft_update_requests"], "aircraft", "aircraft_id", [],
-        "(list_contains(r.set_fields, 'seat_capacity') and r.seat_capacity <= 0)",
+        "(list_contains(r.set_fields, 'seat_capacity') and r.seat_capacity <= 0) or " + _too_long({"model": 100}),
         shape_bad="list_contains(r.set_fields, 'status') and r.status is not null and "
                   "r.status not in ('Active', 'Maintenance', 'Retired')")
     reg("update_aircraft", (o,), applied("aircraft", "aircraft_id", acc,
@@ -234,42 +250,47 @@ def bodies() -> dict[str, str]:
          (422, "same_airports", "q.origin_airport_id = q.dest_airport_id"),
          (404, "aircraft_not_found", "ac.aircraft_id is null"),
          (422, "aircraft_not_active", "ac.status <> 'Active'"),
-         (500, "constraint_violation", "q.base_fare <= 0")], 1,
+         (500, "constraint_violation", f"q.base_fare <= 0 or q.base_fare >= 1e10 or {_too_long({'flight_no': 20}, 'q', False)}")], 1,
         "exists (select 1 from flights f where f.flight_no = q.flight_no)")
-    reg("create_flights", (o,), f"""select flight_no, origin_airport_id, dest_airport_id, aircraft_id, status from flights
- union all select flight_no, origin_airport_id, dest_airport_id, aircraft_id, 'Scheduled' from ({acc}) n""")
+    reg("create_flights", (o,), f"""select flight_no, origin_airport_id, dest_airport_id, aircraft_id, cast(base_fare as double) base_fare, status, created_at from flights
+ union all select flight_no, origin_airport_id, dest_airport_id, aircraft_id, cast(base_fare as double), 'Scheduled', requested_at from ({acc}) n""")
     given_ac = "(list_contains(r.set_fields, 'aircraft_id') and r.aircraft_id is not null and r.aircraft_id <> 0)"
     o, acc = update_outcomes(
         R["flight_update_requests"], "flights", "flight_id",
         [(404, "aircraft_not_found", f"{given_ac} and ac.aircraft_id is null"),
          (422, "aircraft_not_active", f"{given_ac} and ac.status <> 'Active'")],
-        "(list_contains(r.set_fields, 'base_fare') and r.base_fare <= 0) or "
+        "(list_contains(r.set_fields, 'base_fare') and (r.base_fare <= 0 or r.base_fare >= 1e10)) or "
         f"(list_contains(r.set_fields, 'aircraft_id') and not {given_ac} and r.aircraft_id is not null)",
         shape_bad="list_contains(r.set_fields, 'status') and r.status is not null and r.status not in "
                   "('Scheduled', 'Boarding', 'Departed', 'Arrived', 'Cancelled')",
         joins="left join aircraft ac on ac.aircraft_id = r.aircraft_id")
-    reg("update_flights", (o,), applied("flights", "flight_id", acc, ["aircraft_id", "base_fare", "status"],
-                                        ["flight_id", "aircraft_id", "status"]))
+    reg("update_flights", (o,), "select * replace (cast(base_fare as double) as base_fare) from (" + applied(
+        "flights", "flight_id", acc, ["aircraft_id", "base_fare", "status"],
+        ["flight_id", "aircraft_id", "base_fare", "status"]) + ") u")
     # schedules
     o, acc = create_outcomes(
         R["schedule_create_requests"], "", "flight_id",
         [(422, "arrival_not_after_departure", "not (q.dep_datetime is not null and q.arr_datetime is not null "
           "and q.arr_datetime > q.dep_datetime)"),
-         (404, "not_found", "not exists (select 1 from flights f where f.flight_id = q.flight_id)")], 2,
+         (404, "not_found", "not exists (select 1 from flights f where f.flight_id = q.flight_id)"),
+         (500, "constraint_violation", _too_long({"terminal": 20, "gate": 20}, "q", False))], 2,
         "exists (select 1 from flight_schedules s where s.flight_id = q.flight_id)")
-    reg("create_schedules", (o,), f"""select flight_id, dep_datetime, arr_datetime, terminal, gate from flight_schedules
- union all select flight_id, dep_datetime, arr_datetime, terminal, gate from ({acc}) n""")
+    reg("create_schedules", (o,), f"""select flight_id, dep_datetime, arr_datetime, terminal, gate, created_at from flight_schedules
+ union all select flight_id, dep_datetime, arr_datetime, terminal, gate, requested_at from ({acc}) n""")
     # staff
     o, acc = create_outcomes(
         R["staff_create_requests"], "", "email",
         [(422, "invalid_request", "not (q.full_name is not null and "
           "coalesce(regexp_matches(q.email, '^[^@ ]+@[^@ ]+[.][^@ ]+$'), false) and coalesce(q.role in "
-          "('Super_Admin', 'Operations_Manager', 'Reservation_Agent', 'Ground_Staff', 'Finance_Officer'), false))")],
-        1, "exists (select 1 from staff s where s.email = q.email)")
-    reg("create_staff", (o,), f"""select full_name, email, role, is_active from staff
- union all select full_name, email, role, true from ({acc}) n""")
+          "('Super_Admin', 'Operations_Manager', 'Reservation_Agent', 'Ground_Staff', 'Finance_Officer'), false))"),
+         (500, "constraint_violation", _too_long({"full_name": 150, "email": 150}, "q", False))],
+        1, "exists (select 1 from staff s where s.email = q.email)",
+        prep="r.* replace (case when contains(r.email, '@') then regexp_extract(r.email, '^(.*@)', 1) || "
+             "lower(regexp_extract(r.email, '([^@]*)$', 1)) else r.email end as email)")
+    reg("create_staff", (o,), f"""select full_name, email, role, is_active, created_at from staff
+ union all select full_name, email, role, true, requested_at from ({acc}) n""")
     o, acc = update_outcomes(
-        R["staff_update_requests"], "staff", "staff_id", [], "false",
+        R["staff_update_requests"], "staff", "staff_id", [], _too_long({"full_name": 150}),
         shape_bad="list_contains(r.set_fields, 'role') and r.role is not null and r.role not in "
                   "('Super_Admin', 'Operations_Manager', 'Reservation_Agent', 'Ground_Staff', 'Finance_Officer')")
     reg("update_staff", (o,), applied("staff", "staff_id", acc, ["full_name", "role", "is_active"],
@@ -279,6 +300,8 @@ def bodies() -> dict[str, str]:
     nd = "(case when list_contains(q.set_fields, 'dep_datetime') then q.dep_datetime else w.dep end)"
     na = "(case when list_contains(q.set_fields, 'arr_datetime') then q.arr_datetime else w.arr end)"
     ok = f"({nd} is not null and {na} is not null and {na} > {nd})"
+    long = _too_long({"terminal": 20, "gate": 20}, "q")
+    fits = f"({ok} and not {long})"
     walk = f"""
 with recursive q as (
   select r.*, s.dep_datetime dep0, s.arr_datetime arr0,
@@ -288,14 +311,15 @@ with recursive q as (
   select distinct flight_id, cast(0 as bigint), dep0, arr0, cast(null as bigint), cast(null as boolean),
    cast(null as boolean) from q
   union all
-  select w.flight_id, q.rn, case when {ok} then {nd} else w.dep end,
-   case when {ok} then {na} else w.arr end, q.request_id, {ok}, {nd} is null or {na} is null
+  select w.flight_id, q.rn, case when {fits} then {nd} else w.dep end,
+   case when {fits} then {na} else w.arr end, q.request_id, {ok}, {nd} is null or {na} is null
   from w join q on q.flight_id = w.flight_id and q.rn = w.rn + 1
  )
 select request_id, valid, nullerr from w where rn > 0"""
     scodes = f"""
 select r.*, case when not exists (select 1 from flight_schedules s where s.flight_id = r.flight_id) then 404
- when v.nullerr then 500 when not v.valid then 422 else 200 end code
+ when v.nullerr then 500 when not v.valid then 422
+ when {_too_long({'terminal': 20, 'gate': 20})} then 500 else 200 end code
 from ({sreq}) r left join ({walk}) v on v.request_id = r.request_id"""
     out["update_schedules"] = f"""
 select request_id, code < 300 accepted, cast(code as integer) code,
