@@ -22,6 +22,13 @@ def _letter(n: Column) -> Column:
     return F.char(F.lit(65) + n % 26)
 
 
+def _of(raw, table: str, times: int = 1, over: int = 1, more: int = 0) -> Column:
+    """``times / over`` of the rows of a raw table, and ``more``: the range that the keys
+    of a batch are drawn from, so that they grow with the tables they refer to."""
+    n = raw[table].select(F.count(F.lit(1))).scalar()
+    return F.greatest((n * times / over).cast("bigint") + more, F.lit(1))
+
+
 def _padding(cond: Column, n: int) -> Column:
     """A planted text that is too long: ``n`` further characters."""
     return F.when(cond, F.lit("x" * n)).otherwise(F.lit(""))
@@ -73,7 +80,7 @@ def aircraft_create_requests(raw) -> DataFrame:
     k = F.col("p_partkey")
     return raw["part"].select(
         (k + 4300000).alias("request_id"), _ts(k).alias("requested_at"),
-        F.concat(F.lit("REG-"), F.lpad((k % 150).cast("string"), 6, "0")).alias("registration_no"),
+        F.concat(F.lit("REG-"), F.lpad((k % _of(raw, "supplier", 3, 2)).cast("string"), 6, "0")).alias("registration_no"),
         F.concat(F.col("p_brand"), _padding(k % 13 == 5, 100)).alias("model"),
         F.when(k % 17 == 3, F.lit(0)).otherwise((20 + k % 50).cast("int")).alias("seat_capacity"),
         F.when(k % 23 == 0, F.lit("Grounded")).when(k % 4 == 0, F.lit("Maintenance"))
@@ -87,7 +94,7 @@ def aircraft_update_requests(raw) -> DataFrame:
               .otherwise(F.array(F.lit("status"))))
     return raw["part"].select(
         (k + 4400000).alias("request_id"), _ts(k).alias("requested_at"),
-        (k % 120).cast("bigint").alias("aircraft_id"), fields.alias("set_fields"),
+        (k % _of(raw, "supplier", 6, 5)).cast("bigint").alias("aircraft_id"), fields.alias("set_fields"),
         F.concat(F.col("p_brand"), _padding(k % 21 == 0, 100)).alias("model"),
         F.when(k % 19 == 1, F.lit(0)).otherwise((30 + k % 40).cast("int")).alias("seat_capacity"),
         F.when(k % 29 == 2, F.lit("Flying")).when(k % 2 == 0, F.lit("Active"))
@@ -97,13 +104,13 @@ def aircraft_update_requests(raw) -> DataFrame:
 def flight_create_requests(raw) -> DataFrame:
     k = F.col("c_custkey")
     fno = (F.when(k % 50 == 0, F.concat(F.lit("FL"), F.lpad(k.cast("string"), 6, "0")))
-           .otherwise(F.concat(F.lit("FN"), F.lpad((k % 1000).cast("string"), 6, "0"),
+           .otherwise(F.concat(F.lit("FN"), F.lpad((k % _of(raw, "part", 1, 2)).cast("string"), 6, "0"),
                                 _padding(k % 41 == 7, 20))))
     return raw["customer"].select(
         (k + 4500000).alias("request_id"), _ts(k).alias("requested_at"), fno.alias("flight_no"),
         (k % 27).cast("bigint").alias("origin_airport_id"),
         ((k * 7) % 26).cast("bigint").alias("dest_airport_id"),
-        (k % 105).cast("bigint").alias("aircraft_id"), _fare(k % 43 == 8).alias("base_fare"))
+        (k % _of(raw, "supplier", more=5)).cast("bigint").alias("aircraft_id"), _fare(k % 43 == 8).alias("base_fare"))
 
 
 def flight_update_requests(raw) -> DataFrame:
@@ -114,8 +121,8 @@ def flight_update_requests(raw) -> DataFrame:
               .otherwise(F.array(F.lit("status"))))
     return raw["customer"].select(
         (k + 4600000).alias("request_id"), _ts(k).alias("requested_at"),
-        (k % 2100).cast("bigint").alias("flight_id"), fields.alias("set_fields"),
-        (k % 110).cast("bigint").alias("aircraft_id"), _fare(k % 44 == 1).alias("base_fare"),
+        (k % _of(raw, "part", more=100)).cast("bigint").alias("flight_id"), fields.alias("set_fields"),
+        (k % _of(raw, "supplier", more=10)).cast("bigint").alias("aircraft_id"), _fare(k % 44 == 1).alias("base_fare"),
         F.when(k % 37 == 2, F.lit("Delayed")).when(k % 2 == 0, F.lit("Boarding"))
         .otherwise(F.lit("Departed")).alias("status"))
 
@@ -125,7 +132,7 @@ def schedule_create_requests(raw) -> DataFrame:
     dep = F.to_timestamp_ntz(F.lit("2024-05-01 00:00:00")) + F.make_dt_interval(
         F.lit(0), (k % 1000).cast("int"))
     arr = dep + F.make_dt_interval(F.lit(0), (k % 7 - 1).cast("int"))
-    fid = F.when(k % 97 == 0, k + 1000000).otherwise(k % 1500)
+    fid = F.when(k % 97 == 0, k + 1000000).otherwise(k % _of(raw, "part", 3, 4))
     return raw["part"].select(
         (k + 4700000).alias("request_id"), _ts(k).alias("requested_at"),
         fid.cast("bigint").alias("flight_id"), dep.alias("dep_datetime"), arr.alias("arr_datetime"),
@@ -136,7 +143,7 @@ def schedule_create_requests(raw) -> DataFrame:
 def staff_create_requests(raw) -> DataFrame:
     k = F.col("c_custkey")
     email = (F.when(k % 31 == 0, F.lit("not an email"))
-             .when(k % 25 == 0, F.concat(F.lit("supplier."), F.lpad((k % 100).cast("string"), 9, "0"),
+             .when(k % 25 == 0, F.concat(F.lit("supplier."), F.lpad((k % _of(raw, "supplier")).cast("string"), 9, "0"),
                                          F.lit("@example.org")))
              .when(k % 10 == 0, F.concat(F.lit("agent"), (k - 1).cast("string"), F.lit("@Example.COM")))
              .otherwise(F.concat(F.lit("agent"), k.cast("string"), F.lit("@example.com"))))
@@ -156,7 +163,7 @@ def staff_update_requests(raw) -> DataFrame:
     role = F.when(k % 11 == 1, F.lit("Pilot")).otherwise(F.lit("Ground_Staff"))
     return raw["customer"].select(
         (k + 4900000).alias("request_id"), _ts(k).alias("requested_at"),
-        (k % 110).cast("bigint").alias("staff_id"), fields.alias("set_fields"),
+        (k % _of(raw, "supplier", more=10)).cast("bigint").alias("staff_id"), fields.alias("set_fields"),
         F.concat(F.lit("Staff "), F.col("c_name"), _padding(k % 51 == 0, 150)).alias("full_name"), role.alias("role"),
         (k % 2 == 0).alias("is_active"))
 
@@ -189,9 +196,9 @@ BUILDERS["passenger_delete_requests"] = passenger_delete_requests
 
 
 def schedule_update_requests(raw) -> DataFrame:
-    """Schedule updates, one per order, on 40 flights, so that each is checked
-    against the row left by the earlier ones (a departure moved past the
-    arrival, then fixed); every 11th targets a flight without a schedule,
+    """Schedule updates, one per order, on the flights of their customers, so that
+    each is checked against the row left by the earlier ones (a departure moved
+    past the arrival, then fixed); every 17th goes to one hot flight, every 11th targets a flight without a schedule,
     every 23rd sets an explicit NULL arrival."""
     k = F.col("o_orderkey")
     base = F.to_timestamp_ntz(F.lit("2024-06-01 00:00:00"))
@@ -205,7 +212,8 @@ def schedule_update_requests(raw) -> DataFrame:
         base + F.make_dt_interval(F.lit(0), (k % 50 - 2).cast("int")))
     return raw["orders"].select(
         (k + 6000000).alias("request_id"), _ts(k).alias("requested_at"),
-        F.when(k % 11 == 0, F.lit(0)).otherwise(F.col("o_custkey") % 40 + 1).cast("bigint")
+        F.when(k % 11 == 0, F.lit(0)).when(k % 17 == 5, F.lit(1))
+        .otherwise(F.col("o_custkey") % _of(raw, "part") + 1).cast("bigint")
         .alias("flight_id"),
         fields.alias("set_fields"), dep.alias("dep_datetime"), arr.alias("arr_datetime"),
         F.lit(None).cast("timestamp_ntz").alias("actual_dep"),

@@ -19,6 +19,10 @@ def _letter(n: str) -> str:
     return f"chr(cast(65 + ({n}) % 26 as integer))"
 
 
+def _of(table: str, times: int = 1, over: int = 1, more: int = 0) -> str:
+    return f"(select greatest(count(*) * {times} // {over} + {more}, 1) from {table})"
+
+
 def _padding(cond: str, n: int) -> str:
     return f"case when {cond} then repeat('x', {n}) else '' end"
 
@@ -57,12 +61,12 @@ select s_suppkey + 4200000 request_id, {_ts('s_suppkey')} requested_at, cast(s_s
 from supplier""",
     "aircraft_create_requests": f"""
 select p_partkey + 4300000 request_id, {_ts('p_partkey')} requested_at,
- 'REG-' || lpad(cast(p_partkey % 150 as varchar), 6, '0') registration_no, p_brand || {_padding('p_partkey % 13 = 5', 100)} model,
+ 'REG-' || lpad(cast(p_partkey % {_of('supplier', 3, 2)} as varchar), 6, '0') registration_no, p_brand || {_padding('p_partkey % 13 = 5', 100)} model,
  case when p_partkey % 17 = 3 then 0 else cast(20 + p_partkey % 50 as integer) end seat_capacity,
  case when p_partkey % 23 = 0 then 'Grounded' when p_partkey % 4 = 0 then 'Maintenance' end status
 from part""",
     "aircraft_update_requests": f"""
-select p_partkey + 4400000 request_id, {_ts('p_partkey')} requested_at, cast(p_partkey % 120 as bigint) aircraft_id,
+select p_partkey + 4400000 request_id, {_ts('p_partkey')} requested_at, cast(p_partkey % {_of('supplier', 6, 5)} as bigint) aircraft_id,
  case when p_partkey % 3 = 0 then ['model'] when p_partkey % 3 = 1 then ['seat_capacity', 'status']
       else ['status'] end set_fields, p_brand || {_padding('p_partkey % 21 = 0', 100)} model,
  case when p_partkey % 19 = 1 then 0 else cast(30 + p_partkey % 40 as integer) end seat_capacity,
@@ -71,20 +75,20 @@ from part""",
     "flight_create_requests": f"""
 select c_custkey + 4500000 request_id, {_ts('c_custkey')} requested_at,
  case when c_custkey % 50 = 0 then 'FL' || lpad(cast(c_custkey as varchar), 6, '0')
-      else 'FN' || lpad(cast(c_custkey % 1000 as varchar), 6, '0') || {_padding('c_custkey % 41 = 7', 20)} end flight_no,
+      else 'FN' || lpad(cast(c_custkey % {_of('part', 1, 2)} as varchar), 6, '0') || {_padding('c_custkey % 41 = 7', 20)} end flight_no,
  cast(c_custkey % 27 as bigint) origin_airport_id, cast((c_custkey * 7) % 26 as bigint) dest_airport_id,
- cast(c_custkey % 105 as bigint) aircraft_id, {_fare('c_custkey % 43 = 8')}
+ cast(c_custkey % {_of('supplier', more=5)} as bigint) aircraft_id, {_fare('c_custkey % 43 = 8')}
 from customer""",
     "flight_update_requests": f"""
-select c_custkey + 4600000 request_id, {_ts('c_custkey')} requested_at, cast(c_custkey % 2100 as bigint) flight_id,
+select c_custkey + 4600000 request_id, {_ts('c_custkey')} requested_at, cast(c_custkey % {_of('part', more=100)} as bigint) flight_id,
  case when c_custkey % 4 = 0 then ['aircraft_id'] when c_custkey % 4 = 1 then ['base_fare']
       when c_custkey % 4 = 2 then ['status', 'base_fare'] else ['status'] end set_fields,
- cast(c_custkey % 110 as bigint) aircraft_id, {_fare('c_custkey % 44 = 1')},
+ cast(c_custkey % {_of('supplier', more=10)} as bigint) aircraft_id, {_fare('c_custkey % 44 = 1')},
  case when c_custkey % 37 = 2 then 'Delayed' when c_custkey % 2 = 0 then 'Boarding' else 'Departed' end status
 from customer""",
     "schedule_create_requests": f"""
 select p_partkey + 4700000 request_id, {_ts('p_partkey')} requested_at,
- cast(case when p_partkey % 97 = 0 then p_partkey + 1000000 else p_partkey % 1500 end as bigint) flight_id,
+ cast(case when p_partkey % 97 = 0 then p_partkey + 1000000 else p_partkey % {_of('part', 3, 4)} end as bigint) flight_id,
  timestamp '2024-05-01 00:00:00' + interval '1' hour * cast(p_partkey % 1000 as integer) dep_datetime,
  timestamp '2024-05-01 00:00:00' + interval '1' hour * cast(p_partkey % 1000 as integer)
    + interval '1' hour * cast(p_partkey % 7 - 1 as integer) arr_datetime,
@@ -93,7 +97,7 @@ from part""",
     "staff_create_requests": f"""
 select c_custkey + 4800000 request_id, {_ts('c_custkey')} requested_at, c_name || {_padding('c_custkey % 47 = 3', 150)} full_name,
  case when c_custkey % 31 = 0 then 'not an email'
-      when c_custkey % 25 = 0 then 'supplier.' || lpad(cast(c_custkey % 100 as varchar), 9, '0') || '@example.org'
+      when c_custkey % 25 = 0 then 'supplier.' || lpad(cast(c_custkey % {_of('supplier')} as varchar), 9, '0') || '@example.org'
       when c_custkey % 10 = 0 then 'agent' || cast(c_custkey - 1 as varchar) || '@Example.COM'
       else 'agent' || cast(c_custkey as varchar) || '@example.com' end email,
  case c_custkey % 6 when 0 then 'Super_Admin' when 1 then 'Operations_Manager' when 2 then 'Reservation_Agent'
@@ -106,7 +110,7 @@ select c_custkey + 5000000 request_id, {_ts('c_custkey')} requested_at,
 from customer""",
     "schedule_update_requests": f"""
 select o_orderkey + 6000000 request_id, {_ts('o_orderkey')} requested_at,
- cast(case when o_orderkey % 11 = 0 then 0 else o_custkey % 40 + 1 end as bigint) flight_id,
+ cast(case when o_orderkey % 11 = 0 then 0 when o_orderkey % 17 = 5 then 1 else o_custkey % {_of('part')} + 1 end as bigint) flight_id,
  case when o_orderkey % 23 = 0 then ['arr_datetime'] when o_orderkey % 4 = 0 then ['dep_datetime']
       when o_orderkey % 4 = 1 then ['arr_datetime'] when o_orderkey % 4 = 2 then ['dep_datetime', 'arr_datetime', 'gate']
       else ['gate', 'actual_dep'] end set_fields,
@@ -117,7 +121,7 @@ select o_orderkey + 6000000 request_id, {_ts('o_orderkey')} requested_at,
  'G' || cast(o_orderkey % 9 as varchar) || {_padding('o_orderkey % 58 = 6', 20)} gate
 from orders""",
     "staff_update_requests": f"""
-select c_custkey + 4900000 request_id, {_ts('c_custkey')} requested_at, cast(c_custkey % 110 as bigint) staff_id,
+select c_custkey + 4900000 request_id, {_ts('c_custkey')} requested_at, cast(c_custkey % {_of('supplier', more=10)} as bigint) staff_id,
  case when c_custkey % 3 = 0 then ['full_name'] when c_custkey % 3 = 1 then ['role', 'is_active']
       else ['is_active'] end set_fields,
  'Staff ' || c_name || {_padding('c_custkey % 51 = 0', 150)} full_name, case when c_custkey % 11 = 1 then 'Pilot' else 'Ground_Staff' end role,
