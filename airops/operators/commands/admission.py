@@ -83,11 +83,12 @@ def greedy_admission(cands: DataFrame, key1: list[str], key2: list[str],
                      order: str = "_ord", rid: str = "request_id") -> DataFrame:
     """Return ``(rid,)`` of the admitted candidates.
 
-    ``cands`` has one row per request with ``rid``, ``order`` (a struct of time and
-    id, unique) and the key columns; requests failing static checks must already
-    be removed."""
+    ``cands`` has one row per request with ``rid``, ``order`` (a struct of time ``ts``
+    and id, or a plain sortable column; ties by ``rid``) and the key columns;
+    requests failing static checks must already be removed."""
+    at = f"{order}.ts" if isinstance(cands.schema[order].dataType, T.StructType) else order
     keyed = _kept(cands.select(
-        F.col(rid).alias("_rid"), F.col(f"{order}.ts").alias("_ts"),
+        F.col(rid).alias("_rid"), F.col(at).alias("_ts"),
         F.concat(F.lit("1"), F.to_json(F.struct(*key1))).alias("_k1"),
         F.concat(F.lit("2"), F.to_json(F.struct(*key2))).alias("_k2")), "candidates")
     names = keyed.select(F.col("_k1").alias("k")).union(keyed.select("_k2"))

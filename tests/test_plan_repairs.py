@@ -4,10 +4,12 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from helpers import T0, make_tables, passenger
+
 from airops import plans
 from airops.operators import audits, reports, views
 from airops.operators.commands.admission import greedy_admission
-from airops.operators.commands.passengers import _last_before
+from airops.operators.commands.passengers import update_passengers
 from airops.session import ship_code
 
 
@@ -28,22 +30,24 @@ def test_unique_keys_cross_the_shuffle_as_hashes(tables):
     assert "keys=[cid" in text and "LeftSemi" in text
 
 
-def test_last_event_before_each_request(spark):
-    """Against a scan of all pairs: a hot address, ties, and requests that see not their own event."""
-    at = lambda i: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i % 7)
-    reqs = [(i, at(i), "hot" if i % 3 else f"k{i}", i) for i in range(60)] + [(99, at(3), None, 99)]
-    events = [(k, ts, rid, f"v{rid}") for rid, ts, k, _ in reqs if rid % 2] + [("hot", dt.datetime(2023, 1, 1), -1, "v0")]
-    order = F.struct(F.col("ts"), F.col("id"))
-    r = (spark.createDataFrame(reqs, "id long, ts timestamp_ntz, email string, passenger_id long")
-         .select(F.col("id").alias("request_id"), "email", "passenger_id", order.alias("_ord")))
-    e = (spark.createDataFrame(events, "email string, ts timestamp_ntz, id long, v string")
-         .select("email", "v", order.alias("at")))
-    got = {x.request_id: x.v for x in _last_before(r, e, "email", "v").collect()}
-    want = {}
-    for rid, ts, key, _ in reqs:
-        before = [(t, i, v) for k, t, i, v in events if k is not None and k == key and (t, i) < (ts, rid)]
-        want[rid] = max(before)[2] if before else None
-    assert got == want
+def test_address_holder_before_each_request(spark):
+    """Against a walk of all requests: a hot address, ties in time, own addresses set again."""
+    at = lambda i: T0 + dt.timedelta(minutes=i % 7)
+    reqs = [(i, at(i), i % 10, ["email"], "hot@x.org" if i % 3 else f"k{i % 20}@x.org") for i in range(60)]
+    t = make_tables(spark, passengers=[passenger(k) for k in range(10)])
+    r = spark.createDataFrame(reqs, "request_id long, requested_at timestamp_ntz, passenger_id long, "
+                              "set_fields array<string>, email string")
+    for c, kind in (("full_name", "string"), ("date_of_birth", "date"), ("gender", "string"),
+                    ("nationality", "string"), ("phone", "string")):
+        r = r.withColumn(c, F.lit(None).cast(kind))
+    out, changed = update_passengers(t, r)
+    holds, want = {k: f"p{k}@x.org" for k in range(10)}, {}
+    for rid, _, pid, _, email in sorted(reqs, key=lambda x: (x[1], x[0])):
+        taken = any(p != pid and e == email for p, e in holds.items())
+        want[rid] = 409 if taken else 200
+        holds[pid] = holds[pid] if taken else email
+    assert {x.request_id: x.code for x in out.collect()} == want and {200, 409} <= set(want.values())
+    assert {x.passenger_id: x.email for x in changed["passengers"].collect()} == holds
 
 
 def test_admission_of_a_chain_and_of_nothing(spark):
