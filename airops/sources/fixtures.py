@@ -13,12 +13,14 @@ for scale:
   ``row_number() <= MAX_SEATS`` so Spark inserts a partial WindowGroupLimit
   before the shuffle, and a hot flight ships at most MAX_SEATS rows per map
   partition instead of all of its orders.
-* the seat rows of a flight are generated with ``explode(sequence(1, capacity))``
-  (no theta join).
+* the seat rows of a flight are generated from ``sequence(1, capacity)`` (no theta
+  join), after its bookings were joined to the flight: no seat row is shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -205,8 +207,9 @@ def bookings_wide(raw, flights_df: DataFrame, aircraft_df: DataFrame) -> DataFra
            .select("flight_id", "seat_capacity"))
     seated = (first.join(cap, "flight_id").filter(F.col("seat_idx") <= F.col("seat_capacity"))
               .select("booking_id", "seat_idx"))
-    # orders beyond the capacity are cancelled bookings of a seat that another holds
-    b = b0.join(cap, "flight_id").join(seated, "booking_id", "left")
+    # orders beyond the capacity are cancelled bookings of a seat that another holds;
+    # the orders still lie by their key here, so that only the seats found are dealt by it
+    b = b0.join(seated, "booking_id", "left").join(cap, "flight_id")
     over = F.col("seat_idx").isNull()
     b = b.withColumn("status", F.when(over, "Cancelled").otherwise(F.col("status"))).withColumn(
         "seat_idx", F.when(over, F.lit(1) + F.col("booking_id") % F.col("seat_capacity"))
@@ -255,13 +258,21 @@ def seats(raw, flights_df, aircraft_df, bw, boarding_df) -> DataFrame:
     cap = F.col("seat_capacity")
     fa = (flights_df.select("flight_id", "aircraft_id")
           .join(aircraft_df.select("aircraft_id", "seat_capacity"), "aircraft_id"))
-    gen = fa.select("flight_id", F.explode(
-        F.when(cap >= 1, F.sequence(F.lit(1), cap)).otherwise(F.array().cast("array<int>")))
-        .alias("n")).withColumn("n", F.col("n").cast("bigint"))
     live = (bw.filter(F.col("status") != "Cancelled")
             .select("flight_id", F.col("seat_idx").alias("n"), "booking_id"))
     br = boarding_df.select("booking_id", F.col("status").alias("br_status"))
-    s = gen.join(live, ["flight_id", "n"], "left").join(br, "booking_id", "left")
+    # bookings meet their flight before its seats are laid out: the seats themselves,
+    # most of them without a booking, cross no shuffle
+    taken = (live.join(br, "booking_id", "left").groupBy("flight_id")
+             .agg(F.collect_list(F.struct("n", "booking_id", "br_status")).alias("taken")))
+    held = F.coalesce("taken", F.array().cast(taken.schema["taken"].dataType))
+    row = taken.schema["taken"].dataType.elementType.simpleString()
+    every = F.when(cap >= 1, F.sequence(F.lit(1), cap)).otherwise(F.array().cast("array<int>")).cast("array<bigint>")
+    # ``taken``: what is booked, once a booking; then the seats that nobody booked
+    free = F.transform(F.array_except(every, F.transform(held, lambda x: x["n"])), lambda k: F.struct(
+        k.alias("n"), F.lit(None).cast("bigint").alias("booking_id"), F.lit(None).cast("string").alias("br_status")).cast(row))
+    s = (fa.repartition("flight_id").join(taken, "flight_id", "left")
+         .select("flight_id", F.inline(F.concat(F.filter(held, lambda x: F.array_contains(every, x["n"])), free))))
     n = F.col("n")
     fc = (F.when(n <= 2, 4).when(n <= 4, 3).when(n <= 8, 2).when(n <= 12, 1).otherwise(0))
     status = (F.when(F.col("br_status") == "Boarded", "Occupied")
@@ -306,23 +317,21 @@ def tickets(payments_df, bw, flights_df, seats_df, fare_df) -> DataFrame:
         (F.col("b_status") == "Cancelled").alias("is_cancelled"))
 
 
-def derive_tables(raw, keep=None) -> dict[str, DataFrame]:
-    """All twelve tables plus the wide bookings frame (key ``_bookings_wide``).
+def table_builders(raw, get: Callable[[str], DataFrame]) -> dict[str, Callable[[], DataFrame]]:
+    """How each of the twelve tables and the wide bookings (``_bookings_wide``) are derived.
 
-    ``keep(name, df) -> df`` is applied to the frames that others are built
-    from (e.g. to write them once and read them back)."""
-    keep = keep or (lambda _name, df: df)
-    fl, ac, fc = keep("flights", flights(raw)), keep("aircraft", aircraft(raw)), fare_classes(raw)
-    bw = keep("_bookings_wide", bookings_wide(raw, fl, ac))
-    br = keep("boarding_records", boarding_records(bw, fl))
-    st = keep("seats", seats(raw, fl, ac, bw, br))
-    pay = keep("payments", payments(bw))
+    ``get(name)`` gives a table that another one is built from (e.g. its written copy)."""
     return {
-        "passengers": passengers(raw), "airports": airports(raw), "aircraft": ac,
-        "fare_classes": fc, "staff": staff(raw), "flights": fl,
-        "flight_schedules": flight_schedules(raw), "seats": st,
-        "bookings": bw.select(*BOOKING_COLUMNS), "tickets": tickets(pay, bw, fl, st, fc),
-        "payments": pay, "boarding_records": br, "_bookings_wide": bw,
+        "passengers": lambda: passengers(raw), "airports": lambda: airports(raw), "aircraft": lambda: aircraft(raw),
+        "fare_classes": lambda: fare_classes(raw), "staff": lambda: staff(raw), "flights": lambda: flights(raw),
+        "flight_schedules": lambda: flight_schedules(raw),
+        "_bookings_wide": lambda: bookings_wide(raw, get("flights"), get("aircraft")),
+        "bookings": lambda: get("_bookings_wide").select(*BOOKING_COLUMNS),
+        "boarding_records": lambda: boarding_records(get("_bookings_wide"), get("flights")),
+        "seats": lambda: seats(raw, get("flights"), get("aircraft"), get("_bookings_wide"), get("boarding_records")),
+        "payments": lambda: payments(get("_bookings_wide")),
+        "tickets": lambda: tickets(get("payments"), get("_bookings_wide"), get("flights"), get("seats"),
+                                   get("fare_classes")),
     }
 
 

@@ -22,9 +22,10 @@ from airops.sources import fixtures, requests
 
 
 class Tables(Mapping):
-    """The airline tables of one snapshot, by name."""
+    """The airline tables of one snapshot, by name. A frame may be given as a function
+    without arguments, which is called when the table is first asked for."""
 
-    def __init__(self, spark: SparkSession, frames: dict[str, DataFrame],
+    def __init__(self, spark: SparkSession, frames: dict[str, DataFrame | Callable[[], DataFrame]],
                  extras: dict[str, Callable[[], DataFrame]] | None = None,
                  source: str | None = None):
         self.spark = spark
@@ -34,8 +35,13 @@ class Tables(Mapping):
         self.source = source
 
     def __getitem__(self, name: str) -> DataFrame:
+        if not isinstance(self._frames[name], DataFrame):
+            self._frames[name] = self._frames[name]()
         return self._frames[name]
 
+    def __contains__(self, name: object) -> bool:
+        return name in self._frames  # without building it
+
     def __iter__(self) -> Iterator[str]:
         return iter(self._frames)
 
@@ -52,7 +58,7 @@ class Tables(Mapping):
     def dim(self, name: str) -> DataFrame:
         """A dimension for joining. No hint: the planner broadcasts it when its
         bytes are below ``spark.sql.autoBroadcastJoinThreshold``."""
-        return self._frames[name]
+        return self[name]
 
     def replace(self, **changed: DataFrame) -> Tables:
         """A new bundle with some tables replaced (the result of a command batch)."""
@@ -90,7 +96,7 @@ def _bound(spark: SparkSession, path: str) -> dict[str, DataFrame] | None:
 _CACHE: dict[tuple[int, str, str, bool], Tables] = {}
 # version of the derived layout: part of the snapshot key, so a snapshot
 # written by an older mapping is never read back
-_LAYOUT = "tables12+bookings_wide/v3"
+_LAYOUT = "tables12+bookings_wide/v4"
 
 
 def airline_tables(spark: SparkSession, path: str, materialize: bool = True) -> Tables:
@@ -113,24 +119,30 @@ def airline_tables(spark: SparkSession, path: str, materialize: bool = True) ->
     return tables
 
 
-def _derived(spark, path, keep=None, raw=None):
-    raw = raw or fixtures.read_raw(spark, path)
-    derived = fixtures.derive_tables(raw, keep)
-    bw = derived.pop("_bookings_wide")
-    frames = {t: _conform(derived[t], t) for t in TABLES}
-    return frames, _extra_builders(raw, bw)
+def _derived(spark, path):
+    raw = fixtures.read_raw(spark, path)
+    built: dict[str, DataFrame] = {}
+
+    def get(name: str) -> DataFrame:
+        if name not in built:
+            df = builders[name]()
+            built[name] = _conform(df, name) if name in TABLE_SCHEMAS else df
+        return built[name]
+
+    builders = fixtures.table_builders(raw, get)
+    return {t: (lambda t=t: get(t)) for t in TABLES}, _extra_builders(raw, lambda: get("_bookings_wide"))
 
 
-def _extra_builders(raw, bw) -> dict[str, Callable[[], DataFrame]]:
+def _extra_builders(raw, bw: Callable[[], DataFrame]) -> dict[str, Callable[[], DataFrame]]:
     """Request batches: short projections of a raw table or of the wide
     bookings, so they are built when asked for, not materialised."""
     out: dict[str, Callable[[], DataFrame]] = {
-        "bookings_wide": lambda: bw,
+        "bookings_wide": bw,
         "booking_requests": lambda: fixtures.booking_requests(raw),
-        "cancel_requests": lambda: fixtures.cancel_requests(bw),
-        "payment_requests": lambda: fixtures.payment_requests(bw),
-        "boarding_events": lambda: fixtures.boarding_events(bw),
-        "command_log": lambda: fixtures.command_log(raw, bw),
+        "cancel_requests": lambda: fixtures.cancel_requests(bw()),
+        "payment_requests": lambda: fixtures.payment_requests(bw()),
+        "boarding_events": lambda: fixtures.boarding_events(bw()),
+        "command_log": lambda: fixtures.command_log(raw, bw()),
         "passenger_requests": lambda: fixtures.passenger_requests(raw),
         "passenger_update_requests": lambda: fixtures.passenger_update_requests(raw),
     }
@@ -154,37 +166,34 @@ def _fingerprint(spark: SparkSession, path: str) -> str:
 
 
 def _materialized(spark, path):
-    """Write the derived tables once to the checkpoint folder and read them back.
+    """Write each derived table once to the checkpoint folder and read it back.
 
     The fixture mapping is a DAG (seats depend on bookings and boarding
-    records, tickets on seats, ...). Shared intermediates are written first
-    and the rest is derived from the written copies; afterwards each query
-    plans against parquet tables as it would in production, and a lost
-    executor re-reads files instead of recomputing the mapping."""
+    records, tickets on seats, ...). A table is written when it is first asked
+    for, after those that it is derived from, and read back as it would be in
+    production: a lost executor re-reads files instead of recomputing the
+    mapping, and a query pays for the tables that it reads."""
     base = scratch_path(spark, f"airops-fixture-{_fingerprint(spark, path)}")
-    done = f"{base}/_COMPLETE"
     raw = fixtures.read_raw(spark, path)
-    if read_marker(spark, done) is None:
-        run = f"{base}/attempt-{uuid.uuid4().hex[:8]}"
-        written: set[str] = set()
-
-        def keep(name, df):
-            if name in TABLE_SCHEMAS:  # written in the target layout, read back as is
-                df = _conform(df, name)
-            df.write.mode("errorifexists").parquet(f"{run}/{name}")
-            written.add(name)
-            return spark.read.schema(df.schema).parquet(f"{run}/{name}")
-
-        frames, _ = _derived(spark, path, keep, raw)
-        for n, df in frames.items():
-            if n not in written:
-                df.write.mode("errorifexists").parquet(f"{run}/{n}")
-        write_marker(spark, done, run)
-    run = read_marker(spark, done)
-    # fixed schemas: no inference, no re-cast
-    frames = {t: spark.read.schema(TABLE_SCHEMAS[t]).parquet(f"{run}/{t}") for t in TABLES}
-    bw = spark.read.schema(fixtures.BOOKINGS_WIDE_SCHEMA).parquet(f"{run}/_bookings_wide")
-    return frames, _extra_builders(raw, bw)
+    opened: dict[str, DataFrame] = {}
+
+    def get(name: str) -> DataFrame:
+        if name == "bookings":  # columns of the wide bookings: not written again
+            return _conform(builders[name](), name)
+        if name not in opened:
+            done = f"{base}/{name}/_COMPLETE"
+            schema = TABLE_SCHEMAS.get(name, fixtures.BOOKINGS_WIDE_SCHEMA)
+            if read_marker(spark, done) is None:
+                run = f"{base}/{name}/attempt-{uuid.uuid4().hex[:8]}"
+                df = builders[name]()
+                (_conform(df, name) if name in TABLE_SCHEMAS else df).write.mode("errorifexists").parquet(run)
+                write_marker(spark, done, run)
+            # fixed schemas: no inference, no re-cast
+            opened[name] = spark.read.schema(schema).parquet(read_marker(spark, done))
+        return opened[name]
+
+    builders = fixtures.table_builders(raw, get)
+    return {t: (lambda t=t: get(t)) for t in TABLES}, _extra_builders(raw, lambda: get("_bookings_wide"))
 
 
 def read_marker(spark, p: str) -> str | None:
