@@ -4,6 +4,10 @@ Each returns ``(outcomes, changed)`` where ``outcomes`` has request_id,
 accepted, code, reason and ``changed`` maps table names to their new
 snapshots. Requests on one booking interact only through the first valid
 request of that booking, found with a per-booking ``min`` of the order.
+
+The requests with what was looked up for them are written once to the scratch
+folder: the first request of a booking and the outcomes are read from there. One
+plan of both would do every lookup twice, all of them sorted in the same tasks.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from pyspark.sql import types as T
 
 from airops.operators.commands.common import (conform, new_ids, order_key,
                                               outcomes, restrict, upsert)
+from airops.operators.commands.fold import _kept
 from airops.schema import BOARDING_STATUS, PAYMENT_METHOD
 
 # --- fixed values: outcome reasons ----------------------------------------------
@@ -39,6 +44,7 @@ def cancel_bookings(t, requests: DataFrame):
     r = (requests.select("request_id", "booking_id", "cancel_reason", "requested_at")
          .withColumn("_ord", order_key())
          .join(_bookings_state(t, requests), "booking_id", "left"))
+    r = _kept(r, "cancels")
     shape_ok = F.col("cancel_reason").isNotNull() & F.col("booking_id").isNotNull()
     valid = shape_ok & F.col("_bfound").isNotNull() & (F.col("_bstatus") != "Cancelled")
     first = (r.filter(valid).groupBy("booking_id").agg(F.min("_ord").alias("_acc")))
@@ -80,10 +86,12 @@ def process_payments(t, requests: DataFrame):
     r = (requests.select("request_id", "booking_id", "method", "amount", "requested_at")
          .withColumn("_ord", order_key())
          .join(_bookings_state(t, requests), "booking_id", "left"))
-    paid = (restrict(t["payments"], requests, "booking_id")
-            .select("booking_id", F.lit(True).alias("_paid")).distinct())
-    ticketed = (restrict(t["tickets"], requests, "booking_id")
-                .select("booking_id", F.lit(True).alias("_ticketed")).distinct())
+    # payments and tickets of the requested bookings, found in one pass
+    marks = t["payments"].select("booking_id", F.lit(True).alias("_paid"), F.lit(None).cast("boolean").alias("_ticketed")
+                                 ).unionByName(t["tickets"].select(
+                                     "booking_id", F.lit(None).cast("boolean").alias("_paid"), F.lit(True).alias("_ticketed")))
+    marks = restrict(marks, requests, "booking_id").groupBy("booking_id").agg(
+        F.max("_paid").alias("_paid"), F.max("_ticketed").alias("_ticketed"))
     # fare of the requested bookings only: seats and flights are restricted first
     b = restrict(t["bookings"], requests, "booking_id").select("booking_id", "flight_id",
                                                                       "seat_id")
@@ -93,8 +101,8 @@ def process_payments(t, requests: DataFrame):
             .join(restrict(t["flights"], b, "flight_id").select("flight_id", "base_fare"),
                   "flight_id")
             .select("booking_id", "fare_class_id", "multiplier", "base_fare"))
-    r = (r.join(paid, "booking_id", "left").join(ticketed, "booking_id", "left")
-         .join(fare, "booking_id", "left"))
+    # fares go another way through the shuffles than the requests
+    r = _kept(r.join(marks, "booking_id", "left").join(_kept(fare, "fares"), "booking_id", "left"), "payments")
     shape_ok = (F.col("method").isin(*PAYMENT_METHOD) & F.col("amount").isNotNull()
                 & F.col("booking_id").isNotNull())
     # what the columns would hold: a value that does not fit them, or that is
@@ -146,7 +154,7 @@ def record_boarding(t, events: DataFrame):
          .join(_bookings_state(t, events), "booking_id", "left"))
     has_rec = (restrict(t["boarding_records"], events, "booking_id")
                .select("booking_id", F.lit(True).alias("_rec")).distinct())
-    e = e.join(has_rec, "booking_id", "left")
+    e = _kept(e.join(has_rec, "booking_id", "left"), "boardings")
     shape_ok = F.col("status").isin(*BOARDING_STATUS) & F.col("booking_id").isNotNull()
     valid = shape_ok & F.col("_bfound").isNotNull() & (F.col("_bstatus") == "Confirmed")
     per = (e.filter(valid).groupBy("booking_id")
