@@ -20,6 +20,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from airops.operators.commands.fold import _kept
 from airops.schema import (ENUM_COLUMNS, PRIMARY_KEYS, STRING_LENGTHS, TABLE_SCHEMAS)
 
 # --- fixed values: constraints of the data model ---------------------------
@@ -112,8 +113,9 @@ def audit_unique(t, include_primary_keys: bool = True) -> DataFrame:
     ``(constraint id, 64-bit hash of the key)`` rows (a key with a NULL
     component never conflicts, as in SQL), so unique keys cross the shuffle as
     a few bytes. Only rows whose hash repeats are then counted by the whole
-    key, which makes the result exact. Constraints without duplicates get a
-    zero row."""
+    key, which makes the result exact. The repeated hashes are written first:
+    where their bytes are few, the planner broadcasts them, and the whole keys of
+    all other rows are not shuffled. Constraints without duplicates get a zero row."""
     cons = unique_constraints(include_primary_keys)
     parts = []
     for i, (_, table, cols) in enumerate(cons):
@@ -123,6 +125,7 @@ def audit_unique(t, include_primary_keys: bool = True) -> DataFrame:
     keys = _union(parts)
     repeated = (keys.groupBy("cid", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
                 .select("cid", "h"))
+    repeated = _kept(repeated, "repeated-keys")
     dup = (keys.join(repeated, ["cid", "h"], "left_semi")
            .groupBy("cid", "h", "k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
            .groupBy("cid").agg(F.count(F.lit(1)).alias("duplicated_keys"),

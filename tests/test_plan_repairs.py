@@ -30,6 +30,12 @@ def test_unique_keys_cross_the_shuffle_as_hashes(tables):
     assert "keys=[cid" in text and "LeftSemi" in text
 
 
+def test_whole_keys_are_not_shuffled_to_find_repeats(spark, tables):
+    text = plans.formatted(audits.audit_unique(tables), "simple")
+    above, below = text.split("LeftSemi")
+    assert "BroadcastHashJoin" in above.splitlines()[-1] and "Aggregate" not in below
+
+
 def test_address_holder_before_each_request(spark):
     """Against a walk of all requests: a hot address, ties in time, own addresses set again."""
     at = lambda i: T0 + dt.timedelta(minutes=i % 7)
@@ -64,3 +70,13 @@ def test_code_is_shipped_once(spark):
     ship_code(spark)
     ship_code(spark)
     assert sum(f.startswith("airops-code-") for f in spark.sparkContext._python_includes) == 1
+
+
+def test_lookups_of_a_batch_are_done_once(spark, tables):
+    """The requests are looked up in the snapshot once, not again for the first of each booking."""
+    from airops.operators.commands import booking_flow as flow
+    for batch, run in (("payment_requests", flow.process_payments), ("cancel_requests", flow.cancel_bookings),
+                       ("boarding_events", flow.record_boarding)):
+        out, _ = run(tables, tables.extra(batch))
+        text = plans.formatted(out, "simple")
+        assert text.count("Join") == 1 and "LeftSemi" not in text, batch
