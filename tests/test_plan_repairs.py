@@ -32,8 +32,8 @@ def test_unique_keys_cross_the_shuffle_as_hashes(tables):
 
 def test_whole_keys_are_not_shuffled_to_find_repeats(spark, tables):
     text = plans.formatted(audits.audit_unique(tables), "simple")
-    above, below = text.split("LeftSemi")
-    assert "BroadcastHashJoin" in above.splitlines()[-1] and "Aggregate" not in below
+    assert all("BroadcastHashJoin" in line for line in text.splitlines() if "LeftSemi" in line)
+    assert "Aggregate" not in text.split("LeftSemi", 1)[1]
 
 
 def test_address_holder_before_each_request(spark):
