@@ -23,7 +23,9 @@ import json
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,58 +43,76 @@ def _kept(df: DataFrame, name: str) -> DataFrame:
 
 
 def _numbered(key: str, block_rows: int) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        block, last, held = (TaskContext.get().partitionId() << 32) - 1, object(), 0
-        for pdf in batches:
-            numbers = []
-            for k in pdf[key].tolist():
-                if k != last or held == block_rows:
-                    block, last, held = block + 1, k, 0
-                held += 1
-                numbers.append(block)
-            yield pdf.assign(_block=numbers)
+        block, last, held = (TaskContext.get().partitionId() << 32) - 1, None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
+            starts = np.append(keys[0] != last, keys[1:] != keys[:-1])
+            at = np.arange(len(keys))
+            first = np.maximum.accumulate(np.where(starts, at, -1))
+            # the place in its run of the key; a run may have begun in an earlier batch
+            place = np.where(first < 0, at + held, at - first)
+            numbers = block + np.cumsum(place % block_rows == 0)
+            block, last, held = int(numbers[-1]), keys[-1], int(place[-1]) % block_rows + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())],
+                                             names=[*batch.schema.names, "_block"])
     return run
 
 
 def _folded(key: str, fold: Callable, out: list[str]) -> Callable:
+    names = [key, "_block", "_out", *out]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
+        done: dict[str, list] = {c: [] for c in names}
 
-        def finish() -> Iterator[pd.DataFrame]:
-            g = pd.concat(held, ignore_index=True)
+        def finish() -> None:
+            g = held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
             held.clear()
             before = g["_in"].iat[0]
             got, state = fold(json.loads(before) if before else None, g)
-            where = {key: g[key].iat[0], "_block": g["_block"].iat[0]}
+            got = {c: got[c] if isinstance(got[c], list) else got[c].tolist() for c in out}
+            n = len(got[out[0]])
+            # the rows of results, then the row of the state
+            done[key] += [g[key].iat[0]] * (n + 1)
+            done["_block"] += [g["_block"].iat[0]] * (n + 1)
+            done["_out"] += [None] * n + [json.dumps(state, sort_keys=True)]
+            for c in out:
+                done[c] += [*got[c], None]
+
+        def taken() -> pd.DataFrame:
             # plain objects: rows of results and the row of the state go to one Arrow batch type
-            yield pd.DataFrame({**{c: [x] * len(got) for c, x in where.items()}, "_out": [None] * len(got),
-                                **{c: got[c].tolist() for c in out}}, dtype=object)
-            yield pd.DataFrame({**{c: [x] for c, x in where.items()}, "_out": [json.dumps(state, sort_keys=True)],
-                                **{c: [None] for c in out}}, dtype=object)
+            pdf = pd.DataFrame(done, dtype=object)
+            done.update({c: [] for c in names})
+            return pdf
 
         for pdf in batches:
             starts = (pdf["_block"] != pdf["_block"].shift()).to_numpy().nonzero()[0].tolist() + [len(pdf)]
             for a, b in zip(starts[:-1], starts[1:]):
                 if held and held[0]["_block"].iat[0] != pdf["_block"].iat[a]:
-                    yield from finish()
+                    finish()
                 held.append(pdf.iloc[a:b])
+            yield taken()
         if held:
-            yield from finish()
+            finish()
+            yield taken()
     return run
 
 
 def fold_in_blocks(rows: DataFrame, key: str, order: list[str], fold: Callable, out: T.StructType,
                    block_rows: int | None = None) -> DataFrame:
     """``fold(state, block) -> (rows of out, state)`` over the rows of each ``key``
-    in ``order`` (unique within a key).
+    in ``order`` (unique within a key); the rows are a frame or lists by column.
 
     ``state`` is what JSON holds, None before the first row of a key; a block is a
     pandas frame. ``key`` must not be null. Returns the columns of ``out``."""
     types = T.StructType([T.StructField("_block", T.LongType()), *rows.schema.fields])
     dealt = rows.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
     names = rows.columns
-    blocks = _kept(dealt.mapInPandas(_numbered(key, block_rows or BLOCK_ROWS),
+    blocks = _kept(dealt.mapInArrow(_numbered(key, block_rows or BLOCK_ROWS),
                                      T.StructType([*types.fields[1:], types.fields[0]])), "blocks")
     ahead = Window.partitionBy(key).orderBy("_block")
     # one row for each block of a key that has several

@@ -15,6 +15,11 @@ by ``booking_request_id`` the booking that a ``book`` of the same log makes.
    the flight and on the seats taken of the flight, which cancellations free and
    boardings occupy: ``seating.py``.
 3. Codes and tables follow from the moments and the bookings that were made.
+
+What is read again (the bookings named, the commands with their facts, the moments)
+is written once as tables to the scratch folder: a reader takes only its columns
+from there. Codes and tables are plans over them, so that a caller pays for those
+that it reads.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from pyspark.sql import types as T
 from airops.operators.commands import booking_flow as flow
 from airops.operators.commands import bookings_admit as admit
 from airops.operators.commands.common import conform, new_ids, order_key, outcomes, restrict, upsert
+from airops.operators.commands.fold import _kept
 from airops.operators.commands.seating import decide_bookings
 from airops.schema import BOARDING_STATUS, PAYMENT_METHOD
 
@@ -40,15 +46,22 @@ def _between(order: Column, after: Column, before: Column) -> Column:
     return (after.isNull() | (order > after)) & (before.isNull() | (order < before))
 
 
+_MARKS = {"paid": "payments", "ticketed": "tickets", "record": "boarding_records"}
+
+
 def _targets(t, log: DataFrame, books: DataFrame) -> DataFrame:
     """The bookings that the log's commands name: those of the snapshot (``target``
     is the id) and those that its requests may make (minus the request's id, less one)."""
     named = log.where("command <> 'book'").select("booking_id")
     old = restrict(t["bookings"], named, "booking_id")
-    paid = restrict(t["payments"], named, "booking_id").groupBy("booking_id").agg(F.lit(True).alias("paid"))
-    ticketed = restrict(t["tickets"], named, "booking_id").groupBy("booking_id").agg(F.lit(True).alias("ticketed"))
-    record = restrict(t["boarding_records"], named, "booking_id").groupBy("booking_id").agg(F.lit(True).alias("record"))
-    old = old.join(paid, "booking_id", "left").join(ticketed, "booking_id", "left").join(record, "booking_id", "left").select(
+    # payments, tickets and boarding records of the named bookings, found in one pass
+    marks = None
+    for mark, table in _MARKS.items():
+        part = t[table].select("booking_id", *[(F.lit(True) if c == mark else F.lit(None).cast("boolean")).alias(c)
+                                               for c in _MARKS])
+        marks = part if marks is None else marks.unionByName(part)
+    marks = restrict(marks, named, "booking_id").groupBy("booking_id").agg(*[F.max(c).alias(c) for c in _MARKS])
+    old = old.join(marks, "booking_id", "left").select(
         F.col("booking_id").alias("target"), "flight_id", "seat_id", "passenger_id", F.col("status").alias("was"), "paid",
         "ticketed", "record", F.lit(None).cast(books.schema["_ord"].dataType).alias("start"))
     new = books.select((-F.col("request_id") - 1).alias("target"), "flight_id", "seat_id", "passenger_id",
@@ -63,20 +76,22 @@ def _targets(t, log: DataFrame, books: DataFrame) -> DataFrame:
 
 
 def _moments(cmds: DataFrame) -> DataFrame:
-    """Per target: its first cancellation ``c``, the payment ``p`` taken before it,
-    the first boarding ``b`` while Confirmed, and the last status that boarding sets."""
+    """Per target that has one: its first cancellation ``c``, the payment ``p`` taken
+    before it, the first boarding ``b`` while Confirmed, and the last status that
+    boarding sets. One plan: every part lies by its target."""
     kind = F.col("command")
-    valid = F.col("shape_ok") & F.col("was").isNotNull() & (F.col("start").isNull() | (F.col("_ord") > F.col("start"))) & (
-        F.col("was") != "Cancelled")
-    first = cmds.groupBy("target").agg(
-        F.min(F.when(valid & (kind == "cancel"), F.col("_ord"))).alias("c"),
-        F.min(F.when(valid & (kind == "pay") & F.col("paid").isNull() & ~F.col("db_fail"), F.col("_ord"))).alias("p"))
-    first = first.withColumn("p", F.when(F.col("c").isNull() | (F.col("p") < F.col("c")), F.col("p"))).checkpoint()
-    boards = cmds.where(valid & (kind == "board")).join(first, "target").where(
-        ((F.col("was") == "Confirmed") | (F.col("_ord") > F.col("p"))) & (F.col("c").isNull() | (F.col("_ord") < F.col("c"))))
+    valid = cmds.where(F.col("shape_ok") & F.col("target").isNotNull() & F.col("was").isNotNull() & (
+        F.col("after").isNull() | F.col("after")) & (F.col("was") != "Cancelled"))
+    pays = (kind == "pay") & F.col("paid").isNull() & ~F.col("db_fail")
+    first = valid.where((kind == "cancel") | pays).groupBy("target").agg(
+        F.min(F.when(kind == "cancel", F.col("_ord"))).alias("c"), F.min(F.when(pays, F.col("_ord"))).alias("p"))
+    first = first.withColumn("p", F.when(F.col("c").isNull() | (F.col("p") < F.col("c")), F.col("p")))
+    boards = valid.where(kind == "board").select("target", "was", "_ord", "boarding_status").join(
+        first, "target", "left").where(((F.col("was") == "Confirmed") | (F.col("_ord") > F.col("p"))) & (
+            F.col("c").isNull() | (F.col("_ord") < F.col("c"))))
     board = boards.groupBy("target").agg(F.min("_ord").alias("b"), F.min_by("boarding_status", "_ord").alias("b_first"),
                                          F.max_by("boarding_status", "_ord").alias("b_last"))
-    return first.join(board, "target", "left").checkpoint()
+    return first.join(board, "target", "full")
 
 
 def apply_commands(t, log: DataFrame):
@@ -94,14 +109,19 @@ def apply_commands(t, log: DataFrame):
              .when(F.col("command") == "cancel", F.col("cancel_reason").isNotNull())
              .when(F.col("command") == "board", F.col("boarding_status").isin(*BOARDING_STATUS)))
     cmds = log.where("command is null or command <> 'book'").select(
-        "request_id", "requested_at", "command", "method", "cancel_reason", "boarding_status", "_ord", target.alias("target"),
+        "request_id", "requested_at", "command", "method", "cancel_reason", "boarding_status", target.alias("target"),
         amount.alias("amount"), (F.coalesce(shape, F.lit(False)) & target.isNotNull()).alias("shape_ok"))
-    cmds = cmds.join(_targets(t, log, books), "target", "left").withColumn(
+    targets = _kept(_targets(t, log, books), "targets")
+    facts = targets.drop("flight_id", "seat_id", "passenger_id")
+    # ``after``: it follows the request of a booking that the log may make (null: a booking of the snapshot)
+    cmds = _kept(cmds.join(facts, "target", "left").withColumn(
         "db_fail", F.col("amount").isNull() | (F.col("amount") <= 0) | F.col("ticketed").isNotNull() | F.col("fare").isNull()
-        | (F.col("fare") <= 0)).checkpoint()
-    moments = _moments(cmds)
-    known = cmds.where("was is not null").select("target", "flight_id", "seat_id", "passenger_id", "was", "record").distinct(
-        ).join(moments, "target").checkpoint()
+        | (F.col("fare") <= 0)).withColumn("after", order_key() > F.col("start")).drop("ticketed", "start"), "commands")
+    cmds = cmds.withColumn("_ord", order_key())
+    moments = _kept(_moments(cmds), "moments")
+    # of the bookings that the log may make, only those that something happens to
+    known = _kept(targets.where("was is not null").select("target", "flight_id", "seat_id", "passenger_id", "was", "record").join(
+        moments, "target", "left").where("target >= 0 or c is not null or p is not null or b is not null").distinct(), "known")
 
     made = decide_bookings(t, books, known)
     out = _codes(cmds, moments, made)
@@ -115,7 +135,7 @@ def _codes(cmds: DataFrame, moments: DataFrame, made: DataFrame) -> DataFrame:
     done = made.where("code = 201").select((-F.col("request_id") - 1).alias("target"), F.lit(True).alias("made"))
     j = cmds.join(moments, "target", "left").join(done, "target", "left")
     at, kind = F.col("_ord"), F.col("command")
-    exists = F.col("was").isNotNull() & (F.col("start").isNull() | (F.col("made").isNotNull() & (at > F.col("start"))))
+    exists = F.col("was").isNotNull() & (F.col("after").isNull() | (F.col("made").isNotNull() & F.col("after")))
     gone = (F.col("was") == "Cancelled") | (F.col("c") < at)
     confirmed = ((F.col("was") == "Confirmed") | (F.col("p") < at)) & ~F.coalesce(gone, F.lit(False))
     pay, cancel, board = kind == "pay", kind == "cancel", kind == "board"
@@ -130,7 +150,7 @@ def _codes(cmds: DataFrame, moments: DataFrame, made: DataFrame) -> DataFrame:
         (422, flow.R_NOT_CONFIRMED, board & ~F.coalesce(confirmed, F.lit(False))),
         (201, "status_updated", board & (F.col("record").isNotNull() | (F.col("b") < at))),
         (201, "boarding_recorded", board),
-    ], 201).checkpoint()
+    ], 201)
 
 
 def _tables(t, books: DataFrame, known: DataFrame, made: DataFrame, out: DataFrame) -> dict[str, DataFrame]:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from airops.operators.commands.common import restrict
-from airops.operators.commands.fold import fold_in_blocks
+from airops.operators.commands.fold import _kept, fold_in_blocks
 from airops.schema import CLOSED_FLIGHT_STATUS
 
 # --- fixed values: outcome reasons ----------------------------------------------
@@ -81,7 +81,7 @@ def _walk(state: dict | None, g: pd.DataFrame):
             seats[seat] = "Occupied" if event == "occupy_made" else "Available"
             if event == "cancel_made":
                 holds[pax], live = False, live - 1
-    return (pd.DataFrame({"request_id": ids, "code": codes, "reason": reasons}),
+    return ({"request_id": ids, "code": codes, "reason": reasons},
             {"seats": seats, "live": live, "holds": holds, "made": sorted(made)})
 
 
@@ -124,7 +124,7 @@ def decide_bookings(t, books: DataFrame, known: DataFrame | None = None) -> Data
     shape_ok = F.col("passenger_id").isNotNull() & F.col("flight_id").isNotNull() & F.col("seat_id").isNotNull()
     static = F.when(~shape_ok, F.lit(R_INVALID)).when(F.col("_pax").isNull(), R_PAX_404).when(
         F.col("_fstatus").isNull(), R_FLIGHT_404).when(F.col("_fstatus").isin(*CLOSED_FLIGHT_STATUS), R_FLIGHT_CLOSED)
-    j = j.withColumn("_static", static).checkpoint()
+    j = _kept(j.withColumn("_static", static), "requests")
     no = F.lit(False)
     requests = j.where("_static is null").select(
         "flight_id", "_ord", F.lit("book").alias("event"), "request_id", "seat_id", "passenger_id", "sstatus", "cap",
@@ -135,10 +135,9 @@ def decide_bookings(t, books: DataFrame, known: DataFrame | None = None) -> Data
         F.coalesce("watched", no).alias("watched"))
 
     def events(of: DataFrame, name: str, at: str) -> DataFrame:
-        rows = of.where(F.col(at).isNotNull()).select(
+        return of.where(F.col(at).isNotNull()).select(
             "flight_id", F.col(at).alias("_ord"), F.lit(name).alias("event"),
             F.when(F.col("target") < 0, -F.col("target") - 1).otherwise(F.lit(-1)).alias("request_id"), "seat_id", "passenger_id")
-        return restrict(rows, requests, "flight_id")
 
     old, new = known.where("target >= 0"), known.where("target < 0")
     # a booking counts on its flight; its seat belongs to the seat's flight
@@ -146,13 +145,14 @@ def decide_bookings(t, books: DataFrame, known: DataFrame | None = None) -> Data
     boards = (F.col("b_first") == "Boarded") & F.col("record").isNull()
     every = [events(old, "left", "c"), events(seated, "free", "c"), events(seated.where(boards), "occupy", "b"),
              events(new, "cancel_made", "c"), events(new.where(boards), "occupy_made", "b")]
-    stream = requests
-    for e in every:
-        stream = stream.unionByName(e, allowMissingColumns=True)
+    happened = every[0]
+    for e in every[1:]:
+        happened = happened.unionByName(e)
+    stream = requests.unionByName(restrict(happened, requests, "flight_id"), allowMissingColumns=True)
     # one moment may free a seat and a place: any order of the two is the same
     stream = stream.select("flight_id", F.col("_ord.ts").alias("_ts"), F.col("_ord.id").alias("_id"), *requests.columns[2:])
     walked = fold_in_blocks(stream, "flight_id", ["_ts", "_id", "event"], _walk, _WALKED)
     fixed = j.where("_static is not null").select("request_id", F.when(
         F.col("_static").isin(R_INVALID, R_FLIGHT_CLOSED), 422).otherwise(404).alias("code"),
         F.col("_static").alias("reason"))
-    return walked.unionByName(fixed).checkpoint()
+    return _kept(walked.unionByName(fixed), "decided")
