@@ -54,7 +54,8 @@ def cancel_bookings(t, requests: DataFrame):
         (404, R_BOOKING_404, F.col("_bfound").isNull()),
         (409, R_ALREADY_CANCELLED, (F.col("_bstatus") == "Cancelled") | (F.col("_acc") < F.col("_ord"))),
     ], 200)
-    acc = out.filter("accepted").select("booking_id", "cancel_reason", "requested_at")
+    # read by each of the tables
+    acc = _kept(out.filter("accepted").select("booking_id", "cancel_reason", "requested_at"), "cancelled")
     bookings = upsert(t["bookings"], acc.select(
         "booking_id", F.lit("Cancelled").alias("status"), "cancel_reason",
         F.col("requested_at").alias("cancelled_at")), "booking_id",

@@ -13,9 +13,9 @@ applied anew. Files of a commit that was not published are never read.
 
 Which buckets a batch changed is told by the digests (row count and two sums of
 64-bit row hashes) of the changed tables, one aggregate with a row per bucket,
-against those in the manifest: the old rows are not read for it. ``buckets`` is to
-be chosen so that one bucket of the largest table fits a task; keys are spread by
-hash, so buckets are alike in size. The manifest, ``tables x buckets`` entries, is
+against those in the manifest: the old rows are not read for it. Keys are spread by
+hash, so buckets are alike in size; a bucket is dealt to several tasks by another
+hash of the key, so that few buckets hold back neither cores nor memory. The manifest, ``tables x buckets`` entries, is
 what passes through the driver.
 """
 
@@ -34,6 +34,8 @@ from airops.schema import PRIMARY_KEYS, TABLE_SCHEMAS
 from airops.sources.tables import Tables, _conform
 
 BUCKETS = 64
+#: A bucket is written by this many tasks and files, at most.
+SLICES = 16
 
 
 class StaleSnapshot(RuntimeError):
@@ -117,8 +119,9 @@ def _publish(spark: SparkSession, path: str, version: int, commit: str, tag: str
 def _write(frames: Mapping[str, DataFrame], path: str, commit: str, buckets: int, touched: Mapping[str, list[int]]) -> None:
     for name, df in frames.items():
         if touched[name]:
-            at = _bucket(name, buckets)
-            (df.withColumn("bucket", at).where(F.col("bucket").isin(touched[name])).repartition("bucket")
+            at, part = _bucket(name, buckets), F.pmod(F.hash(PRIMARY_KEYS[name]), F.lit(SLICES))
+            # small parts meet in one task again (AQE); a large bucket is not sorted by one
+            (df.withColumn("bucket", at).where(F.col("bucket").isin(touched[name])).repartition("bucket", part)
              .sortWithinPartitions("bucket", PRIMARY_KEYS[name])
              .write.partitionBy("bucket").parquet(f"{path}/{name}/{commit}"))
 
