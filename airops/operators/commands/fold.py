@@ -13,14 +13,13 @@ take one round, and a key of many blocks as many as its states need to settle
 
 Blocks are numbered once and written to the shared scratch folder; so are the
 results of a round (tables that are read again have the sizes of their files,
-where checkpoints would carry estimates that multiply from round to round). A
-lost executor repeats single blocks.
+where checkpoints would carry estimates that multiply from round to round), and
+dropped when the next round has been written. A lost executor repeats single blocks.
 """
 
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,16 +29,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from airops.session import scratch_path
+from airops.session import drop_tables, scratch_table, temporary
 
 #: Rows of a block, at most.
 BLOCK_ROWS = 50_000
 
 
 def _kept(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, f"airops-{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return scratch_table(df, f"airops-{name}", compression="zstd")
 
 
 def _numbered(key: str, block_rows: int) -> Callable:
@@ -109,6 +106,12 @@ def fold_in_blocks(rows: DataFrame, key: str, order: list[str], fold: Callable,
 
     ``state`` is what JSON holds, None before the first row of a key; a block is a
     pandas frame. ``key`` must not be null. Returns the columns of ``out``."""
+    with temporary() as keep:
+        return keep(_rounds(rows, key, order, fold, out, block_rows)).where("_out is null").select(out.names)
+
+
+def _rounds(rows: DataFrame, key: str, order: list[str], fold: Callable, out: T.StructType, block_rows: int | None) -> DataFrame:
+    """The results of the blocks, and the states they leave (``_out``), as a written table."""
     types = T.StructType([T.StructField("_block", T.LongType()), *rows.schema.fields])
     dealt = rows.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
     names = rows.columns
@@ -136,7 +139,8 @@ def fold_in_blocks(rows: DataFrame, key: str, order: list[str], fold: Callable,
         if changed.isEmpty():
             break
         again = folded(blocks.join(changed, "_block"))
-        result = _kept(result.join(changed.select("_block"), "_block", "left_anti").select(again.columns).unionByName(
-            again), "folded")
+        before, result = result, _kept(result.join(changed.select("_block"), "_block", "left_anti").select(
+            again.columns).unionByName(again), "folded")
+        drop_tables(before, again)
         used = now
-    return result.where("_out is null").select(out.names)
+    return result

@@ -16,10 +16,11 @@ by ``booking_request_id`` the booking that a ``book`` of the same log makes.
    boardings occupy: ``seating.py``.
 3. Codes and tables follow from the moments and the bookings that were made.
 
-What is read again (the bookings named, the commands with their facts, the moments)
-is written once as tables to the scratch folder: a reader takes only its columns
-from there. Codes and tables are plans over them, so that a caller pays for those
-that it reads.
+What is read again (the bookings named, their moments) is written once as tables to
+the scratch folder: a reader takes only its columns from there. The commands that
+moments come from are written with the columns that these need, and dropped
+then. Codes and tables are plans over the log and those tables, so that a caller
+pays for those that it reads.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from airops.operators.commands.common import conform, new_ids, order_key, outcom
 from airops.operators.commands.fold import _kept
 from airops.operators.commands.seating import decide_bookings
 from airops.schema import BOARDING_STATUS, PAYMENT_METHOD
+from airops.session import temporary
 
 COMMANDS = ("book", "pay", "cancel", "board")
 _MONEY = T.DecimalType(12, 2)
@@ -61,9 +63,10 @@ def _targets(t, log: DataFrame, books: DataFrame) -> DataFrame:
                                                for c in _MARKS])
         marks = part if marks is None else marks.unionByName(part)
     marks = restrict(marks, named, "booking_id").groupBy("booking_id").agg(*[F.max(c).alias(c) for c in _MARKS])
-    old = old.join(marks, "booking_id", "left").select(
+    # each way through the shuffles is written before the next: only its own files are there at a time
+    old = _kept(old.join(marks, "booking_id", "left").select(
         F.col("booking_id").alias("target"), "flight_id", "seat_id", "passenger_id", F.col("status").alias("was"), "paid",
-        "ticketed", "record", F.lit(None).cast(books.schema["_ord"].dataType).alias("start"))
+        "ticketed", "record", F.lit(None).cast(books.schema["_ord"].dataType).alias("start")), "named")
     new = books.select((-F.col("request_id") - 1).alias("target"), "flight_id", "seat_id", "passenger_id",
                        F.lit("Pending").alias("was"), *[F.lit(None).cast("boolean").alias(c) for c in (
                            "paid", "ticketed", "record")], F.col("_ord").alias("start"))
@@ -78,20 +81,24 @@ def _targets(t, log: DataFrame, books: DataFrame) -> DataFrame:
 def _moments(cmds: DataFrame) -> DataFrame:
     """Per target that has one: its first cancellation ``c``, the payment ``p`` taken
     before it, the first boarding ``b`` while Confirmed, and the last status that
-    boarding sets. One plan: every part lies by its target."""
+    boarding sets."""
     kind = F.col("command")
-    valid = cmds.where(F.col("shape_ok") & F.col("target").isNotNull() & F.col("was").isNotNull() & (
-        F.col("after").isNull() | F.col("after")) & (F.col("was") != "Cancelled"))
     pays = (kind == "pay") & F.col("paid").isNull() & ~F.col("db_fail")
+    valid = _kept(cmds.where(F.col("shape_ok") & F.col("target").isNotNull() & F.col("was").isNotNull() & (
+        F.col("after").isNull() | F.col("after")) & (F.col("was") != "Cancelled") & (
+            kind.isin("cancel", "board") | pays)).select(
+                "target", "was", "command", "boarding_status", "requested_at", "request_id"), "commands").withColumn(
+                    "_ord", order_key())
+    pays = kind == "pay"
     first = valid.where((kind == "cancel") | pays).groupBy("target").agg(
         F.min(F.when(kind == "cancel", F.col("_ord"))).alias("c"), F.min(F.when(pays, F.col("_ord"))).alias("p"))
-    first = first.withColumn("p", F.when(F.col("c").isNull() | (F.col("p") < F.col("c")), F.col("p")))
+    first = _kept(first.withColumn("p", F.when(F.col("c").isNull() | (F.col("p") < F.col("c")), F.col("p"))), "first")
     boards = valid.where(kind == "board").select("target", "was", "_ord", "boarding_status").join(
         first, "target", "left").where(((F.col("was") == "Confirmed") | (F.col("_ord") > F.col("p"))) & (
             F.col("c").isNull() | (F.col("_ord") < F.col("c"))))
     board = boards.groupBy("target").agg(F.min("_ord").alias("b"), F.min_by("boarding_status", "_ord").alias("b_first"),
                                          F.max_by("boarding_status", "_ord").alias("b_last"))
-    return first.join(board, "target", "full")
+    return _kept(first.join(board, "target", "full"), "moments")
 
 
 def apply_commands(t, log: DataFrame):
@@ -111,19 +118,22 @@ def apply_commands(t, log: DataFrame):
     cmds = log.where("command is null or command <> 'book'").select(
         "request_id", "requested_at", "command", "method", "cancel_reason", "boarding_status", target.alias("target"),
         amount.alias("amount"), (F.coalesce(shape, F.lit(False)) & target.isNotNull()).alias("shape_ok"))
-    targets = _kept(_targets(t, log, books), "targets")
+    with temporary() as keep:
+        targets = keep(_kept(_targets(t, log, books), "targets"))
     facts = targets.drop("flight_id", "seat_id", "passenger_id")
     # ``after``: it follows the request of a booking that the log may make (null: a booking of the snapshot)
-    cmds = _kept(cmds.join(facts, "target", "left").withColumn(
+    cmds = cmds.join(facts, "target", "left").withColumn(
         "db_fail", F.col("amount").isNull() | (F.col("amount") <= 0) | F.col("ticketed").isNotNull() | F.col("fare").isNull()
-        | (F.col("fare") <= 0)).withColumn("after", order_key() > F.col("start")).drop("ticketed", "start"), "commands")
-    cmds = cmds.withColumn("_ord", order_key())
-    moments = _kept(_moments(cmds), "moments")
-    # of the bookings that the log may make, only those that something happens to
-    known = _kept(targets.where("was is not null").select("target", "flight_id", "seat_id", "passenger_id", "was", "record").join(
-        moments, "target", "left").where("target >= 0 or c is not null or p is not null or b is not null").distinct(), "known")
+        | (F.col("fare") <= 0)).withColumn("after", order_key() > F.col("start")).drop("ticketed", "start").withColumn("_ord", order_key())
+    # only the bookings that something happens to
+    with temporary() as keep:
+        known = keep(_kept(targets.where("was is not null").select(
+            "target", "flight_id", "seat_id", "passenger_id", "was", "record").join(_moments(cmds), "target").where(
+                "c is not null or p is not null or b is not null").distinct(), "known"))
 
     made = decide_bookings(t, books, known)
+    # a booking that the snapshot holds twice has the same moments in each of its rows
+    moments = known.groupBy("target").agg(*[F.first(m).alias(m) for m in "cpb"])
     out = _codes(cmds, moments, made)
     return out.select("request_id", "accepted", "code", "reason").unionByName(
         made.select("request_id", (F.col("code") < 300).alias("accepted"), "code", "reason")), _tables(t, books, known, made, out)

@@ -19,13 +19,14 @@ unless it crosses blocks.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from airops.operators.commands.common import restrict
 from airops.operators.commands.fold import _kept, fold_in_blocks
 from airops.schema import CLOSED_FLIGHT_STATUS
+from airops.session import drop_tables, temporary
 
 # --- fixed values: outcome reasons ----------------------------------------------
 R_INVALID = "invalid_request"
@@ -96,6 +97,11 @@ def decide_bookings(t, books: DataFrame, known: DataFrame | None = None) -> Data
     that other commands change (``target``: the id in the snapshot, or minus the
     request's id, less one), with flight, seat, passenger, first cancellation ``c``
     and boarding ``b`` (orders, or null), ``b_first`` and ``record``."""
+    with temporary() as keep:
+        return keep(_kept(_decided(t, books, known), "decided"))
+
+
+def _decided(t, books: DataFrame, known: DataFrame | None) -> DataFrame:
     pax = restrict(t["passengers"], books, "passenger_id").select("passenger_id", F.lit(True).alias("_pax"))
     fl = restrict(t["flights"], books, "flight_id")
     fl = fl.select("flight_id", F.col("status").alias("_fstatus"), "aircraft_id").join(
@@ -118,41 +124,44 @@ def decide_bookings(t, books: DataFrame, known: DataFrame | None = None) -> Data
     staff = restrict(t["staff"], books, "staff_id").select("staff_id", F.lit(True).alias("_staff"))
     watched = known.where("target < 0 and (c is not null or b is not null)").select(
         (-F.col("target") - 1).alias("request_id"), F.lit(True).alias("watched"))
-    j = (books.join(pax, "passenger_id", "left").join(fl, "flight_id", "left").join(live, "flight_id", "left")
-         .join(pairs, ["flight_id", "passenger_id"], "left").join(seat, "seat_id", "left").join(staff, "staff_id", "left")
-         .join(watched, "request_id", "left"))
+    # written on the way: the shuffle files of the first lookups are gone when the others begin
+    looked = _kept(books.select("request_id", "passenger_id", "flight_id", "seat_id", "staff_id", "_ord").join(
+        pax, "passenger_id", "left").join(staff, "staff_id", "left").drop("staff_id").join(
+            watched, "request_id", "left"), "looked-up")
+    more = _kept(looked.join(fl, "flight_id", "left").join(live, "flight_id", "left").join(seat, "seat_id", "left"), "looked-up")
+    j = more.join(pairs, ["flight_id", "passenger_id"], "left")
     shape_ok = F.col("passenger_id").isNotNull() & F.col("flight_id").isNotNull() & F.col("seat_id").isNotNull()
     static = F.when(~shape_ok, F.lit(R_INVALID)).when(F.col("_pax").isNull(), R_PAX_404).when(
         F.col("_fstatus").isNull(), R_FLIGHT_404).when(F.col("_fstatus").isin(*CLOSED_FLIGHT_STATUS), R_FLIGHT_CLOSED)
-    j = _kept(j.withColumn("_static", static), "requests")
     no = F.lit(False)
-    requests = j.where("_static is null").select(
-        "flight_id", "_ord", F.lit("book").alias("event"), "request_id", "seat_id", "passenger_id", "sstatus", "cap",
+    j = _kept(j.select(
+        static.alias("_static"), "flight_id", "_ord", F.lit("book").alias("event"), "request_id", "seat_id", "passenger_id",
+        "sstatus", "cap",
         F.coalesce("nlive", F.lit(0)).alias("nlive"),
         F.coalesce(F.col("_active") & (F.col("_stays") | (F.col("_ord") < F.col("_until"))), no).alias("dup"),
         F.coalesce(F.col("_sflight") == F.col("flight_id"), no).alias("seat_ok"), F.col("cap").isNotNull().alias("cap_ok"),
         (F.col("_active").isNotNull() | F.col("_staff").isNull()).alias("barred"),
-        F.coalesce("watched", no).alias("watched"))
+        F.coalesce("watched", no).alias("watched")), "requests")
+    drop_tables(looked, more)
+    requests = j.where("_static is null").drop("_static")
 
-    def events(of: DataFrame, name: str, at: str) -> DataFrame:
-        return of.where(F.col(at).isNotNull()).select(
-            "flight_id", F.col(at).alias("_ord"), F.lit(name).alias("event"),
-            F.when(F.col("target") < 0, -F.col("target") - 1).otherwise(F.lit(-1)).alias("request_id"), "seat_id", "passenger_id")
+    def events(of: DataFrame, **at: Column) -> DataFrame:
+        return of.select("flight_id", F.inline(F.array(*[F.struct(o.alias("_ord"), F.lit(name).alias("event")) for name, o in at.items()])),
+                         F.when(F.col("target") < 0, -F.col("target") - 1).otherwise(F.lit(-1)).alias("request_id"),
+                         "seat_id", "passenger_id").where("_ord is not null")
 
     old, new = known.where("target >= 0"), known.where("target < 0")
     # a booking counts on its flight; its seat belongs to the seat's flight
     seated = old.drop("flight_id").join(restrict(t["seats"], old, "seat_id").select("seat_id", "flight_id"), "seat_id")
-    boards = (F.col("b_first") == "Boarded") & F.col("record").isNull()
-    every = [events(old, "left", "c"), events(seated, "free", "c"), events(seated.where(boards), "occupy", "b"),
-             events(new, "cancel_made", "c"), events(new.where(boards), "occupy_made", "b")]
-    happened = every[0]
-    for e in every[1:]:
-        happened = happened.unionByName(e)
-    stream = requests.unionByName(restrict(happened, requests, "flight_id"), allowMissingColumns=True)
+    c, boards = F.col("c"), F.when((F.col("b_first") == "Boarded") & F.col("record").isNull(), F.col("b"))
+    happened = events(old, left=c).unionByName(events(seated, free=c, occupy=boards)).unionByName(
+        events(new, cancel_made=c, occupy_made=boards))
+    happened = _kept(restrict(happened, requests, "flight_id"), "events")
+    stream = requests.unionByName(happened, allowMissingColumns=True)
     # one moment may free a seat and a place: any order of the two is the same
     stream = stream.select("flight_id", F.col("_ord.ts").alias("_ts"), F.col("_ord.id").alias("_id"), *requests.columns[2:])
     walked = fold_in_blocks(stream, "flight_id", ["_ts", "_id", "event"], _walk, _WALKED)
     fixed = j.where("_static is not null").select("request_id", F.when(
         F.col("_static").isin(R_INVALID, R_FLIGHT_CLOSED), 422).otherwise(404).alias("code"),
         F.col("_static").alias("reason"))
-    return _kept(walked.unionByName(fixed), "decided")
+    return walked.unionByName(fixed)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
 from airops.schema import TABLE_SCHEMAS, TABLES
-from airops.session import scratch_path
+from airops.session import scratch_path, shuffles_removed
 from airops.sources import fixtures, requests
 
 
@@ -186,7 +186,9 @@ def _materialized(spark, path):
             if read_marker(spark, done) is None:
                 run = f"{base}/{name}/attempt-{uuid.uuid4().hex[:8]}"
                 df = builders[name]()
-                (_conform(df, name) if name in TABLE_SCHEMAS else df).write.mode("errorifexists").parquet(run)
+                with shuffles_removed(spark):
+                    (_conform(df, name) if name in TABLE_SCHEMAS else df).write.mode("errorifexists").option(
+                        "compression", "zstd").parquet(run)
                 write_marker(spark, done, run)
             # fixed schemas: no inference, no re-cast
             opened[name] = spark.read.schema(schema).parquet(read_marker(spark, done))
